@@ -1,0 +1 @@
+"""netloom.streaming"""
