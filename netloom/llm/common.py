@@ -9,7 +9,6 @@ from __future__ import annotations
 import tempfile
 import unicodedata
 import uuid
-from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -227,28 +226,53 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-# ---------------------------------------------------------------- bounded Bloom filter of keys
+# ---------------------------------------------------------------- bounded filters of keys
 
+BLOOM_LOG2 = 25
 
-def bloom_bits(keys: DataFrame, column: str, log2_bits: int = 25) -> np.ndarray:
-    """Bits of a Bloom filter over a long column, two bits a key, built on the executors and combined as bitmaps.
 
-    What reaches the driver has a fixed size: 2**log2_bits / 8 bytes (4 MB), at any number of keys. A full filter only
-    lets more rows through to the exact join that follows.
+def bit_filter(keys: DataFrame, column: str, log2_bits: int = BLOOM_LOG2) -> np.ndarray:
+    """Bits of a Bloom filter over a column of 64-bit hashes, two bits a key, built on the executors as bitmaps.
+
+    What reaches the driver has a fixed size, 2**log2_bits / 8 bytes (4 MB), at any number of keys. A full filter only lets
+    more rows through to the exact join that must follow.
     """
     m = 1 << log2_bits
-    pos = keys.select(F.explode(F.array(*(F.pmod(F.xxhash64(F.col(column), F.lit(s)), F.lit(m)) + 1 for s in (1, 2)))).alias("p"))
-    rows = pos.groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+    at = F.explode(F.array(F.pmod(column, F.lit(m)) + 1, F.pmod(F.shiftright(column, 29), F.lit(m)) + 1)).alias("p")
     out = np.zeros(m // 8, dtype=np.uint8)
-    for r in rows:
-        part = np.frombuffer(r.bits, dtype=np.uint8)
-        out[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(part)] = part
+    for r in keys.select(at).groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect():
+        out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, dtype=np.uint8)[: len(out) - (r.b - 1) * 4096]
     return out
 
 
-def bloom_has(bits: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    return (bits[positions >> 3] >> (positions & 7).astype(np.uint8)) & 1 == 1
+def in_filter(bits: np.ndarray, v: np.ndarray) -> np.ndarray:
+    m = len(bits) * 8
+    hit = np.ones(len(v), dtype=bool)
+    for p in (v % m, (v >> 29) % m):
+        hit &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+    return hit
+
+
+def row_key(key: str, text: str) -> Column:
+    """A hash that equal rows share: of the key and the text."""
+    return F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
+
+
+def filtered(docs: DataFrame, key: str, text: str, acts: DataFrame) -> DataFrame:
+    """``docs`` after the decisions ``acts(row_key, stays)``: 0 drops the rows of that key, 1 keeps one of them; rows that
+    no decision names stay. Only rows that a filter of fixed size lets through meet the exact join, so the texts of the
+    others aren't shuffled."""
+    names = docs.columns
+    mark = next(f"_row{i}" for i in range(len(names) + 1) if f"_row{i}" not in names)
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(acts, "row_key"))
 
+    def kernel(_, piece, texts):
+        return {**{c: piece.column(c) for c in [*names, mark]}, mark + "m": pa.array(in_filter(sent.value, np.asarray(piece.column(mark))))}
 
-def bisected(bounds: list, key) -> int:
-    return bisect_left(bounds, key)
+    rows = docs.withColumn(mark, row_key(key, text))
+    flagged = over_text(rows, text, kernel, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {mark}m boolean")
+    sure = flagged.filter(f"not {mark}m").select(*names)
+    maybe = flagged.filter(f"{mark}m").join(acts.select(F.col("row_key").alias(mark), F.col("stays").alias(mark + "s")), mark, "left")
+    clear = maybe.filter(f"{mark}s is null").select(*names)
+    kept = maybe.filter(f"{mark}s = 1").dropDuplicates([mark]).select(*names)
+    return sure.unionByName(clear).unionByName(kept)
