@@ -150,7 +150,7 @@ def char_grams(codes: np.ndarray, sizes: tuple[int, ...]):
 # ---------------------------------------------------------------- order without one task
 
 
-def ordered_parts(df: DataFrame, key: str, rows_per_part: int = 20_000, ghosts_before: bool = False, ghosts_after: bool = False, circular: bool = False) -> DataFrame:
+def ordered_parts(df: DataFrame, key: str, rows_per_part: int = 1000, most_parts: int = 8192, ghosts_before: bool = False, ghosts_after: bool = False, circular: bool = False) -> DataFrame:
     """Deal rows to tasks by ranges of ``key`` (ascending), each task sorted, with its neighbours' edge rows as ghosts.
 
     Adds ``part`` (int) and ``ghost`` (boolean). ``ghosts_before`` gives each part the last row of the part before it,
@@ -160,7 +160,7 @@ def ordered_parts(df: DataFrame, key: str, rows_per_part: int = 20_000, ghosts_b
     """
     keys = df.select(F.col(key).alias("k"))
     n = keys.count()
-    parts = max(2, -(-n // rows_per_part)) if n else 1
+    parts = min(most_parts, max(2, -(-n // rows_per_part))) if n else 1
     share = max(1, n // (64 * parts))
     sample = sorted(r.k for r in keys.filter(F.pmod(F.xxhash64("k"), F.lit(share)) == 0).collect()) if parts > 1 else []
     bounds = sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_langid, op2_bpe, op3_fingerprints, op4_urls, op5_jaccard_join, op6_decontaminate, op7_shards, op8_toxicity, op9_secrets
+from . import op1_langid, op10_html, op2_bpe, op3_fingerprints, op4_urls, op5_jaccard_join, op6_decontaminate, op7_shards, op8_toxicity, op9_secrets
 
 QUERIES = {
     "op1_language_id": op1_langid.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_shards": op7_shards.query,
     "op8_toxicity": op8_toxicity.query,
     "op9_secrets": op9_secrets.query,
+    "op10_html_text": op10_html.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_url_filter": op4_urls.SQL}
