@@ -5,7 +5,8 @@
    block holds it: the explosion into (word, position) rows is aggregated before the shuffle.
 2. (block, word) rows, in bundles by a hash of the word, are dealt by that hash. The task that owns a hash bucket encodes
    each distinct word of it once, for all blocks of the corpus.
-3. The words' ids are joined back to their blocks, and each text is reassembled by position.
+3. The words' ids are joined back to their blocks, and each text is reassembled by position. Blocks lie in a table that is
+   bucketed by block, so only the ids move.
 4. Decoding joins ids to the token-byte table (fixed size: one row a token of the vocabulary) and joins the bytes.
 
 Block tables are staged in the shared folder, so a lost executor costs a reread of its blocks. No task holds more than a
@@ -15,6 +16,7 @@ block (about ``block_bytes`` of text, or one longer text) or the distinct words
 from __future__ import annotations
 
 import base64
+import uuid
 from collections import defaultdict
 from itertools import count
 
@@ -26,14 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, schema_of, slices, staged
+from .common import columns, modest_batches, schema_of, shared_dir, slices
 
-#: Text in a block, in bytes.
-BLOCK_BYTES = 12_000_000
+#: Text in a block, in characters, and words in a row of word numbers.
+BLOCK_CHARS, CHUNK_WORDS = 32_000_000, 200_000
 #: Hash buckets of words. The words of one bucket are in a task's memory at once.
 BUCKETS = 256
 
-_BLOCK = "block long, bucket int, first int, payload binary"
+_BLOCKS = "block long, kind int, bucket int, keys array<string>, lens array<int>, n int, numbers binary, payload binary"
+_CODED = "block long, n int, numbers binary, payload binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,75 +45,82 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _varint(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x, dtype=np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their bytes: small numbers leave the upper planes empty."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x, dtype=np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _unvarint(b: bytes) -> np.ndarray:
+def _unpack(b: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
 
 
 def _pack_words(words: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(w) for w in words], dtype=np.uint32).tobytes() + b"".join(words)) if words else b""
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(w) for w in words], dtype=np.uint32).tobytes() + b"".join(words))
 
 
 def _unpack_words(b: bytes, n: int) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(b)
-    ends = np.cumsum(np.frombuffer(raw[: 4 * n], dtype=np.uint32)).tolist()
     at, out = 4 * n, []
-    for e in ends:
-        out.append(raw[at : 4 * n + e])
-        at = 4 * n + e
+    for size in np.frombuffer(raw[: 4 * n], dtype=np.uint32).tolist():
+        out.append(raw[at : at + size])
+        at += size
     return out
 
 
-def _blocks(pattern: str, buckets: int, block_bytes: int):
-    """Task of step 1. Rows of kind 0: a text's key and its word numbers. Kind 1: a bundle of distinct words."""
-    schema = schema_of("block long, kind int, row_key binary, bucket int, first int, n int, payload binary")
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _blocks(pattern: str, buckets: int, block_chars: int):
+    """Task of step 1. Rows of kind 1: texts as word numbers. Kind 0: a bundle of distinct words with their numbers, which
+    count words as the block meets them, so frequent words have small ones."""
+    schema = schema_of(_BLOCKS)
 
     def run(batches):
         from pyspark import TaskContext
 
-        split, base, serial = regex.compile(pattern), TaskContext.get().partitionId() << 32, count()
+        split, blocks = regex.compile(pattern), count(TaskContext.get().partitionId() << 32)
+        block, numbers, size = next(blocks), defaultdict(count().__next__), 0
+        keys, streams, words = [], [], 0
+
+        def texts_row():
+            return _batch([(block, 1, None, keys, [len(s) for s in streams], None, None, _pack(np.concatenate(streams)))], schema)
 
-        def emit(keys, streams, words):
-            block = base + next(serial)
-            names = [w.encode("utf-8", "surrogatepass") for w in words]
+        def word_rows():
+            names = [w.encode("utf-8", "surrogatepass") for w in numbers]
             homes = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in names), np.int64, len(names))
             order = np.argsort(homes, kind="stable")
-            number = np.empty(len(order), dtype=np.uint32)
-            number[order] = np.arange(len(order), dtype=np.uint32)
-            rows = [(0, k, None, None, len(s), _varint(number[s])) for k, s in zip(keys, streams, strict=True)]
             starts = np.searchsorted(homes[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                if starts[b] < starts[b + 1]:
-                    rows.append((1, None, b, int(starts[b]), int(starts[b + 1] - starts[b]), _pack_words([names[i] for i in order[starts[b] : starts[b + 1]]])))
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), *(pa.array(c, type=f.type) for c, f in zip(cols, list(schema)[1:], strict=True))], schema=schema)
-
-        numbers: dict = defaultdict(count().__next__)
-        keys, streams, size = [], [], 0
+            bundles = [(b, order[starts[b] : starts[b + 1]]) for b in range(buckets) if starts[b] < starts[b + 1]]
+            return _batch([(block, 0, b, None, None, len(at), _pack(np.diff(at, prepend=0)), _pack_words([names[i] for i in at])) for b, at in bundles], schema)
+
         for batch in batches:
             for piece, texts in slices(batch, "text"):
                 for key, text in zip(piece.column("row_key").to_pylist(), texts, strict=True):
-                    words = split.findall(text)
+                    found = split.findall(text)
                     keys.append(key)
-                    streams.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+                    streams.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                    words += len(found)
                     size += len(text)
-                    if size >= block_bytes:
-                        yield emit(keys, streams, list(numbers))
-                        numbers = defaultdict(count().__next__)
-                        keys, streams, size = [], [], 0
+                    if words >= CHUNK_WORDS or size >= block_chars:
+                        yield texts_row()
+                        keys, streams, words = [], [], 0
+                    if size >= block_chars:
+                        if numbers:
+                            yield word_rows()
+                        block, numbers, size = next(blocks), defaultdict(count().__next__), 0
         if keys:
-            yield emit(keys, streams, list(numbers))
+            yield texts_row()
+        if numbers:
+            yield word_rows()
 
     return run
 
 
 def _encoder(ranks: dict[bytes, int], pattern: str):
     """Task of step 2: rows arrive bucket by bucket; a bucket's words are encoded once each."""
-    schema = schema_of("block long, first int, n int, payload binary")
+    schema = schema_of(_CODED)
 
     def run(batches):
         import tiktoken
@@ -118,9 +128,8 @@ def _encoder(ranks: dict[bytes, int], pattern: str):
         enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         at, known = None, {}
         for batch in batches:
-            rows = batch.to_pydict()
             out = []
-            for block, bucket, first, n, payload in zip(rows["block"], rows["bucket"], rows["first"], rows["n"], rows["payload"], strict=True):
+            for block, bucket, n, numbers, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "n", "numbers", "payload")), strict=True):
                 if bucket != at:
                     at, known = bucket, {}
                 ids = []
@@ -130,80 +139,65 @@ def _encoder(ranks: dict[bytes, int], pattern: str):
                         x = known[w] = tuple(enc.encode_ordinary(w.decode("utf-8", "surrogatepass")))
                     ids.append(x)
                 lens = np.fromiter(map(len, ids), np.uint32, n)
-                flat = np.fromiter((t for x in ids for t in x), np.uint32, int(lens.sum()))
-                out.append((block, first, n, _varint(np.concatenate([lens, flat]))))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                out.append((block, n, numbers, _pack(np.concatenate([lens, np.fromiter((t for x in ids for t in x), np.uint32, int(lens.sum()))]))))
+            if out:
+                yield _batch(out, schema)
 
     return run
 
 
-def _assemble(batches_schema: pa.Schema):
-    """Task of step 3: a block's words (sorted first), then its texts one by one; ids of a text in order of position."""
-
-    def run(batches):
-        at, starts, flat, parts = None, None, None, []
-
-        def close(parts):
-            lens, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-            for n, payload in parts:  # in order of their first number
-                x = _unvarint(payload)
-                lens.append(x[:n])
-                ids.append(x[n:])
-            return np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype(np.int64), np.concatenate(ids)
-
-        for batch in batches:
-            rows = batch.to_pydict()
-            keys, out = [], []
-            total = 0
-            for block, kind, key, n, payload in zip(rows["block"], rows["kind"], rows["row_key"], rows["n"], rows["payload"], strict=True):
-                if block != at:
-                    at, starts, parts = block, None, []
-                if kind == 0:  # words come first
-                    parts.append((n, payload))
-                    continue
-                if starts is None:
-                    starts, flat = close(parts)
-                    parts = []
-                s = _unvarint(payload)
-                a, size = starts[s], starts[s + np.uint32(1)] - starts[s] if len(s) else np.zeros(0, np.int64)
-                ends = np.cumsum(size)
-                where = np.repeat(a - np.concatenate([[0], ends[:-1]]), size) + np.arange(ends[-1]) if len(s) else np.zeros(0, np.int64)
-                keys.append(key)
-                out.append(flat[where.astype(np.int64)].astype(np.int32))
-                total += len(where)
-                if total >= 1_000_000:
-                    yield _id_rows(keys, out, batches_schema)
-                    keys, out, total = [], [], 0
-            if keys:
-                yield _id_rows(keys, out, batches_schema)
+def _assemble(schema: pa.Schema):
+    """Step 3 for one block: its texts, in chunks, and its words' ids; a text's ids in order of position."""
+
+    def table(parts):
+        numbers = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_unpack(b).astype(np.int64)) for _, b, _ in parts)])
+        coded = [(n, _unpack(p)) for n, _, p in parts]
+        lens = np.concatenate([np.zeros(0, np.int64), *(x[:n].astype(np.int64) for n, x in coded)])
+        ids = np.concatenate([np.zeros(0, np.int32), *(x[n:].astype(np.int32) for n, x in coded)])
+        start, size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        start[numbers], size[numbers] = np.cumsum(lens) - lens, lens
+        return start, size, ids
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        start, size, ids = table(list(zip(*(words.column(c).to_pylist() for c in ("n", "numbers", "payload")), strict=True)))
+        out = []
+        for keys, lens, payload in zip(*(texts.column(c).to_pylist() for c in ("keys", "lens", "payload")), strict=True):
+            s = _unpack(payload)
+            each = size[s]
+            ends = np.cumsum(each)
+            where = np.repeat(start[s] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+            offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)]
+            values = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids[where]))
+            out.append(pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), values.cast(schema.field("ids").type)], schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
 
     return run
 
 
-def _id_rows(keys, out, schema):
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), ids.cast(schema.field("ids").type)], schema=schema)
+def _bucketed(df: DataFrame) -> DataFrame:
+    """Stage the blocks in the shared folder as a table bucketed by block: a task writes the blocks that it made, nothing is
+    shuffled, and texts later meet their words' ids without a shuffle of the texts."""
+    spark = df.sparkSession
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    df.write.bucketBy(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(key, ids array<int>) for every row of ``docs``.
 
     A null or empty text has no ids. Repeated keys and rows stay as many rows as they were; a null key stays null. Other
     columns of ``docs`` are ignored, whatever their names. An empty table gives an empty table.
     """
+    modest_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    rows = columns(docs, key, text).select(F.col(f"`{key}`").cast("string").cast("binary").alias("row_key"), F.col(f"`{text}`").alias("text"))
-    schema = "block long, kind int, row_key binary, bucket int, first int, n int, payload binary"
-    table = staged(rows.mapInArrow(_blocks(pattern, buckets, block_bytes), schema), "bpe-blocks")
-    words = table.filter("kind = 1").select("block", "bucket", "first", "n", "payload")
-    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(ranks, pattern), "block long, first int, n int, payload binary")
-    again = coded.select("block", F.lit(0).alias("kind"), "first", F.lit(None).cast("binary").alias("row_key"), "n", "payload")
-    texts = table.filter("kind = 0").select("block", F.lit(1).alias("kind"), F.lit(0).alias("first"), "row_key", "n", "payload")
-    out = schema_of("row_key binary, ids array<int>")
-    ids = again.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "first").mapInArrow(_assemble(out), "row_key binary, ids array<int>")
-    return ids.select(F.col("row_key").cast("string").cast(kind).alias(key), "ids")
+    rows = columns(docs, key, text).toDF("row_key", "text").withColumn("row_key", F.col("row_key").cast("string"))
+    table = _bucketed(rows.mapInArrow(_blocks(pattern, buckets, block_chars), _BLOCKS))
+    words = table.filter("kind = 0").select("block", "bucket", "n", "numbers", "payload")
+    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(ranks, pattern), _CODED)
+    texts = table.filter("kind = 1").select("block", "keys", "lens", "payload")
+    ids = texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(schema_of("row_key string, ids array<int>")), "row_key string, ids array<int>")
+    return ids.select(F.col("row_key").cast(kind).alias(key), "ids")
 
 
 def decode(ids: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", column: str = "ids", name: str = "decoded", keep: tuple[str, ...] = ()) -> DataFrame:
