@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import forest, lines, ranking, scalars, spatial
+
+_ALL = scalars.QUERIES | lines.QUERIES | spatial.QUERIES | forest.QUERIES | ranking.QUERIES
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
