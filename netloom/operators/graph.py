@@ -9,6 +9,7 @@ order of steps depends on the data, and one plan's graph fits a task.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Callable
 
@@ -32,11 +33,11 @@ def orient(edges: DataFrame, roots: DataFrame, deepest: int = 100_000) -> DataFr
     """(plan, node, parent, depth, path) from edges (plan, a, b) and roots (plan, node); ``path`` lists the node and its
     ancestors up to the root. Nodes that no root reaches are absent. A node reached twice in a round keeps its least parent;
     ``forest_violations`` reports what isn't a forest."""
-    both = symmetric(edges).distinct()
+    both = cut(symmetric(edges).distinct().select(F.col("plan").alias("_plan"), "a", "b"))
     front = roots.select("plan", "node").distinct().select("plan", "node", F.lit(None).cast(both.schema["a"].dataType).alias("parent"), F.lit(0).alias("depth"), F.array("node").alias("path"))
-    seen = front
+    seen = front = cut(front)
     for depth in range(1, deepest):
-        step = front.join(both, (front.plan == both.plan) & (front.node == both.a)).select(front.plan, F.col("b").alias("node"), F.col("a").alias("parent"), "path")
+        step = front.select("plan", "node", "path").join(both, (F.col("plan") == F.col("_plan")) & (F.col("node") == F.col("a"))).select("plan", F.col("b").alias("node"), F.col("a").alias("parent"), "path")
         step = step.filter(~F.array_contains("path", F.col("node")))
         step = step.groupBy("plan", "node").agg(F.min("parent").alias("parent"), F.min_by("path", "parent").alias("path")).select("plan", "node", "parent", F.lit(depth).alias("depth"), F.concat(F.array("node"), "path").alias("path"))
         step = cut(step.join(seen, ["plan", "node"], "left_anti"))
@@ -64,7 +65,7 @@ def forest_violations(edges: DataFrame, roots: DataFrame, oriented: DataFrame, c
     """(plan, rule): what keeps a plan from being a forest with at most four pipes a node and consumers as its leaves."""
     degree = symmetric(edges).groupBy("plan", F.col("a").alias("node")).agg(F.count_distinct("b").alias("degree"))
     n_edges = edges.select("plan", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().groupBy("plan").agg(F.count(F.lit(1)).alias("edges"))
-    n_nodes = oriented.groupBy("plan").agg(F.count_if("depth > 0").alias("reached"))
+    n_nodes = oriented.groupBy("plan").agg(F.count_if(F.col("depth") > 0).alias("reached"))
     rules = [
         degree.filter(F.col("degree") > MAX_DEGREE).select("plan", F.lit("a chamber has more than four pipes").alias("rule")),
         consumers.join(degree, ["plan", "node"], "left").filter(F.coalesce("degree", F.lit(0)) != 1).select("plan", F.lit("a consumer isn't a leaf").alias("rule")),
@@ -99,10 +100,11 @@ def size_chains(segments: DataFrame, depth: str = "depth") -> DataFrame:
     (its own length and the longest run of children of the same size) is allowed. One round a level, for all plans at once;
     null where no size fits.
     """
+    segments = cut(segments)
     levels = sorted((r[0] for r in segments.select(depth).distinct().collect()), reverse=True)
     done = None
     options = pricing.size_table(segments.sparkSession).select(F.col("dn").alias("s"), "cap", "max_len")
-    for i, level in enumerate(levels):
+    for level in levels:
         now = segments.filter(F.col(depth) == level)
         if done is None:
             kids = now.select("plan", "bottom").withColumn("kids", F.array().cast("array<struct<dn:int,run:double>>"))
@@ -115,9 +117,7 @@ def size_chains(segments: DataFrame, depth: str = "depth") -> DataFrame:
         fits = tried.withColumn("run", run).filter((F.col("s") >= least) & (F.col("cap") + FIT >= F.col("flow")) & (F.col("run") <= F.col("max_len") + CONTINUOUS_FIT))
         best = fits.groupBy("plan", "bottom").agg(F.min(F.struct(F.col("s").alias("dn"), "run")).alias("b"))
         sized = now.join(best, ["plan", "bottom"], "left").select(*now.columns, F.col("b.dn").alias("dn"), F.col("b.run").alias("run"))
-        done = sized if done is None else done.unionByName(sized)
-        if i % 4 == 3:
-            done = cut(done)
+        done = cut(sized) if done is None else done.unionByName(cut(sized))
     return done
 
 
@@ -177,11 +177,11 @@ def spanning_tree(nodes: list, edges: list[tuple], required: set | None = None)
 
 def shortest(adjacent: dict, sources: dict, targets: set, banned: Callable = lambda a, b: False) -> tuple[dict, dict]:
     """Multi-source shortest paths: (cost, previous node) of settled nodes; ends when all targets are settled."""
-    cost, before, done, left = dict(sources), {}, set(), set(targets)
-    queue = [(c, n) for n, c in sources.items()]
+    cost, before, done, left, tick = dict(sources), {}, set(), set(targets), itertools.count()
+    queue = [(c, next(tick), n) for n, c in sources.items()]  # ids of different types aren't compared
     heapq.heapify(queue)
     while queue and (left or not targets):
-        c, n = heapq.heappop(queue)
+        c, _, n = heapq.heappop(queue)
         if n in done:
             continue
         done.add(n)
@@ -189,7 +189,7 @@ def shortest(adjacent: dict, sources: dict, targets: set, banned: Callable = lam
         for m, w in adjacent.get(n, ()):
             if m not in done and not banned(n, m) and c + w < cost.get(m, math.inf):
                 cost[m], before[m] = c + w, n
-                heapq.heappush(queue, (c + w, m))
+                heapq.heappush(queue, (c + w, next(tick), m))
     return {n: cost[n] for n in done}, before
 
 
@@ -206,11 +206,12 @@ def turning_path(points: dict, adjacent: dict, sources: dict, target, rate: floa
     tx, ty = points[target]
     ahead = lambda n: rate * math.dist(points[n], (tx, ty))
     best = {(n, None): (c, 0) for n, c in sources.items()}
-    queue = [(c + ahead(n), 0, n, None) for n, c in sources.items()]
+    tick = itertools.count()
+    queue = [(c + ahead(n), 0, next(tick), n, None) for n, c in sources.items()]
     heapq.heapify(queue)
     before: dict = {}
     while queue:
-        _, turns, n, p = heapq.heappop(queue)
+        _, turns, _, n, p = heapq.heappop(queue)
         c, t = best[n, p]
         if t != turns:
             continue
@@ -235,7 +236,7 @@ def turning_path(points: dict, adjacent: dict, sources: dict, target, rate: floa
             if new < best.get((m, n), (math.inf, 0)):
                 best[m, n] = new
                 before[m, n] = (n, p)
-                heapq.heappush(queue, (new[0] + ahead(m), new[1], m, n))
+                heapq.heappush(queue, (new[0] + ahead(m), new[1], next(tick), m, n))
     return None
 
 
@@ -286,11 +287,11 @@ def minimum_trees(edges: DataFrame, required: DataFrame | None = None) -> DataFr
 def distances(edges: DataFrame, sources: DataFrame, rounds: int = 100_000) -> DataFrame:
     """(plan, node, cost): least cost from priced sources (plan, node, cost) over symmetric edges (plan, a, b, w), for graphs
     that no task could hold: relaxations of the nodes that changed, a round a hop, checkpointed."""
-    both = symmetric(edges, "w")
+    both = symmetric(edges, "w").withColumnRenamed("plan", "_plan")
     best = cut(sources.groupBy("plan", "node").agg(F.min("cost").alias("cost")))
     front = best
     for _ in range(rounds):
-        step = front.join(both, (front.plan == both.plan) & (front.node == both.a)).select(front.plan, F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("new")).groupBy("plan", "node").agg(F.min("new").alias("new"))
+        step = front.join(both, (F.col("plan") == F.col("_plan")) & (F.col("node") == F.col("a"))).select("plan", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("new")).groupBy("plan", "node").agg(F.min("new").alias("new"))
         front = cut(step.join(best, ["plan", "node"], "left").filter(F.col("cost").isNull() | (F.col("new") < F.col("cost") - 1e-12)).select("plan", "node", F.col("new").alias("cost")))
         if front.limit(1).count() == 0:
             break
