@@ -33,32 +33,32 @@ KNOWN_WORDS = 300_000
 
 
 class Tokens(dict):
-    """Token -> (hash of its lower case, kind as far as the token alone tells)."""
+    """Token -> hash of its lower case, with the kind, as far as the token alone tells, in the low three bits."""
 
     def __missing__(self, w: str):
         if len(self) >= KNOWN_WORDS:
             self.clear()
         low = w.lower()
         kind = STOP if w in ".!?:;\n" else NUMBER if w[0].isdigit() else NAME if w[0].isupper() and w[1:] == low[1:] else UNIT if low in UNITS else LITERAL
-        v = self[w] = (xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")), kind)
+        v = self[w] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & ~7 | kind
         return v
 
 
-def template(text: str, known: Tokens) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Tokens without stops, their template hashes and kinds (LITERAL, NAME, NUMBER or UNIT)."""
+def template(text: str, known: Tokens) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens; which of them aren't stops; their template hashes and kinds (LITERAL, NAME, NUMBER or UNIT)."""
     raw = _token.findall(text)
     if not raw:
-        return [], np.zeros(0, np.uint64), np.zeros(0, np.int8)
-    both = list(map(known.__getitem__, raw))
-    h = np.fromiter((x[0] for x in both), np.uint64, len(raw))
-    kind = np.fromiter((x[1] for x in both), np.int8, len(raw))
+        return [], np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+    h = np.fromiter(map(known.__getitem__, raw), np.uint64, len(raw))
+    kind = (h & np.uint64(7)).astype(np.int8)
+    h ^= kind.astype(np.uint64)
     before = np.concatenate([[STOP], kind[:-1]])
     kind[(kind == NAME) & (before == STOP)] = LITERAL
     kind[(kind == UNIT) & (before != NUMBER)] = LITERAL
     for k, v in _PLACE.items():
         h[kind == k] = v
-    keep = kind != STOP
-    return [w for w, k in zip(raw, keep.tolist(), strict=True) if k], h[keep], kind[keep]
+    keep = np.flatnonzero(kind != STOP)
+    return raw, keep, h[keep], kind[keep]
 
 
 def windows(h: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +78,7 @@ def _rows(kernel_sizes, bits=None):
     def kernel(known, piece, texts):
         own, pos, hashes, sizes, slots = [], [], [], [], []
         for i, t in enumerate(texts):
-            words, h, kind = template(t, known)
+            raw, place, h, kind = template(t, known)
             for size in kernel_sizes(len(h)):
                 at, v = windows(h, kind, size)
                 if bits is not None:
@@ -89,7 +89,7 @@ def _rows(kernel_sizes, bits=None):
                     pos.append(p)
                     hashes.append(x)
                     sizes.append(len(h))
-                    slots.append([words[q].lower() for q in range(p, p + size) if kind[q] != LITERAL])
+                    slots.append([raw[place[q]].lower() for q in range(p, p + size) if kind[q] != LITERAL])
         if not own and bits is not None:
             return None
         return {"key": piece.column("key").take(pa.array(own, pa.int64())), "row_key": piece.column("row_key").take(pa.array(own, pa.int64())), "pos": pos, "hash": hashes, "tokens": sizes, "slots": slots}
