@@ -81,7 +81,7 @@ def test_round_trip_and_layers(spark, tmp_path, files):
     text = next((tmp_path / "out").glob("part-*")).read_text()
     again = {x["properties"]["id"]: x["geometry"] for x in json.loads(text)["features"]}
     want = source["features"][0]["geometry"]["coordinates"]
-    assert again["n:1"]["coordinates"] == pytest.approx(want, abs=1e-9)
+    assert again["n:1"]["coordinates"] == pytest.approx(want, abs=1e-8)
     geojson.write_layers(rows, str(tmp_path / "layers"), "v")
     assert len(list((tmp_path / "layers").iterdir())) == 8
     ties = geojson.tie_candidates(f).collect()
