@@ -5,7 +5,8 @@ n-gram, its value is r = ln((p / |toxic|) / (q / |other|)); a logistic regressio
 
 Learned from a bounded sample of labelled rows: ``per_class`` rows of each class by a hash of the key, whole texts,
 weighted back to the labels' own shares. Counting runs on the executors. The driver gets the ``features`` n-grams of
-largest weight of evidence and the sampled texts as lists of these; both are bounded by parameters.
+largest weight of evidence (ratios under ``least_ratio`` tell nothing) and the sampled texts as lists of these; both are
+bounded by parameters.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import char_grams, columns, fold, letter_codes, mixed, over_text
+from .common import char_grams, columns, fold, letter_codes, mixed, modest_batches, over_text, slices
 
 PER_CLASS = 3000
 SIZES = (3, 4, 5, 6)
@@ -50,7 +51,7 @@ def _distinct(texts: list[str], table: np.ndarray | None = None) -> tuple[np.nda
     return keys >> LOG2_BUCKETS, keys & ((1 << LOG2_BUCKETS) - 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, features: int = FEATURES, min_df: int = 3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, features: int = FEATURES, min_df: int = 3, least_ratio: float = 0.7) -> Model:
     """Learn from rows of ``docs`` with a label 0 or 1 (a key with both counts as 1). With fewer than two classes there is
     nothing to tell apart: every text then gets the share of toxic labels (0.0 without labels)."""
     spark = docs.sparkSession
@@ -63,18 +64,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = named.filter(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) < kept * 1_000_000)
     rows = columns(docs, key, text).toDF("key", "text").join(F.broadcast(sample), "key").select("text", "y")  # bounded: about 2 * per_class rows
 
-    def count(_, piece, texts):
-        own, b = _distinct(texts)
-        y = np.asarray(piece.column("y"))[own]
+    def count(batches):
         size = 1 << LOG2_BUCKETS
-        pos, neg = np.bincount(b[y == 1], minlength=size), np.bincount(b[y == 0], minlength=size)
-        at = np.flatnonzero(pos + neg)
-        return {"b": at.astype(np.int64), "pos": pos[at].astype(np.int64), "neg": neg[at].astype(np.int64)}
-
-    df = over_text(rows, "text", count, "b long, pos long, neg long", limit=4_000_000).groupBy("b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        seen = {1: np.zeros(size, np.int32), 0: np.zeros(size, np.int32)}  # over all of the task's texts
+        for batch in batches:
+            for piece, texts in slices(batch, "text"):
+                own, b = _distinct(texts)
+                y = np.asarray(piece.column("y"))[own]
+                for k, table in seen.items():
+                    np.add.at(table, b[y == k], 1)
+        at = np.flatnonzero(seen[1] + seen[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(seen[1][at].astype(np.int64)), pa.array(seen[0][at].astype(np.int64))], names=["b", "pos", "neg"])
+
+    modest_batches(spark)
+    df = rows.mapInArrow(count, "b long, pos long, neg long").groupBy("b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     n = {y: min(per_class, m) for y, m in sizes.items()}
     r = F.log(((F.col("pos") + 0.5) / (n[1] + 1)) / ((F.col("neg") + 0.5) / (n[0] + 1)))
-    best = df.filter(F.col("pos") + F.col("neg") >= min_df).select("b", r.alias("r"), (F.abs(r) * F.sqrt(F.col("pos") + F.col("neg"))).alias("worth")).orderBy(F.desc("worth"), "b").limit(features).toPandas()
+    telling = (F.col("pos") + F.col("neg") >= min_df) & (F.abs(r) >= least_ratio)
+    best = df.filter(telling).select("b", r.alias("r"), (F.abs(r) * F.sqrt(F.col("pos") + F.col("neg"))).alias("worth")).orderBy(F.desc("worth"), "b").limit(features).toPandas()
     ratio = np.zeros(1 << LOG2_BUCKETS, np.float32)
     ratio[best.b.to_numpy(np.int64)] = best.r.to_numpy(np.float32)
     sent = spark.sparkContext.broadcast(ratio)
@@ -84,31 +91,31 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         ends = np.cumsum(np.bincount(own, minlength=len(texts)))
         return {"y": piece.column("y"), "b": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(b.astype(np.int32)))}
 
-    found = over_text(rows, "text", listed, "y int, b array<int>").toPandas()
+    # in a fixed order, so that the result doesn't depend on how tasks dealt the rows
+    found = over_text(rows, "text", listed, "y int, b array<int>").orderBy("y", F.size("b"), F.xxhash64("b")).toArrow()
     sent.destroy()
-    y = found.y.to_numpy(np.float32)
-    if len(set(y)) < 2:
+    y, lists = found.column("y").to_numpy(), found.column("b").combine_chunks()
+    if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << LOG2_BUCKETS, np.float32), 20.0 * (2 * float(sizes[1] >= sizes[0]) - 1))
-    w, bias = _fitted([np.asarray(x, np.int64) for x in found.b], y, ratio, np.where(y == 1, sizes[1] / max(1, (y == 1).sum()), sizes[0] / max(1, (y == 0).sum())))
-    return Model(w, bias)
-
-
-def _fitted(lists: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, weight: np.ndarray, l2: float = 1e-4, rounds: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Logistic regression over binary features times their ratios: full gradients, Adam steps. Rows are put in a fixed
-    order first, so the result doesn't depend on how tasks dealt them."""
-    order = sorted(range(len(lists)), key=lambda i: (y[i], len(lists[i]), lists[i].tobytes()))
-    lists, y, weight = [lists[i] for i in order], y[order], weight[order] / weight.sum()
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    used, col = np.unique(np.concatenate(lists), return_inverse=True)
-    val = ratio[used][col].astype(np.float64)
-    w, bias, m, v = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    ends = np.diff(lists.offsets.to_numpy())
+    weight = np.where(y == 1, sizes[1] / max(1, (y == 1).sum()), sizes[0] / max(1, (y == 0).sum()))
+    return Model(*_fitted(np.repeat(np.arange(len(y), dtype=np.int32), ends), lists.flatten().to_numpy(), y.astype(np.float32), ratio, weight / weight.sum()))
+
+
+def _fitted(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, ratio: np.ndarray, weight: np.ndarray, l2: float = 1e-4, rounds: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Logistic regression over binary features, given as (row, bucket) pairs, times their ratios: full gradients, Adam steps."""
+    used, col = np.unique(bucket, return_inverse=True)
+    col, val = col.astype(np.int32), ratio[bucket]
+    w, bias, m, v = np.zeros(len(used), np.float32), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, weights=val * w[col], minlength=len(lists)) + bias
+        z = np.bincount(row, weights=val * w[col], minlength=len(y)) + bias
         e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
-        g = np.append(np.bincount(col, weights=val * e[row], minlength=len(used)) + l2 * w, e.sum())
+        g = np.append(np.bincount(col, weights=val * e.astype(np.float32)[row], minlength=len(used)) + l2 * w, e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, bias = w - step[:-1], bias - step[-1]
+        w, bias = w - step[:-1].astype(np.float32), bias - step[-1]
     out = np.zeros(len(ratio), np.float32)
     out[used] = w * ratio[used]
     return out, float(bias)
