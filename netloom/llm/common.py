@@ -47,6 +47,14 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def modest_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of at most ``rows`` rows from now on: whole texts in batches of Spark's 10,000 rows would take hundreds of
+    MB in the executor and once more in its Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns, whatever others the table has. A missing one is an error at once, not late in a job."""
     return df.select(*(F.col(f"`{n}`") for n in names))
@@ -74,6 +82,7 @@ def over_text(df: DataFrame, text: str, kernel, schema: str, make=None, limit: i
     ``make()`` builds the state once a task (a tokenizer, a table of weights). Rows keep their order; texts are whole.
     """
     arrow = schema_of(schema)
+    modest_batches(df.sparkSession)
 
     def run(batches):
         state = make() if make else None

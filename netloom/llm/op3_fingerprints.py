@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, mixed, ordered_parts, over_text, schema_of
+from .common import columns, mixed, modest_batches, ordered_parts, over_text, schema_of
 
 SAMPLES = 64
 SLICE = 150_000
@@ -108,6 +108,7 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     The next document is the one of the next smaller key, for the smallest the one of the largest; null keys come last;
     rows with one key follow by a hash of their texts. Null texts count as empty. A lone row is its own next.
     """
+    modest_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = columns(docs, key, text).toDF("key", "text").select("key", "text", F.coalesce(-F.col("key").cast("long"), F.lit((1 << 63) - 1)).alias("order"), F.xxhash64("text").alias("tie"))
     dealt = ordered_parts(rows, "order", ghosts_after=True, circular=True).sortWithinPartitions("part", "ghost", "order", "tie").select("key", "text", "part", "ghost")
