@@ -1,0 +1,90 @@
+"""A regular grid over a territory as tables: cells, cells that obstacles block, and edges between free cells."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.geometry import distance, point_segment
+from .spatial import clear
+
+STRAIGHT = ((1, 0), (0, 1))
+DIAGONAL = ((1, 1), (1, -1))
+
+
+def extent(points: DataFrame, step: float, margin: float = 120.0) -> DataFrame:
+    """(territory, i0, j0, i1, j1): the cells that hold a territory's points (territory, x, y) and a margin."""
+    lo = lambda c: F.floor((F.min(c) - margin) / step).cast("long")
+    hi = lambda c: F.ceil((F.max(c) + margin) / step).cast("long")
+    return points.groupBy("territory").agg(lo("x").alias("i0"), lo("y").alias("j0"), hi("x").alias("i1"), hi("y").alias("j1"))
+
+
+def cells(extents: DataFrame, step: float) -> DataFrame:
+    """(territory, i, j, x, y): rows of cells are made in parallel."""
+    rows = extents.select("territory", "i0", "i1", F.explode(F.sequence("j0", "j1")).alias("j"))
+    return rows.select("territory", F.explode(F.sequence("i0", "i1")).alias("i"), "j").withColumns({"x": F.col("i") * step, "y": F.col("j") * step})
+
+
+def blocked(sides: DataFrame, shells: DataFrame, step: float) -> DataFrame:
+    """(territory, i, j): cells inside an obstacle or within its clearance.
+
+    ``sides`` (territory, obstacle, gap, cx, cy, dx, dy) gives cells near a side, by the side's own box; ``shells`` (territory,
+    obstacle, x0, y0, x1, y1, ring) gives cells inside, by the box's cells and the even-odd test.
+    """
+    from ..functions.geometry import in_ring
+
+    span = lambda lo, hi: F.explode(F.sequence(F.ceil(lo / step).cast("long"), F.floor(hi / step).cast("long")))
+    ok = lambda lo, hi: F.ceil(lo / step) <= F.floor(hi / step)
+    x0, x1, y0, y1 = F.least("cx", "dx") - F.col("gap"), F.greatest("cx", "dx") + F.col("gap"), F.least("cy", "dy") - F.col("gap"), F.greatest("cy", "dy") + F.col("gap")
+    near = sides.filter(ok(x0, x1) & ok(y0, y1)).withColumn("i", span(x0, x1)).withColumn("j", span(y0, y1))
+    near = near.filter(point_segment(F.col("i") * step, F.col("j") * step, F.col("cx"), F.col("cy"), F.col("dx"), F.col("dy")) < F.col("gap"))
+    c = {k: F.col(k) for k in ("x0", "y0", "x1", "y1")}
+    within = shells.filter(ok(c["x0"], c["x1"]) & ok(c["y0"], c["y1"])).withColumn("i", span(c["x0"], c["x1"])).withColumn("j", span(c["y0"], c["y1"]))
+    within = within.filter(in_ring(F.col("i") * step, F.col("j") * step, F.col("ring")))
+    return near.select("territory", "i", "j").unionByName(within.select("territory", "i", "j")).distinct()
+
+
+def free_cells(every: DataFrame, taken: DataFrame) -> DataFrame:
+    return every.join(taken, ["territory", "i", "j"], "left_anti")
+
+
+def edges(free: DataFrame, step: float, cardinal: bool = True, sides: DataFrame | None = None, gap: float = 0.0) -> DataFrame:
+    """(territory, i, j, k, l, w): neighbouring free cells. A diagonal needs both cells at its corners, and no edge may come
+    nearer to a side than ``gap``."""
+    out = None
+    for di, dj in STRAIGHT if cardinal else STRAIGHT + DIAGONAL:
+        other = free.select("territory", (F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("i").alias("k"), F.col("j").alias("l"))
+        met = free.select("territory", "i", "j").join(other, ["territory", "i", "j"]).withColumn("w", F.lit(step * math.hypot(di, dj)))
+        if di and dj:
+            for ci, cj in ((di, 0), (0, dj)):
+                met = met.join(free.select("territory", (F.col("i") - ci).alias("i"), (F.col("j") - cj).alias("j")), ["territory", "i", "j"], "left_semi")
+        out = met if out is None else out.unionByName(met)
+    if sides is None:
+        return out
+    lines = out.withColumns({"ax": F.col("i") * step, "ay": F.col("j") * step, "bx": F.col("k") * step, "by": F.col("l") * step})
+    return clear(lines, sides, gap, F.lit(gap), ("territory", "i", "j", "k", "l")).select(*out.columns)
+
+
+def nearest_free(points: DataFrame, free: DataFrame, step: float, most: float = 80.0) -> DataFrame:
+    """(point, i, j, d): of the first square ring of cells around a point's cell that has free ones, the nearest."""
+    r = math.ceil(most / step)
+    at = points.withColumns({"ci": F.bround(F.col("px") / step).cast("long"), "cj": F.bround(F.col("py") / step).cast("long")})
+    # both sides are dealt to blocks as wide as the search, so a point meets the cells of at most nine blocks
+    block = lambda c: F.floor(F.col(c) / (r + 1))
+    around = at.withColumn("bi", F.explode(F.array(*(block("ci") + k for k in (-1, 0, 1))))).withColumn("bj", F.explode(F.array(*(block("cj") + k for k in (-1, 0, 1)))))
+    met = around.join(free.withColumns({"bi": block("i"), "bj": block("j")}), ["territory", "bi", "bj"])
+    ring = F.greatest(F.abs(F.col("i") - F.col("ci")), F.abs(F.col("j") - F.col("cj")))
+    d = distance(F.col("px"), F.col("py"), F.col("i") * step, F.col("j") * step)
+    return met.filter(ring <= r).groupBy("point").agg(F.min(F.struct(ring.alias("ring"), d.alias("d"), "i", "j")).alias("m")).select("point", "m.i", "m.j", "m.d")
+
+
+def split_edges(edge_rows: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Edges (edge, a, b, w) cut at contacts (edge, node, at): each contact becomes a node, and an edge a row of edges."""
+    from pyspark.sql import Window
+
+    e = edge_rows.select("edge", F.col("a").alias("node"), F.lit(0.0).alias("at")).unionByName(edge_rows.select("edge", F.col("b").alias("node"), F.col("w").alias("at"))).unionByName(contacts.select("edge", "node", "at"))
+    w = Window.partitionBy("edge").orderBy("at", "node")
+    out = e.withColumns({"b": F.lead("node").over(w), "_to": F.lead("at").over(w)}).filter("b is not null")
+    return out.select("edge", F.col("node").alias("a"), "b", (F.col("_to") - F.col("at")).alias("w")).filter("w > 0")
