@@ -178,3 +178,15 @@ def test_ranking(spark):
     p = plans.withColumn("g", F.lit(0))
     assert rows(rank.diverse_top(p, ["g"], "family", rank.search_key(), 3).select("pick", "plan"), "pick") == [(1, 2), (2, 3), (3, 1)]
     assert rows(rank.best_of(p, ["family"], rank.search_key()).select("family", "plan"), "family") == [("a", 2), ("b", 3)]
+
+
+def test_warm_starts(spark):
+    d = district()
+    best = search.search(d, 1, 0)[0][0]
+    again, history = search.search(d, 2, 0, warm=(best.plan,))
+    assert history[0][1] == best.score
+    assert again[0].key <= best.key
+    pts = lambda *xy: [(float(x), float(y)) for x, y in xy]
+    export = spark.createDataFrame([("v", "p1", "heat_network", pts((0, 0), (5, 0.5), (10, 0)))], "plan string, id_key string, object_type string, points array<struct<x:double,y:double>>")
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.01, 0.0), (3, 50.0, 0.0)], "id int, x double, y double")
+    assert [(r.plan, r.a, r.b) for r in search.warm_edges(export, nodes).collect()] == [("v", 1, 2)]
