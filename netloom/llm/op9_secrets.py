@@ -31,7 +31,7 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "markov")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 SHORT_RUN = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
-PER_SAMPLE, THRESHOLD = 4000, 1.0
+PER_SAMPLE, THRESHOLD, BACKOFF = 4000, 3.2, 10.0
 
 
 @dataclass
@@ -101,8 +101,9 @@ def train(docs: DataFrame, text: str = "text", per_sample: int = PER_SAMPLE) ->
     table[0] += _counts(random_strings())
     for r in over_text(sample, "text", kernel, "kind int, a int, b int, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect():
         table[r.kind, r.a, r.b] += r.n
-    table += 0.5
-    logs = np.log(table / table.sum(2, keepdims=True))
+    single = table.sum(1, keepdims=True) + 0.5  # how often a character comes at all, for transitions that were hardly seen
+    single /= single.sum(2, keepdims=True)
+    logs = np.log((table + BACKOFF * single) / (table.sum(2, keepdims=True) + BACKOFF))
     return Model(logs[0] - logs[1])
 
 
