@@ -1 +1 @@
-"""netloom.streaming"""
+"""No operator of this library is a stream; the folder is kept for those that will be."""
