@@ -6,6 +6,8 @@ executors share, and nothing reads or writes a machine's own disk.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import unicodedata
 import uuid
@@ -55,6 +57,13 @@ def modest_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(name, str(rows))
 
 
+def trimmed() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers for the next tasks, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns, whatever others the table has. A missing one is an error at once, not late in a job."""
     return df.select(*(F.col(f"`{n}`") for n in names))
@@ -91,6 +100,8 @@ def over_text(df: DataFrame, text: str, kernel, schema: str, make=None, limit: i
                 out = kernel(state, piece, texts)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip((out[f.name] for f in arrow), arrow, strict=True)], schema=arrow)
+        state = None
+        trimmed()
 
     return df.mapInArrow(run, schema)
 

@@ -28,10 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, modest_batches, schema_of, shared_dir, slices
+from .common import columns, modest_batches, schema_of, shared_dir, slices, trimmed
 
 #: Text in a block, in characters, and words in a row of word numbers.
-BLOCK_CHARS, CHUNK_WORDS = 32_000_000, 200_000
+BLOCK_CHARS, CHUNK_WORDS = 10_000_000, 200_000
 #: Hash buckets of words. The words of one bucket are in a task's memory at once.
 BUCKETS = 256
 
@@ -114,6 +114,8 @@ def _blocks(pattern: str, buckets: int, block_chars: int):
             yield texts_row()
         if numbers:
             yield word_rows()
+        numbers.clear()
+        trimmed()
 
     return run
 
@@ -169,6 +171,8 @@ def _assemble(schema: pa.Schema):
             offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)]
             values = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids[where]))
             out.append(pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), values.cast(schema.field("ids").type)], schema=schema))
+        del start, size, ids
+        trimmed()
         return pa.Table.from_batches(out, schema=schema)
 
     return run
@@ -200,26 +204,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
     return ids.select(F.col("row_key").cast(kind).alias(key), "ids")
 
 
-def decode(ids: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", column: str = "ids", name: str = "decoded", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, kept columns, bytes) from arrays of ids, by the token-byte table. A null array gives empty bytes; an id
-    outside the table is an error."""
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
+def decode(ids: DataFrame, ranks: dict[bytes, int], column: str = "ids", name: str = "decoded") -> DataFrame:
+    """``ids`` with a column of bytes for its arrays of ids. A null array gives empty bytes; an id that the table lacks is an
+    error. The token-byte table is one array (fixed size, a row a token) that every task looks ids up in, as hexadecimal text,
+    since Spark joins arrays of text only: no Python runs, so a task that also encodes needs no second worker."""
+    table = ["!"] * (max(ranks.values(), default=-1) + 1)
     for b, i in ranks.items():
-        table[i] = b
-    rows = columns(ids, key, *keep, column)
-    fields = [*rows.schema.fields[:-1]]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` binary"
-
-    def run(batches):
-        get = table.__getitem__
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                col = part.column(column)
-                done = [b"".join(map(get, x.values.to_pylist())) if x.is_valid else b"" for x in col]
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(done, pa.binary())], names=[*(f.name for f in fields), name])
-
-    return rows.mapInArrow(run, schema)
+        table[i] = b.hex()
+    known = F.split(F.lit(",".join(table)), ",")  # folded to a literal
+    joined = F.array_join(F.transform(F.col(column), lambda i: F.get(known, i)), "", "!")  # what isn't a token spoils the text
+    decoded = F.coalesce(F.unhex(joined), F.raise_error(F.lit("an id without a token")).cast("binary"))
+    return ids.withColumn(name, F.when(F.col(column).isNull(), F.lit(b"")).otherwise(decoded))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,10 +225,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
     """Encode, decode, and hash both: doc_id, n_tokens, ids_sha256, decoded_sha256 (and the ids themselves)."""
-    ids = encode(docs, ranks, pattern).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary"), 256).alias("ids_sha256"), "ids")
-    keep = ("n_tokens", "ids_sha256")
-    if with_ids:
-        ids = ids.withColumn("kept", F.col("ids"))
-        keep = (*keep, "kept")
-    out = decode(ids, ranks, keep=keep).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
-    return out.withColumnRenamed("kept", "ids") if with_ids else out
+    ids = decode(encode(docs, ranks, pattern), ranks)
+    text = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    out = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+    return out if with_ids else out.drop("ids")
