@@ -49,7 +49,7 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def modest_batches(spark: SparkSession, rows: int = 500) -> None:
+def modest_batches(spark: SparkSession, rows: int = 100) -> None:
     """Arrow batches of at most ``rows`` rows from now on: whole texts in batches of Spark's 10,000 rows would take hundreds of
     MB in the executor and once more in its Python worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

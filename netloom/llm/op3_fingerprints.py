@@ -25,7 +25,7 @@ from .common import columns, mixed, modest_batches, ordered_parts, over_text, sc
 
 SAMPLES = 64
 SLICE = 150_000
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 120_000
 _word = re.compile(r"\w+")
 
 

@@ -30,7 +30,7 @@ WORDS, THRESHOLD, TREES, RECALL, MAX_DEPTH = 5, 0.8, 24, 0.99999, 8
 #: Members and shingles of a block, at most (a longer single set makes a block of its own).
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
 #: Distinct words whose hashes a task remembers.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 120_000
 
 _word = re.compile(r"\w+")
 

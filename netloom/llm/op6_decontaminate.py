@@ -29,7 +29,7 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h h
 _token = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:;\n]")
 LITERAL, NAME, NUMBER, STOP, UNIT = range(5)
 _PLACE = {NAME: np.uint64(0x1111), NUMBER: np.uint64(0x2222), UNIT: np.uint64(0x3333)}
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 120_000
 
 
 class Tokens(dict):
