@@ -17,6 +17,7 @@ Sets are made again from the texts for candidates only, found by a Bloom filter
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +127,7 @@ def _sets(docs: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame:
 def _intersections(a: list[np.ndarray], b: list[np.ndarray], want: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of wanted pairs: pair by pair if there are few, else by products of 0-1 matrices over
     slices of the shingles that several sets hold."""
-    out = np.zeros(want.shape, dtype=np.float32)
+    out = np.zeros(want.shape)
     i, j = np.nonzero(want)
     if len(i) * 4000 < len(a) * len(b) * 100 or len(i) < 64:
         for p, q in zip(i.tolist(), j.tolist(), strict=True):
@@ -162,15 +163,16 @@ def _verified(tree: int, same: bool, blocks: tuple, threshold: float) -> list[tu
     """Rows (node, links, linked copies, root) of the members that have a link in this unit."""
     (na, ka, sa, ca), (nb, kb, sb, cb) = blocks
     la, lb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
-    want = (np.minimum(la[:, None], lb[None]) >= threshold * np.maximum(la[:, None], lb[None]) - 1e-9) & (ka[:, tree][:, None] == kb[:, tree][None])
+    p, q = Fraction(threshold).limit_denominator(10**9).as_integer_ratio()  # whole numbers, so that pairs at the threshold are links
+    want = (q * np.minimum(la[:, None], lb[None]) >= p * np.maximum(la[:, None], lb[None])) & (ka[:, tree][:, None] == kb[:, tree][None])
     if same:
         want &= np.triu(np.ones(want.shape, bool), 1)
     for t in range(tree):
         want &= ka[:, t][:, None] != kb[:, t][None]
     if not want.any():
         return []
-    inter = _intersections(sa, sb, want)
-    link = want & (inter * (1 + threshold) >= threshold * (la[:, None] + lb[None]) - 1e-6)
+    inter = _intersections(sa, sb, want).astype(np.int64)
+    link = want & (inter * (p + q) >= p * (la[:, None] + lb[None]))
     i, j = np.nonzero(link)
     if not len(i):
         return []

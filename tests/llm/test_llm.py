@@ -231,6 +231,23 @@ def test_jaccard_join_against_brute_force(spark):
     assert kept.columns == table(spark, rows).columns
 
 
+def test_pairs_at_the_threshold_are_links(spark):
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for k in (1, 3, 7, 20, 100, 250):  # sets of 4k and 5k shingles, one within the other
+        own = [f"{w}k{k}" for w in words]
+        rows += [(2 * k, " ".join(own[: 5 * k + 4])), (2 * k + 1, " ".join(own[: 4 * k + 4]))]
+    got = {r.doc_id: r for r in op5_jaccard_join.join(table(spark, rows)).collect()}
+    assert {i: (r.n_text_links, r.class_id) for i, r in got.items()} == {i: (1, i - i % 2) for i, _ in rows}
+    lost = []
+    for k in range(1, 251):
+        x = np.arange(5 * k, dtype=np.uint64)
+        sides = [([n], np.zeros((1, 1), np.int64), [s], np.ones(1, np.int64)) for n, s in ((b"a", x), (b"b", x[: 4 * k]))]
+        lost += [k] if not op5_jaccard_join._verified(0, False, tuple(sides), 0.8) else []
+        assert not op5_jaccard_join._verified(0, False, (sides[0], ([b"b"], np.zeros((1, 1), np.int64), [x[: 4 * k - 1]], np.ones(1, np.int64))), 0.8)
+    assert lost == []
+
+
 def test_jaccard_join_of_odd_tables(spark):
     got = op5_jaccard_join.join(table(spark, ODD)).collect()
     assert len(got) == len(ODD)
