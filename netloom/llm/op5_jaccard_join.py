@@ -202,6 +202,8 @@ def _verifier(threshold: float):
             sides = []
             for b in (bi, bj):
                 own = [r for r in rows if r[1] == b]
+                if not own:  # few members can leave a block empty
+                    return []
                 sides.append(([r[0] for r in own], np.array([r[2] for r in own], dtype=np.int64).reshape(len(own), -1), [np.frombuffer(r[4], dtype=np.uint64) for r in own], np.array([r[3] for r in own], dtype=np.int64)))
             return _verified(tree, bi == bj, tuple(sides), threshold)
 

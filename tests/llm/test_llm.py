@@ -248,6 +248,14 @@ def test_pairs_at_the_threshold_are_links(spark):
     assert lost == []
 
 
+def test_blocks_without_members(spark):
+    rng = random.Random(21)
+    pairs = [near_copies(rng, 1, 400, 0)[0] for _ in range(12)]
+    rows = [r for i, t in enumerate(pairs) for r in ((2 * i, t), (2 * i + 1, t + " end"))]
+    got = op5_jaccard_join.join(table(spark, rows), block_shingles=400).collect()
+    assert sorted((r.doc_id, r.n_text_links, r.class_id) for r in got) == [(i, 1, i - i % 2) for i in range(24)]
+
+
 def test_jaccard_join_of_odd_tables(spark):
     got = op5_jaccard_join.join(table(spark, ODD)).collect()
     assert len(got) == len(ODD)
