@@ -3,9 +3,9 @@
 A text becomes a row of template tokens: numbers, names (title-case words that don't begin a sentence) and units (fixed
 words after a number) turn into typed placeholders, other words into their lower case. Windows of ``window`` template
 tokens of benchmark items and of documents are hash-joined; what stood in the placeholders are the slots. On each diagonal
-(document position less item position) of a document and an item the slots must be consistent: a value of the item always
-meets one value of the document, and the other way round. A document is contaminated by an item if consistent diagonals
-cover at least ``enough`` of its windows (or all, if it has fewer). So a question with other numbers or names is found.
+(document position less item position) of a document and an item the longest run of windows counts in which a value of the
+item meets one value of the document (two values may become one), and so do all windows with unchanged slots. A document is
+contaminated by an item if these cover at least ``enough`` of its windows (or all, if it has fewer). So a question with other numbers or names is found.
 
 Documents' windows pass a filter of fixed size made of the items' windows before the join, so that only likely matches are
 shuffled. Items shorter than a window are matched as one window of their own length.
@@ -97,6 +97,41 @@ def _rows(kernel_sizes, bits=None):
     return kernel
 
 
+def consistent(met: list[dict]) -> set[int]:
+    """Positions of the windows of a diagonal that count: the longest run in which a value of the item meets one value of the
+    document, and all windows whose slots are unchanged."""
+    best: dict[int, list[tuple]] = {}
+    for w in sorted(met, key=lambda w: -len(w["pairs"])):  # of several readings the one with the fewest slots
+        best[w["at"]] = [(p["a"], p["b"]) for p in w["pairs"]]
+    ats = sorted(best)
+    found, lo, top = {at for at in ats if all(a == b for a, b in best[at])}, 0, range(0)
+    values: dict[str, dict[str, int]] = {}
+    for hi, at in enumerate(ats):
+        for a, b in best[at]:
+            of = values.setdefault(a, {})
+            of[b] = of.get(b, 0) + 1
+        while any(len(values[a]) > 1 for a, _ in best[at]):  # only the newest window's values can be in conflict
+            for a, b in best[ats[lo]]:
+                values[a][b] -= 1
+                if not values[a][b]:
+                    del values[a][b]
+            lo += 1
+        if hi + 1 - lo > len(top):
+            top = range(lo, hi + 1)
+    return found | {ats[i] for i in top}
+
+
+def _consistent(batches):
+    for batch in batches:
+        own, ats = [], []
+        for i, met in enumerate(batch.column("met").to_pylist()):
+            at = sorted(consistent(met))
+            own += [i] * len(at)
+            ats += at
+        rows = pa.array(own, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("row_key", "item", "item_row")), pa.array(ats, pa.int32())], names=["row_key", "item", "item_row", "at"])
+
+
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, enough: int = ENOUGH) -> DataFrame:
     """(row_key, item, covered): a row for each distinct document row and benchmark item that contaminates it. ``covered``
     is the share of the item's windows that were found.
@@ -115,9 +150,8 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     asked = bench.select(F.col("key").alias("item"), F.col("row_key").alias("item_row"), F.col("pos").alias("at"), "hash", F.col("slots").alias("theirs"))
     pairs = F.transform(F.arrays_zip("theirs", "mine"), lambda z: F.struct(z.theirs.alias("a"), z.mine.alias("b")))
     met = found.join(asked, "hash").select("row_key", "item", "item_row", (F.col("pos") - F.col("at")).alias("diagonal"), "at", pairs.alias("pairs"))
-    lines = met.groupBy("row_key", "item", "item_row", "diagonal").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))  # at most an item's windows
-    same = (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p.a)))) & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p.b))))
-    held = lines.filter(same).select("row_key", "item", "item_row", F.explode("ats").alias("at")).distinct().groupBy("row_key", "item", "item_row").agg(F.count(F.lit(1)).alias("n"))
+    lines = met.groupBy("row_key", "item", "item_row", "diagonal").agg(F.collect_set(F.struct("at", "pairs")).alias("met"))  # at most an item's windows
+    held = lines.mapInArrow(_consistent, f"row_key long, item {kind}, item_row long, at int").distinct().groupBy("row_key", "item", "item_row").agg(F.count(F.lit(1)).alias("n"))
     whole = bench.groupBy(F.col("row_key").alias("item_row")).agg(F.count(F.lit(1)).alias("of"))
     return held.join(whole, "item_row").filter(F.col("n") >= F.least(F.col("of"), F.lit(enough))).groupBy("row_key", "item").agg(F.max(F.col("n") / F.col("of")).alias("covered"))
 

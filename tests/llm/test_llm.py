@@ -311,6 +311,16 @@ def test_inconsistent_slots_do_not_match(spark):
     assert {r.doc_id: r.contaminated for r in got} == {1: False, 2: True}
 
 
+def test_one_conflict_does_not_hide_a_match(spark):
+    tail = " while the quiet farmer carried every basket from his garden towards an old stone bridge near our village"
+    twice = "first 5 apples and then once more 5 pears were sold" + tail
+    both = "a box holds 3 red lamps and every shelf holds 5 of them so count all lamps on two shelves"
+    bench = spark.createDataFrame([(1, twice), (2, both)], "item_id long, text string")
+    rows = [(1, twice.replace("5 pears", "6 pears")), (2, both.replace("3", "4").replace("5", "4")), (3, "a box holds 3 red lamps")]
+    got = op6_decontaminate.decontaminate(table(spark, rows), bench).collect()
+    assert {r.doc_id: r.item_ids for r in got} == {1: [1], 2: [2], 3: []}
+
+
 # ---------------------------------------------------------------- 7
 
 
