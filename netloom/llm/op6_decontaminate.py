@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a row of template tokens: numbers, names (title-case words that don't begin a sentence) and units (fixed
-words after a number) turn into typed placeholders, other words into their lower case. Windows of ``window`` template
+A text becomes a row of template tokens: numbers, names (title-case words; those that begin a sentence are read both as names
+and as words) and units (fixed words after a number) turn into typed placeholders, other words into their lower case. Windows of ``window`` template
 tokens of benchmark items and of documents are hash-joined; what stood in the placeholders are the slots. On each diagonal
 (document position less item position) of a document and an item the longest run of windows counts in which a value of the
 item meets one value of the document (two values may become one), and so do all windows with unchanged slots. A document is
@@ -44,55 +44,74 @@ class Tokens(dict):
         return v
 
 
-def template(text: str, known: Tokens) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens; which of them aren't stops; their template hashes and kinds (LITERAL, NAME, NUMBER or UNIT)."""
+def template(text: str, known: Tokens) -> tuple[list[str], np.ndarray, list[tuple]]:
+    """Tokens; which of them aren't stops; readings (template hashes, kinds, tokens that the first reading takes otherwise).
+    Kinds are LITERAL, NAME, NUMBER or UNIT. A title-case word that begins a sentence may be a name or not: the first reading
+    takes it as literal, a second one as a name."""
     raw = _token.findall(text)
     if not raw:
-        return [], np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        return [], np.zeros(0, np.int64), [(np.zeros(0, np.uint64), np.zeros(0, np.int8), None)]
     h = np.fromiter(map(known.__getitem__, raw), np.uint64, len(raw))
     kind = (h & np.uint64(7)).astype(np.int8)
     h ^= kind.astype(np.uint64)
     before = np.concatenate([[STOP], kind[:-1]])
-    kind[(kind == NAME) & (before == STOP)] = LITERAL
+    first = (kind == NAME) & (before == STOP)
+    kind[first] = LITERAL
     kind[(kind == UNIT) & (before != NUMBER)] = LITERAL
     for k, v in _PLACE.items():
         h[kind == k] = v
     keep = np.flatnonzero(kind != STOP)
-    return raw, keep, h[keep], kind[keep]
+    h, kind, first = h[keep], kind[keep], first[keep]
+    readings = [(h, kind, None)]
+    if first.any():
+        readings.append((np.where(first, _PLACE[NAME], h), np.where(first, np.int8(NAME), kind), first))
+    return raw, keep, readings
 
 
-def windows(h: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows of which at least half the tokens are literal."""
+def windows(h: np.ndarray, kind: np.ndarray, size: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the windows of which at least half the tokens are literal; only those with a token of ``among``."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    out = h[:n] * MIX + np.uint64(size)
-    for i in range(1, size):
-        out = (out ^ (out >> np.uint64(31))) * MIX2 + h[i : n + i]
     literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    at = np.flatnonzero(2 * (literal[size:] - literal[:-size]) >= size)
-    return at, mixed(out[at]).view(np.int64)
+    ok = 2 * (literal[size:] - literal[:-size]) >= size
+    if among is not None:
+        seen = np.concatenate([[0], np.cumsum(among)])
+        ok &= seen[size:] > seen[:-size]
+    at = np.flatnonzero(ok)
+    return at, hashes(h, size, at)
+
+
+def hashes(h: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at the positions."""
+    n = len(h) - size + 1
+    few = 2 * len(at) < n
+    out = (h[at] if few else h[:n]) * MIX + np.uint64(size)
+    for i in range(1, size):
+        out = (out ^ (out >> np.uint64(31))) * MIX2 + (h[at + i] if few else h[i : n + i])
+    return mixed(out if few else out[at]).view(np.int64)
 
 
 def _rows(kernel_sizes, bits=None):
     def kernel(known, piece, texts):
-        own, pos, hashes, sizes, slots = [], [], [], [], []
+        own, pos, found, sizes, slots = [], [], [], [], []
         for i, t in enumerate(texts):
-            raw, place, h, kind = template(t, known)
-            for size in kernel_sizes(len(h)):
-                at, v = windows(h, kind, size)
-                if bits is not None:
-                    hit = in_filter(bits.value, v)
-                    at, v = at[hit], v[hit]
-                for p, x in zip(at.tolist(), v.tolist(), strict=True):
-                    own.append(i)
-                    pos.append(p)
-                    hashes.append(x)
-                    sizes.append(len(h))
-                    slots.append([raw[place[q]].lower() for q in range(p, p + size) if kind[q] != LITERAL])
+            raw, place, readings = template(t, known)
+            for size in kernel_sizes(len(place)):
+                for h, kind, among in readings:
+                    at, v = windows(h, kind, size, among)
+                    if bits is not None:
+                        hit = in_filter(bits.value, v)
+                        at, v = at[hit], v[hit]
+                    for p, x in zip(at.tolist(), v.tolist(), strict=True):
+                        own.append(i)
+                        pos.append(p)
+                        found.append(x)
+                        sizes.append(len(place))
+                        slots.append([raw[place[q]].lower() for q in range(p, p + size) if kind[q] != LITERAL])
         if not own and bits is not None:
             return None
-        return {"key": piece.column("key").take(pa.array(own, pa.int64())), "row_key": piece.column("row_key").take(pa.array(own, pa.int64())), "pos": pos, "hash": hashes, "tokens": sizes, "slots": slots}
+        return {"key": piece.column("key").take(pa.array(own, pa.int64())), "row_key": piece.column("row_key").take(pa.array(own, pa.int64())), "pos": pos, "hash": found, "tokens": sizes, "slots": slots}
 
     return kernel
 
@@ -152,7 +171,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     met = found.join(asked, "hash").select("row_key", "item", "item_row", (F.col("pos") - F.col("at")).alias("diagonal"), "at", pairs.alias("pairs"))
     lines = met.groupBy("row_key", "item", "item_row", "diagonal").agg(F.collect_set(F.struct("at", "pairs")).alias("met"))  # at most an item's windows
     held = lines.mapInArrow(_consistent, f"row_key long, item {kind}, item_row long, at int").distinct().groupBy("row_key", "item", "item_row").agg(F.count(F.lit(1)).alias("n"))
-    whole = bench.groupBy(F.col("row_key").alias("item_row")).agg(F.count(F.lit(1)).alias("of"))
+    whole = bench.groupBy(F.col("row_key").alias("item_row")).agg(F.countDistinct("pos").alias("of"))
     return held.join(whole, "item_row").filter(F.col("n") >= F.least(F.col("of"), F.lit(enough))).groupBy("row_key", "item").agg(F.max(F.col("n") / F.col("of")).alias("covered"))
 
 

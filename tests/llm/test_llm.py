@@ -321,6 +321,15 @@ def test_one_conflict_does_not_hide_a_match(spark):
     assert {r.doc_id: r.item_ids for r in got} == {1: [1], 2: [2], 3: []}
 
 
+def test_names_that_begin_sentences(spark):
+    item = "Tom has 3 red apples. Tom buys 5 more green apples. Anna gives Tom 2 pears. Tom eats 4 of the fruits. How many are left?"
+    other = item.replace("Tom", "Max").replace("Anna", "Lisa").replace("3", "13").replace("5", "15").replace("2", "12").replace("4", "14")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, other), (2, "Question 9 " + item), (3, "Max has a dog. Lisa has 3 red apples.")]
+    got = op6_decontaminate.decontaminate(table(spark, rows), bench).collect()
+    assert {r.doc_id: r.contaminated for r in got} == {1: True, 2: True, 3: False}
+
+
 # ---------------------------------------------------------------- 7
 
 
