@@ -8,7 +8,9 @@ item meets one value of the document (two values may become one), and so do all
 contaminated by an item if these cover at least ``enough`` of its windows (or all, if it has fewer). So a question with other numbers or names is found.
 
 Documents' windows pass a filter of fixed size made of the items' windows before the join, so that only likely matches are
-shuffled. Items shorter than a window are matched as one window of their own length.
+shuffled. Items shorter than a window are matched as one window of their own length. Windows less than half literal, and items
+of fewer than four tokens, would meet too much as templates: they are matched token by token, so that verbatim copies of any
+item are found. In scripts without spaces each character is a token.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ WINDOW, ENOUGH, SHORTEST = 8, 6, 4
 #: Words that count as units after a number.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent mph kmh w kw v a hz c f k".split())
 _token = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:;\n]")
+#: Scripts without spaces (Thai to Tibetan, Burmese, Khmer, kana, Han), of which each character is a token.
+_SPACELESS = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_spaceless = re.compile(f"[{_SPACELESS}]")
+_character = re.compile(rf"\d+(?:[.,]\d+)*|(?=[^\W\d_])[{_SPACELESS}]|[^\W\d_{_SPACELESS}]+|[.!?:;\n]")
 LITERAL, NAME, NUMBER, STOP, UNIT = range(5)
 _PLACE = {NAME: np.uint64(0x1111), NUMBER: np.uint64(0x2222), UNIT: np.uint64(0x3333)}
 KNOWN_WORDS = 120_000
@@ -44,17 +50,19 @@ class Tokens(dict):
         return v
 
 
-def template(text: str, known: Tokens) -> tuple[list[str], np.ndarray, list[tuple]]:
-    """Tokens; which of them aren't stops; readings (template hashes, kinds, tokens that the first reading takes otherwise).
+def template(text: str, known: Tokens) -> tuple[list[str], np.ndarray, list[tuple], np.ndarray]:
+    """Tokens; which of them aren't stops; readings (template hashes, kinds, tokens that the first reading takes otherwise);
+    hashes without placeholders.
     Kinds are LITERAL, NAME, NUMBER or UNIT. A title-case word that begins a sentence may be a name or not: the first reading
     takes it as literal, a second one as a name."""
-    raw = _token.findall(text)
+    raw = (_token if text.isascii() or not _spaceless.search(text) else _character).findall(text)
     if not raw:
-        return [], np.zeros(0, np.int64), [(np.zeros(0, np.uint64), np.zeros(0, np.int8), None)]
+        return [], np.zeros(0, np.int64), [(np.zeros(0, np.uint64), np.zeros(0, np.int8), None)], np.zeros(0, np.uint64)
     h = np.fromiter(map(known.__getitem__, raw), np.uint64, len(raw))
     kind = (h & np.uint64(7)).astype(np.int8)
     h ^= kind.astype(np.uint64)
     before = np.concatenate([[STOP], kind[:-1]])
+    plain = h.copy()
     first = (kind == NAME) & (before == STOP)
     kind[first] = LITERAL
     kind[(kind == UNIT) & (before != NUMBER)] = LITERAL
@@ -65,7 +73,7 @@ def template(text: str, known: Tokens) -> tuple[list[str], np.ndarray, list[tupl
     readings = [(h, kind, None)]
     if first.any():
         readings.append((np.where(first, _PLACE[NAME], h), np.where(first, np.int8(NAME), kind), first))
-    return raw, keep, readings
+    return raw, keep, readings, plain[keep]
 
 
 def windows(h: np.ndarray, kind: np.ndarray, size: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -92,26 +100,57 @@ def hashes(h: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
     return mixed(out if few else out[at]).view(np.int64)
 
 
-def _rows(kernel_sizes, bits=None):
+def _alone(raw: list[str], at: int) -> bool:
+    """Whether the token makes a sentence of its own."""
+    return all(x in ".!?:;\n" for x in (*raw[max(at - 1, 0) : at], *raw[at + 1 : at + 2]))
+
+
+def _rows(window: int, wanted=None, bits=None):
+    """Windows of items, or with ``wanted`` (size, exact) and the filter those of documents that may meet them. An item's
+    windows that no reading takes, and items under ``SHORTEST`` tokens, are exact: of the tokens without placeholders."""
+
     def kernel(known, piece, texts):
-        own, pos, found, sizes, slots = [], [], [], [], []
+        rows = {c: [] for c in ("own", "pos", "hash", "tokens", "exact", "told", "slots")}
+
+        def add(i, n, at, v, exact, slot, told=()):
+            if bits is not None:
+                hit = in_filter(bits.value, v)
+                at, v = at[hit], v[hit]
+            for p, x in zip(at.tolist(), v.tolist(), strict=True):
+                for c, y in zip(rows, (i, p, x, n, exact, not exact or p in told, slot(p)), strict=True):
+                    rows[c].append(y)
+
         for i, t in enumerate(texts):
-            raw, place, readings = template(t, known)
-            for size in kernel_sizes(len(place)):
-                for h, kind, among in readings:
-                    at, v = windows(h, kind, size, among)
-                    if bits is not None:
-                        hit = in_filter(bits.value, v)
-                        at, v = at[hit], v[hit]
-                    for p, x in zip(at.tolist(), v.tolist(), strict=True):
-                        own.append(i)
-                        pos.append(p)
-                        found.append(x)
-                        sizes.append(len(place))
-                        slots.append([raw[place[q]].lower() for q in range(p, p + size) if kind[q] != LITERAL])
-        if not own and bits is not None:
+            raw, place, readings, plain = template(t, known)
+            n = len(place)
+            if wanted is None:
+                jobs = [(min(n, window), False), (min(n, window), True)] if n >= SHORTEST else [(n, True)] if n else []
+                if n and readings[0][1][0] == LITERAL and raw[place[0]].lower() in UNITS:  # what stands before it isn't known
+                    (h, kind, _), begin = readings[0], np.arange(n) == 0
+                    readings.append((np.where(begin, _PLACE[UNIT], h), np.where(begin, np.int8(UNIT), kind), begin))
+            else:
+                jobs = wanted
+            for size, exact in jobs:
+                if size > n:
+                    continue
+                if not exact:
+                    for h, kind, among in readings:
+                        add(i, n, *windows(h, kind, size, among), False, lambda p, kind=kind, size=size: [raw[place[q]].lower() for q in range(p, p + size) if kind[q] != LITERAL])
+                    continue
+                at, told = np.arange(n - size + 1), ()
+                if wanted is None and n >= SHORTEST:
+                    told = windows(*readings[0][:2], size)[0]
+                    at = np.setdiff1d(at, told)
+                    if any(among is not None and among[0] and 0 not in windows(h, kind, size, among)[0] for h, kind, among in readings):
+                        at = np.union1d([0], at)  # a copy within a sentence may read the first token so
+                elif wanted is not None and size == 1:  # a lone word must be a sentence of its own
+                    v = hashes(plain, 1, at)
+                    at = np.array([p for p in np.flatnonzero(in_filter(bits.value, v)).tolist() if _alone(raw, place[p])], dtype=np.int64)
+                add(i, n, at, hashes(plain ^ MIX, size, at) if size > 1 else hashes(plain, 1, at), True, lambda p: [], told)
+        if not rows["own"] and bits is not None:
             return None
-        return {"key": piece.column("key").take(pa.array(own, pa.int64())), "row_key": piece.column("row_key").take(pa.array(own, pa.int64())), "pos": pos, "hash": found, "tokens": sizes, "slots": slots}
+        own = pa.array(rows.pop("own"), pa.int64())
+        return {"key": piece.column("key").take(own), "row_key": piece.column("row_key").take(own), **rows}
 
     return kernel
 
@@ -142,37 +181,39 @@ def consistent(met: list[dict]) -> set[int]:
 
 def _consistent(batches):
     for batch in batches:
-        own, ats = [], []
+        own, ats, told = [], [], []
         for i, met in enumerate(batch.column("met").to_pylist()):
             at = sorted(consistent(met))
             own += [i] * len(at)
             ats += at
+            by = {w["at"]: w["told"] for w in met}
+            told += [by[p] for p in at]
         rows = pa.array(own, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("row_key", "item", "item_row")), pa.array(ats, pa.int32())], names=["row_key", "item", "item_row", "at"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("row_key", "item", "item_row")), pa.array(ats, pa.int32()), pa.array(told, pa.bool_())], names=["row_key", "item", "item_row", "at", "told"])
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, enough: int = ENOUGH) -> DataFrame:
     """(row_key, item, covered): a row for each distinct document row and benchmark item that contaminates it. ``covered``
     is the share of the item's windows that were found.
 
-    Null and empty texts match nothing, nor do items with fewer than four tokens or without a window that is at least half
-    literal. Items with one text each match. Repeated document rows share their row_key.
+    Texts without a word or number match nothing. An item of one token matches where it makes a sentence of its own. Items with one text each match. Repeated document rows share their row_key.
     """
-    schema = "key {}, row_key long, pos int, hash long, tokens int, slots array<string>"
+    schema = "key {}, row_key long, pos int, hash long, tokens int, exact boolean, told boolean, slots array<string>"
     named = columns(items, item, item_text).toDF("key", "text").filter("key is not null").dropDuplicates().withColumn("row_key", row_key("key", "text"))
     kind = items.schema[item].dataType.simpleString()
-    bench = staged(over_text(named, "text", _rows(lambda n: [min(n, window)] if n >= SHORTEST else []), schema.format(kind), make=Tokens), "template-windows")
-    sizes = sorted({window, *(r.tokens for r in bench.filter(F.col("tokens") < window).select("tokens").distinct().collect())})
+    bench = staged(over_text(named, "text", _rows(window), schema.format(kind), make=Tokens), "template-windows")
+    wanted = sorted((r.size, r.exact) for r in bench.select(F.least("tokens", F.lit(window)).alias("size"), "exact").distinct().collect())
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(bench, "hash"))
     rows = columns(docs, key, text).toDF("key", "text").withColumn("row_key", row_key("key", "text"))
-    found = over_text(rows, "text", _rows(lambda n: sizes, bits), schema.format(docs.schema[key].dataType.simpleString()), make=Tokens).select("row_key", "pos", "hash", F.col("slots").alias("mine")).distinct()
-    asked = bench.select(F.col("key").alias("item"), F.col("row_key").alias("item_row"), F.col("pos").alias("at"), "hash", F.col("slots").alias("theirs"))
+    found = over_text(rows, "text", _rows(window, wanted, bits), schema.format(docs.schema[key].dataType.simpleString()), make=Tokens).select("row_key", "pos", "hash", F.col("slots").alias("mine")).distinct()
+    asked = bench.select(F.col("key").alias("item"), F.col("row_key").alias("item_row"), F.col("pos").alias("at"), "told", "hash", F.col("slots").alias("theirs"))
     pairs = F.transform(F.arrays_zip("theirs", "mine"), lambda z: F.struct(z.theirs.alias("a"), z.mine.alias("b")))
-    met = found.join(asked, "hash").select("row_key", "item", "item_row", (F.col("pos") - F.col("at")).alias("diagonal"), "at", pairs.alias("pairs"))
-    lines = met.groupBy("row_key", "item", "item_row", "diagonal").agg(F.collect_set(F.struct("at", "pairs")).alias("met"))  # at most an item's windows
-    held = lines.mapInArrow(_consistent, f"row_key long, item {kind}, item_row long, at int").distinct().groupBy("row_key", "item", "item_row").agg(F.count(F.lit(1)).alias("n"))
-    whole = bench.groupBy(F.col("row_key").alias("item_row")).agg(F.countDistinct("pos").alias("of"))
-    return held.join(whole, "item_row").filter(F.col("n") >= F.least(F.col("of"), F.lit(enough))).groupBy("row_key", "item").agg(F.max(F.col("n") / F.col("of")).alias("covered"))
+    met = found.join(asked, "hash").select("row_key", "item", "item_row", (F.col("pos") - F.col("at")).alias("diagonal"), "at", "told", pairs.alias("pairs"))
+    lines = met.groupBy("row_key", "item", "item_row", "diagonal").agg(F.collect_set(F.struct("at", "told", "pairs")).alias("met"))  # at most an item's windows
+    held = lines.mapInArrow(_consistent, f"row_key long, item {kind}, item_row long, at int, told boolean").distinct().groupBy("row_key", "item", "item_row").agg(F.count(F.lit(1)).alias("n"), F.count_if("told").alias("n_told"))
+    whole = bench.groupBy(F.col("row_key").alias("item_row")).agg(F.countDistinct("pos").alias("of"), F.countDistinct(F.when(F.col("told"), F.col("pos"))).alias("of_told"))
+    found = (F.col("n") >= F.least("of", F.lit(enough))) | (F.col("of_told") > 0) & (F.col("n_told") >= F.least("of_told", F.lit(enough)))
+    return held.join(whole, "item_row").filter(found).groupBy("row_key", "item").agg(F.max(F.col("n") / F.col("of")).alias("covered"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

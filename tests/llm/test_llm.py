@@ -330,6 +330,15 @@ def test_names_that_begin_sentences(spark):
     assert {r.doc_id: r.contaminated for r in got} == {1: True, 2: True, 3: False}
 
 
+def test_verbatim_copies_of_items_without_templates(spark):
+    items = ["What is 17 + 25 * 3 - 48 / 6?", "Convert 12 km 300 m 45 cm to mm", "Compute 3 4 5 6 7 8 9 10", "Who wrote Hamlet?", "Berlin Paris Rome Oslo Madrid Vienna Prague Dublin Athens Lisbon", "ใครเขียนแฮมเล็ต", "请问这座古老的城市位于哪一条河流的旁边", "Why?", "in 5 days of rain"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"noted by 7 {t}" if i in (0, 4, 8) else f"他说{t}然后" if i == 6 else f"It says: {t} So it goes.") for i, t in enumerate(items)]
+    rows += [(100, "What is 18 + 25 * 3 - 48 / 6?"), (101, "Who wrote Macbeth?"), (102, "that is why they left"), (103, "请问他在哪里")]
+    got = {r.doc_id: r.item_ids for r in op6_decontaminate.decontaminate(table(spark, rows), bench).collect()}
+    assert got == {i: [i] if i < 100 else [] for i, _ in rows}
+
+
 # ---------------------------------------------------------------- 7
 
 
