@@ -509,6 +509,21 @@ def test_differencing_deletes_the_frame(spark):
     assert op10_html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ["form", "div class='has-sidebar'", "div class='content-sidebar-wrap'", "div class='with-ads'"])
+def test_articles_in_wrappers(wrapper):
+    page = f"<{wrapper}><nav>n</nav><p>frame</p><article><p>keep</p><form>x</form></article></{wrapper.split()[0]}>"
+    assert op10_html.main_text(op10_html.lines(page), None) == "keep"
+    beside = "<article>own</article><div id='comments'><article>theirs</article></div>"
+    assert op10_html.main_text(op10_html.lines(beside), None) == "own"
+
+
+def test_copies_do_not_delete_each_other(spark):
+    page = lambda body: f"<body><div>Menu</div><div>{body}</div></body>"
+    df = spark.createDataFrame([(1, "http://h.org/a", page("one")), (2, "http://h.org/a", page("one")), (3, "http://h.org/b", page("two")), (4, "http://i.org/", page("x")), (5, "http://i.org/", page("x"))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in op10_html.extract(df).collect()}
+    assert got == {1: "Menu\none", 2: "one", 3: "two", 4: "Menu\nx", 5: "Menu\nx"}
+
+
 def test_neighbours_do_not_depend_on_the_parts(spark):
     df = spark.createDataFrame([(i, f"{i:05d}") for i in range(500)], "i long, place string")
     for size in (7, 1000):
