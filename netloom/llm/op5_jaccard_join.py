@@ -1,10 +1,10 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard self-join by MinHash bands of fixed depth, in place of an LSH forest, with exact verification.
 
 A text is the set of its shingles of ``n`` words (five). Texts with one set are a class of copies; only classes are joined.
 
-1. Each class gets a signature for each of ``trees`` trees: up to ``MAX_DEPTH`` MinHash values, which spell its path in the
-   tree's trie. Matched prefixes start at full depth and are shortened value by value until a pair at the threshold is
-   matched in some tree with the target recall (``prefix_depth``). Classes with one prefix in one tree are candidates.
+1. Each class gets a key for each of ``trees`` bands ("trees" below): the hash of as many MinHash values as still match a pair
+   at the threshold in some band with the target recall (``prefix_depth``, at most ``MAX_DEPTH``). The depth follows from the
+   parameters, not from observed matches; there are no tries. Classes with one key in one band are candidates.
 2. Candidate groups with the same members in several trees are verified once. A group is cut into blocks of bounded size and
    the pairs of blocks are units of work, so a very large group is shared between tasks and no list of pairs is made.
 3. A unit gets its members' whole sets and verifies the pairs for which its tree is the first with a common prefix, so
