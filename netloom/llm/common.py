@@ -57,6 +57,18 @@ def modest_batches(spark: SparkSession, rows: int = 100) -> None:
         spark.conf.set(name, str(rows))
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of ``rows`` rows for what runs within: narrow rows are slow in small batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def trimmed() -> None:
     """Give freed memory back to the system: Spark keeps Python workers for the next tasks, and their peaks would add up."""
     pa.default_memory_pool().release_unused()
@@ -224,24 +236,39 @@ def _looked_up(key: str, pairs: list) -> Column:
 # ---------------------------------------------------------------- components
 
 
+#: Rows of a node's links that one task may join, at least, and hubs that are broadcast, at most (about 48 bytes each).
+HUB_ROWS, MOST_HUBS = 256, 100_000
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (node, root), root the least node, by repeated star contraction.
 
     Each round links every node to the least node that it sees (large star, then small star) and is checkpointed; it stops
-    when no link changes. Rows are links of nodes, spread by node; a node with very many links is pre-aggregated.
+    when no link changes. Rows are links of nodes, spread by node. The links of a hub, a node with more than ``HUB_ROWS`` and
+    more than 1 / ``MOST_HUBS`` of all links, stay where they are: as the links add up to all, the hubs are few, and a
+    broadcast tells every task their least nodes.
     """
+
+    def with_least(links: DataFrame, n: int) -> DataFrame:
+        """The links (v, u) with m, the least of v and all that it is linked with."""
+        least = links.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")).select("v", F.least("v", "m").alias("m"), (F.col("n") > max(HUB_ROWS, n // MOST_HUBS)).alias("hub"))
+        hubs = F.broadcast(least.filter("hub").select("v", F.col("m").alias("of_hub")))
+        marked = links.join(hubs, "v", "left")
+        return marked.filter("of_hub is not null").select("v", "u", F.col("of_hub").alias("m")).unionByName(marked.filter("of_hub is null").select("v", "u").join(least.filter("not hub").select("v", "m"), "v"))
+
     now = staged(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v > u").distinct(), name)
+    n = now.count()
     while True:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        large = large.filter("v > u").distinct()
-        down = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(down, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(down.select("v", F.col("m").alias("u")))
+        large = with_least(both, 2 * n).filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v > u").distinct()
+        large = staged(large, name)
+        small = with_least(large, large.count()).select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(large.groupBy("v").agg(F.min("u").alias("u")))
         after = staged(small.filter("v > u").distinct(), name)
-        same = after.join(now, ["v", "u"], "left_anti").limit(1).count() == 0 and after.count() == now.count()
-        dropped(now.sparkSession, now)
-        now = after
+        m = after.count()
+        same = m == n and after.join(now, ["v", "u"], "left_anti").isEmpty()
+        for done in (large, now):
+            dropped(now.sparkSession, done)
+        now, n = after, m
         if same:
             return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
 

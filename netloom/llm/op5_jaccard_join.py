@@ -1,15 +1,22 @@
-"""N-gram Jaccard self-join by MinHash bands of fixed depth, in place of an LSH forest, with exact verification.
+"""N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
 
 A text is the set of its shingles of ``n`` words (five). Texts with one set are a class of copies; only classes are joined.
 
-1. Each class gets a key for each of ``trees`` bands ("trees" below): the hash of as many MinHash values as still match a pair
-   at the threshold in some band with the target recall (``prefix_depth``, at most ``MAX_DEPTH``). The depth follows from the
-   parameters, not from observed matches; there are no tries. Classes with one key in one band are candidates.
-2. Candidate groups with the same members in several trees are verified once. A group is cut into blocks of bounded size and
-   the pairs of blocks are units of work, so a very large group is shared between tasks and no list of pairs is made.
-3. A unit gets its members' whole sets and verifies the pairs for which its tree is the first with a common prefix, so
-   that a pair is counted once. It returns a row per linked member: its links, and a tree of links that joins it to others.
-4. Classes that links join, directly or by others, get one class id: the least key of all their rows.
+1. A class has a path of ``MAX_DEPTH`` digits in each of ``trees`` prefix tries: a digit is 16 bits of a MinHash value.
+   The paths of a trie are sorted, by ranges of (tree, path, class), so that a hot path is shared between tasks; equal
+   prefixes are then neighbours, and the longer prefix that a path shares with its neighbours is its longest match.
+2. A class begins with whole paths and shortens them, a digit at a time in all tries, until its recall is enough
+   (``stops``). A partner at the threshold shares d digits of a path with probability threshold**d, and a path's longest
+   match is no shorter than what it shares with that partner. So the sum of a class's longest matches tells how far to go:
+   the smaller it is, the less likely it hides a partner that longer prefixes miss. A class that nothing resembles keeps
+   whole paths and meets nobody; one among near copies shortens to the depth that the target recall asks of all paths.
+3. A class asks at its depth; those with its prefix in a trie are its candidates. Groups of one depth with the same members
+   in several tries are verified once. A group is cut into blocks of bounded size and the pairs of blocks are units of work,
+   so a very large group is shared between tasks and no list of pairs is made.
+4. A unit gets its members' whole sets and verifies the pairs of which the one that shortens more asks at this depth and for
+   which its trie is the first with a common prefix, so that a pair is counted once. It returns a row per linked member: its
+   links, and a tree of links that joins it to others.
+5. Classes that links join, directly or by others, get one class id: the least key of all their rows.
 
 Sets are made again from the texts for candidates only, found by a Bloom filter of fixed size and then an exact join.
 """
@@ -18,6 +25,7 @@ from __future__ import annotations
 
 import re
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, MIX2, bit_filter, columns, components, filtered, in_filter, mixed, over_text, row_key, schema_of, staged
+from .common import MIX, MIX2, batches_of, bit_filter, columns, components, dropped, filtered, in_filter, mixed, over_text, row_key, schema_of, staged
 
 WORDS, THRESHOLD, TREES, RECALL, MAX_DEPTH = 5, 0.8, 24, 0.99999, 8
 #: Members and shingles of a block, at most (a longer single set makes a block of its own).
@@ -59,49 +67,109 @@ def shingles(text: str, n: int = WORDS, known: WordHashes | None = None) -> np.n
     return np.unique(mixed(out))
 
 
-def prefix_depth(threshold: float, trees: int, recall: float, deepest: int = MAX_DEPTH) -> int:
-    """The longest prefix with which a pair at the threshold is matched in one of the trees with the wanted recall."""
+def least_depth(threshold: float, trees: int, recall: float, deepest: int = MAX_DEPTH) -> int:
+    """The longest prefix with which all tries together match a pair at the threshold with the wanted recall."""
     depth = deepest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
-def forest_keys(x: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each tree, the hash of the path of ``depth`` MinHash values of the set."""
-    rng = np.random.default_rng(20)
-    a = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-    b = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint64).astype(np.uint32)
+def tree_paths(x: np.ndarray, trees: int, depth: int = MAX_DEPTH) -> np.ndarray:
+    """For each tree the path of the set: ``depth`` digits of 16 bits, high byte first so that bytes sort as digits do."""
+    a, b = _permutations(trees * depth)
     h = (x >> np.uint64(32)).astype(np.uint32)
     low = np.full(trees * depth, 0xFFFFFFFF, dtype=np.uint32)
-    for i in range(0, len(h), 4096):
-        np.minimum(low, (h[i : i + 4096, None] * a + b).min(0), out=low)
-    key = np.arange(trees, dtype=np.uint64)
-    for v in low.reshape(trees, depth).T.astype(np.uint64):
-        key = mixed(key * MIX + v)
-    return key.view(np.int64)
+    for i in range(0, len(h), 512):
+        part = h[i : i + 512, None] * a
+        part += b
+        np.minimum(low, part.min(0), out=low)
+    return (low & np.uint32(0xFFFF)).astype(">u2")
+
+
+@lru_cache(8)
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20)
+    a, b = (rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) for _ in range(2))
+    return a | np.uint32(1), b
+
+
+def _neighbours(depth: int):
+    """Task over sorted paths: each path's longest match, the digits that it shares with one of its neighbours. The edge rows
+    of a task, whose other neighbour is elsewhere, count as matched whole. Paths that share no digit are left out."""
+    schema = schema_of("node binary, tree int, path binary, m int")
+
+    def matched(tree, path, above, below):
+        """above, below: matches of the first row with the one before it and of the last one with the one after it"""
+        digits = np.frombuffer(b"".join(path.to_pylist()), dtype=">u2").reshape(-1, depth)
+        same = (digits[1:] == digits[:-1]) & (tree[1:] == tree[:-1])[:, None]
+        lcp = np.concatenate([[above], np.logical_and.accumulate(same, axis=1).sum(1), [below]])
+        return np.maximum(lcp[:-1], lcp[1:]).astype(np.int32)
+
+    def run(batches):
+        held, above = None, depth  # a batch waits for the first row of the next one
+
+        def result(batch, last):
+            tree = np.asarray(batch.column("tree"))
+            m = matched(tree, batch.column("path"), above, last)
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "tree", "path")), pa.array(m)], schema=schema)
+            return out.filter(pa.array(m > 0))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                p, q = held.column("path")[-1].as_py(), batch.column("path")[0].as_py()
+                link = 0 if held.column("tree")[-1] != batch.column("tree")[0] else next((i // 2 for i in range(2 * depth) if p[i] != q[i]), depth)
+                yield result(held, link)
+                above = link
+            held = batch
+        if held is not None:
+            yield result(held, depth)
+
+    return run
+
+
+def stops(threshold: float, trees: int, recall: float, deepest: int = MAX_DEPTH) -> dict[int, int]:
+    """For each depth, deepest first, the greatest sum of longest matches with which a class may stop there.
+
+    The shortest depth misses a partner at the threshold with probability q = (1 - threshold**depth)**trees. What is left of
+    the misses that the recall allows is shared by the longer ones: at each, the probability that all shared prefixes of a
+    partner are shorter than the depth and their sum is within the bound. A closer partner is missed less.
+    """
+    least = least_depth(threshold, trees, recall, deepest)
+    share = max(0.0, 1 - recall - (1 - threshold**least) ** trees) / max(1, deepest - least)
+    out = {}
+    for depth in range(deepest, least, -1):
+        one = (1 - threshold) * threshold ** np.arange(depth)
+        sums = np.ones(1)
+        for _ in range(trees):
+            sums = np.convolve(sums, one)
+        out[depth] = int(np.searchsorted(np.cumsum(sums), share, side="right")) - 1
+    return out | {least: trees * deepest}
+
+
+def depth_of(matches: DataFrame, bounds: dict[int, int]) -> DataFrame:
+    """(node, depth) of nodes with matches (node, m): the longest prefix with which the node's recall is enough."""
+    depth = F.lit(None)
+    for d, most in reversed(bounds.items()):
+        depth = F.when(F.col("total") <= most, F.lit(d)).otherwise(depth)
+    return matches.groupBy("node").agg(F.sum("m").alias("total")).select("node", depth.cast("int").alias("depth"))
 
 
 def _node(x: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(x.tobytes())
 
 
-def signatures(docs: DataFrame, key: str, text: str, n: int, threshold: float, trees: int, recall: float) -> DataFrame:
-    """(key, row_key, node, size, keys) of every row. ``node`` identifies the set of shingles, ``row_key`` equal rows."""
-    depth = prefix_depth(threshold, trees, recall)
+def signatures(docs: DataFrame, key: str, text: str, n: int, trees: int, deepest: int = MAX_DEPTH) -> DataFrame:
+    """(key, row_key, node, size, paths) of every row. ``node`` identifies the set of shingles, ``row_key`` equal rows."""
     rows = columns(docs, key, text).toDF("key", "text").withColumn("row_key", row_key("key", "text"))
 
     def kernel(known, piece, texts):
-        nodes, sizes, keys = [], [], []
-        for t in texts:
-            x = shingles(t, n, known)
-            nodes.append(_node(x))
-            sizes.append(len(x))
-            keys.append(forest_keys(x, trees, depth))
-        flat = pa.array(np.concatenate(keys))
-        return {"key": piece.column("key"), "row_key": piece.column("row_key"), "node": nodes, "size": sizes, "keys": pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, trees, dtype=np.int32)), flat)}
+        sets = [shingles(t, n, known) for t in texts]
+        return {"key": piece.column("key"), "row_key": piece.column("row_key"), "node": [_node(x) for x in sets], "size": [len(x) for x in sets], "paths": [tree_paths(x, trees, deepest).tobytes() for x in sets]}
 
-    return over_text(rows, "text", kernel, f"key {docs.schema[key].dataType.simpleString()}, row_key long, node binary, size int, keys array<long>", make=WordHashes)
+    return over_text(rows, "text", kernel, f"key {docs.schema[key].dataType.simpleString()}, row_key long, node binary, size int, paths binary", make=WordHashes)
 
 
 def _sets(docs: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -159,12 +227,22 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray], want: np.ndarray) -
     return out
 
 
-def _verified(tree: int, same: bool, blocks: tuple, threshold: float) -> list[tuple]:
+def _prefixes(paths: list[bytes], trees: int, depth: int) -> np.ndarray:
+    """A number for each member's prefix of ``depth`` digits in each of the first ``trees`` tries."""
+    digits = np.array([np.frombuffer(p, dtype=">u2", count=trees * MAX_DEPTH) for p in paths]).reshape(len(paths), trees, MAX_DEPTH).astype(np.uint64)
+    out = np.zeros(digits.shape[:2], dtype=np.uint64)
+    for d in range(depth):
+        out = mixed(out * MIX + digits[:, :, d] + np.uint64(1))
+    return out
+
+
+def _verified(tree: int, depth: int, same: bool, blocks: tuple, threshold: float) -> list[tuple]:
     """Rows (node, links, linked copies, root) of the members that have a link in this unit."""
-    (na, ka, sa, ca), (nb, kb, sb, cb) = blocks
+    (na, ka, da, sa, ca), (nb, kb, db, sb, cb) = blocks
     la, lb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
     p, q = Fraction(threshold).limit_denominator(10**9).as_integer_ratio()  # whole numbers, so that pairs at the threshold are links
     want = (q * np.minimum(la[:, None], lb[None]) >= p * np.maximum(la[:, None], lb[None])) & (ka[:, tree][:, None] == kb[:, tree][None])
+    want &= np.minimum(da[:, None], db[None]) == depth
     if same:
         want &= np.triu(np.ones(want.shape, bool), 1)
     for t in range(tree):
@@ -198,25 +276,25 @@ def _verifier(threshold: float):
         at, rows = None, []
 
         def close():
-            tree, bi, bj = at[0], at[2], at[3]
+            tree, depth, bi, bj = at[0], at[1], at[3], at[4]
             sides = []
             for b in (bi, bj):
                 own = [r for r in rows if r[1] == b]
                 if not own:  # few members can leave a block empty
                     return []
-                sides.append(([r[0] for r in own], np.array([r[2] for r in own], dtype=np.int64).reshape(len(own), -1), [np.frombuffer(r[4], dtype=np.uint64) for r in own], np.array([r[3] for r in own], dtype=np.int64)))
-            return _verified(tree, bi == bj, tuple(sides), threshold)
+                sides.append(([r[0] for r in own], _prefixes([r[2] for r in own], tree + 1, depth), np.array([r[3] for r in own]), [np.frombuffer(r[5], dtype=np.uint64) for r in own], np.array([r[4] for r in own], dtype=np.int64)))
+            return _verified(tree, depth, bi == bj, tuple(sides), threshold)
 
         out = []
         for batch in batches:
-            units = list(zip(*(batch.column(c).to_pylist() for c in ("tree", "key", "bi", "bj")), strict=True))
-            cells = {c: batch.column(c) for c in ("node", "block", "keys", "copies", "set")}
+            units = list(zip(*(batch.column(c).to_pylist() for c in ("tree", "d", "key", "bi", "bj")), strict=True))
+            cells = [batch.column(c) for c in ("node", "block", "paths", "depth", "copies", "set")]
             for i, u in enumerate(units):
                 if u != at:
                     if len(rows) > 1:
                         out += close()
                     at, rows = u, []
-                rows.append(tuple(cells[c][i].as_py() for c in ("node", "block", "keys", "copies", "set")))
+                rows.append(tuple(c[i].as_py() for c in cells))
             if len(out) >= 5000:
                 yield _rows(out, schema)
                 out = []
@@ -240,28 +318,47 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORD
     sets of shingles. ``keeper`` is the row_key of the one row of the class to keep (least key, nulls last). Repeated rows
     count as copies and each has its row. Null and empty texts are copies of one another. An empty table gives an empty one.
     """
-    sig = staged(signatures(docs, key, text, n, threshold, trees, recall), "forest-signatures")
+    return _joined(docs, key, text, n, threshold, trees, recall, block_rows, block_shingles)[0]
+
+
+def _joined(docs: DataFrame, key: str, text: str, n: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, list[DataFrame]]:
+    """The join and the staged tables that it reads."""
+    spark = docs.sparkSession
+    sig = staged(signatures(docs, key, text, n, trees), "forest-signatures")
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("row_key"))
-    nodes = staged(sig.groupBy("node").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys")), "forest-classes")
-    paths = nodes.select("node", "size", F.posexplode("keys").alias("tree", "path"))
-    groups = paths.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("shingles"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("also")).filter("rows > 1")
-    once = groups.groupBy("rows", "members", "also").agg(F.min(F.struct("tree", "path", "shingles")).alias("g")).select("g.tree", "g.path", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("g.shingles") / block_shingles)).cast("int").alias("blocks"))
-    member = paths.join(once, ["tree", "path"]).select("node", "tree", "path", "blocks", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int").alias("block"))
+    nodes = staged(sig.groupBy("node").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths")), "forest-classes")
+    least = least_depth(threshold, trees, recall)
+    entries = nodes.select("node", "paths", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("node", "tree", F.expr(f"substring(paths, tree * {2 * MAX_DEPTH} + 1, {2 * MAX_DEPTH})").alias("path"))
+    with batches_of(spark, 10_000):  # narrow rows
+        tries = entries.repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path").mapInArrow(_neighbours(MAX_DEPTH), "node binary, tree int, path binary, m int")
+        matched = staged(tries, "forest-tries")
+    depths = depth_of(matched, stops(threshold, trees, recall))
+    asked = matched.filter(F.col("m") >= least).join(depths, "node").join(nodes.select("node", "size"), "node")
+    paths = asked.select("node", "size", "depth", "tree", F.explode(F.sequence(F.lit(least), F.col("m"))).alias("d"), "path").withColumn("path", F.expr("xxhash64(tree, d, substring(path, 1, 2 * d))"))
+    paths = staged(paths, "forest-prefixes")
+    groups = paths.groupBy("tree", "d", "path").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("shingles"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("also"), F.max(F.col("depth") == F.col("d")).alias("asks")).filter("rows > 1 and asks")
+    once = groups.groupBy("d", "rows", "members", "also").agg(F.min(F.struct("tree", "path", "shingles")).alias("g")).select("g.tree", "d", "g.path", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("g.shingles") / block_shingles)).cast("int").alias("blocks"))
+    member = paths.join(once, ["tree", "d", "path"]).select("node", "depth", "tree", "d", "path", "blocks", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int").alias("block"))
     member = staged(member, "forest-members")
-    units = member.select("node", "tree", F.col("path").alias("key"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select("node", "tree", "key", "block", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"))
+    units = member.select("node", "depth", "tree", "d", F.col("path").alias("key"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select("node", "depth", "tree", "d", "key", "block", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"))
     wanted = member.select("node").distinct()
-    whole = nodes.join(wanted, "node", "left_semi").select("node", "keys", "copies").join(_sets(docs, text, n, wanted), "node")
-    work = units.join(whole, "node").repartition("tree", "key", "bi", "bj").sortWithinPartitions("tree", "key", "bi", "bj")
-    links = staged(work.select("tree", "key", "bi", "bj", "node", "block", "keys", "copies", "set").mapInArrow(_verifier(threshold), "node binary, links long, linked long, root binary"), "forest-links")
+    whole = nodes.join(wanted, "node", "left_semi").select("node", "paths", "copies").join(_sets(docs, text, n, wanted), "node")
+    unit = ("tree", "d", "key", "bi", "bj")
+    work = units.join(whole, "node").repartition(*unit).sortWithinPartitions(*unit)
+    links = staged(work.select(*unit, "node", "block", "paths", "depth", "copies", "set").mapInArrow(_verifier(threshold), "node binary, links long, linked long, root binary"), "forest-links")
+    for done in (matched, paths, member):
+        dropped(spark, done)
     sums = links.groupBy("node").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked"))
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    temporary = [sig, nodes, links, roots]
     known = nodes.join(sums, "node", "left").join(roots, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("linked", F.lit(0)).alias("linked"))
     linked = known.filter("links > 0")
     first = linked.groupBy("root").agg(F.min("least").alias("top"))
     linked = linked.join(first, "root").select("node", "top", "copies", "links", "linked")
     alone = known.filter("links = 0").select("node", F.col("least").alias("top"), "copies", "links", "linked")
     out = sig.select("key", "row_key", "node").join(linked.unionByName(alone), "node")
-    return out.select(F.col("key").alias(key), "row_key", F.col("top.key").alias("class_id"), (F.col("copies") - 1 + F.col("linked")).alias("n_links"), F.col("links").alias("n_text_links"), F.col("top.row_key").alias("keeper"))
+    out = out.select(F.col("key").alias(key), "row_key", F.col("top.key").alias("class_id"), (F.col("copies") - 1 + F.col("linked")).alias("n_links"), F.col("links").alias("n_text_links"), F.col("top.row_key").alias("keeper"))
+    return out, temporary
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -270,7 +367,10 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
     Rows that go, and kept rows that occur more than once, are found by their row keys. A row meets the exact join only if
     its class has several rows; the others pass by a filter of fixed size.
     """
-    found = staged(join(docs, key, text, **options), "forest-join")
+    found, temporary = _joined(docs, key, text, **options)
+    found = staged(found, "forest-join")
+    for done in temporary:
+        dropped(docs.sparkSession, done)
     return filtered(docs, key, text, found.filter("n_links > 0").groupBy("row_key").agg(F.max((F.col("row_key") == F.col("keeper")).cast("int")).alias("stays")))
 
 

@@ -242,9 +242,9 @@ def test_pairs_at_the_threshold_are_links(spark):
     lost = []
     for k in range(1, 251):
         x = np.arange(5 * k, dtype=np.uint64)
-        sides = [([n], np.zeros((1, 1), np.int64), [s], np.ones(1, np.int64)) for n, s in ((b"a", x), (b"b", x[: 4 * k]))]
-        lost += [k] if not op5_jaccard_join._verified(0, False, tuple(sides), 0.8) else []
-        assert not op5_jaccard_join._verified(0, False, (sides[0], ([b"b"], np.zeros((1, 1), np.int64), [x[: 4 * k - 1]], np.ones(1, np.int64))), 0.8)
+        side = lambda n, s: ([n], np.zeros((1, 1), np.int64), np.array([4]), [s], np.ones(1, np.int64))
+        lost += [k] if not op5_jaccard_join._verified(0, 4, False, (side(b"a", x), side(b"b", x[: 4 * k])), 0.8) else []
+        assert not op5_jaccard_join._verified(0, 4, False, (side(b"a", x), side(b"b", x[: 4 * k - 1])), 0.8)
     assert lost == []
 
 
@@ -267,9 +267,61 @@ def test_jaccard_join_of_odd_tables(spark):
     assert len(kept) == len(ODD) - 2
 
 
-def test_prefixes_are_shortened_until_the_recall():
-    d = op5_jaccard_join.prefix_depth(0.8, 24, 0.99999)
+def test_prefixes_are_shortened_until_the_recall(spark):
+    d = op5_jaccard_join.least_depth(0.8, 24, 0.99999)
     assert 1 - (1 - 0.8**d) ** 24 >= 0.99999 > 1 - (1 - 0.8 ** (d + 1)) ** 24
+    bounds = op5_jaccard_join.stops(0.8, 24, 0.99)
+    low = op5_jaccard_join.least_depth(0.8, 24, 0.99)
+    assert list(bounds) == list(range(8, low - 1, -1))
+    # partners at the threshold: shares of digits drawn as the model says, and what is missed
+    shared = np.minimum(np.random.default_rng(4).geometric(0.2, (200_000, 24)) - 1, 8)
+    depth = np.array([next(d for d, most in bounds.items() if s <= most) for s in shared.sum(1)])
+    assert 0.5 * (1 - 0.8**low) ** 24 < (shared.max(1) < depth).mean() <= 0.01
+    rows = [("alone", 1)] * 5 + [("copies", 8)] * 24
+    got = {r.node: r.depth for r in op5_jaccard_join.depth_of(spark.createDataFrame(rows, "node string, m int"), op5_jaccard_join.stops(0.8, 24, 0.99999)).collect()}
+    assert got == {"alone": 8, "copies": d}
+
+
+def test_longest_matches_of_sorted_paths(spark):
+    rng = np.random.default_rng(3)
+    digits = rng.integers(0, 3, (400, 8)).astype(">u2")
+    rows = [(bytes([i // 256, i % 256]), int(i % 2), bytearray(x.tobytes())) for i, x in enumerate(digits)]
+    df = spark.createDataFrame(rows, "node binary, tree int, path binary").coalesce(1)
+    with common.batches_of(spark, 7):
+        got = {bytes(r.node): r.m for r in df.sortWithinPartitions("tree", "path").mapInArrow(op5_jaccard_join._neighbours(8), "node binary, tree int, path binary, m int").collect()}
+    ends = [sorted(rows, key=lambda r: (r[1], bytes(r[2])))[i][0] for i in (0, -1)]
+    for node, tree, path in rows:
+        best = max(next((d for d in range(8) if path[2 * d : 2 * d + 2] != p[2 * d : 2 * d + 2]), 8) for n, t, p in rows if t == tree and n != node)
+        assert got.get(node, 0) == (8 if node in ends else best)
+
+
+def test_pairs_near_the_threshold_are_found(spark):
+    rng = random.Random(44)
+    rows = []
+    for i in range(300):  # similarity from 0.8 to 0.82
+        words = [f"v{rng.randrange(10**7)}" for _ in range(200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: rng.randint(161, 164)]))]
+    got = op5_jaccard_join.join(table(spark, rows)).filter("n_text_links = 1").count()
+    assert got == 600
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB_ROWS", 5)
+    rng = random.Random(5)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(40)] + [(300, 200 + i) for i in range(60)] + [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(80)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: top(x) for x in root if top(x) != x}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_matrix_and_pairwise_intersections_agree():
