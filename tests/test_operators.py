@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,66 @@ def test_depth_below_and_infeasible():
         depth.profile([pipe(10.0, 5.0)], {"r", "t"})
 
 
+def cheapest_on_a_grid(length, windows, rate, step=0.5, unit=0.05):
+    """Least price of a pipe between fixed ends, by a table of stations and depths, all combinations of passages."""
+    n, depths = round(length / step), [round(0.7 + unit * i, 2) for i in range(80)]
+    factor = [max([f for lo, hi, f, *_ in windows if lo <= (i + 0.5) * step <= hi], default=1.0) for i in range(n)]
+    level = [any(lo <= (i + 0.5) * step <= hi for lo, hi, *_ in windows) for i in range(n)]
+    best = math.inf
+    for above in itertools.product((True, False), repeat=len(windows)):
+        if any(up and w[3] is None for up, w in zip(above, windows)):
+            continue
+        fits = lambda i, d, above=above: all((d <= w[3] + 1e-9 if up else d >= w[4] - 1e-9) for up, w in zip(above, windows) if w[0] - 1e-9 <= i * step <= w[1] + 1e-9)
+        cost = {d: 0.0 if abs(d - 3) < 1e-9 and fits(0, d) else math.inf for d in depths}
+        for i in range(n):
+            after = dict.fromkeys(depths, math.inf)
+            for k, d in enumerate(depths):
+                if not fits(i + 1, d):
+                    continue
+                for j in (k,) if level[i] else (k - 1, k, k + 1):
+                    if 0 <= j < len(depths):
+                        mean = (max(0, d - 3) + max(0, depths[j] - 3)) / 2
+                        after[d] = min(after[d], cost[depths[j]] + step * rate * (1 + 0.1 * mean) * factor[i])
+            cost = after
+        best = min(best, cost[3.0])
+    return best
+
+
+def test_depth_against_a_grid():
+    rng = random.Random(8)
+    rate, solved = 74023.0, 0
+    for _ in range(25):
+        length = rng.randint(20, 60)
+        windows = []
+        for k in range(rng.randint(1, 3)):
+            at = rng.randint(2, length - 2)
+            windows.append((at - 2.0, at + 2.0, rng.choice([1.05, 1.15, 1.25]), rng.choice([None, 2.0, 2.4, 2.75]), rng.choice([3.2, 3.4, 4.0, 1.0])))
+        pipes = [depth.Pipe("r", "t", float(length), 50, [depth.Crossing(*w, id=str(k)) for k, w in enumerate(windows)])]
+        want = cheapest_on_a_grid(length, windows, rate)
+        if want == math.inf:
+            with pytest.raises(ValueError, match="No feasible"):
+                depth.profile(pipes, {"r", "t"})
+            continue
+        pieces = depth.profile(pipes, {"r", "t"})
+        solved += 1
+        got = sum((p.hi - p.lo) * rate * p.factor * (1 + 0.1 * (max(0, p.start_depth - 3) + max(0, p.end_depth - 3)) / 2) for p in pieces)
+        assert got == pytest.approx(want)
+        assert (pieces[0].lo, pieces[-1].hi) == (0.0, length)
+        for p, q in itertools.pairwise(pieces):
+            assert (p.hi, p.end_depth) == (pytest.approx(q.lo), pytest.approx(q.start_depth))
+        assert all(abs(p.end_depth - p.start_depth) <= 0.1 * (p.hi - p.lo) + 1e-9 for p in pieces)
+    assert solved > 8
+
+
+def test_depth_is_shared_at_junctions():
+    a, b, c = depth.Pipe("r", "j", 30.0, 50, [depth.Crossing(26.0, 30.0, 1.6, None, 4.0, "road")]), depth.Pipe("j", "t", 20.0, 50), depth.Pipe("j", "u", 20.0, 50)
+    pieces = depth.profile([a, b, c], {"r", "t", "u"})
+    assert [p.start_depth for p in pieces if p.pipe in (1, 2) and p.lo == 0] == [pytest.approx(4.0)] * 2
+    assert depth.profile([depth.Pipe("r", "t", 30.0, 50), depth.Pipe("t", "u", 10.0, 50)], {"r"})[1].end_depth == 3.0
+    many = [depth.Crossing(10.0 * k + 3, 10.0 * k + 7, 1.15, 2.9, 3.1, str(k)) for k in range(10)]
+    assert max(p.end_depth for p in depth.profile([depth.Pipe("r", "t", 100.0, 50, many)], {"r", "t"})) == 3.0
+
+
 def district():
     pts = {"r": (0.0, 0.0), "t1": (90.0, 10.0), "t2": (90.0, -10.0)} | {(i, j): (float(i), float(j)) for i in range(0, 91, 10) for j in (-10, 0, 10)}
     near = {}
