@@ -237,7 +237,7 @@ def _looked_up(key: str, pairs: list) -> Column:
 
 
 #: Rows of a node's links that one task may join, at least, and hubs that are broadcast, at most (about 48 bytes each).
-HUB_ROWS, MOST_HUBS = 256, 100_000
+HUB_ROWS, MOST_HUBS = 64, 100_000
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -2,7 +2,8 @@
 
 A text is the set of its shingles of ``n`` words (five). Texts with one set are a class of copies; only classes are joined.
 
-1. A class has a path of ``MAX_DEPTH`` digits in each of ``trees`` prefix tries: a digit is 16 bits of a MinHash value.
+1. A class has a path of ``MAX_DEPTH`` digits in each of ``trees`` prefix tries: a digit is 16 bits of a MinHash value, but
+   the first one is the whole hash of the shingle of least value, so that paths rarely match by chance at any number of rows.
    The paths of a trie are sorted, by ranges of (tree, path, class), so that a hot path is shared between tasks; equal
    prefixes are then neighbours, and the longer prefix that a path shares with its neighbours is its longest match.
 2. A class begins with whole paths and shortens them, a digit at a time in all tries, until its recall is enough
@@ -76,22 +77,37 @@ def least_depth(threshold: float, trees: int, recall: float, deepest: int = MAX_
 
 
 def tree_paths(x: np.ndarray, trees: int, depth: int = MAX_DEPTH) -> np.ndarray:
-    """For each tree the path of the set: ``depth`` digits of 16 bits, high byte first so that bytes sort as digits do."""
-    a, b = _permutations(trees * depth)
-    h = (x >> np.uint64(32)).astype(np.uint32)
+    """For each tree the path of the set, as records of ``_digits``; high bytes first so that bytes sort as digits do."""
+    a, b, back = _permutations(trees * depth)
+    h = (x >> np.uint64(32)).astype(np.uint32)  # ascending as x is
     low = np.full(trees * depth, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(h), 512):
         part = h[i : i + 512, None] * a
         part += b
         np.minimum(low, part.min(0), out=low)
-    return (low & np.uint32(0xFFFF)).astype(">u2")
+    low = low.reshape(depth, trees)
+    out = np.zeros(trees, dtype=_digits(depth))
+    out["first"] = x[np.searchsorted(h, (low[0] - b[:trees]) * back[:trees])]
+    out["more"] = (low[1:] & np.uint32(0xFFFF)).T
+    return out
+
+
+def _digits(depth: int) -> np.dtype:
+    return np.dtype([("first", ">u8"), ("more", ">u2", (depth - 1,))])
+
+
+def _bytes(depth: int) -> int:
+    """Length of a prefix."""
+    return 6 + 2 * depth
 
 
 @lru_cache(8)
-def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """h -> a * h + b modulo 2**32 with odd factors, and the factors that undo them."""
     rng = np.random.default_rng(20)
     a, b = (rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) for _ in range(2))
-    return a | np.uint32(1), b
+    a |= np.uint32(1)
+    return a, b, np.array([pow(int(v), -1, 1 << 32) for v in a], dtype=np.uint32)
 
 
 def _neighbours(depth: int):
@@ -101,8 +117,9 @@ def _neighbours(depth: int):
 
     def matched(tree, path, above, below):
         """above, below: matches of the first row with the one before it and of the last one with the one after it"""
-        digits = np.frombuffer(b"".join(path.to_pylist()), dtype=">u2").reshape(-1, depth)
-        same = (digits[1:] == digits[:-1]) & (tree[1:] == tree[:-1])[:, None]
+        digits = np.frombuffer(b"".join(path.to_pylist()), dtype=_digits(depth))
+        first, more = digits["first"], digits["more"]
+        same = np.column_stack([(first[1:] == first[:-1]) & (tree[1:] == tree[:-1]), more[1:] == more[:-1]])
         lcp = np.concatenate([[above], np.logical_and.accumulate(same, axis=1).sum(1), [below]])
         return np.maximum(lcp[:-1], lcp[1:]).astype(np.int32)
 
@@ -120,7 +137,8 @@ def _neighbours(depth: int):
                 continue
             if held is not None:
                 p, q = held.column("path")[-1].as_py(), batch.column("path")[0].as_py()
-                link = 0 if held.column("tree")[-1] != batch.column("tree")[0] else next((i // 2 for i in range(2 * depth) if p[i] != q[i]), depth)
+                shared = next((i for i in range(len(p)) if p[i] != q[i]), len(p)) if held.column("tree")[-1] == batch.column("tree")[0] else 0
+                link = max(0, (shared - 6) // 2)
                 yield result(held, link)
                 above = link
             held = batch
@@ -229,10 +247,10 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray], want: np.ndarray) -
 
 def _prefixes(paths: list[bytes], trees: int, depth: int) -> np.ndarray:
     """A number for each member's prefix of ``depth`` digits in each of the first ``trees`` tries."""
-    digits = np.array([np.frombuffer(p, dtype=">u2", count=trees * MAX_DEPTH) for p in paths]).reshape(len(paths), trees, MAX_DEPTH).astype(np.uint64)
-    out = np.zeros(digits.shape[:2], dtype=np.uint64)
-    for d in range(depth):
-        out = mixed(out * MIX + digits[:, :, d] + np.uint64(1))
+    digits = np.stack([np.frombuffer(p, dtype=_digits(MAX_DEPTH), count=trees) for p in paths])
+    out = mixed(digits["first"].astype(np.uint64))
+    for d in range(depth - 1):
+        out = mixed(out * MIX + digits["more"][:, :, d].astype(np.uint64) + np.uint64(1))
     return out
 
 
@@ -328,13 +346,13 @@ def _joined(docs: DataFrame, key: str, text: str, n: int = WORDS, threshold: flo
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("row_key"))
     nodes = staged(sig.groupBy("node").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths")), "forest-classes")
     least = least_depth(threshold, trees, recall)
-    entries = nodes.select("node", "paths", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("node", "tree", F.expr(f"substring(paths, tree * {2 * MAX_DEPTH} + 1, {2 * MAX_DEPTH})").alias("path"))
+    entries = nodes.select("node", "paths", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("node", "tree", F.expr(f"substring(paths, tree * {_bytes(MAX_DEPTH)} + 1, {_bytes(MAX_DEPTH)})").alias("path"))
     with batches_of(spark, 10_000):  # narrow rows
         tries = entries.repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path").mapInArrow(_neighbours(MAX_DEPTH), "node binary, tree int, path binary, m int")
         matched = staged(tries, "forest-tries")
     depths = depth_of(matched, stops(threshold, trees, recall))
     asked = matched.filter(F.col("m") >= least).join(depths, "node").join(nodes.select("node", "size"), "node")
-    paths = asked.select("node", "size", "depth", "tree", F.explode(F.sequence(F.lit(least), F.col("m"))).alias("d"), "path").withColumn("path", F.expr("xxhash64(tree, d, substring(path, 1, 2 * d))"))
+    paths = asked.select("node", "size", "depth", "tree", F.explode(F.sequence(F.lit(least), F.col("m"))).alias("d"), "path").withColumn("path", F.expr("xxhash64(tree, d, substring(path, 1, 6 + 2 * d))"))
     paths = staged(paths, "forest-prefixes")
     groups = paths.groupBy("tree", "d", "path").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("shingles"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("also"), F.max(F.col("depth") == F.col("d")).alias("asks")).filter("rows > 1 and asks")
     once = groups.groupBy("d", "rows", "members", "also").agg(F.min(F.struct("tree", "path", "shingles")).alias("g")).select("g.tree", "d", "g.path", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("g.shingles") / block_shingles)).cast("int").alias("blocks"))

@@ -284,17 +284,28 @@ def test_prefixes_are_shortened_until_the_recall(spark):
 
 def test_longest_matches_of_sorted_paths(spark):
     rng = np.random.default_rng(3)
-    digits = rng.integers(0, 3, (400, 8)).astype(">u2")
+    digits = np.zeros(400, dtype=op5_jaccard_join._digits(8))
+    digits["first"], digits["more"] = rng.integers(0, 3, 400), rng.integers(0, 3, (400, 7))
     rows = [(bytes([i // 256, i % 256]), int(i % 2), bytearray(x.tobytes())) for i, x in enumerate(digits)]
     df = spark.createDataFrame(rows, "node binary, tree int, path binary").coalesce(1)
     with common.batches_of(spark, 7):
         got = {bytes(r.node): r.m for r in df.sortWithinPartitions("tree", "path").mapInArrow(op5_jaccard_join._neighbours(8), "node binary, tree int, path binary, m int").collect()}
     ends = [sorted(rows, key=lambda r: (r[1], bytes(r[2])))[i][0] for i in (0, -1)]
+    cut = lambda p: [p[:8], *(p[i : i + 2] for i in range(8, 22, 2))]
     for node, tree, path in rows:
-        best = max(next((d for d in range(8) if path[2 * d : 2 * d + 2] != p[2 * d : 2 * d + 2]), 8) for n, t, p in rows if t == tree and n != node)
+        best = max(next((d for d in range(8) if cut(path)[d] != cut(p)[d]), 8) for n, t, p in rows if t == tree and n != node)
         assert got.get(node, 0) == (8 if node in ends else best)
 
 
+def test_paths_hold_the_shingles_of_least_value():
+    x = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 3000, dtype=np.uint64))
+    a, b, _ = op5_jaccard_join._permutations(24 * 8)
+    values = ((x >> np.uint64(32)).astype(np.uint32)[:, None] * a + b).reshape(len(x), 8, 24)
+    got = op5_jaccard_join.tree_paths(x, 24)
+    assert (got["first"] == x[values[:, 0].argmin(0)]).all()
+    assert (got["more"] == (values[:, 1:].min(0) & 0xFFFF).T).all()
+
+
 def test_pairs_near_the_threshold_are_found(spark):
     rng = random.Random(44)
     rows = []
