@@ -1,0 +1,110 @@
+"""Areas with holes as arrays of their sides, and the parts of a leg that lie in an area or near it.
+
+A part is found by its ends: all places where a leg may enter or leave are its stations, and between two neighbouring stations
+nothing changes, so the middle decides for the whole. Kernels for the few pairs of legs and areas that joins leave over.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+#: Metres: a point this near to the boundary is in the area.
+ON_BOUNDARY = 1e-7
+
+
+class Area:
+    """Polygons (lists of rings, shell first) as rows of sides from ``a`` to ``b``, with the polygon that each belongs to."""
+
+    def __init__(self, polygons) -> None:
+        rows = [(i, j == 0, *p, *q) for i, rings in enumerate(polygons) for j, ring in enumerate(rings) for p, q in zip(ring, [*ring[1:], *ring[:1]], strict=True) if tuple(p) != tuple(q)]
+        table = np.array(rows, dtype=float).reshape(-1, 6)
+        self.polygon, self.outer = table[:, 0].astype(int), table[:, 1] > 0
+        self.a, self.b = table[:, 2:4], table[:, 4:6]
+
+    @classmethod
+    def of(cls, cells) -> Area:
+        """From nested rows of points (x, y)."""
+        return cls([[[(p["x"], p["y"]) for p in ring] for ring in polygon] for polygon in cells])
+
+    def feet(self, points: np.ndarray, outer: bool = False) -> np.ndarray:
+        """The nearest place of each side, for each point; with ``outer`` of the sides of shells only."""
+        a, b = (self.a[self.outer], self.b[self.outer]) if outer else (self.a, self.b)
+        way = b - a
+        t = np.clip(((points[:, None] - a) * way).sum(2) / (way**2).sum(1), 0, 1)
+        return a + t[..., None] * way
+
+    def distance(self, points: np.ndarray, outer: bool = False) -> np.ndarray:
+        """Distance to the boundary."""
+        off = self.feet(points, outer) - points[:, None]
+        return np.hypot(off[..., 0], off[..., 1]).min(1, initial=np.inf)
+
+    def holds(self, points: np.ndarray) -> np.ndarray:
+        """Whether points are in the area: a ray to the right crosses a polygon's sides an odd number of times."""
+        x, y = points[:, :1], points[:, 1:]
+        (ax, ay), (bx, by) = self.a.T, self.b.T
+        spans = (ay > y) != (by > y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            crossed = spans & (x < ax + (y - ay) / (by - ay) * (bx - ax))
+        odd = np.zeros((len(points), self.polygon.max(initial=0) + 1), dtype=int)
+        np.add.at(odd.T, self.polygon, crossed.T)
+        return (odd % 2 == 1).any(1) | (self.distance(points) <= ON_BOUNDARY)
+
+    def leg_distance(self, p: np.ndarray, q: np.ndarray) -> float:
+        """Distance of a leg to the area, 0 where they meet."""
+        if len(self.cuts(p, q)) or self.holds(np.array([p]))[0]:
+            return 0.0
+        way = q - p
+        ends = np.concatenate([self.a, self.b]) - p
+        t = np.clip(ends @ way / max(way @ way, 1e-300), 0, 1)
+        return min(float(self.distance(np.array([p, q])).min()), float(np.hypot(*(ends - t[:, None] * way).T).min(initial=np.inf)))
+
+    def cuts(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Fractions of the leg at which it crosses a side."""
+        way, side, off = q - p, self.b - self.a, self.a - p
+        det = way[0] * side[:, 1] - way[1] * side[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (off[:, 0] * side[:, 1] - off[:, 1] * side[:, 0]) / det
+            u = (off[:, 0] * way[1] - off[:, 1] * way[0]) / det
+            met = (np.abs(det) > 1e-12) & (np.abs(t - 0.5) <= 0.5 + 1e-8) & (np.abs(u - 0.5) <= 0.5 + 1e-8)
+        return np.clip(t[met], 0, 1)
+
+    def reached(self, p: np.ndarray, q: np.ndarray, reach: float) -> np.ndarray:
+        """Fractions of the leg at which its distance to some side may be just ``reach``: on the circles around the side's ends,
+        and on the two lines beside it."""
+        way = q - p
+        square = way @ way
+        off = np.concatenate([self.a, self.b]) - p
+        half = off @ way / square
+        root = half**2 - ((off**2).sum(1) - reach**2) / square
+        half, root = half[root >= 0], np.sqrt(root[root >= 0])
+        side = self.b - self.a
+        normal = np.column_stack([-side[:, 1], side[:, 0]]) / np.hypot(*side.T)[:, None]
+        now, rate = -((self.a - p) * normal).sum(1), normal @ way
+        level = np.abs(rate) > 1e-15
+        beside = [(sign * reach - now[level]) / rate[level] for sign in (1, -1)]
+        t = np.concatenate([half - root, half + root, *beside])
+        return t[(t >= 0) & (t <= 1)]
+
+    def parts(self, p, q, reach: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lo, hi, on) of the leg's parts, stations in metres; ``on``: in the area, or with ``reach`` also so near to it."""
+        p, q = np.asarray(p, dtype=float), np.asarray(q, dtype=float)
+        size = float(np.hypot(*(q - p)))
+        if not size:
+            return np.zeros(0), np.zeros(0), np.zeros(0, dtype=bool)
+        at = np.unique(np.concatenate([[0.0, 1.0], self.cuts(p, q), self.reached(p, q, reach) if reach is not None else []]))
+        middle = p + ((at[:-1] + at[1:]) / 2)[:, None] * (q - p)
+        on = self.holds(middle)
+        if reach is not None:
+            on |= self.distance(middle) <= reach
+        return at[:-1] * size, at[1:] * size, on
+
+    def covered(self, p, q) -> float:
+        """Length of the leg within the area."""
+        lo, hi, on = self.parts(p, q)
+        return float((hi - lo)[on].sum())
+
+    def runs(self, p, q, reach: float | None = None) -> list[tuple[float, float]]:
+        """The parts that are on, neighbouring ones as one."""
+        lo, hi, on = self.parts(p, q, reach)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(int), [0]])))
+        return [(float(lo[i]), float(hi[j - 1])) for i, j in zip(edge[::2], edge[1::2], strict=True)]

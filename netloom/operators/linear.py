@@ -80,9 +80,8 @@ def pieces(lines: DataFrame, windows: DataFrame, key: str, length: str = "length
 
 def line_hits(legs_with_station: DataFrame, objects: DataFrame, key: str) -> DataFrame:
     """(key, id, kind, factor, at): stations where legs (…, station of a, len) cross object legs (id, kind, factor, cx, cy, dx, dy)."""
-    from .spatial import bucket_join
+    from .spatial import boxed, bucket_join
 
-    boxed = lambda df, a, b, t: df.withColumns({f"{t}0": F.least(f"{a}x", f"{b}x"), f"{t}1": F.least(f"{a}y", f"{b}y"), f"{t}2": F.greatest(f"{a}x", f"{b}x"), f"{t}3": F.greatest(f"{a}y", f"{b}y")})
     t = intersection_at(*(F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy")))
     met = bucket_join(boxed(legs_with_station, "a", "b", "_s"), boxed(objects, "c", "d", "_t"), 0.0, ("_s0", "_s1", "_s2", "_s3"), ("_t0", "_t1", "_t2", "_t3"), t.isNotNull(), cell=20.0)
     return met.select(key, "id", "kind", "factor", F.round(F.col("station") + t * F.col("len"), 7).alias("at")).distinct()

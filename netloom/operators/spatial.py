@@ -38,6 +38,11 @@ def bucket_join(left: DataFrame, right: DataFrame, radius: float, left_box: tupl
     return (met if test is None else met.filter(test)).drop("_cx", "_cy", "_lx", "_ly", "_rx", "_ry")
 
 
+def boxed(df: DataFrame, a: str, b: str, tag: str) -> DataFrame:
+    """With the box (tag 0 to 3) of the legs between the points a and b."""
+    return df.withColumns({f"{tag}0": F.least(f"{a}x", f"{b}x"), f"{tag}1": F.least(f"{a}y", f"{b}y"), f"{tag}2": F.greatest(f"{a}x", f"{b}x"), f"{tag}3": F.greatest(f"{a}y", f"{b}y")})
+
+
 def within(left: DataFrame, right: DataFrame, radius: float, lxy: tuple[str, str], rxy: tuple[str, str]) -> DataFrame:
     """Band join of points: pairs at a distance of at most ``radius``, with ``d``."""
     d = distance(*(F.col(c) for c in (*lxy, *rxy)))
@@ -69,7 +74,6 @@ def nearest_all(pairs: DataFrame, key: str, d: str = "d", slack: float = 1e-6) -
 
 def blocked(segments: DataFrame, boundaries: DataFrame, reach: float, gap: Column, keys: tuple[str, ...]) -> DataFrame:
     """Keys of segments (ax, ay, bx, by) nearer to a boundary leg (cx, cy, dx, dy) than ``gap``, which is at most ``reach``."""
-    boxed = lambda df, a, b, t: df.withColumns({f"{t}0": F.least(f"{a}x", f"{b}x"), f"{t}1": F.least(f"{a}y", f"{b}y"), f"{t}2": F.greatest(f"{a}x", f"{b}x"), f"{t}3": F.greatest(f"{a}y", f"{b}y")})
     d = segment_segment(*(F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy")))
     met = bucket_join(boxed(segments, "a", "b", "_s"), boxed(boundaries, "c", "d", "_t"), reach, ("_s0", "_s1", "_s2", "_s3"), ("_t0", "_t1", "_t2", "_t3"), d < gap)
     return met.select(*keys).distinct()
@@ -81,10 +85,9 @@ def clear(segments: DataFrame, boundaries: DataFrame, reach: float, gap: Column,
 
 def edge_distances(segments: DataFrame, boundaries: DataFrame, reach: float, keys: tuple[str, ...], kind: str = "kind") -> DataFrame:
     """(keys, kind, d): least distance of each segment to boundaries of each kind within reach."""
-    boxed = lambda df, a, b, t: df.withColumns({f"{t}0": F.least(f"{a}x", f"{b}x"), f"{t}1": F.least(f"{a}y", f"{b}y"), f"{t}2": F.greatest(f"{a}x", f"{b}x"), f"{t}3": F.greatest(f"{a}y", f"{b}y")})
     d = segment_segment(*(F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy")))
-    met = bucket_join(boxed(segments, "a", "b", "_s"), boxed(boundaries, "c", "d", "_t"), reach, ("_s0", "_s1", "_s2", "_s3"), ("_t0", "_t1", "_t2", "_t3"), d <= reach)
-    return met.groupBy(*keys, kind).agg(F.min(d).alias("d"))
+    met = bucket_join(boxed(segments, "a", "b", "_s"), boxed(boundaries, "c", "d", "_t"), reach, ("_s0", "_s1", "_s2", "_s3"), ("_t0", "_t1", "_t2", "_t3"), cell=max(20.0, 2 * reach))
+    return met.withColumn("d", d).groupBy(*keys, kind).agg(F.min("d").alias("d")).filter(F.col("d") <= reach)
 
 
 def largest_dn(kind: Column, d: Column) -> Column:

@@ -2,51 +2,105 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from netloom.operators import grid, routes
+from netloom.operators.areas import Area
 
 
-def box(x0, y0, x1, y1):
-    return [[[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]]
-
-
-def test_clearance_depends_on_size():
-    house = [("h", "oks", box(-10, -10, 10, 10))]
-    line = [(-30.0, 16.0), (30.0, 16.0)]
-    assert routes.path_violation(line, 125, house) is None
-    assert "forbidden" in routes.path_violation(line, 500, house)
-
-
-def test_entry_by_the_nearest_facade():
-    house = [("h", "oks", box(-10, -10, 10, 10))]
-    home = [(1.0, 0.0)]
-    assert routes.path_violation([(1.0, 0.0), (20.0, 0.0)], 50, house, home, entry=True) is None
-    assert "nearest facade" in routes.path_violation([(1.0, 0.0), (-20.0, 0.0)], 50, house, home, entry=True)
-    assert "forbidden" in routes.path_violation([(1.0, 0.0), (20.0, 0.0)], 50, house, home)
+XY = "array<struct<x:double,y:double>>"
 
 
-def test_route_shape():
-    assert "90 degrees" in routes.path_violation([(0, 0), (10, 0), (1, 1)], 50, [])
-    assert routes.path_violation([(0, 0), (math.nan, 0)], 50, []) == "empty or non-finite route"
-    assert not routes.simple([(0, 0), (10, 0), (10, 10), (5, 10), (5, -5)])
-
-
-def test_within_is_exact_around_corners():
-    (lo, hi), = routes.within((0.0, 15.0), (40.0, 15.0), box(10, 0, 30, 10), 13.0)
-    assert (lo, hi) == (0.0, 40.0)
-    (lo, hi), = routes.within((-20.0, 15.0), (60.0, 15.0), box(10, 0, 30, 10), 13.0)
-    assert (lo, hi) == (pytest.approx(20 + 10 - 12), pytest.approx(20 + 30 + 12))
-    assert routes.inside((0.0, 5.0), (40.0, 5.0), box(10, 0, 30, 10)) == [(10.0, 30.0)]
-
-
-def test_crossing_weight_sweeps_overlaps():
-    road = ("road", [], box(18, -5, 22, 5))
-    gas = ("gas_pipeline", [[(20.0, -5.0), (20.0, 5.0)]], [])
-    assert routes.crossing_weight((0, 0), (50, 0), 50, 1.0, [road, gas]) == pytest.approx(10 * 0.6)
-    assert routes.crossing_weight((0, 0), (50, 0), 50, 1.0, [gas]) == pytest.approx(4 * 0.25)
-    assert routes.crossing_weight((19, 0), (50, 0), 50, 1.0, [gas]) == math.inf
+def box(x0, y0, x1, y1):
+    return [[[(float(x), float(y)) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]]]
+
+
+def broken(spark, cases, obstacles, entry=True):
+    """Rules that routes (points, dn, homes) break, by their number."""
+    xy = lambda ps: [(float(x), float(y)) for x, y in ps]
+    r = spark.createDataFrame([(i, dn, xy(ps), xy(homes)) for i, (ps, dn, homes) in enumerate(cases)], f"route int, dn int, points {XY}, homes {XY}")
+    o = spark.createDataFrame(obstacles, f"obstacle string, kind string, area array<array<{XY}>>")
+    out = [set() for _ in cases]
+    for v in routes.violations(r, o, entry).collect():
+        out[v.route].add(v.rule)
+    return out
+
+
+HOUSE = [("h", "oks", box(-10, -10, 10, 10))]
+
+
+def test_clearance_depends_on_size(spark):
+    line = [(-30, 16), (30, 16)]
+    through, within = [(-30, 0), (30, 0)], [(-2, 0), (2, 0)]
+    assert broken(spark, [(line, 125, []), (line, 500, []), (through, 125, []), (within, 50, [])], HOUSE) == [set(), *[{"forbidden envelope"}] * 3]
+    court = [("h", "oks", [[*box(-100, -100, 100, 100)[0], *box(-50, -50, 50, 50)[0]]])]
+    assert broken(spark, [(within, 50, []), ([(0, 0), (48, 0)], 50, [])], court) == [set(), {"forbidden envelope"}]
+
+
+def test_entry_by_the_nearest_facade(spark):
+    home = [(1, 0)]
+    cases = [([(1, 0), (20, 0)], 50, home), ([(1, 0), (-20, 0)], 50, home), ([(20, 0), (1, 0)], 50, home)]
+    assert broken(spark, cases, HOUSE) == [set(), {"entry must use the nearest facade"}, set()]
+    assert broken(spark, cases[:1], HOUSE, entry=False) == [{"forbidden envelope"}]
+    centre = [(0, 0)]
+    cases = [
+        ([(40, 20), (25, 0), (0, 0)], 125, centre),
+        ([(30, 20), (0, 5), (0, 0)], 125, centre),
+        ([(30, 20), (0, 14), (0, 0)], 125, centre),
+        ([(30, 20), (3, 14), (0, 14), (0, 0)], 125, centre),
+        ([(-30, 0), (30, 0)], 125, []),
+        ([(40, 0), (0, 0)], 125, [(40, 0)]),
+    ]
+    assert broken(spark, cases, HOUSE) == [set(), {"entry must use the nearest facade"}, set(), {"invalid departure"}, {"forbidden envelope"}, {"forbidden envelope"}]
+
+
+def test_route_shape(spark):
+    cases = [([(0, 0), (10, 0), (1, 1)], 50, []), ([(0, 0), (math.nan, 0)], 50, []), ([(0, 0)], 50, []), ([(0, 0), (10, 0), (10, 10), (5, 10), (5, -5)], 50, []), ([(0, 0), (10, 0), (10, 10)], 50, [])]
+    real = "empty or non-finite route"
+    assert broken(spark, cases, HOUSE[:0] + [("far", "water", box(900, 900, 901, 901))]) == [{"turn exceeds 90 degrees"}, {real}, {real}, {"route meets itself"}, set()]
+
+
+def test_near_is_exact_around_corners():
+    area = Area(box(10, 0, 30, 10))
+    assert area.runs((-20, 15), (60, 15), 13.0) == [(pytest.approx(20 + 10 - 12), pytest.approx(20 + 30 + 12))]
+    assert area.runs((0, 15), (40, 15), 13.0) == [(0.0, 40.0)]
+    assert area.runs((0, 5), (40, 5)) == [(10.0, 30.0)]
+    assert area.leg_distance(np.array([0.0, 15.0]), np.array([40.0, 15.0])) == 5.0
+    court = Area([[*box(0, 0, 30, 30)[0], *box(10, 10, 20, 20)[0]], *box(40, 0, 50, 30)])
+    assert court.runs((-10, 15), (60, 15)) == [(10.0, 20.0), (30.0, 40.0), (50.0, 60.0)]
+    rng = np.random.default_rng(1)
+    for _ in range(50):  # against many points of the leg
+        p, q, reach = rng.uniform(-20, 70, 2), rng.uniform(-20, 50, 2), rng.uniform(0.5, 12)
+        at = np.linspace(0, 1, 4001)
+        points = p + at[:, None] * (q - p)
+        near = (court.holds(points) | (court.distance(points) <= reach)).mean() * math.dist(p, q)
+        assert sum(hi - lo for lo, hi in court.runs(p, q, reach)) == pytest.approx(near, abs=0.1)
+
+
+def test_dead_ends(spark):
+    wall = [("h", "oks", [*box(-10, -10, 10, 10)]), ("u", "oks", [[[(0.0, 0.0), (20.0, 0.0), (20.0, 10.0), (10.02, 10.0), (10.02, 2.0), (10.0, 2.0), (10.0, 10.0), (0.0, 10.0)]]])]
+    o = spark.createDataFrame(wall, f"obstacle string, kind string, area array<array<{XY}>>")
+    homes = spark.createDataFrame([(1, -2.0, -3.0), (2, 9.0, 6.0), (3, 50.0, 50.0)], "home int, x double, y double")
+    assert [(r.home, r.obstacle, r.feet) for r in routes.dead_ends(homes, o).collect()] == [(2, "u", 1)]
+
+
+def test_ports_may_begin_within_their_building(spark):
+    o = spark.createDataFrame(HOUSE, f"obstacle string, kind string, area array<array<{XY}>>")
+    e = spark.createDataFrame([(1, "p", "q", 0.0, 12.0, 0.0, 40.0), (2, "p", "r", 0.0, 12.0, 30.0, 12.0), (3, "s", "t", 0.0, 12.0, 0.0, 40.0), (4, "s", "t", 0.0, 40.0, 30.0, 40.0), (5, "p", "u", 0.0, 12.0, 0.0, -40.0)], "edge int, a string, b string, ax double, ay double, bx double, by double")
+    owners = spark.createDataFrame([("p", "h")], "node string, obstacle string")
+    assert sorted(r.edge for r in routes.clear_pairs(e, o, owners, F.lit(125)).collect()) == [1, 2, 4]
+
+
+def test_crossing_weights_sweep_overlaps(spark):
+    legs = spark.createDataFrame([(1, 1.0, 0.0, 0.0, 50.0, 0.0), (2, 2.0, 0.0, 50.0, 50.0, 50.0), (3, 1.0, 19.0, 0.0, 50.0, 0.0)], "leg int, price double, ax double, ay double, bx double, by double")
+    gas = spark.createDataFrame([("g", "gas_pipeline", 1.25, 20.0, -5.0, 20.0, 60.0)], "id string, kind string, factor double, cx double, cy double, dx double, dy double")
+    road = spark.createDataFrame([("r", "road", 1.6, box(18, -5, 22, 5))], f"obstacle string, kind string, factor double, area array<array<{XY}>>")
+    got = {r.leg: (r.extra, r.fits) for r in routes.crossing_weights(legs, gas, road).collect()}
+    assert got[1] == (pytest.approx(10 * 0.6), True)
+    assert got[2] == (pytest.approx(2 * 4 * 0.25), True)
+    assert got[3][1] is False
 
 
 def test_edits():
@@ -59,12 +113,11 @@ def test_edits():
     assert routes.alternatives(lambda banned: ways.get(banned), 2) == [[1, 2, 4], [1, 3, 4]]
 
 
-def test_checked_runs_on_near_obstacles(spark):
-    pts = lambda *xy: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in xy))
-    r = spark.range(1).select(F.lit(1).alias("route"), F.lit(50).alias("dn"), pts((-30, 3), (30, 3)).alias("points"), pts().cast("array<struct<x:double,y:double>>").alias("homes"))
-    r = r.unionByName(spark.range(1).select(F.lit(2).alias("route"), F.lit(50).alias("dn"), pts((-30, 300), (30, 300)).alias("points"), pts().cast("array<struct<x:double,y:double>>").alias("homes")))
-    o = spark.range(1).select(F.lit("h").alias("obstacle"), F.lit("oks").alias("kind"), F.array(F.array(pts((0, 0), (10, 0), (10, 10), (0, 10)))).alias("area"))
-    assert [(x.route, x.rule) for x in routes.checked(r, o).collect()] == [(1, "h: forbidden envelope")]
+def test_straight_routes():
+    assert routes.straight([(0, 0), (0, 0), (5, 0), (10, 0), (10, 10)]) == [(0, 0), (10, 0), (10, 10)]
+    assert routes.straight([(0, 0), (10, 0), (5, 0)]) == [(0, 0), (10, 0), (5, 0)]
+    assert routes.straight([(i, 0) for i in range(20)]) == [(0, 0), (19, 0)]
+    assert routes.smoothed([(0, 0), (5, 5), (10, 0), (15, 5), (20, 0)], lambda a, b: True) == [(0, 0), (20, 0)]
 
 
 def test_grid(spark):
