@@ -499,26 +499,50 @@ def brute_base(text):
     return sorted(out)
 
 
+def brute_spans(text, model):
+    """Base spans and, character by character, the pieces of runs that they leave, scored transition by transition."""
+    base = brute_base(text)
+    free = [bool(re.match("[A-Za-z0-9+/_=-]", c)) and not any(s <= i < e for s, _, e in base) for i, c in enumerate(text)] + [False]
+    out, start = list(base), None
+    for i, f in enumerate(free):
+        if f and start is None:
+            start = i
+        elif not f and start is not None:
+            steps = [model.ratio[ord(p), ord(q)] for p, q in itertools.pairwise(text[start:i])]
+            whole = re.search("[A-Za-z0-9+/_=-]*$", text[:start])[0] + text[start:i] + re.match("[A-Za-z0-9+/_=-]*", text[i:])[0]
+            if i - start >= op9_secrets.LEAST_RUN <= len(whole) and sum(steps) > model.evidence and sum(steps) / len(steps) > model.mean:
+                out.append((start, 3, i))
+            start = None
+    return sorted(out)
+
+
 def test_secrets_against_brute_force(spark):
     rng = random.Random(10)
-    bits = ["password", "=", ": ", '"', "'", "token", "AKIA", "0123456789abcdef" * 2, "ABCDEFGHIJKLMNOP", " ", "secret", "api_key", "Zz9-", "é", "."]
-    rows = [(i, "".join(rng.choices(bits, k=12))) for i in range(300)] + [(1000, None), (1001, "")]
-    model = op9_secrets.train(table(spark, rows))
-    got = {r.doc_id: r.spans for r in op9_secrets.scan(table(spark, rows), model).collect()}
+    bits = ["password", "=", ": ", '"', "'", "token", "AKIA", "0123456789abcdef" * 2, "ABCDEFGHIJKLMNOP", " ", "secret", "api_key", "Zz9-", "é", ".", "xKq7Zp2Vw9", "Wm4QzR8tY1bX", "plain words ", "get_user_name"]
+    rows = [(i, "".join(rng.choices(bits, k=12))) for i in range(300)] + [(1000, None), (1001, ""), (7, "token = xKq7Zp2Vw9"), (7, "token = xKq7Zp2Vw9")]
+    rows.append((1002, " ".join(rng.choices(bits, k=20_000))))  # long, with thousands of spans
+    model = op9_secrets.train(table(spark, [(i, prose(rng, 100)) for i in range(100)]))
+    got = {(r.doc_id, len(r.spans)): r.spans for r in op9_secrets.scan(table(spark, rows), model).collect()}
+    markov = 0
     for i, t in rows:
-        assert [(s.start, op9_secrets.KINDS.index(s.kind), s.end) for s in got[i] if s.kind != "markov"] == brute_base(t or "")
+        want = brute_spans(t or "", model) if i < 1002 else [s for s in op9_secrets.all_spans(t, op9_secrets.Verdicts(model)) if s[1] == 3] + brute_base(t)
+        assert [(s.start, op9_secrets.KINDS.index(s.kind), s.end) for s in got[i, len(want)]] == sorted(want)
+        markov += sum(k == 3 for _, k, _ in want) * (i < 1002)
+    assert markov > 50
 
 
 def test_markov_models_find_unnamed_secrets(spark):
     rng = random.Random(11)
-    keys = op9_secrets.random_strings(50, seed=99)
-    plain = ["_".join(rng.choices(WORDS, k=4)) + str(rng.randint(1, 99)) for _ in range(50)]
-    df = table(spark, [(i, prose(rng, 300) + " " + plain[i % 50]) for i in range(600)], extra=False)
-    model = op9_secrets.train(df)
-    found = sum(any(k == 3 for _, k, _ in op9_secrets.all_spans(f"run {k} now", model)) for k in keys if len(k) >= 24 and not op9_secrets.HEX.search(k) and any(map(str.isdigit, k)))
-    total = sum(len(k) >= 24 and not op9_secrets.HEX.search(k) and any(map(str.isdigit, k)) for k in keys)
-    assert found >= 0.9 * total
-    assert sum(any(k == 3 for _, k, _ in op9_secrets.all_spans(f"run {p} now", model)) for p in plain) <= 2
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = {"mixed": letters + "0123456789", "letters": letters, "lower": letters[:26] + "0123456789"}
+    model = op9_secrets.train(table(spark, [(i, prose(rng, 300)) for i in range(600)], extra=False))
+    found = lambda t: any(k == 3 for _, k, _ in op9_secrets.all_spans(t, op9_secrets.Verdicts(model)))
+    share = {(name, n): sum(found("run " + "".join(rng.choices(alphabet, k=n)) + " now") for _ in range(200)) / 200 for name, alphabet in alphabets.items() for n in (12, 16, 24)}
+    assert min(v for (_, n), v in share.items() if n > 12) > 0.95
+    assert min(share.values()) > 0.8
+    plain = "getElementsByClassName zookeeper_quorum_peers kubernetes-deployment-2024-01-15 /usr/local/lib/python3 application/x-www-form-urlencoded internationalization max_connections_per_host Schifffahrtsgesellschaft 1234567890123 ISO-8859-15 2024-01-15T10".split()
+    assert not [p for p in plain if found(f"run {p} now")]
+    assert not [t for t in (prose(rng, 200) for _ in range(50)) if found(t)]
 
 
 def test_redaction(spark):
