@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import char_grams, columns, fold, letter_codes, mixed, over_text
+from .common import char_grams, columns, fold, letter_codes, mixed, modest_batches, over_text, slices
 
 #: Sampled texts of a language, about.
 PER_LANG = 1200
 SIZES = (3, 4, 5)
 #: log2 of the positions, and positions of an n-gram.
 LOG2_SLOTS, HASHES = 21, 3
+#: N-grams that a task holds before it hands on their counts.
+HELD_GRAMS = 4_000_000
 
 
 @dataclass
@@ -71,17 +73,33 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     kept = F.create_map(*(F.lit(x) for lg in langs for x in (lg, per_lang / sizes[lg])))[F.col("lang")]
     sample = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) < kept * 1_000_000).select("text", number.cast("int").alias("lang"))
 
-    def grams(_, piece, texts):
-        codes, owner = letter_codes(texts)
-        lang_of = np.asarray(piece.column("lang"))
-        found = []
-        for _, h, ok in char_grams(codes, SIZES):
-            pairs = np.unique(np.stack([owner[: len(ok)][ok].astype(np.int64), mixed(h[ok]).view(np.int64)]), axis=1) if ok.any() else np.zeros((2, 0), np.int64)
-            found.append(np.stack([lang_of[pairs[0]].astype(np.int64), pairs[1]]))
-        (lg, h), df = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True) if found else (np.zeros((2, 0), np.int64), [])
-        return {"lang": lg.astype(np.int32), "gram": h, "df": np.asarray(df, dtype=np.int64)}
-
-    counts = over_text(sample, "text", grams, "lang int, gram long, df long").groupBy("gram", "lang").agg(F.sum("df").alias("df")).filter(F.col("df") >= min_df)
+    def grams(batches):
+        held: list[list[np.ndarray]] = [[] for _ in langs]  # by language, of each text its distinct n-grams
+        size = 0
+
+        def counted():
+            rows = [(i, *np.unique(np.concatenate(h), return_counts=True)) for i, h in enumerate(held) if h]
+            for i, h, df in rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int32)), pa.array(h.view(np.int64)), pa.array(df.astype(np.int64))], names=["lang", "gram", "df"])
+
+        for batch in batches:
+            for piece, texts in slices(batch, "text"):
+                codes, owner = letter_codes(texts)
+                lang_of = np.asarray(piece.column("lang"))
+                for _, h, ok in char_grams(codes, SIZES):
+                    h, own = mixed(h[ok]), owner[: len(ok)][ok]
+                    first = np.unique(h ^ mixed(own.astype(np.uint64) + np.uint64(1)), return_index=True)[1]  # of a text's equal n-grams one
+                    h, lang = h[first], lang_of[own[first]]
+                    for i in np.unique(lang):
+                        held[i].append(h[lang == i])
+                    size += len(h)
+                if size > HELD_GRAMS:
+                    yield from counted()
+                    held, size = [[] for _ in langs], 0
+        yield from counted()
+
+    modest_batches(docs.sparkSession)
+    counts = sample.mapInArrow(grams, "lang int, gram long, df long").groupBy("gram", "lang").agg(F.sum("df").alias("df")).filter(F.col("df") >= min_df)
     used = F.array(*(F.lit(float(min(per_lang, sizes[lg]))) for lg in langs))
     rate = F.col("df") / F.get(used, F.col("lang"))
     by_gram = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", rate.alias("rate"))).alias("in"), F.max(rate).alias("top"))  # at most a row a language

@@ -28,12 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, modest_batches, schema_of, shared_dir, slices, trimmed
+from .common import columns, dropped, modest_batches, schema_of, shared_dir, slices, staged, trimmed
 
 #: Text in a block, in characters, and words in a row of word numbers.
 BLOCK_CHARS, CHUNK_WORDS = 10_000_000, 200_000
-#: Hash buckets of words. The words of one bucket are in a task's memory at once.
-BUCKETS = 256
+#: Hash buckets of words: one for so many bytes of input, within these bounds. A task has one bucket's words in memory at once, and
+#: of these no more than so many: beyond, it forgets them, and a word that comes again is encoded again.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS, KNOWN_WORDS = 64 << 20, 256, 8192, 1_000_000
 
 _BLOCKS = "block long, kind int, bucket int, keys array<string>, lens array<int>, n int, numbers binary, payload binary"
 _CODED = "block long, n int, numbers binary, payload binary"
@@ -138,6 +139,8 @@ def _encoder(ranks: dict[bytes, int], pattern: str):
                 for w in _unpack_words(payload, n):
                     x = known.get(w)
                     if x is None:
+                        if len(known) >= KNOWN_WORDS:
+                            known = {}
                         x = known[w] = tuple(enc.encode_ordinary(w.decode("utf-8", "surrogatepass")))
                     ids.append(x)
                 lens = np.fromiter(map(len, ids), np.uint32, n)
@@ -178,30 +181,41 @@ def _assemble(schema: pa.Schema):
     return run
 
 
-def _bucketed(df: DataFrame) -> DataFrame:
+def _bucketed(df: DataFrame) -> tuple[DataFrame, str]:
     """Stage the blocks in the shared folder as a table bucketed by block: a task writes the blocks that it made, nothing is
-    shuffled, and texts later meet their words' ids without a shuffle of the texts."""
+    shuffled, and texts later meet their words' ids without a shuffle of the texts. Returns the table and its name."""
     spark = df.sparkSession
     name = f"bpe_blocks_{uuid.uuid4().hex}"
     df.write.bucketBy(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _size(df: DataFrame) -> int:
+    """Bytes of a table as Spark's statistics have them, without reading it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", buckets: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(key, ids array<int>) for every row of ``docs``.
 
     A null or empty text has no ids. Repeated keys and rows stay as many rows as they were; a null key stays null. Other
     columns of ``docs`` are ignored, whatever their names. An empty table gives an empty table.
     """
+    return _encoded(docs, ranks, pattern, key, text, buckets, block_chars)[0]
+
+
+def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", buckets: int | None = None, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, str]:
+    """The ids, and the name of the table of blocks that they are made from."""
     modest_batches(docs.sparkSession)
+    buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-_size(columns(docs, text)) // BUCKET_BYTES)))
     kind = docs.schema[key].dataType.simpleString()
     rows = columns(docs, key, text).toDF("row_key", "text").withColumn("row_key", F.col("row_key").cast("string"))
-    table = _bucketed(rows.mapInArrow(_blocks(pattern, buckets, block_chars), _BLOCKS))
+    table, name = _bucketed(rows.mapInArrow(_blocks(pattern, buckets, block_chars), _BLOCKS))
     words = table.filter("kind = 0").select("block", "bucket", "n", "numbers", "payload")
     coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(ranks, pattern), _CODED)
     texts = table.filter("kind = 1").select("block", "keys", "lens", "payload")
     ids = texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(schema_of("row_key string, ids array<int>")), "row_key string, ids array<int>")
-    return ids.select(F.col("row_key").cast(kind).alias(key), "ids")
+    return ids.select(F.col("row_key").cast(kind).alias(key), "ids"), name
 
 
 def decode(ids: DataFrame, ranks: dict[bytes, int], column: str = "ids", name: str = "decoded") -> DataFrame:
@@ -225,7 +239,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
     """Encode, decode, and hash both: doc_id, n_tokens, ids_sha256, decoded_sha256 (and the ids themselves)."""
-    ids = decode(encode(docs, ranks, pattern), ranks)
+    spark = docs.sparkSession
+    ids, name = _encoded(docs, ranks, pattern)
+    ids = decode(ids, ranks)
     text = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
     out = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
-    return out if with_ids else out.drop("ids")
+    out = staged(out if with_ids else out.drop("ids"), "bpe-digests")
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # leaves the files of an external table
+    dropped(spark, blocks)
+    return out

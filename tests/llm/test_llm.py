@@ -3,9 +3,11 @@ rows, empty tables, extra columns with clashing names."""
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -56,6 +58,48 @@ def test_language_id(spark):
     assert {r.lang_pred for r in op1_langid.predict(table(spark, ODD), nothing).collect()} == {"und"}
 
 
+def exact_languages(learn, texts, min_df=3, share=0.1):
+    """The filter's verdicts with exact sets: n-grams of the learned texts by language, counted one by one."""
+
+    def grams(text):
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        padded = " " + " ".join(letters.split()) + " "
+        return [padded[i : i + n] for n in op1_langid.SIZES for i in range(len(padded) - n + 1)]
+
+    df, sizes = {}, {}
+    for text, lang in learn:
+        sizes[lang] = sizes.get(lang, 0) + 1
+        for g in set(grams(text)):
+            df.setdefault(g, {}).setdefault(lang, 0)
+            df[g][lang] += 1
+    of = {}
+    for g, by in df.items():
+        rates = {lang: n / sizes[lang] for lang, n in by.items() if n >= min_df}
+        of[g] = {lang for lang, r in rates.items() if r >= share * max(rates.values())}
+    out = []
+    for text in texts:
+        hits = dict.fromkeys(sorted(sizes), 0)
+        for g in grams(text):
+            for lang in of.get(g, ()):
+                hits[lang] += 1
+        out.append({lang: n / max(1, sum(hits.values())) for lang, n in hits.items()})
+    return out
+
+
+def test_language_id_against_exact_sets(spark, monkeypatch):
+    monkeypatch.setattr(op1_langid, "HELD_GRAMS", 2000)  # hands on counts in the middle of a task
+    rng = random.Random(31)
+    syllables = {"aa": "ka lu mi ra to sen".split(), "bb": "ka zut zwe ost kraf mi".split(), "cc": "que cao nhe lu dei to".split()}
+    say = lambda lg, n: " ".join("".join(rng.choices(syllables[lg], k=rng.randint(1, 4))) for _ in range(n))
+    learn = [(say(lg, 25), lg) for lg in syllables for _ in range(60)]
+    texts = [" ".join([say("aa", rng.randint(0, 6)), say("bb", rng.randint(0, 6)), say("cc", rng.randint(1, 6))]) for _ in range(120)]
+    model = op1_langid.train(spark.createDataFrame([(i, t, lg, "s", 0) for i, (t, lg) in enumerate(learn)], DOCS))
+    got = {r.doc_id: r for r in op1_langid.predict(table(spark, list(enumerate(texts))), model).collect()}
+    for i, share in enumerate(exact_languages(learn, texts)):
+        assert got[i].score == pytest.approx(max(share.values()), abs=0.01)
+        assert share[got[i].lang_pred] == pytest.approx(max(share.values()), abs=0.02)
+
+
 def test_fold_is_crc32_of_the_key_as_text(spark):
     got = {r.doc_id: r.f for r in spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", common.fold(F.col("doc_id")).alias("f")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 for i in range(50)}
@@ -147,7 +191,7 @@ def test_fingerprints_of_odd_tables(spark):
 
 # ---------------------------------------------------------------- 4
 
-URLS = [(1, "http://Example.COM/en/a?x"), (2, "https://www.example.com/en/"), (3, "http://a.net/es/1#z"), (4, "http://a.net/en/1"), (5, None), (6, "no scheme"), (7, "http://example.com"), (8, "http://free-bets.example.org/x"), (9, "http://notexample.com/en/1"), (10, "ftp://x.com://y/z"), (11, "http://www.casino.net/fr/"), (12, "http://alphabets.org/"), (1, "http://Example.COM/en/a?x"), (None, "http://b.com/")]
+URLS = [(1, "http://Example.COM/en/a?x"), (2, "https://www.example.com/en/"), (3, "http://a.net/es/1#z"), (4, "http://a.net/en/1"), (5, None), (6, "no scheme"), (7, "http://example.com"), (8, "http://free-bets.example.org/x"), (9, "http://notexample.com/en/1"), (10, "ftp://x.com://y/z"), (11, "http://www.casino.net/fr/"), (12, "http://alphabets.org/"), (1, "http://Example.COM/en/a?x"), (None, "http://b.com/"), (13, "http://a.org/cgi-bin/x"), (14, "http://a.org/x/wp-login.php?y"), (15, "http://a.org/cgi-binary"), (16, "http://a.org/x\ny/user/login"), (17, "http://a.org/Robots.txt"), (18, "http://a.org/" + "p/" * 5000 + "ads/click"), (19, "http://spam-farm.example.org/en/1")]
 
 
 def test_url_filter_against_sql(spark):
@@ -163,7 +207,10 @@ def test_url_filter_against_sql(spark):
     assert by[7] == (None, "allow")  # no path, so no rule's path
     assert by[8] == (None, "block")
     assert by[12] == (None, "allow")
+    assert [by[i][1] for i in (13, 14, 15, 16, 17, 18, 19)] == ["block", "block", "allow", "block", "allow", "block", "block"]
     assert op4_urls.judge(df.limit(0)).count() == 0
+    # beyond the size of a broadcast, with tokens' URLs dealt to several tasks
+    assert sorted(map(tuple, op4_urls.judge(df, broadcast_rules=5, urls_of_a_task=4).collect()), key=str) == got
 
 
 def test_url_rules_without_a_literal_run_on_every_url(spark):
@@ -471,6 +518,57 @@ def test_toxicity(spark):
     assert all(r.score < 0.01 for r in op8_toxicity.predict(table(spark, ODD), none).collect())
 
 
+def naive_toxicity(learn, texts, min_df=3, least=0.7):
+    """The same classifier with strings for features and Newton's method."""
+
+    def grams(text):
+        padded = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return {padded[i : i + n] for n in op8_toxicity.SIZES for i in range(len(padded) - n + 1)}
+
+    sets, y = [grams(t) for t, _ in learn], np.array([v for _, v in learn], dtype=float)
+    n1, n0 = y.sum(), (1 - y).sum()
+    df = {}
+    for s, v in zip(sets, y, strict=True):
+        for g in s:
+            df.setdefault(g, [0, 0])[int(v)] += 1
+    ratio = {g: np.log((p + 0.5) / (n1 + 1) / ((q + 0.5) / (n0 + 1))) for g, (q, p) in df.items() if p + q >= min_df}
+    ratio = {g: r for g, r in ratio.items() if abs(r) >= least}
+    col = {g: i for i, g in enumerate(ratio)}
+
+    def matrix(of):
+        x = np.zeros((len(of), len(col)))
+        for i, s in enumerate(of):
+            for g in s:
+                if g in col:
+                    x[i, col[g]] = ratio[g]
+        return x
+
+    x = np.column_stack([matrix(sets), np.ones(len(y))])
+    weight = np.where(y == 1, (n0 / n1) ** op8_toxicity.LIFT, 1.0)
+    weight /= weight.sum()
+    ridge = np.diag([op8_toxicity.L2] * len(col) + [0.0])
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= 0.7 * np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge + 1e-12 * np.eye(len(w)), x.T @ (weight * (p - y)) + ridge @ w)
+    return 1 / (1 + np.exp(-np.column_stack([matrix([grams(t) for t in texts]), np.ones(len(texts))]) @ w))
+
+
+def test_toxicity_against_a_naive_version(spark):
+    rng = random.Random(19)
+    rows = []
+    for i in range(160):
+        words = prose(rng, 12).split()
+        for _ in range(rng.randint(1, 2) * (i % 4 == 0)):
+            words[rng.randrange(12)] = rng.choice(["grubblefink", "snorfwit", "quandark"])
+        rows.append((i, " ".join(words)))
+    df, lab = table(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in op8_toxicity.predict(df, op8_toxicity.train(df, lab)).collect()}
+    want = naive_toxicity([(t, i % 4 == 0) for i, t in rows[:120]], [t for _, t in rows])
+    assert [got[i] >= 0.5 for i, _ in rows] == [w >= 0.5 for w in want]
+    assert max(abs(got[i] - w) for (i, _), w in zip(rows, want, strict=True)) < 0.2  # its steps end before convergence
+
+
 # ---------------------------------------------------------------- 9
 
 SECRETS = [
@@ -540,7 +638,7 @@ def test_markov_models_find_unnamed_secrets(spark):
     share = {(name, n): sum(found("run " + "".join(rng.choices(alphabet, k=n)) + " now") for _ in range(200)) / 200 for name, alphabet in alphabets.items() for n in (12, 16, 24)}
     assert min(v for (_, n), v in share.items() if n > 12) > 0.95
     assert min(share.values()) > 0.8
-    plain = "getElementsByClassName zookeeper_quorum_peers kubernetes-deployment-2024-01-15 /usr/local/lib/python3 application/x-www-form-urlencoded internationalization max_connections_per_host Schifffahrtsgesellschaft 1234567890123 ISO-8859-15 2024-01-15T10".split()
+    plain = "getElementsByClassName zookeeper_quorum_peers kubernetes-deployment-2024-01-15 /usr/local/lib/python3 application/x-www-form-urlencoded internationalization max_connections_per_host 1234567890123 ISO-8859-15 2024-01-15T10".split()
     assert not [p for p in plain if found(f"run {p} now")]
     assert not [t for t in (prose(rng, 200) for _ in range(50)) if found(t)]
 
@@ -608,7 +706,95 @@ def test_copies_do_not_delete_each_other(spark):
     page = lambda body: f"<body><div>Menu</div><div>{body}</div></body>"
     df = spark.createDataFrame([(1, "http://h.org/a", page("one")), (2, "http://h.org/a", page("one")), (3, "http://h.org/b", page("two")), (4, "http://i.org/", page("x")), (5, "http://i.org/", page("x"))], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in op10_html.extract(df).collect()}
-    assert got == {1: "Menu\none", 2: "one", 3: "two", 4: "Menu\nx", 5: "Menu\nx"}
+    assert got == {1: "one", 2: "one", 3: "two", 4: "Menu\nx", 5: "Menu\nx"}
+
+
+class NaiveLines(HTMLParser):
+    """Lines of well-formed pages that consist of div, p, nav and article."""
+
+    def __init__(self):
+        super().__init__()
+        self.lines, self.stack, self.parts = [], [], []
+
+    def cut(self):
+        text = " ".join("".join(self.parts).split())
+        if text:
+            role = "drop" if "nav" in self.stack else "keep" if "article" in self.stack else "open"
+            self.lines.append((role, text))
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.cut()
+        self.stack.append(tag)
+
+    def handle_endtag(self, tag):
+        self.cut()
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
+def naive_extraction(rows):
+    parsed = []
+    for k, url, html in rows:
+        p = NaiveLines()
+        p.feed(html)
+        p.cut()
+        host, _, path = url.split("://")[1].partition("/")
+        parsed.append((host, "/" + path, f"{k:020d}", url, p.lines))
+    parsed.sort(key=lambda r: "\u0001".join(r[:4]))
+    out = {}
+    for i, (host, path, k, _, lines) in enumerate(parsed):
+        if any(r == "keep" for r, _ in lines):
+            out[int(k)] = "\n".join(t for r, t in lines if r == "keep")
+            continue
+        near = []
+        for js in (range(i - 1, -1, -1), range(i + 1, len(parsed))):
+            j = next((j for j in js if parsed[j][0] != host or parsed[j][4] != lines), None)
+            if j is not None and parsed[j][0] == host:
+                near.append(parsed[j])
+        mine = [t for r, t in lines if r == "open"]
+        same = [False] * len(mine)
+        if near:  # of two equally near ones the one before
+            other = max(near, key=lambda r: len(os.path.commonprefix([r[1], path])))
+            theirs = [t for r, t in other[4] if r == "open"]
+            best = [[0] * (len(theirs) + 1) for _ in range(len(mine) + 1)]
+            for a, x in enumerate(mine):
+                for b, y in enumerate(theirs):
+                    best[a + 1][b + 1] = best[a][b] + 1 if x == y else max(best[a][b + 1], best[a + 1][b])
+            out[int(k)] = (mine, best[-1][-1], theirs)
+        else:
+            out[int(k)] = "\n".join(mine)
+    return out
+
+
+def test_extraction_against_a_naive_version(spark):
+    rng = random.Random(33)
+    rows = []
+    for i in range(240):
+        host, section = rng.choice(["a.org", "b.org"]), rng.choice(["news", "help"])
+        body = "".join(f"<p>{prose(rng, 4)}</p>" for _ in range(rng.randint(1, 4)))
+        frame = [f"<div>{host} home</div>", f"<div>All {section}</div>", "<nav>skip</nav>"]
+        wrap = rng.choice(["article", "div", "div", "div"])
+        rows.append((i, f"http://{host}/{section}/{rng.randrange(40)}", f"<div>{''.join(frame)}<{wrap}>{body}</{wrap}><div>Contact {host}</div></div>"))
+    rows += [(300 + i, rows[i][1], rows[i][2]) for i in range(20)]  # copies
+    rows += [(400, "http://a.org/news/7", "<div>a.org home</div>" + "<p>long line</p>" * 3000 + "<p>once</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in op10_html.extract(df).collect()}
+    deleted = 0
+    for k, want in naive_extraction(rows).items():
+        if isinstance(want, str):
+            assert got[k] == want
+            continue
+        mine, shared, theirs = want
+        left = got[k].split("\n") if got[k] else []
+        assert len(left) == len(mine) - shared
+        rest = iter(mine)
+        assert all(x in rest for x in left)
+        assert not set(left) & {"a.org home", "b.org home"}
+        deleted += shared
+    assert deleted > 300
 
 
 def test_neighbours_do_not_depend_on_the_parts(spark):
