@@ -1,8 +1,8 @@
 """Forests and graphs as edge tables, for many plans at once.
 
 A plan's forest is oriented from its roots by frontier joins, one round a level; a node's row carries the path of its
-ancestors, so that subtree sums afterwards are one explosion and one aggregation, whatever the depth. Long chains should be
-compressed (``chains``) first. Shortest paths, spanning trees and Steiner trees are kernels per plan (``applyInPandas``): their
+ancestors, so that subtree sums afterwards are one explosion and one aggregation, whatever the depth. Paths take room in
+proportion to the depth: plans of networks are some tens of levels deep; forests beyond ``deepest`` are an error. Shortest paths, spanning trees and Steiner trees are kernels per plan (``applyInPandas``): their
 order of steps depends on the data, and one plan's graph fits a task.
 """
 
@@ -29,7 +29,7 @@ def symmetric(edges: DataFrame, *more: str) -> DataFrame:
     return edges.select("a", "b", *cols).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *cols))
 
 
-def orient(edges: DataFrame, roots: DataFrame, deepest: int = 100_000) -> DataFrame:
+def orient(edges: DataFrame, roots: DataFrame, deepest: int = 10_000) -> DataFrame:
     """(plan, node, parent, depth, path) from edges (plan, a, b) and roots (plan, node); ``path`` lists the node and its
     ancestors up to the root. Nodes that no root reaches are absent. A node reached twice in a round keeps its least parent;
     ``forest_violations`` reports what isn't a forest."""
@@ -41,13 +41,13 @@ def orient(edges: DataFrame, roots: DataFrame, deepest: int = 100_000) -> DataFr
         step = step.filter(~F.array_contains("path", F.col("node")))
         step = step.groupBy("plan", "node").agg(F.min("parent").alias("parent"), F.min_by("path", "parent").alias("path")).select("plan", "node", "parent", F.lit(depth).alias("depth"), F.concat(F.array("node"), "path").alias("path"))
         step = cut(step.join(seen, ["plan", "node"], "left_anti"))
-        if step.limit(1).count() == 0:
-            break
+        if step.isEmpty():
+            return seen
         seen = seen.unionByName(step)
         if depth % 8 == 0:
             seen = cut(seen)
         front = step
-    return seen
+    raise ValueError(f"a forest is deeper than {deepest} levels")
 
 
 def subtree_flow(oriented: DataFrame, demand: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def distances(edges: DataFrame, sources: DataFrame, rounds: int = 100_000) -> Da
     for _ in range(rounds):
         step = front.join(both, (F.col("plan") == F.col("_plan")) & (F.col("node") == F.col("a"))).select("plan", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("new")).groupBy("plan", "node").agg(F.min("new").alias("new"))
         front = cut(step.join(best, ["plan", "node"], "left").filter(F.col("cost").isNull() | (F.col("new") < F.col("cost") - 1e-12)).select("plan", "node", F.col("new").alias("cost")))
-        if front.limit(1).count() == 0:
-            break
+        if front.isEmpty():
+            return best
         best = cut(best.unionByName(front).groupBy("plan", "node").agg(F.min("cost").alias("cost")))
-    return best
+    raise ValueError(f"shortest paths have more than {rounds} hops")

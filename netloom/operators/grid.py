@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance, point_segment
-from .spatial import clear
+from ..functions import geometry, polyline, pricing
+from ..functions.geometry import distance, intersection_at, point_segment
+from . import routes
+from .areas import Area
+from .base import cut
+from .spatial import boxed, bucket_join, clear, within
 
 STRAIGHT = ((1, 0), (0, 1))
 DIAGONAL = ((1, 1), (1, -1))
@@ -88,3 +94,90 @@ def split_edges(edge_rows: DataFrame, contacts: DataFrame) -> DataFrame:
     w = Window.partitionBy("edge").orderBy("at", "node")
     out = e.withColumns({"b": F.lead("node").over(w), "_to": F.lead("at").over(w)}).filter("b is not null")
     return out.select("edge", F.col("node").alias("a"), "b", (F.col("_to") - F.col("at")).alias("w")).filter("w > 0")
+
+
+def first_contacts(leads: DataFrame, corridors: DataFrame) -> DataFrame:
+    """(lead, edge, station, at, x, y): where each lead first meets a corridor, and at what length of the corridor's edge.
+
+    ``leads`` (lead, leg, ax, ay, bx, by, station of a); ``corridors`` (edge, cx, cy, dx, dy). A lead's own start doesn't count.
+    """
+    t = intersection_at(*(F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy")))
+    met = bucket_join(boxed(leads, "a", "b", "_s"), boxed(corridors, "c", "d", "_t"), 1e-6, ("_s0", "_s1", "_s2", "_s3"), ("_t0", "_t1", "_t2", "_t3"), t.isNotNull(), cell=20.0)
+    met = met.withColumn("_f", t).withColumns({"x": F.col("ax") + F.col("_f") * (F.col("bx") - F.col("ax")), "y": F.col("ay") + F.col("_f") * (F.col("by") - F.col("ay"))})
+    met = met.withColumns({"station": F.col("station") + F.col("_f") * distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), "at": distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))}).filter("station > 1e-6")
+    return met.groupBy("lead").agg(F.min(F.struct(F.round("station", 9).alias("station"), F.col("edge"), "at", "x", "y")).alias("m")).select("lead", "m.edge", "m.station", "m.at", "m.x", "m.y")
+
+
+def ports(points: DataFrame, obstacles: DataFrame, dn: int, beyond: float = 0.05) -> DataFrame:
+    """(point, obstacle, x, y, d): for points (point, x, y) inside buildings, the places just outside the envelope behind each
+    of the closest outer facades, where a lead straight through the facade ends."""
+
+    def kernel(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                area, p = Area.of(r.area), np.array([r.x, r.y])
+                feet = area.feet(p[None], outer=True)[0]
+                far = np.hypot(*(feet - p).T)
+                for f in np.unique(feet[far <= far.min() + 1e-6], axis=0) if far.min() > 1e-8 else []:
+                    q = f + (f - p) * (r.need + beyond) / far.min()
+                    out.append((r.point, r.obstacle, float(q[0]), float(q[1]), float(np.hypot(*(q - p)))))
+            yield pd.DataFrame(out, columns=["point", "obstacle", "x", "y", "d"])
+
+    kinds = points.schema["point"].dataType.simpleString(), obstacles.schema["obstacle"].dataType.simpleString()
+    rows = routes.owned(points.select("point", "x", "y"), obstacles.withColumn("need", pricing.clearance(F.col("kind"), F.lit(dn))), "need")
+    return rows.mapInPandas(kernel, f"point {kinds[0]}, obstacle {kinds[1]}, x double, y double, d double")
+
+
+def access(points: DataFrame, free: DataFrame, obstacles: DataFrame, step: float, dn: int) -> DataFrame:
+    """(point, i, j, length, path): leads from points (point, x, y) to free cells (i, j, x, y), along the axes with one corner.
+
+    A point in a building leaves it through a port first; no later leg may touch that building, and no leg comes within the
+    envelope of another obstacle. Cells within 12.5 m or 2.5 steps of the point or its port count; of a cell's leads the shortest
+    stays. Points that are blocked, or have no such cell, have no row.
+    """
+    out = ports(points, obstacles, dn).withColumnsRenamed({"x": "qx", "y": "qy"})
+    start = points.join(out, "point", "left").select("point", "x", "y", "obstacle", F.coalesce("qx", "x").alias("qx"), F.coalesce("qy", "y").alias("qy"))
+    start = start.withColumn("start", F.monotonically_increasing_id())
+    cell = free.select("i", "j", F.col("x").alias("ex"), F.col("y").alias("ey"))
+    near = within(cut(start), cell, max(12.5, 2.5 * step), ("qx", "qy"), ("ex", "ey"))
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ways = F.array(*(F.array(p("x", "y"), p("qx", "qy"), c, p("ex", "ey")) for c in (p("qx", "ey"), p("ex", "qy"))))
+    leads = near.select("point", "obstacle", "i", "j", F.explode(ways).alias("w"))
+    leads = leads.withColumn("path", F.filter("w", lambda v, k: (k == 0) | (v != F.get("w", k - 1)))).withColumn("lead", F.xxhash64("point", "i", "j", "path")).drop("w")
+    leads = cut(leads.dropDuplicates(["lead"]))
+    legs = leads.select("lead", F.col("obstacle").alias("own"), F.posexplode(geometry.legs(F.col("path"))).alias("leg", "s"))
+    legs = legs.select("lead", "own", "leg", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    gap = geometry.segment_segment(*(F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy")))
+    met = bucket_join(boxed(legs, "a", "b", "_s"), boxed(routes.obstacle_sides(obstacles, "kind"), "c", "d", "_t"), routes.WIDEST, ("_s0", "_s1", "_s2", "_s3"), ("_t0", "_t1", "_t2", "_t3"), cell=50.0).withColumn("d", gap)
+    own = F.coalesce(F.col("own") == F.col("obstacle"), F.lit(False))
+    shut = met.filter(F.when(own, (F.col("leg") > 0) & (F.col("d") <= 0)).otherwise(F.col("d") < pricing.clearance(F.col("kind"), F.lit(dn)))).select("lead").distinct()
+    good = leads.join(shut, "lead", "left_anti").withColumn("length", polyline.length(F.col("path")))
+    return good.groupBy("point", "i", "j").agg(F.min(F.struct("length", "path")).alias("m")).select("point", "i", "j", "m.length", "m.path")
+
+
+def moved(points: DataFrame, reachable: DataFrame, obstacles: DataFrame, step: float, dn: int, beyond: float = 0.05) -> DataFrame:
+    """(point, x, y, obstacle, displacement): where consumers inside buildings would stand outside: of all places just beyond the
+    envelope behind or before a facade, the nearest that leads to a reachable cell (i, j, x, y). The audit of exports
+    doesn't know of such moves; they are proposals for the input."""
+
+    def kernel(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                area, p = Area.of(r.area), np.array([r.x, r.y])
+                way = area.b - area.a
+                normal = np.column_stack([-way[:, 1], way[:, 0]]) / np.hypot(*way.T)[:, None]
+                feet = area.feet(p[None])[0]
+                places = np.concatenate([feet + normal * (r.need + beyond), feet - normal * (r.need + beyond)])
+                for q in places[~area.holds(places) & (area.distance(places) >= r.need)]:
+                    out.append((r.point, r.obstacle, float(q[0]), float(q[1]), float(np.hypot(*(q - p)))))
+            yield pd.DataFrame(out, columns=["of", "obstacle", "x", "y", "displacement"])
+
+    kinds = points.schema["point"].dataType.simpleString(), obstacles.schema["obstacle"].dataType.simpleString()
+    rows = routes.owned(points.select("point", "x", "y"), obstacles.withColumn("need", pricing.clearance(F.col("kind"), F.lit(dn))), "need")
+    options = rows.mapInPandas(kernel, f"of {kinds[0]}, obstacle {kinds[1]}, x double, y double, displacement double").withColumn("point", F.xxhash64("of", "x", "y"))
+    options = cut(options)
+    leads = access(options.select("point", "x", "y"), reachable, obstacles, step, dn).select("point").distinct()
+    best = options.join(leads, "point", "left_semi").groupBy("of").agg(F.min(F.struct("displacement", "x", "y", "obstacle")).alias("m"))
+    return best.select(F.col("of").alias("point"), "m.x", "m.y", "m.obstacle", "m.displacement")

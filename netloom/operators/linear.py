@@ -65,17 +65,20 @@ def merged(intervals: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi"
 def pieces(lines: DataFrame, windows: DataFrame, key: str, length: str = "length", shortest: float = 1e-7) -> DataFrame:
     """(key, lo, hi, factor, ids): lines cut at each window's ends; the factor is the largest of the active windows.
 
-    ``windows`` has (key, lo, hi, factor, id); parts outside the line are cut off. A sweep in one pass over the sorted cuts:
-    no join of pieces with windows, so a line with many windows costs in proportion to them.
+    ``windows`` has (key, lo, hi, factor, id); parts outside the line are cut off. The cuts of a line are numbered once; a window
+    finds the numbers of its two ends by equality and opens into the pieces between them. So there are as many rows as pieces
+    and active windows together, never all pairs of a line.
     """
-    inside = windows.join(lines.select(key, length), key).select(key, F.greatest("lo", F.lit(0.0)).alias("lo"), F.least("hi", length).alias("hi"), "factor", "id").filter("lo < hi")
+    inside = windows.join(lines.select(key, length), key).select(key, F.greatest("lo", F.lit(0.0)).alias("lo"), F.least("hi", length).cast("double").alias("hi"), "factor", "id").filter("lo < hi")
     ends = inside.select(key, F.explode(F.array("lo", "hi")).alias("at"))
     cuts = ends.unionByName(lines.select(key, F.explode(F.array(F.lit(0.0), F.col(length).cast("double"))).alias("at"))).distinct()
     w = Window.partitionBy(key).orderBy("at")
-    spans = cuts.select(key, F.col("at").alias("a"), F.lead("at").over(w).alias("b")).filter(F.col("b") - F.col("a") >= shortest)
-    met = spans.join(inside, key, "left").withColumn("_on", (F.col("lo") <= (F.col("a") + F.col("b")) / 2) & ((F.col("a") + F.col("b")) / 2 <= F.col("hi")))
-    on = F.col("_on")
-    return met.groupBy(key, "a", "b").agg(F.coalesce(F.max(F.when(on, F.col("factor"))), F.lit(1.0)).alias("factor"), F.array_sort(F.collect_set(F.when(on, F.col("id")))).alias("ids")).select(key, F.col("a").alias("lo"), F.col("b").alias("hi"), "factor", "ids")
+    spans = cuts.select(key, F.col("at").alias("a"), F.lead("at").over(w).alias("b"), F.row_number().over(w).alias("n"))
+    number = spans.select(key, "a", "n")
+    held = inside.join(number.withColumnsRenamed({"a": "lo", "n": "first"}), [key, "lo"]).join(number.withColumnsRenamed({"a": "hi", "n": "last"}), [key, "hi"])
+    on = held.select(key, "factor", "id", F.explode(F.sequence("first", F.col("last") - 1)).alias("n")).groupBy(key, "n").agg(F.max("factor").alias("factor"), F.array_sort(F.collect_set("id")).alias("ids"))
+    whole = spans.filter(F.col("b") - F.col("a") >= shortest).join(on, [key, "n"], "left")
+    return whole.select(key, F.col("a").alias("lo"), F.col("b").alias("hi"), F.coalesce("factor", F.lit(1.0)).alias("factor"), F.coalesce("ids", F.array().cast(on.schema["ids"].dataType)).alias("ids"))
 
 
 def line_hits(legs_with_station: DataFrame, objects: DataFrame, key: str) -> DataFrame:

@@ -51,7 +51,8 @@ def within(left: DataFrame, right: DataFrame, radius: float, lxy: tuple[str, str
 
 def nearest(left: DataFrame, right: DataFrame, key: str, lxy: tuple[str, str], rxy: tuple[str, str], first_radius: float, tie: str, rounds: int = 20) -> DataFrame:
     """The nearest right point of each left point, ties to the least ``tie``. Those without a neighbour within the radius are
-    asked again with twice the radius, so that a round's join stays narrow; a left point never meets all right points."""
+    asked again with twice the radius, so that a round's join stays narrow; a left point never meets all right points. If
+    ``rounds`` don't suffice, that is an error."""
     todo, found, radius, right_empty = left, None, first_radius, None
     for _ in range(rounds):
         pairs = within(todo, right, radius, lxy, rxy)
@@ -61,10 +62,10 @@ def nearest(left: DataFrame, right: DataFrame, key: str, lxy: tuple[str, str], r
         best = pairs.groupBy(key).agg(F.min_by(F.struct(*others), F.struct("d", tie)).alias("_b")).select(key, *(F.col(f"_b.{c}").alias(c) for c in others))
         found = best if found is None else found.unionByName(best)
         todo = cut(todo.join(best.select(key), key, "left_anti"))
-        if right_empty or todo.limit(1).count() == 0:
-            break
+        if right_empty or todo.isEmpty():
+            return found
         radius *= 2
-    return found
+    raise ValueError(f"some points have no neighbour within {radius / 2:g}; begin with a larger radius")
 
 
 def nearest_all(pairs: DataFrame, key: str, d: str = "d", slack: float = 1e-6) -> DataFrame:

@@ -136,6 +136,40 @@ def test_grid(spark):
     assert (n.i, n.j) == (3, 2)
 
 
+def courtyard_grid(spark):
+    o = spark.createDataFrame([("h", "oks", box(-10, -10, 10, 10)), ("w", "water", box(24, -40, 26, 40))], f"obstacle string, kind string, area array<array<{XY}>>")
+    free = spark.createDataFrame([(i, j, i * 5.0, j * 5.0) for i in range(-8, 9) for j in range(-8, 9) if max(abs(i), abs(j)) * 5 > 15.2 and not 22 < i * 5 < 28], "i int, j int, x double, y double")
+    return o, free
+
+
+def test_access_through_the_nearest_facade(spark):
+    o, free = courtyard_grid(spark)
+    points = spark.createDataFrame([(1, 3.0, 0.0), (2, -30.0, 2.0), (3, 25.0, 0.0)], "point int, x double, y double")
+    rows = grid.access(points, free, o, 5.0, 50).collect()
+    by = {p: [r for r in rows if r.point == p] for p in (1, 2, 3)}
+    assert by[1]
+    assert {(r.path[1].x, r.path[1].y) for r in by[1]} == {(15.25, 0.0)}  # 5 m, half of 0.4 m and 5 cm
+    assert all(q.x < 24 - 1.2 for r in by[1] for q in r.path)
+    assert min(r.length for r in by[2]) == 2.0
+    assert not by[3]
+
+
+def test_moved_consumers(spark):
+    o, free = courtyard_grid(spark)
+    points = spark.createDataFrame([(1, 3.0, 0.0), (2, -30.0, 2.0)], "point int, x double, y double")
+    (r,) = grid.moved(points, free, o, 5.0, 50).collect()
+    assert (r.point, r.x, r.y, r.obstacle) == (1, pytest.approx(15.25), 0.0, "h")
+    (r,) = grid.moved(points, free.filter("i < 0"), o, 5.0, 50).collect()  # nothing is reachable on the right
+    assert (r.point, r.displacement) == (1, pytest.approx(math.hypot(0, 15.25)))
+
+
+def test_leads_end_at_the_first_corridor(spark):
+    leads = spark.createDataFrame([("l", 0, 0.0, 0.0, 0.0, 7.0, 0.0), ("l", 1, 0.0, 7.0, 20.0, 7.0, 7.0)], "lead string, leg int, ax double, ay double, bx double, by double, station double")
+    corridors = spark.createDataFrame([(1, 5.0, 0.0, 5.0, 10.0), (2, 10.0, 0.0, 10.0, 10.0), (3, -5.0, 20.0, 5.0, 20.0)], "edge int, cx double, cy double, dx double, dy double")
+    (r,) = grid.first_contacts(leads, corridors).collect()
+    assert (r.edge, r.station, r.at, r.x, r.y) == (1, 12.0, 7.0, 5.0, 7.0)
+
+
 def test_split_edges(spark):
     e = spark.createDataFrame([(1, "a", "b", 10.0)], "edge int, a string, b string, w double")
     c = spark.createDataFrame([(1, "m", 4.0)], "edge int, node string, at double")
