@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import polyline as L
 from ..functions import pricing as P
-from ..functions.constants import CONTINUOUS_FIT_AUDIT, FIT, PENALTY_BASE, SIZES, TIE_IN_COST, TOUCH
+from ..functions.constants import CONTINUOUS_FIT_AUDIT, ENVELOPE_TOLERANCE_AUDIT, FIT, PENALTY_BASE, TIE_IN_COST, TOUCH
 from ..functions.geometry import distance, legs
 from ..sources import geojson
-from . import graph, spatial
+from . import graph, linear, routes, spatial
 from .base import cut
 
 #: Absolute tolerances of the audit.
@@ -179,21 +179,37 @@ def crossings_and_conflicts(export: DataFrame) -> DataFrame:
 
 
 def clearances(export: DataFrame, source: DataFrame) -> DataFrame:
-    """Pipes within the envelope of an obstacle; a consumer's own building is left to the entry rule."""
-    p = export.filter("object_type = 'heat_network'").select("plan", F.col("id_key").alias("line"), F.col("diameter").alias("dn"), "start", "end", F.explode(legs(F.col("points"))).alias("s"))
-    p = p.select("plan", "line", "dn", "start", "end", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
-    sides = geojson.obstacle_sides(source).withColumnRenamed("id_key", "obstacle")
-    reach = 9.0 + SIZES[-1][4] / 2
-    d = spatial.edge_distances(p, sides.withColumn("kind", F.concat_ws("\u0001", "kind", "obstacle")), reach, ("plan", "line", "dn", "end"))
-    kind, obstacle = F.split("kind", "\u0001")[0], F.split("kind", "\u0001")[1]
-    d = d.withColumns({"obstacle": obstacle, "need": P.clearance(kind, F.col("dn"))}).filter(F.col("d") < F.col("need") - 0.002)
-    homes = geojson.terminals(source).select(F.col("id").alias("end"), F.col("x").alias("px"), F.col("y").alias("py"))
-    shells = geojson.buildings(source).select(F.col("id_key").alias("obstacle"), F.explode("parts").alias("r")).filter("r.ring = 0").select("obstacle", F.col("r.points").alias("ring"))
-    from ..functions.geometry import in_ring
-
-    own = d.join(homes, "end").join(shells, "obstacle").filter(in_ring(F.col("px"), F.col("py"), F.col("ring"))).select("plan", "line", "obstacle").distinct()
-    left = d.join(own, ["plan", "line", "obstacle"], "left_anti")
-    return _bad(left, "forbidden obstacle envelope", F.concat_ws(" ", "line", "obstacle"), F.col("need"), F.col("d"))
+    """Pipes within the envelope of an obstacle. A pipe that ends at a consumer may enter the consumer's own building, straight
+    through the nearest facade, and must leave its envelope for good."""
+    home = geojson.terminals(source).select(F.col("id").alias("node"), F.struct("x", "y").alias("home"))
+    p = export.filter("object_type = 'heat_network'").select("plan", F.col("id_key").alias("line"), F.col("diameter").alias("dn"), "points", F.array("start", "end").alias("ends")).withColumn("route", F.xxhash64("plan", "line"))
+    homes = p.select("route", F.explode("ends").alias("node")).join(home, "node").groupBy("route").agg(F.collect_set("home").alias("homes"))
+    ways = p.join(homes, "route", "left")
+    area = geojson.areas(source)
+    bad = routes.entries(routes.too_close(ways, area, ENVELOPE_TOLERANCE_AUDIT), ways, area)
+    return _bad_rows(bad.join(p.select("route", "plan", "line"), "route"), F.concat_ws(" ", "line", "object"))
+
+
+def _bad_rows(df: DataFrame, obj: Column) -> DataFrame:
+    """Rows that have their rule already."""
+    none = F.lit(None).cast("double")
+    return df.select(F.col("plan").cast("string").alias("plan"), "rule", obj.alias("object"), none.alias("expected"), none.alias("actual"))
+
+
+def crossing_prices(export: DataFrame, source: DataFrame) -> DataFrame:
+    """Pipes that cross an object at a price without naming it, and special coefficients that aren't the largest of the objects
+    that the pipe names."""
+    p = export.filter("object_type = 'heat_network'").select("plan", F.col("id_key").alias("line"), "points", "crossing_ids", "special_factor", "start", "end").withColumn("key", F.xxhash64("plan", "line"))
+    objects = geojson.crossings(source)
+    named = F.transform(F.coalesce("crossing_ids", F.array().cast("array<string>")), lambda v: F.concat(F.lit("s:"), v))
+    raw = lambda c: F.regexp_replace(c, "^[sn]:", "")
+    steps = p.select("key", F.posexplode(legs(F.col("points"))).alias("leg", "s")).select("key", F.lit(0.0).alias("station"), F.lit(1.0).alias("len"), F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    sides = geojson.legs(objects, "kind", "factor").select(F.col("id_key").alias("id"), "kind", "factor", "cx", "cy", "dx", "dy")
+    hits = linear.line_hits(steps, sides.filter("kind != 'heat_network'"), "key").select("key", "id").distinct()
+    silent = hits.join(p.select("key", "plan", "line", named.alias("named")), "key").filter(~F.exists("named", lambda v: raw(v) == raw(F.col("id"))))
+    factors = objects.select(raw(F.col("id_key")).alias("id"), "factor")
+    due = p.select("key", "plan", "line", "special_factor", F.explode_outer("crossing_ids").alias("id")).join(factors, "id", "left").groupBy("key", "plan", "line", "special_factor").agg(F.coalesce(F.max("factor"), F.lit(1.0)).alias("due"))
+    return _bad(silent, "crossing without a price", F.concat_ws(" ", "line", "id")).unionByName(_bad(due.filter(~close(F.col("special_factor"), F.col("due"), 1e-9)), "special coefficient", "line", F.col("due"), F.col("special_factor")))
 
 
 def audit(export: DataFrame, source: DataFrame | None = None) -> DataFrame:
@@ -216,6 +232,6 @@ def audit(export: DataFrame, source: DataFrame | None = None) -> DataFrame:
         own = export.filter("object_type = 'heat_chamber'").select("plan", "id_key", F.get("points", F.lit(0)).x.alias("px"), F.get("points", F.lit(0)).y.alias("py")).withColumn("at", F.concat_ws("\u0001", "plan", "id_key"))
         on = spatial.incidence(own, geojson.existing_legs(source), "at", "line")
         roots = used.select("plan", "node").unionByName(own.join(on, "at").select("plan", F.col("id_key").alias("node")))
-        out.append(clearances(export, source))
+        out += [clearances(export, source), crossing_prices(export, source)]
     out += [topology(export, roots, terminals), totals(export, roots, source)]
     return _union(out)

@@ -300,3 +300,13 @@ def obstacle_sides(features: DataFrame) -> DataFrame:
 
 def buildings(features: DataFrame) -> DataFrame:
     return obstacles(features).filter(F.col("kind").isin(*BUILDINGS))
+
+
+def areas(features: DataFrame) -> DataFrame:
+    """(territory, obstacle, kind, area): obstacles as arrays of polygons, a polygon an array of rings, its shell first. A line is
+    a ring that goes there and back: it has sides and holds nothing."""
+    line = F.col("geom_type").isin("LineString", "MultiLineString")
+    ring = lambda r: F.when(line, F.concat(r.points, F.slice(F.reverse(r.points), 2, F.greatest(F.size(r.points) - 2, F.lit(0))))).otherwise(r.points)
+    polygons = F.array_sort(F.array_distinct(F.transform("parts", lambda r: r.poly)))
+    area = F.transform(polygons, lambda p: F.transform(F.filter("parts", lambda r: r.poly == p), ring))
+    return obstacles(features).select("territory", F.col("id_key").alias("obstacle"), "kind", area.alias("area"))

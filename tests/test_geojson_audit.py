@@ -58,6 +58,41 @@ def test_tampering_is_found(spark, tmp_path, files, index, name, value, rule):
     assert rule in found(spark, tmp_path, source, bad)
 
 
+def with_features(spark, source, *features):
+    out = json.loads(json.dumps(source))
+    for geometry, properties, xy in features:
+        ring = lonlat(spark, xy)
+        out["features"].append({"type": "Feature", "geometry": {"type": geometry, "coordinates": [ring] if geometry == "Polygon" else ring}, "properties": properties})
+    return out
+
+
+def house(x0, y0, x1, y1):
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+
+
+@pytest.mark.parametrize(("x0", "y0", "x1", "y1", "rules"), [
+    (146, -20, 190, 20, set()),  # the pipe enters through the nearest facade, 4 m from the consumer
+    (140, -20, 152, 20, {"entry must use the nearest facade"}),  # the pipe crosses the whole building
+    (60, 3, 70, 20, {"forbidden envelope"}),
+    (60, 5.3, 70, 20, set()),
+])
+def test_entries_and_envelopes(spark, tmp_path, files, x0, y0, x1, y1, rules):
+    source, export = files
+    assert found(spark, tmp_path, with_features(spark, source, ("Polygon", {"id": "h", "object_type": "oks_existing"}, house(x0, y0, x1, y1))), export) == rules
+
+
+def test_crossings_must_be_priced(spark, tmp_path, files):
+    source, export = files
+    gas = ("LineString", {"id": "g", "object_type": "restriction", "restriction_type": "gas_pipeline"}, [(50, -20), (50, 20)])
+    source = with_features(spark, source, gas)
+    assert "crossing without a price" in found(spark, tmp_path, source, export)
+    priced = json.loads(json.dumps(export))
+    priced["features"][0]["properties"] |= {"crossing_object_ids": ["g"], "laying_method": "special"}
+    assert "special coefficient" in found(spark, tmp_path, source, priced)
+    priced["features"][0]["properties"] |= {"special_factor": 1.25}
+    assert not {"special coefficient", "crossing without a price"} & found(spark, tmp_path, source, priced)
+
+
 def test_input_rules(spark, tmp_path, files):
     source, _ = files
     bad = json.loads(json.dumps(source))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators import grid, routes
+from netloom.functions.constants import CROSSINGS
+from netloom.operators import crossings, grid, routes
 from netloom.operators.areas import Area
 
 
@@ -170,6 +171,51 @@ def test_leads_end_at_the_first_corridor(spark):
     assert (r.edge, r.station, r.at, r.x, r.y) == (1, 12.0, 7.0, 5.0, 7.0)
 
 
+def found_passages(spark, points, objects, dn=50, ties=()):
+    xy = lambda ps: [(float(x), float(y)) for x, y in ps]
+    r = spark.createDataFrame([(1, dn, xy(points), xy(ties))], f"route int, dn int, points {XY}, ties {XY}")
+    rows = [(i, kind, CROSSINGS[kind][0], 0.4 if kind == "heat_network" else CROSSINGS[kind][1], CROSSINGS[kind][5], [xy(x) for x in lines], area) for i, kind, lines, area in objects]
+    o = spark.createDataFrame(rows, f"object string, kind string, factor double, width double, gap double, lines array<{XY}>, area array<array<{XY}>>")
+    out = crossings.passages(r, o).collect()
+    return sorted((x.lo, x.hi) for x in out if x.rule is None), {x.rule for x in out if x.rule}
+
+
+GAS = ("g", "gas_pipeline", [[(20, -30), (20, 30)]], [])
+ROAD = ("r", "road", [[(20, -30), (20, 30)]], [])
+STRIP = ("a", "tram_tracks", [], box(15, -30, 25, 30))
+OLD = ("p", "heat_network", [[(0, -30), (0, 30)]], [])
+ROOM, ALONG, CLEAR, ANGLE, BENT = "no room for the window before the route's end", "runs alongside within the clearance", "clearance outside the passage", "crossing angle under 45 degrees", "passage isn't straight"
+
+
+@pytest.mark.parametrize(("points", "objects", "windows", "rules"), [
+    ([(0, 0), (40, 0)], [GAS], [(18, 22)], set()),
+    ([(0, 0), (40, 0)], [ROAD], [(17, 23)], set()),
+    ([(0, 0), (40, 0)], [STRIP], [(12, 28)], set()),
+    ([(0, 0), (40, 0)], [GAS, STRIP], [(12, 28), (18, 22)], set()),
+    ([(0, 100), (40, 100)], [GAS, ROAD, STRIP], [], set()),
+    ([(19, 0), (40, 0)], [GAS], [(-1, 3)], {ROOM}),
+    ([(13, 0), (40, 0)], [STRIP], [(-1, 15)], {"no 3 m outside the area on each side"}),
+    ([(10, -20), (30, 20)], [ROAD], [(math.hypot(10, 20) - 3, math.hypot(10, 20) + 3)], {ANGLE}),
+    ([(10, -20), (30, 20)], [GAS], [(math.hypot(10, 20) - 2, math.hypot(10, 20) + 2)], set()),
+    ([(10, -20), (30, 20)], [STRIP], [(math.hypot(5, 10) - 3, math.hypot(15, 30) + 3)], {ANGLE}),
+    ([(21, -20), (21, 20)], [GAS], [], {ALONG, CLEAR}),
+    ([(26, -20), (26, 20)], [STRIP], [], {CLEAR}),
+    ([(0, 0), (20, 0), (40, 10)], [GAS], [(18, 22)], {BENT}),
+    ([(0, 0), (30, 0), (30, 5), (21.5, 5)], [GAS], [(18, 22)], {CLEAR}),
+])
+def test_passages(spark, points, objects, windows, rules):
+    got, broken_rules = found_passages(spark, points, objects)
+    assert got == [(pytest.approx(a), pytest.approx(b)) for a, b in windows]
+    assert broken_rules == rules
+
+
+def test_ties_are_no_crossings(spark):
+    assert found_passages(spark, [(0, 0), (40, 0)], [OLD], ties=[(0, 0)]) == ([], set())
+    assert found_passages(spark, [(0.0005, 0), (40, 0)], [OLD], ties=[(0, 0)]) == ([], set())
+    assert found_passages(spark, [(0, 0), (40, 0)], [OLD])[1] == {ROOM}
+    assert "tie approach bends within the pipe's envelope" in found_passages(spark, [(0, 0), (1, 0), (1, 20)], [OLD], ties=[(0, 0)])[1]
+
+
 def test_split_edges(spark):
     e = spark.createDataFrame([(1, "a", "b", 10.0)], "edge int, a string, b string, w double")
     c = spark.createDataFrame([(1, "m", 4.0)], "edge int, node string, at double")
