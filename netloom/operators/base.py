@@ -7,17 +7,23 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of ``spark.checkpoint.dir``. Where the setting is absent (tests, one
+    machine) one is made."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="netloom-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative plan by a reliable checkpoint in the folder that all executors share."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            path = "file://" + tempfile.mkdtemp(prefix="netloom-")
-        sc.setCheckpointDir(path)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 

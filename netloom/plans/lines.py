@@ -133,7 +133,7 @@ QUERIES = {
     "line_quality": (quality, _q(f"WITH {_V}, {_L}, {_C}, {_LEN}, {_ENDS}, {_QUAL} SELECT line, round(length, 4) AS length, round(direct, 4) AS direct, round(detour, 4) AS detour, bends, right_angles, micro_bends, backtracks FROM qual")),
     "quality_totals": (quality_totals, _q(f"WITH {_V}, {_L}, {_C}, {_LEN}, {_ENDS}, {_QUAL} SELECT count(*) AS lines, round(sum(length), 2) AS length, sum(bends)::BIGINT AS bends, sum(backtracks)::BIGINT AS backtracks, round(max(detour), 4) AS max_detour FROM qual")),
     "point_at_half": (point_at_half, _q(f"WITH {_V}, {_L}, s AS (SELECT line, ax, ay, bx, by, {dist('ax', 'ay', 'bx', 'by')} AS len, sum({dist('ax', 'ay', 'bx', 'by')}) OVER (PARTITION BY line ORDER BY pos) AS hi, sum({dist('ax', 'ay', 'bx', 'by')}) OVER (PARTITION BY line) / 2 AS half FROM legs WHERE bx IS NOT NULL) SELECT line, round(ax + (half - (hi - len)) / len * (bx - ax), 3) AS x, round(ay + (half - (hi - len)) / len * (by - ay), 3) AS y FROM s WHERE hi > half AND hi - len <= half")),
-    "straightened": (straightened, None),
+    "straightened": (straightened, "WITH e AS (SELECT user_id AS line, floor(value / 100) AS y, lag(floor(value / 100)) OVER w AS p, lead(floor(value / 100)) OVER w AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT line, count(*)::INTEGER AS before, count_if(p IS NULL OR q IS NULL OR y - p <> q - y)::INTEGER AS after FROM e GROUP BY line"),
     "line_bounds": (bounds, f"WITH {_V} SELECT line, min(x) - 1 AS x0, min(y) - 1 AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM vertices GROUP BY line"),
     "sharp_turns": (sharp_turns, _q(f"WITH {_V}, {_L} SELECT line, count(*) AS n FROM legs WHERE cx IS NOT NULL AND sqrt((bx-ax)*(bx-ax)+(by-ay)*(by-ay)) * sqrt((cx-bx)*(cx-bx)+(cy-by)*(cy-by)) > 1e-12 AND ((bx-ax)*(cx-bx)+(by-ay)*(cy-by)) / (sqrt((bx-ax)*(bx-ax)+(by-ay)*(by-ay)) * sqrt((cx-bx)*(cx-bx)+(cy-by)*(cy-by))) < -1e-7 GROUP BY line")),
     "segment_distance": (segment_distance, _q(f"WITH {_V}, {_L}, g AS (SELECT * FROM legs WHERE dx IS NOT NULL), t AS (SELECT line, leg, bx + 400 - ax AS rx, dy - ay AS ry, bx - cx AS sx, by - cy AS sy, cx - ax AS ox, cy - ay AS oy FROM g), u AS (SELECT line, leg, (ox*sy - oy*sx) / nullif(rx*sy - ry*sx, 0) AS t, (ox*ry - oy*rx) / nullif(rx*sy - ry*sx, 0) AS u FROM t) SELECT g.line, g.leg, round({segment_segment('a', 'b', 'c', 'd')}, 4) AS d, round({point_segment('cx', 'cy', 'ax', 'ay', 'bx', 'by')}, 4) AS pd, round(CASE WHEN u.t BETWEEN -1e-8 AND 1 + 1e-8 AND u.u BETWEEN -1e-8 AND 1 + 1e-8 THEN least(1.0, greatest(0.0, u.t)) END, 5) AS t FROM g JOIN u ON g.line = u.line AND g.leg = u.leg")),
