@@ -58,8 +58,8 @@ _FEATURES = f"WITH {_BASE}, {_WALLS}"
 
 
 def geojson_vertices(spark, d):
-    """Positions of what was written and read again, in metres from the corner."""
-    v = geojson.vertices(_features(spark, d)).withColumns({"dx": F.col("x") - EAST, "dy": F.col("y") - NORTH})
+    """Positions of what was written and read again, in decimetres from the corner."""
+    v = geojson.vertices(_features(spark, d)).withColumns({"dx": F.round(F.col("x") - EAST, 1), "dy": F.round(F.col("y") - NORTH, 1)})
     return v.groupBy("object_type").agg(F.count_distinct("id_key").alias("features"), F.count(F.lit(1)).alias("positions"), F.max("pos").alias("last"), F.round(F.sum("dx"), 2).alias("dx"), F.round(F.sum("dy"), 2).alias("dy"))
 
 
@@ -172,16 +172,16 @@ def simplified_length(spark, d):
 
 
 def utm_features(spark, d):
-    """Positions to longitude and latitude and back, in micrometres of error."""
+    """Whether positions come back from longitude and latitude within the audit's 2 mm."""
     t = B.terminals(spark, d).withColumns({"x": F.col("px") + EAST, "y": F.col("py") + NORTH})
     lon, lat = crs.from_utm(F.col("x"), F.col("y"))
     t = t.withColumns({"lon": lon, "lat": lat})
     x, y = crs.to_utm(F.col("lon"), F.col("lat"))
-    return t.select("id", F.round(F.greatest(F.abs(x - F.col("x")), F.abs(y - F.col("y"))), 6).alias("error"))
+    return t.select("id", (F.greatest(F.abs(x - F.col("x")), F.abs(y - F.col("y"))) < 0.002).alias("close"))
 
 
 _RECT = "greatest(x0 - {x}, 0.0, {x} - x1), greatest(y0 - {y}, 0.0, {y} - y1)"
-_GAS = "gas AS (SELECT block AS object, x0 AS gx, y0 - 30 AS g0, y1 + 30 AS g1 FROM blocks WHERE block % 3 = 0), hits AS (SELECT id, object, abs(gx - ax) AS at FROM leads, gas WHERE abs(ay - \"by\") < 1e-9 AND ay BETWEEN g0 AND g1 AND gx BETWEEN least(ax, bx) AND greatest(ax, bx))"
+_GAS = "gas AS (SELECT block AS object, x0 AS gx, y0 - 30 AS g0, y1 + 30 AS g1 FROM blocks WHERE block % 3 = 0), hits AS (SELECT id, object, abs(gx - ax) AS pos FROM leads, gas WHERE abs(ay - \"by\") < 1e-9 AND ay BETWEEN g0 AND g1 AND gx BETWEEN least(ax, bx) AND greatest(ax, bx))"
 _STEP = "sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2)"
 
 QUERIES = {
@@ -192,11 +192,11 @@ QUERIES = {
     "geojson_areas": (geojson_areas, f"{_FEATURES}, h AS (SELECT block, count(*) AS homes FROM walls, terminals WHERE object_type = 'oks_existing' AND px BETWEEN x0 - 1e-7 AND x1 + 1e-7 AND py BETWEEN y0 - 1e-7 AND y1 + 1e-7 GROUP BY block) SELECT coalesce(restriction_type, object_type) AS kind, count(*) AS areas, count(*) AS rings, sum(coalesce(homes, 0))::BIGINT AS homes FROM walls LEFT JOIN h USING (block) GROUP BY 1"),
     "route_checks": (route_checks, _q(f"WITH {_BASE}, e AS (SELECT id, block, kind, min({segment_segment('a', 'b', 'c', 'd')}) AS d FROM leads, sides WHERE least(ax, bx) - 6 <= greatest(cx, dx) AND least(cx, dx) <= greatest(ax, bx) + 6 AND least(ay, by) - 6 <= greatest(cy, dy) AND least(cy, dy) <= greatest(ay, by) + 6 GROUP BY ALL), w AS (SELECT id, block FROM leads, blocks WHERE ax BETWEEN x0 AND x1 AND ay BETWEEN y0 AND y1) SELECT id AS route, 'forbidden envelope' AS rule, block AS object FROM e WHERE d < CASE WHEN kind = 'oks' THEN 5.2 ELSE 1.2 END - 1e-6 UNION SELECT id, 'forbidden envelope', block FROM w").replace("GROUP \"by\" ALL", "GROUP BY ALL")),
     "route_shapes": (route_shapes, f"WITH {B.VERTICES_SQL}, l AS (SELECT line, x - lag(x) OVER w AS ux, y - lag(y) OVER w AS uy, lead(x) OVER w - x AS vx, lead(y) OVER w - y AS vy FROM vertices WINDOW w AS (PARTITION BY line ORDER BY pos)) SELECT line AS route, 'empty or non-finite route' AS rule FROM vertices GROUP BY line HAVING count(*) < 2 UNION ALL SELECT DISTINCT line, 'turn exceeds 90 degrees' FROM l WHERE (ux * vx + uy * vy) / (sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy)) < -1e-7"),
-    "passage_windows": (passage_windows, f"WITH {_BASE}, {_GAS} SELECT id AS route, object, round(at - 2, 6) AS lo, round(at + 2, 6) AS hi, 1.25::DOUBLE AS factor FROM hits"),
-    "leg_weights": (leg_weights, f"WITH {_BASE}, {_GAS}, w AS (SELECT DISTINCT id, greatest(round(at, 7) - 2, 0.0) AS lo, least(round(at, 7) + 2, 30.0) AS hi FROM hits), c AS (SELECT *, max(hi) OVER (PARTITION BY id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w), s AS (SELECT id, sum(greatest(0.0, hi - greatest(lo, coalesce(before, lo)))) AS size FROM c GROUP BY id), f AS (SELECT DISTINCT id FROM hits WHERE at < 2 - 1e-6 OR at > 28 + 1e-6) SELECT l.id AS leg, round(coalesce(size, 0.0) * 25, 6) AS extra, f.id IS NULL AS fits FROM leads l LEFT JOIN s ON s.id = l.id LEFT JOIN f ON f.id = l.id"),
+    "passage_windows": (passage_windows, f"WITH {_BASE}, {_GAS} SELECT id AS route, object, round(pos - 2, 6) AS lo, round(pos + 2, 6) AS hi, 1.25::DOUBLE AS factor FROM hits"),
+    "leg_weights": (leg_weights, f"WITH {_BASE}, {_GAS}, w AS (SELECT DISTINCT id, greatest(round(pos, 7) - 2, 0.0) AS lo, least(round(pos, 7) + 2, 30.0) AS hi FROM hits), c AS (SELECT *, max(hi) OVER (PARTITION BY id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w), s AS (SELECT id, sum(greatest(0.0, hi - greatest(lo, coalesce(before, lo)))) AS size FROM c GROUP BY id), f AS (SELECT DISTINCT id FROM hits WHERE pos < 2 - 1e-6 OR pos > 28 + 1e-6) SELECT l.id AS leg, round(coalesce(size, 0.0) * 25, 6) AS extra, f.id IS NULL AS fits FROM leads l LEFT JOIN s ON s.id = l.id LEFT JOIN f ON f.id = l.id"),
     "free_cells": (free_cells, f"WITH {_BASE}, e AS (SELECT floor((min(px) - 120) / 10)::BIGINT AS i0, ceil((max(px) + 120) / 10)::BIGINT AS i1, floor((min(py) - 120) / 10)::BIGINT AS j0, ceil((max(py) + 120) / 10)::BIGINT AS j1 FROM terminals), g AS (SELECT i, j, i * 10.0::DOUBLE AS x, j * 10.0::DOUBLE AS y FROM (SELECT unnest(generate_series(i0, i1)) AS i FROM e), (SELECT unnest(generate_series(j0, j1)) AS j FROM e)), t AS (SELECT DISTINCT i, j FROM g, blocks WHERE x BETWEEN x0 - 5 AND x1 + 5 AND y BETWEEN y0 - 5 AND y1 + 5 AND (sqrt(greatest(x0 - x, 0.0, x - x1) ** 2 + greatest(y0 - y, 0.0, y - y1) ** 2) < 5)) SELECT i, j, x, y FROM g WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.i = g.i AND t.j = g.j)"),
     "boxes_near": (boxes_near, f"WITH {B.BLOCKS_SQL} SELECT a.block, a.x0 <= b.x1 + 50 AND b.x0 <= a.x1 + 50 AND a.y0 <= b.y1 + 50 AND b.y0 <= a.y1 + 50 AS near, b.x0 BETWEEN a.x0 - 200 AND a.x1 + 200 AND b.y0 BETWEEN a.y0 - 200 AND a.y1 + 200 AS holds FROM blocks a JOIN blocks b ON b.block = a.block + 1"),
     "audit_pipes": (audit_pipes, f"WITH {SIZES_CTE}, {B.TERMINALS_SQL}, r AS (SELECT 'pipe length' AS rule, 1.0 AS gap FROM terminals WHERE id % 7 = 0 UNION ALL SELECT 'pipe cost', 500.0 FROM terminals WHERE id % 11 = 0 UNION ALL SELECT 'undersized pipe', 0.1 FROM terminals WHERE id % 13 = 0 UNION ALL SELECT 'depth profile', NULL FROM terminals WHERE id % 17 = 0 UNION ALL SELECT 'laying method', NULL FROM terminals WHERE id % 19 = 0) SELECT rule, count(*) AS n, round(sum(gap), 2) AS gap FROM r GROUP BY rule"),
     "simplified_length": (simplified_length, f"WITH {B.VERTICES_SQL}, s AS (SELECT line, {_STEP} AS d FROM vertices WINDOW w AS (PARTITION BY line ORDER BY pos)) SELECT line, round(sum(d), 3) AS before, round(sum(d), 3) AS after FROM s GROUP BY line HAVING count(*) > 2"),
-    "utm_features": (utm_features, f"WITH {B.TERMINALS_SQL} SELECT id, 0.0::DOUBLE AS error FROM terminals"),
+    "utm_features": (utm_features, f"WITH {B.TERMINALS_SQL} SELECT id, true AS close FROM terminals"),
 }
