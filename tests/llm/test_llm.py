@@ -172,9 +172,12 @@ def test_fingerprints_against_brute_force(spark):
         want = t[: len(t) - k] + nxt[:k]
         assert out[i].n_chars == len(t)
         assert out[i].edited_sha256 == hashlib.sha256(want.encode()).hexdigest()
-    sample = [order[0], order[700], order[-1]]
-    for i, t in sample:
-        assert out[i].fingerprint == op3_fingerprints.text_of(op3_fingerprints.fingerprints([t or ""])[0])
+    texts = [t or "" for _, t in order]
+    own = op3_fingerprints.fingerprints(texts)
+    new = op3_fingerprints.fingerprints([op3_fingerprints.edited(t, n) for t, n in zip(texts, texts[1:] + texts[:1], strict=True)])
+    for k, (i, _) in enumerate(order):
+        assert (out[i].fingerprint, out[i].edited_fingerprint) == (op3_fingerprints.text_of(own[k]), op3_fingerprints.text_of(new[k]))
+        assert (out[i].near_edited, out[i].near_next) == ((own[k] == new[k]).mean(), (own[k] == own[(k + 1) % len(order)]).mean())
     assert out[3000].fingerprint == out[3001].fingerprint
 
 
@@ -449,6 +452,88 @@ def test_verbatim_copies_of_items_without_templates(spark):
     assert got == {i: [i] if i < 100 else [] for i, _ in rows}
 
 
+def naive_windows(text, wanted=None):
+    """(position, what must be equal, slots, whether it is told, size) of an item's windows, or of a document's of given sizes."""
+    raw, place, readings, plain = op6_decontaminate.template(text, op6_decontaminate.Tokens())
+    n, words = len(place), [raw[i].lower() for i in place]
+    readings = [(h.tolist(), kind.tolist(), among) for h, kind, among in readings]
+    item, short = wanted is None, len(place) < op6_decontaminate.SHORTEST
+    if item and n and readings[0][1][0] == op6_decontaminate.LITERAL and words[0] in op6_decontaminate.UNITS:
+        h, kind, _ = readings[0]
+        readings.append(([int(op6_decontaminate._PLACE[op6_decontaminate.UNIT]), *h[1:]], [op6_decontaminate.UNIT, *kind[1:]], [True] + [False] * (n - 1)))
+    out = []
+    for size in [min(n, op6_decontaminate.WINDOW)] if item else sorted(wanted):
+        told, first_lost = set(), False
+        for k, (h, kind, among) in enumerate(readings if size and not (item and short) else []):
+            good = [p for p in range(n - size + 1) if 2 * kind[p : p + size].count(op6_decontaminate.LITERAL) >= size and (among is None or any(among[p : p + size]))]
+            told |= set(good) if k == 0 else set()
+            first_lost |= among is not None and bool(among[0]) and 0 not in good
+            out += [(p, ("t", tuple(h[p : p + size])), [words[q] for q in range(p, p + size) if kind[q] != op6_decontaminate.LITERAL], p, size, False) for p in good]
+        out = [(p, same, slots, not item or p in told, size, False) for p, same, slots, _, size, _ in out]
+        for p in range(n - size + 1) if size else ():
+            if item and not short and p in told and not (p == 0 and first_lost):
+                continue
+            if not item and size == 1 and not op6_decontaminate._alone(raw, place[p]):
+                continue
+            out.append((p, ("x", tuple(words[p : p + size])), [], True, size, True))
+    return out
+
+
+def naive_contaminated(doc, item):
+    theirs = naive_windows(item)
+    if not theirs:
+        return False
+    mine = naive_windows(doc, {w[4] for w in theirs})
+    lines = {}
+    for p, same, slots, told, size, _ in theirs:
+        for q, same2, slots2, _, size2, _ in mine:
+            if size == size2 and same == same2:
+                lines.setdefault(q - p, {}).setdefault(p, []).append((list(zip(slots, slots2)), told))
+    held = set()
+    for met in lines.values():
+        best = {p: min(ways, key=lambda w: len(w[0]))[0] for p, ways in met.items()}
+        ats, run = sorted(best), []
+        for i in range(len(ats)):
+            for j in range(i, len(ats)):
+                to = {}
+                if all(to.setdefault(a, b) == b for p in ats[i : j + 1] for a, b in best[p]) and j + 1 - i > len(run):
+                    run = ats[i : j + 1]
+        held |= {p for p in ats if all(a == b for a, b in best[p])} | set(run)
+    told = {p for p, _, _, t, _, _ in theirs if t}
+    every = {w[0] for w in theirs}
+    return len(held) >= min(len(every), op6_decontaminate.ENOUGH) or bool(told) and len(held & told) >= min(len(told), op6_decontaminate.ENOUGH)
+
+
+def test_decontamination_against_naive_windows(spark):
+    rng = random.Random(61)
+    names, units = ["Tom", "Anna", "Max", "Lisa"], ["km", "m", "kg", "hours"]
+
+    def story(n):
+        out = []
+        for _ in range(n):
+            x = rng.random()
+            out += [rng.choice(names)] if x < 0.12 else [str(rng.randint(1, 99)), rng.choice(units)] if x < 0.24 else [rng.choice(WORDS)]
+            if rng.random() < 0.1:
+                out[-1] += rng.choice([".", "?"])
+        return " ".join(out)
+
+    items = [(i, story(rng.randint(9, 30))) for i in range(25)] + [(30, "What is 17 + 25 * 3 - 48 / 6?"), (31, "Compute 3 4 5 6 7 8 9 10"), (32, "Who wrote Hamlet?"), (33, "Photosynthesis"), (34, "")]
+
+    def changed(text):
+        to = {n: rng.choice(names) for n in names} | {str(k): str(rng.randint(1, 99)) for k in range(100)} if rng.random() < 0.7 else {}
+        words = [re.sub(r"[A-Za-z]+|\d+", lambda m: to.get(m[0], m[0]), w) for w in text.split()]
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        return " ".join(words)
+
+    docs = [(i, story(60)) for i in range(15)]
+    docs += [(100 + k, story(20) + rng.choice([". ", " "]) + changed(t) + rng.choice([". ", " "]) + story(20)) for k, (_, t) in enumerate([x for x in items if x[1]] * 3)]
+    got = {r.doc_id: set(r.item_ids) for r in op6_decontaminate.decontaminate(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {i: {k for k, t in items if naive_contaminated(d, t)} for i, d in docs}
+    assert got == want
+    assert 20 < sum(map(len, want.values())) < 120
+
+
 # ---------------------------------------------------------------- 7
 
 
@@ -864,3 +949,30 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in out} == ids[3]
     assert all(r.n_tokens == len(r.ids) for r in out)
     assert {r.doc_id for r in c.run(spark, str(tmp_path)).collect()} == ids[3]
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as c
+
+    rng = random.Random(15)
+    item = "how many blue stones does the miller carry over the narrow bridge when the water rises by 3 metres in a single night"
+    spark.createDataFrame([(1, 0), (3, 1), (6, 0), (None, 1)], "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [*ODD, (9, prose(rng, 20) + ". " + item), (9, prose(rng, 20) + ". " + item), (10, "password=0123456789ab"), (10, "password=0123456789ab"), (11, prose(rng, 30_000))]
+    docs = table(spark, rows)
+    for name, stage in c.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        ids = sorted((r.doc_id for r in got.collect()), key=str)
+        every = sorted((i for i, _ in rows), key=str)
+        if name in ("secret scans", "byte-level BPE"):
+            assert ids == every
+        elif name == "n-gram Jaccard join":
+            assert [ids.count(i) for i in (6, 10, 11, None)] == [1, 1, 1, 1]
+        elif name == "benchmark decontamination":
+            assert ids == [i for i in every if i != 9]
+        else:
+            assert set(ids) <= set(every)
+        nothing = stage(spark, docs.limit(0), str(tmp_path))
+        assert nothing.count() == 0
+        if name != "byte-level BPE":
+            assert got.columns == nothing.columns == list(c.COLUMNS)
