@@ -468,14 +468,13 @@ def naive_windows(text, wanted=None):
             good = [p for p in range(n - size + 1) if 2 * kind[p : p + size].count(op6_decontaminate.LITERAL) >= size and (among is None or any(among[p : p + size]))]
             told |= set(good) if k == 0 else set()
             first_lost |= among is not None and bool(among[0]) and 0 not in good
-            out += [(p, ("t", tuple(h[p : p + size])), [words[q] for q in range(p, p + size) if kind[q] != op6_decontaminate.LITERAL], p, size, False) for p in good]
-        out = [(p, same, slots, not item or p in told, size, False) for p, same, slots, _, size, _ in out]
+            out += [(p, ("t", tuple(h[p : p + size])), [words[q] for q in range(p, p + size) if kind[q] != op6_decontaminate.LITERAL], True, size, False) for p in good]
         for p in range(n - size + 1) if size else ():
             if item and not short and p in told and not (p == 0 and first_lost):
                 continue
             if not item and size == 1 and not op6_decontaminate._alone(raw, place[p]):
                 continue
-            out.append((p, ("x", tuple(words[p : p + size])), [], True, size, True))
+            out.append((p, ("x", tuple(words[p : p + size])), [], item and not short and p in told, size, True))
     return out
 
 
