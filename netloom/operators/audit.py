@@ -216,6 +216,7 @@ def audit(export: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """All violations of an export. With the source, roots are existing chambers and chambers on existing pipes, and consumers
     come from it; without, chambers with a null parent aren't known, so roots are the nodes that no pipe ends at."""
     export = cut(export)
+    source = source if source is None else cut(source.drop("properties").withColumn("id_raw", F.col("id_key")))
     lines = export.filter("object_type = 'heat_network'")
     out = [files(export), pipes(export), endpoints(export, source), crossings_and_conflicts(export)]
     if source is None:
@@ -234,4 +235,4 @@ def audit(export: DataFrame, source: DataFrame | None = None) -> DataFrame:
         roots = used.select("plan", "node").unionByName(own.join(on, "at").select("plan", F.col("id_key").alias("node")))
         out += [clearances(export, source), crossing_prices(export, source)]
     out += [topology(export, roots, terminals), totals(export, roots, source)]
-    return _union(out)
+    return _union([cut(part) for part in out])  # violations are few; one plan of all rules would take longer to plan than to run
