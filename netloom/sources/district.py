@@ -50,7 +50,7 @@ def graph(features: DataFrame, radius: float, per_sector: int, dn: int = SIZES[0
     home_ids = nodes.filter("role = 'home'").select("territory", F.col("name").alias("of"), F.col("id").alias("h"), F.col("x").alias("hx"), F.col("y").alias("hy"))
     leads = nodes.filter("role = 'port'").join(home_ids, ["territory", "of"]).select("territory", F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"), G.distance(F.col("x"), F.col("y"), F.col("hx"), F.col("hy")).alias("w"))
     edges = free.unionByName(leads).dropDuplicates(["territory", "a", "b"])
-    return nodes.select("territory", "id", "name", "x", "y", "flow", (F.col("role") == "tie").alias("is_tie"), F.coalesce("is_chamber", F.lit(False)).alias("is_chamber"), F.coalesce("existing_dn", F.lit(500)).alias("existing_dn"), F.coalesce("existing_degree", F.lit(2)).alias("existing_degree")), edges
+    return nodes.select("territory", "id", "name", "x", "y", "flow", (F.col("role") == "tie").alias("is_tie"), F.coalesce("is_chamber", F.lit(False)).alias("is_chamber"), F.coalesce("existing_dn", F.lit(500)).alias("existing_dn"), F.coalesce("existing_degree", F.lit(2)).alias("existing_degree")), cut(edges)
 
 
 def _by(key: str):

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from netloom import __main__ as cli
 from netloom.functions import crs
-from netloom.operators import audit
-from netloom.sources import geojson
+from netloom.operators import audit, search
+from netloom.sources import district, geojson
 
 
 def lonlat(spark, xy):
@@ -136,17 +136,17 @@ def test_preview_escapes():
     assert svg.startswith("<svg")
 
 
-def test_command_lines(spark, tmp_path, files, capsys):
-    source, export = files
+def test_graph_of_an_input(spark, tmp_path, files):
+    source, _ = files
     source = with_features(spark, source, ("Polygon", {"id": "h", "object_type": "oks_existing"}, house(140, -20, 190, 20)), ("Polygon", {"id": "w", "object_type": "restriction", "restriction_type": "water"}, house(40, -10, 60, 30)))
     (tmp_path / "in.geojson").write_text(json.dumps(source))
-    (tmp_path / "out.geojson").write_text(json.dumps(export))
-    command = lambda *args: cli.run(cli.parser().parse_args([str(a) for a in args]), spark)
-    assert command("rules", tmp_path / "in.geojson") == 0
-    assert command("input", tmp_path / "in.geojson") == 0
-    assert command("audit", tmp_path / "in.geojson", tmp_path / "out.geojson") == 1  # a pipe goes through the water
-    assert "forbidden envelope" in capsys.readouterr().out
-    assert command("reach", tmp_path / "in.geojson") == 0
-    assert command("solve", tmp_path / "in.geojson", "--out", tmp_path / "plans", "--seeds", "[1]", "--iterations", 2, "--top", 1) == 0
-    (best,) = spark.read.json(str(tmp_path / "plans")).collect()
-    assert (best.missing, best.counts.steps) == (0, 2)
+    nodes, edges = district.graph(geojson.checked(geojson.read_features(spark, str(tmp_path / "in.geojson"))), 120.0, 3)
+    nodes = audit.cut(nodes)
+    assert [r.reachable for r in search.reachability(edges, nodes).collect()] == [True, True]  # one of them within a building
+    (best,) = search.portfolio(edges, nodes, [1], 2, 1).collect()
+    assert (best.missing, best.counts["steps"]) == (0, 2)
+
+
+def test_arguments_of_the_command_lines():
+    args = cli.parser().parse_args(["solve", "in", "--out", "plans", "--seeds", "[1, 2]"])
+    assert (args.command, args.input, args.out, args.seeds, args.iterations) == ("solve", "in", "plans", [1, 2], 200)
