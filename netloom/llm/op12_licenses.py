@@ -49,12 +49,15 @@ TEMPLATES = (
 THRESHOLD, STRIDES = 0.9, (16, 64)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD, _GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The one other character whose lower case is an ASCII letter, and a letter to stand for it.
+_KELVIN, _KRA = "\u212a", "\u0138"
 
 
 def words(text: Column) -> Column:
-    """Words of a text, A-Z in lower case; a null text has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
+    """Words of a text in lower case; a null text has none. Other letters than A-Z become lower case too, which changes
+    neither what is a word nor which words are ASCII; it is several times faster than ``translate``."""
+    return F.array_remove(F.split(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(_KELVIN), F.lit(_KRA))), _GAP), "")
 
 
 def least_common(size: int, threshold: float) -> int:
@@ -137,16 +140,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     sets = [(label, list(dict.fromkeys(t.split())), next(s for s in STRIDES if len(t.split()) <= s)) for label, t in TEMPLATES]
     rows = ", ".join(f"('{label}', {t}, {least_common(len(t), THRESHOLD)}, {stride})" for label, t, stride in sets)
-    places = " UNION ALL ".join("SELECT doc_id, at, '{}' AS label FROM places WHERE {}".format(label, " AND ".join(f"words[at + {j + 1}] = '{w}'" for j, w in enumerate(p.split()))) for p, label in PHRASES)
+    places = " UNION ALL ".join("SELECT doc_id, pos, '{}' AS label FROM places WHERE {}".format(label, " AND ".join(f"words[pos + {j + 1}] = '{w}'" for j, w in enumerate(p.split()))) for p, label in PHRASES)
     return rf"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS words FROM documents),
-places AS (SELECT doc_id, words, unnest(range(len(words))) AS at FROM docs),
+places AS (SELECT doc_id, words, unnest(range(len(words))) AS pos FROM docs),
 found AS ({places}),
-base AS (SELECT doc_id, count(*) AS n_base, min(at)::BIGINT AS first_word, max(at)::BIGINT AS last_word, list(DISTINCT label) AS labels FROM found GROUP BY doc_id),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos)::BIGINT AS first_word, max(pos)::BIGINT AS last_word, list(DISTINCT label) AS labels FROM found GROUP BY doc_id),
 templates(label, tokens, least, stride) AS (VALUES {rows}),
 strides AS (SELECT DISTINCT stride FROM templates),
-windows AS (SELECT doc_id, stride, words, unnest(range(0, greatest(1, len(words) - stride), stride)) AS at FROM docs, strides),
-blocks AS (SELECT doc_id, stride, list_distinct(words[at + 1 : at + 2 * stride]) AS words FROM windows),
+windows AS (SELECT doc_id, stride, words, unnest(range(0, greatest(1, len(words) - stride), stride)) AS pos FROM docs, strides),
+blocks AS (SELECT doc_id, stride, list_distinct(words[pos + 1 : pos + 2 * stride]) AS words FROM windows),
 met AS (SELECT doc_id, label, len(list_intersect(tokens, words)) AS common, len(tokens) AS size, least FROM blocks JOIN templates USING (stride)),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(common / size) AS best FROM met WHERE common >= least GROUP BY doc_id)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
