@@ -69,8 +69,8 @@ def _array(strings: list[str]) -> Column:
 
 
 def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, strides: tuple[int, ...] = STRIDES) -> DataFrame:
-    """(key, row_hash, label, template, start, words, containment) of every block that meets a template: the number of the
-    template, the block's first word and its words. ``row_hash`` is of key and text, so that equal rows share their blocks.
+    """(key, row_hash, label, template, start, stop, containment) of every block that meets a template: the number of the
+    template, and the block's words from ``start`` to before ``stop``. ``row_hash`` is of key and text; equal rows share their blocks.
 
     Null and empty texts have no blocks; a template without words is never met; repeated rows are reported once.
     """
@@ -90,16 +90,18 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
         index += [(stride, w, p, len(t), a, i, label, t) for p, w in enumerate(t[: len(t) - a + 1])]
     book = spark.createDataFrame(index, "stride int, word string, p int, size int, least int, template int, label string, tokens array<string>")
     first = sorted({x[1] for x in index})
-    n = F.size("words")
-    some = rows.filter(F.arrays_overlap("words", _array(first)))
-    windows = some.withColumn("stride", F.explode(F.array(*(F.lit(s) for s in strides)))).select("key", "row_hash", "stride", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - F.col("stride") - 1), F.col("stride"))).alias("start"))
-    blocks = windows.select("key", "row_hash", "stride", "start", F.slice("words", F.col("start") + 1, F.col("stride") * 2).alias("words")).distinct().withColumn("met", F.array_intersect(_array(order), F.col("words")))
-    probes = blocks.select("key", "row_hash", "stride", "start", "words", "met", F.posexplode("met").alias("q", "word"))
+    rows = rows.filter(F.arrays_overlap("words", _array(first)))
+    held = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda p: p.word.isin(vocabulary))
+    held = rows.select("key", "row_hash", F.size("words").alias("n"), F.explode(held).alias("p")).select("key", "row_hash", "n", "p.at", "p.word")
+    windows = F.explode(F.flatten(F.array(*(F.array(*(F.struct(F.lit(s).alias("stride"), ((F.floor(F.col("at") / s) - back) * s).alias("start")) for back in (0, 1))) for s in strides)))).alias("w")
+    blocks = held.select("key", "row_hash", "n", "word", windows).select("key", "row_hash", "n", "word", "w.stride", "w.start").filter("start = 0 or start > 0 and start + stride < n")
+    blocks = blocks.groupBy("key", "row_hash", "stride", "start").agg(F.array_intersect(_array(order), F.collect_set("word")).alias("met"))  # at most all words of the templates
+    probes = blocks.select("*", F.posexplode("met").alias("q", "word"))
     left = F.least(F.col("size") - F.col("p"), F.size("met") - F.col("q"))
     pairs = probes.join(book, ["stride", "word"]).filter((F.size("met") >= F.col("least")) & (left >= F.col("least")))
     common = F.size(F.array_intersect("tokens", "met"))
-    pairs = pairs.filter(common >= F.col("least")).select("key", "row_hash", "label", "template", "start", "words", (common / F.col("size")).alias("containment"))
-    return pairs.dropDuplicates(["key", "row_hash", "template", "start"]).withColumnRenamed("key", key)
+    pairs = pairs.filter(common >= F.col("least")).select("key", "row_hash", "label", "template", "start", (F.col("start") + F.col("stride") * 2).alias("stop"), (common / F.col("size")).alias("containment")).distinct()
+    return pairs.withColumnRenamed("key", key)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
