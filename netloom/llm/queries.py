@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_langid, op10_html, op12_licenses, op13_lexical, op2_bpe, op3_fingerprints, op4_urls, op5_jaccard_join, op6_decontaminate, op7_shards, op8_toxicity, op9_secrets
+from . import op1_langid, op10_html, op11_hard_negatives, op12_licenses, op13_lexical, op2_bpe, op3_fingerprints, op4_urls, op5_jaccard_join, op6_decontaminate, op7_shards, op8_toxicity, op9_secrets
 
 QUERIES = {
     "op1_language_id": op1_langid.query,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity.query,
     "op9_secrets": op9_secrets.query,
     "op10_html_text": op10_html.query,
+    "op11_hard_negatives": op11_hard_negatives.query,
     "op12_license_scan": op12_licenses.query,
     "op13_lexical_search": op13_lexical.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": op4_urls.SQL, "op12_license_scan": op12_licenses.SQL, "op13_lexical_search": op13_lexical.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": op4_urls.SQL, "op11_hard_negatives": op11_hard_negatives.SQL, "op12_license_scan": op12_licenses.SQL, "op13_lexical_search": op13_lexical.SQL}
