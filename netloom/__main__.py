@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import audit, search
+from .operators import audit, planning
 from .sources import district, geojson
 
 
@@ -38,14 +38,13 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
             return min(1, _shown(audit.audit(audit.read_export(spark, args.export), _source(spark, args.input)), args.limit))
         case "reach":  # consumers that no plan of their own reaches
             nodes, edges = district.graph(_source(spark, args.input), args.radius, args.per_sector)
-            rows = search.reachability(edges, nodes)
-            return min(1, _shown(rows.filter("not reachable"), args.limit))
-        case "solve":  # plans for every territory and seed, ranked
+            return min(1, _shown(planning.reachability(edges, nodes).filter("not reachable"), args.limit))
+        case "solve":  # designs for every territory, ranked
             nodes, edges = district.graph(_source(spark, args.input), args.radius, args.per_sector)
-            best = search.portfolio(edges, nodes, args.seeds, args.iterations, args.top)
-            best.write.mode("overwrite").json(args.out)
-            ranked = spark.read.json(args.out).orderBy("territory", "missing", "score", "bends", "cost")
-            _shown(ranked.select("territory", "seed", "pick", "missing", "score", "bends", "cost", F.size("edges").alias("pipes")), args.limit)
+            pipes, plans = planning.designs(edges, nodes, tuple(args.factors))
+            pipes.write.mode("overwrite").json(f"{args.out}/pipes")
+            plans.write.mode("overwrite").json(f"{args.out}/plans")
+            _shown(spark.read.schema(plans.schema).json(f"{args.out}/plans").orderBy("territory", "rank"), args.limit)
     return 0
 
 
@@ -64,9 +63,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--radius", type=float, default=120.0)
         s.add_argument("--per-sector", type=int, default=3)
     s.add_argument("--out", required=True)
-    s.add_argument("--seeds", type=json.loads, default=[17, 23])
-    s.add_argument("--iterations", type=int, default=200)
-    s.add_argument("--top", type=int, default=3)
+    s.add_argument("--factors", type=json.loads, default=list(planning.FACTORS), help="weights of the roots' prices, one design each")
     return p
 
 

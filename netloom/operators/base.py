@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,12 +20,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative plan by a reliable checkpoint in the folder that all executors share."""
+def cut(df: DataFrame, *old: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative plan: write it to the folder that all executors share and read it again. Unlike the
+    session's checkpoints such a table brings no constraints along, which double each round where a table is joined with itself,
+    and its true size lets small sides be broadcast. The files of ``old``, tables of earlier calls that nothing else reads any
+    more, are deleted afterwards."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    for o in old:
+        dropped(o)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` has written."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(df.folder)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

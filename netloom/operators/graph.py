@@ -1,27 +1,23 @@
-"""Forests and graphs as edge tables, for many plans at once.
+"""Forests as edge tables, for many plans at once.
 
-A plan's forest is oriented from its roots by frontier joins, one round a level; a node's row carries the path of its
-ancestors, so that subtree sums afterwards are one explosion and one aggregation, whatever the depth. Paths take room in
-proportion to the depth: plans of networks are some tens of levels deep; forests beyond ``deepest`` are an error. Shortest paths, spanning trees and Steiner trees are kernels per plan (``applyInPandas``): their
-order of steps depends on the data, and one plan's graph fits a task.
+What goes along paths goes by pointer doubling: a table of jumps, of 1, 2, 4, … steps towards the root, is joined with itself, so
+depths, ancestors and subtree sums take as many rounds as the depth has binary digits, and no row grows with the depth.
+``orient`` takes the first levels by frontier joins, which touch only the frontier; what lies deeper is oriented by a tour around
+the trees, whose arcs are ranked by doubling. Shortest paths are in ``paths``, spanning and Steiner trees in ``trees``.
 """
 
 from __future__ import annotations
 
-import heapq
-import itertools
-import math
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pricing
 from ..functions.constants import CONTINUOUS_FIT, FIT, MAX_DEGREE, SIZES
 from .base import cut
 
+#: Levels that are taken by frontier joins; arcs of a node that one task puts in a ring, about.
+LEVELS, RING = 16, 1_000_000
+
 
 def symmetric(edges: DataFrame, *more: str) -> DataFrame:
     """Both directions of edges (plan, a, b, …)."""
@@ -29,36 +25,136 @@ def symmetric(edges: DataFrame, *more: str) -> DataFrame:
     return edges.select("a", "b", *cols).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *cols))
 
 
-def orient(edges: DataFrame, roots: DataFrame, deepest: int = 10_000) -> DataFrame:
-    """(plan, node, parent, depth, path) from edges (plan, a, b) and roots (plan, node); ``path`` lists the node and its
-    ancestors up to the root. Nodes that no root reaches are absent. A node reached twice in a round keeps its least parent;
-    ``forest_violations`` reports what isn't a forest."""
-    both = cut(symmetric(edges).distinct().select(F.col("plan").alias("_plan"), "a", "b"))
-    front = roots.select("plan", "node").distinct().select("plan", "node", F.lit(None).cast(both.schema["a"].dataType).alias("parent"), F.lit(0).alias("depth"), F.array("node").alias("path"))
-    seen = front = cut(front)
-    for depth in range(1, deepest):
-        step = front.select("plan", "node", "path").join(both, (F.col("plan") == F.col("_plan")) & (F.col("node") == F.col("a"))).select("plan", F.col("b").alias("node"), F.col("a").alias("parent"), "path")
-        step = step.filter(~F.array_contains("path", F.col("node")))
-        step = step.groupBy("plan", "node").agg(F.min("parent").alias("parent"), F.min_by("path", "parent").alias("path")).select("plan", "node", "parent", F.lit(depth).alias("depth"), F.concat(F.array("node"), "path").alias("path"))
-        step = cut(step.join(seen, ["plan", "node"], "left_anti"))
+# ---------------------------------------------------------------- pointer doubling
+
+
+def ends(links: DataFrame) -> DataFrame:
+    """(plan, node, last, hops): where the links (plan, node, next) lead in the end, a node without a link, and in how many
+    steps. As many rounds as the longest way has binary digits; a ring of links is an error."""
+    now = cut(links.select("plan", "node", F.col("next").alias("last"), F.lit(1).cast("long").alias("hops")))
+    most = now.count()
+    while True:
+        on = now.select("plan", F.col("node").alias("last"), F.col("last").alias("_last"), F.col("hops").alias("_hops"))
+        after = now.join(on, ["plan", "last"], "left").select("plan", "node", F.coalesce("_last", "last").alias("last"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.col("_last").isNotNull().alias("moved"))
+        now = cut(after, now)
+        if now.filter("moved").isEmpty():
+            return now.drop("moved")
+        if not now.filter(F.col("hops") > most).isEmpty():
+            raise ValueError("the links go round in a ring")
+
+
+def _deepest(oriented: DataFrame) -> int:
+    return oriented.agg(F.max("depth")).first()[0] or 0
+
+
+def _jumps(oriented: DataFrame, deepest: int):
+    """Tables (plan, node, up, depth) of jumps of 1, 2, 4, … levels, of the nodes that lie that deep. Nodes that jump to a root
+    have no longer jump, so they don't meet in the root's row."""
+    now, step = oriented.filter("parent is not null").select("plan", "node", F.col("parent").alias("up"), "depth"), 1
+    while step <= deepest:
+        yield step, now
+        on = now.select("plan", F.col("node").alias("up"), F.col("up").alias("_up"))
+        now = now.filter(F.col("depth") >= 2 * step).join(on, ["plan", "up"]).select("plan", "node", F.col("_up").alias("up"), "depth")
+        step *= 2
+        if step <= deepest // 2:  # it is joined again
+            now = cut(now)
+
+
+def ancestors(oriented: DataFrame, starts: DataFrame, *keep: str) -> DataFrame:
+    """(plan, start, keep, node, hops): each start (plan, node, keep) and all its ancestors, up to the root."""
+    out = starts.select("plan", F.col("node").alias("start"), *keep, "node", F.lit(0).cast("long").alias("hops"))
+    deepest = _deepest(oriented)
+    for step, jump in _jumps(oriented, deepest):
+        if step > 1:
+            out = cut(out)
+        out = out.unionByName(out.join(jump.select("plan", "node", "up"), ["plan", "node"]).select("plan", "start", *keep, F.col("up").alias("node"), (F.col("hops") + step).alias("hops")))
+    return out
+
+
+def subtree_sums(oriented: DataFrame, values: DataFrame, *cols: str) -> DataFrame:
+    """``oriented`` with the sums of the values (plan, node, cols) in each node's subtree; without any, 0.
+
+    After the round of jumps of 2^k levels a node has the sum of what lies less than 2^(k+1) levels below it.
+    """
+    own = values.groupBy("plan", "node").agg(*(F.sum(c).alias(c) for c in cols))
+    out = oriented.join(own, ["plan", "node"], "left").select(*oriented.columns, *(F.coalesce(c, F.lit(0)).alias(c) for c in cols))
+    for _, jump in _jumps(oriented, _deepest(oriented)):
+        out = cut(out)
+        up = out.select("plan", "node", *cols).join(jump.select("plan", "node", "up"), ["plan", "node"]).groupBy("plan", F.col("up").alias("node")).agg(*(F.sum(c).alias(f"_{c}") for c in cols))
+        out = out.join(up, ["plan", "node"], "left").select(*oriented.columns, *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in cols))
+    return out
+
+
+# ---------------------------------------------------------------- orientation
+
+
+def orient(edges: DataFrame, roots: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(plan, node, parent, depth) from edges (plan, a, b) and roots (plan, node).
+
+    Nodes that no root reaches are absent. ``forest_violations`` reports what isn't a forest; of nodes that several ways reach
+    within the first ``levels`` the least parent counts, and deeper, parts of what isn't a forest may be absent.
+    """
+    both = cut(symmetric(edges).distinct().select("plan", "a", "b"))
+    kind = both.schema["a"].dataType
+    front = seen = cut(roots.select("plan", "node").distinct().select("plan", "node", F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth")))
+    parts = [seen]
+    for depth in range(1, levels + 1):
+        step = front.select("plan", F.col("node").alias("a")).join(both, ["plan", "a"]).groupBy("plan", F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        # in a forest only the parent's parent could come up again; in anything else, any node seen so far
+        step = cut(step.join(seen.select("plan", "node"), ["plan", "node"], "left_anti").select("plan", "node", "parent", F.lit(depth).alias("depth")))
         if step.isEmpty():
             return seen
-        seen = seen.unionByName(step)
-        if depth % 8 == 0:
-            seen = cut(seen)
-        front = step
-    raise ValueError(f"a forest is deeper than {deepest} levels")
+        parts.append(step)
+        seen, front = seen.unionByName(step), step
+    rest = both.join(seen.select("plan", F.col("node").alias("a")), ["plan", "a"], "left_anti").join(seen.exceptAll(front).select("plan", F.col("node").alias("b")), ["plan", "b"], "left_anti")
+    rest = cut(rest.select("plan", "a", "b"))
+    if rest.isEmpty():
+        return seen
+    down = rest.unionByName(rest.join(front.select("plan", F.col("node").alias("b")), ["plan", "b"]).select("plan", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    parents = toured(down, front.select("plan", "node"))
+    deeper = ends(parents.select("plan", "node", F.col("parent").alias("next"))).join(front.select("plan", F.col("node").alias("last")), ["plan", "last"])
+    found = deeper.join(parents, ["plan", "node"]).select("plan", "node", "parent", (F.col("hops") + levels).cast("int").alias("depth"))
+    return seen.unionByName(cut(found))
+
+
+def toured(arcs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(plan, node, parent) of the trees of arcs (plan, a, b), both directions of each edge, that hold a root (plan, node).
+
+    A tour takes, after the arc a → b, the arc from b to the neighbour that follows a in the ring of b's neighbours; it goes
+    round a whole tree. Cut at the root it is a list, in which doubling tells each arc how many follow; of an edge's two arcs the
+    first one goes down. Arcs of no root's tree stay in rings and are left out.
+    """
+    n = arcs.count()
+    rings = max(1, n // RING)
+    dealt = arcs.withColumn("ring", F.pmod(F.xxhash64("b"), F.lit(rings)).cast("int"))
+    within = Window.partitionBy("plan", "a", "ring").orderBy("b")
+    between = Window.partitionBy("plan", "a").orderBy("ring")  # at most a row a ring
+    starts = dealt.groupBy("plan", "a", "ring").agg(F.min("b").alias("least"))
+    starts = starts.select("plan", "a", "ring", F.lead("least").over(between).alias("then"), F.first("least").over(between).alias("first"))
+    after = dealt.withColumn("inner", F.lead("b").over(within))
+    inner = after.filter("inner is not null").select("plan", F.col("b").alias("x"), F.col("a").alias("y"), F.col("a").alias("nx"), F.col("inner").alias("ny"))
+    last = after.filter("inner is null").join(starts, ["plan", "a", "ring"]).join(roots.select("plan", F.col("node").alias("a"), F.lit(True).alias("root")), ["plan", "a"], "left")
+    over = F.col("then").isNull() & F.col("root").isNotNull()
+    last = last.select("plan", F.col("b").alias("x"), F.col("a").alias("y"), F.when(~over, F.col("a")).alias("nx"), F.when(~over, F.coalesce("then", "first")).alias("ny"))
+    now = cut(inner.unionByName(last).withColumn("left", F.when(F.col("nx").isNull(), 0).otherwise(1).cast("long")))
+    for _ in range(n.bit_length()):
+        on = now.select("plan", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("nx").alias("_x"), F.col("ny").alias("_y"), F.col("left").alias("_left"))
+        going = now.filter("nx is not null").join(on, ["plan", "nx", "ny"]).select("plan", "x", "y", F.col("_x").alias("nx"), F.col("_y").alias("ny"), (F.col("left") + F.col("_left")).alias("left"))
+        now = cut(now.filter("nx is null").unionByName(going), now)
+    ranked = now.filter("nx is null").select("plan", "x", "y", "left")
+    back = ranked.select("plan", F.col("y").alias("x"), F.col("x").alias("y"), F.col("left").alias("_left"))
+    return cut(ranked.join(back, ["plan", "x", "y"]).filter(F.col("left") > F.col("_left")).select("plan", F.col("y").alias("node"), F.col("x").alias("parent")), now)
 
 
 def subtree_flow(oriented: DataFrame, demand: DataFrame) -> DataFrame:
     """(plan, node, parent, depth, flow): demand (plan, node, flow) summed up from each node's subtree."""
-    up = oriented.join(demand, ["plan", "node"]).select("plan", F.explode("path").alias("node"), "flow").groupBy("plan", "node").agg(F.sum("flow").alias("flow"))
-    return oriented.drop("path").join(up, ["plan", "node"], "left").withColumn("flow", F.coalesce("flow", F.lit(0.0)))
+    return subtree_sums(oriented, demand.withColumn("flow", F.col("flow").cast("double")), "flow")
 
 
 def subtree_members(oriented: DataFrame, members: DataFrame) -> DataFrame:
     """(plan, node, members): sorted ids (plan, node, id) in each node's subtree."""
-    return oriented.join(members, ["plan", "node"]).select("plan", F.explode("path").alias("node"), "id").groupBy("plan", "node").agg(F.array_sort(F.collect_set("id")).alias("members"))
+    below = ancestors(oriented, members.join(oriented.select("plan", "node"), ["plan", "node"]), "id")
+    return below.groupBy("plan", "node").agg(F.array_sort(F.collect_set("id")).alias("members"))
 
 
 def forest_violations(edges: DataFrame, roots: DataFrame, oriented: DataFrame, consumers: DataFrame) -> DataFrame:
@@ -81,16 +177,18 @@ def forest_violations(edges: DataFrame, roots: DataFrame, oriented: DataFrame, c
 def chains(oriented: DataFrame, keep: DataFrame) -> DataFrame:
     """(plan, top, bottom, hops, nodes): runs of nodes with one child that aren't in ``keep`` (plan, node), as one edge each.
 
-    The bottom of a chain is a kept, branching or leaf node; its top is the nearest such ancestor or root.
+    The bottom of a chain is a kept, branching or leaf node; its top is the nearest such ancestor or root. Nodes inside point to
+    their only child, and doubling leads them to their bottom.
     """
-    kids = oriented.filter("parent is not null").groupBy("plan", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("kids"))
+    kids = oriented.filter("parent is not null").groupBy("plan", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("kids"), F.min("node").alias("kid"))
     marked = keep.select("plan", "node").distinct().withColumn("kept", F.lit(True))
-    ends = oriented.join(kids, ["plan", "node"], "left").join(marked, ["plan", "node"], "left").withColumn("end", F.coalesce("kept", F.lit(False)) | (F.coalesce("kids", F.lit(0)) != 1) | F.col("parent").isNull())
-    steps = oriented.select("plan", F.col("node").alias("bottom"), F.posexplode("path").alias("hops", "node")).filter("hops > 0")
-    met = steps.join(ends.filter("end").select("plan", "node"), ["plan", "node"])
-    nearest = met.groupBy("plan", "bottom").agg(F.min_by("node", "hops").alias("top"), F.min("hops").alias("hops"))
-    low = ends.filter("end and parent is not null").select("plan", F.col("node").alias("bottom"), "path")
-    return low.join(nearest, ["plan", "bottom"]).select("plan", "top", "bottom", "hops", F.reverse(F.slice("path", 1, F.col("hops") + 1)).alias("nodes"))
+    nodes = cut(oriented.join(kids, ["plan", "node"], "left").join(marked, ["plan", "node"], "left").withColumn("end", F.coalesce("kept", F.lit(False)) | (F.coalesce("kids", F.lit(0)) != 1) | F.col("parent").isNull()))
+    inside = nodes.filter("not end")
+    led = ends(inside.select("plan", "node", F.col("kid").alias("next"))).select("plan", "node", F.col("last").alias("bottom"), "hops")
+    low = nodes.filter("end and parent is not null").select("plan", "node", F.col("node").alias("bottom"), F.lit(0).cast("long").alias("hops"))
+    run = led.unionByName(low).join(nodes.select("plan", "node", "parent"), ["plan", "node"])
+    run = run.groupBy("plan", "bottom").agg(F.max_by("parent", "hops").alias("top"), (F.max("hops") + 1).cast("int").alias("hops"), F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("at"), "node"))).alias("members"))
+    return run.select("plan", "top", "bottom", "hops", F.concat(F.array("top"), F.transform("members", lambda m: m.node)).alias("nodes"))
 
 
 def size_chains(segments: DataFrame, depth: str = "depth") -> DataFrame:
@@ -143,157 +241,3 @@ def prune_leaves(edges: DataFrame, keep: DataFrame) -> DataFrame:
             return now
         now = now.join(gone.withColumnRenamed("node", "a"), ["plan", "a"], "left_anti").join(gone.withColumnRenamed("node", "b"), ["plan", "b"], "left_anti").select(*edges.columns)
         now = cut(now)
-
-
-# ---------------------------------------------------------------- kernels: one plan in a task
-
-
-def spanning_tree(nodes: list, edges: list[tuple], required: set | None = None) -> list[tuple]:
-    """Minimum spanning forest of edges (weight, a, b), lightest first, then without leaves that aren't required."""
-    parent = {n: n for n in nodes}
-
-    def top(n):
-        while parent[n] != n:
-            parent[n] = parent[parent[n]]
-            n = parent[n]
-        return n
-
-    tree = []
-    for w, a, b in sorted(edges):
-        x, y = top(a), top(b)
-        if x != y:
-            parent[x] = y
-            tree.append((w, a, b))
-    while required is not None:
-        degree: dict = {}
-        for _, a, b in tree:
-            degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-        slim = [e for e in tree if not any(degree[n] == 1 and n not in required for n in e[1:])]
-        if len(slim) == len(tree):
-            break
-        tree = slim
-    return tree
-
-
-def shortest(adjacent: dict, sources: dict, targets: set, banned: Callable = lambda a, b: False) -> tuple[dict, dict]:
-    """Multi-source shortest paths: (cost, previous node) of settled nodes; ends when all targets are settled."""
-    cost, before, done, left, tick = dict(sources), {}, set(), set(targets), itertools.count()
-    queue = [(c, next(tick), n) for n, c in sources.items()]  # ids of different types aren't compared
-    heapq.heapify(queue)
-    while queue and (left or not targets):
-        c, _, n = heapq.heappop(queue)
-        if n in done:
-            continue
-        done.add(n)
-        left.discard(n)
-        for m, w in adjacent.get(n, ()):
-            if m not in done and not banned(n, m) and c + w < cost.get(m, math.inf):
-                cost[m], before[m] = c + w, n
-                heapq.heappush(queue, (c + w, next(tick), m))
-    return {n: cost[n] for n in done}, before
-
-
-def path_to(before: dict, target) -> list:
-    out = [target]
-    while out[-1] in before:
-        out.append(before[out[-1]])
-    return out[::-1]
-
-
-def turning_path(points: dict, adjacent: dict, sources: dict, target, rate: float, bend_price: float = 0.0, max_turn_dot: float = -1e-7, blocked: set = frozenset(), least_bend: float = 5.0) -> list | None:
-    """A* over (node, previous node): a path's price is its source's, ``rate`` a metre and ``bend_price`` a bend of at least
-    ``least_bend`` degrees; turns of more than a right angle aren't allowed. Straight distance bounds what is left."""
-    tx, ty = points[target]
-    ahead = lambda n: rate * math.dist(points[n], (tx, ty))
-    best = {(n, None): (c, 0) for n, c in sources.items()}
-    tick = itertools.count()
-    queue = [(c + ahead(n), 0, next(tick), n, None) for n, c in sources.items()]
-    heapq.heapify(queue)
-    before: dict = {}
-    while queue:
-        _, turns, _, n, p = heapq.heappop(queue)
-        c, t = best[n, p]
-        if t != turns:
-            continue
-        if n == target:
-            out, state = [n], (n, p)
-            while state in before:
-                state = before[state]
-                out.append(state[0])
-            return out[::-1]
-        for m, length in adjacent.get(n, ()):
-            if m == p or m in blocked:
-                continue
-            bend = 0
-            if p is not None:
-                u = np.subtract(points[n], points[p])
-                v = np.subtract(points[m], points[n])
-                if float(u @ v) < max_turn_dot:
-                    continue
-                norm = math.hypot(*u) * math.hypot(*v)
-                bend = int(norm > 1e-12 and math.degrees(math.acos(max(-1.0, min(1.0, float(u @ v) / norm)))) >= least_bend)
-            new = (c + rate * length + bend_price * bend, turns + bend)
-            if new < best.get((m, n), (math.inf, 0)):
-                best[m, n] = new
-                before[m, n] = (n, p)
-                heapq.heappush(queue, (new[0] + ahead(m), new[1], next(tick), m, n))
-    return None
-
-
-def steiner(adjacent: dict, terminals: list, roots: dict) -> list[tuple]:
-    """A tree that joins terminals to priced roots: the metric closure's spanning tree, expanded, spanned and pruned again.
-    Roots hang on one super root by edges of their prices. Rows (weight, a, b) without the super root."""
-    graph = {n: list(e) for n, e in adjacent.items()}
-    top = "\0root"
-    graph[top] = [(r, c) for r, c in roots.items()]
-    for r, c in roots.items():
-        graph.setdefault(r, []).append((top, c))
-    ends = [top, *terminals]
-    closure, ways = [], {}
-    for i, s in enumerate(ends):
-        cost, before = shortest(graph, {s: 0.0}, set(ends[i + 1 :]))
-        for t in ends[i + 1 :]:
-            if t in cost:
-                closure.append((cost[t], i, ends.index(t)))
-                ways[i, ends.index(t)] = path_to(before, t)
-    used = {tuple(sorted((a, b), key=str)) for _, i, j in spanning_tree(list(range(len(ends))), closure) for a, b in zip(ways[i, j], ways[i, j][1:], strict=False)}
-    weight = {tuple(sorted((a, b), key=str)): min(w for m, w in graph[a] if m == b) for a, b in used}
-    # ids may be of several kinds: sort by text
-    names = sorted({n for e in used for n in e}, key=str)
-    number = {n: i for i, n in enumerate(names)}
-    tree = spanning_tree(list(number.values()), [(w, number[a], number[b]) for (a, b), w in weight.items()], {number[n] for n in ends if n in number})
-    return [(w, names[a], names[b]) for w, a, b in tree if top not in (names[a], names[b])]
-
-
-def per_plan(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Run a kernel on each plan's edges (plan, a, b, w)."""
-    return edges.groupBy("plan").applyInPandas(kernel, schema)
-
-
-def minimum_trees(edges: DataFrame, required: DataFrame | None = None) -> DataFrame:
-    """(plan, a, b, w): minimum spanning forest of each plan's edges, pruned to required nodes (plan, node) if given."""
-    kind = edges.schema["a"].dataType.simpleString()
-    if required is not None:
-        edges = edges.join(required.groupBy("plan").agg(F.collect_set("node").alias("req")), "plan", "left")
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        need = None if required is None else set(pdf.req.iloc[0] if pdf.req.iloc[0] is not None else [])
-        tree = spanning_tree(sorted(set(pdf.a) | set(pdf.b)), list(zip(pdf.w, pdf.a, pdf.b, strict=True)), need)
-        return pd.DataFrame({"plan": pdf.plan.iloc[0], "a": [a for _, a, _ in tree], "b": [b for _, _, b in tree], "w": [w for w, _, _ in tree]})
-
-    return per_plan(edges, kernel, f"plan {edges.schema['plan'].dataType.simpleString()}, a {kind}, b {kind}, w double")
-
-
-def distances(edges: DataFrame, sources: DataFrame, rounds: int = 100_000) -> DataFrame:
-    """(plan, node, cost): least cost from priced sources (plan, node, cost) over symmetric edges (plan, a, b, w), for graphs
-    that no task could hold: relaxations of the nodes that changed, a round a hop, checkpointed."""
-    both = symmetric(edges, "w").withColumnRenamed("plan", "_plan")
-    best = cut(sources.groupBy("plan", "node").agg(F.min("cost").alias("cost")))
-    front = best
-    for _ in range(rounds):
-        step = front.join(both, (F.col("plan") == F.col("_plan")) & (F.col("node") == F.col("a"))).select("plan", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("new")).groupBy("plan", "node").agg(F.min("new").alias("new"))
-        front = cut(step.join(best, ["plan", "node"], "left").filter(F.col("cost").isNull() | (F.col("new") < F.col("cost") - 1e-12)).select("plan", "node", F.col("new").alias("cost")))
-        if front.isEmpty():
-            return best
-        best = cut(best.unionByName(front).groupBy("plan", "node").agg(F.min("cost").alias("cost")))
-    raise ValueError(f"shortest paths have more than {rounds} hops")

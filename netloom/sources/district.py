@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import pricing as P
 from ..functions.constants import SIZES
-from ..operators import grid, routes, search, spatial
+from ..operators import grid, planning, routes, spatial
 from ..operators.base import cut
 from . import geojson
 
@@ -17,7 +17,7 @@ BEYOND = 0.05
 
 
 def graph(features: DataFrame, radius: float, per_sector: int, dn: int = SIZES[0][0]) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) as ``search.portfolio`` takes them.
+    """(nodes, edges) as ``planning.designs`` takes them.
 
     Nodes are consumers, ties, the ports of consumers in buildings, and the corners of obstacles moved out of their envelopes; of
     each node's neighbours the nearest in each of 16 sectors that it sees count, and a consumer in a building sees its ports.
@@ -32,7 +32,7 @@ def graph(features: DataFrame, radius: float, per_sector: int, dn: int = SIZES[0
     part = lambda c, i: F.split(c, "\u0001")[i]
     outer = ports.select(part("point", 0).alias("territory"), F.concat(F.lit("port "), part("point", 1), F.lit(" "), F.row_number().over(_by("point"))).alias("name"), "x", "y", "obstacle", part("point", 1).alias("of"))
     sides = routes.obstacle_sides(walls.withColumn("gap", P.clearance(F.col("kind"), F.lit(dn)) + BEYOND), "gap").withColumnsRenamed({"obstacle": "block"})
-    corners = search.corner_nodes(sides.withColumn("side", F.monotonically_increasing_id()).select("block", "side", "cx", "cy", "dx", "dy"), 1.0)
+    corners = planning.corner_nodes(sides.withColumn("side", F.monotonically_increasing_id()).select("block", "side", "cx", "cy", "dx", "dy"), 1.0)
     # a node at one metre tells the direction; its distance is the envelope's
     out = sides.select("block", F.col("dx").alias("mx"), F.col("dy").alias("my"), "gap").distinct()
     corners = corners.join(out, "block").filter(G.distance(F.col("x"), F.col("y"), F.col("mx"), F.col("my")) < 1.5)

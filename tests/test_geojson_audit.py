@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom import __main__ as cli
 from netloom.functions import crs
-from netloom.operators import audit, search
+from netloom.operators import audit, planning
 from netloom.sources import district, geojson
 
 
@@ -141,12 +141,12 @@ def test_graph_of_an_input(spark, tmp_path, files):
     source = with_features(spark, source, ("Polygon", {"id": "h", "object_type": "oks_existing"}, house(140, -20, 190, 20)), ("Polygon", {"id": "w", "object_type": "restriction", "restriction_type": "water"}, house(40, -10, 60, 30)))
     (tmp_path / "in.geojson").write_text(json.dumps(source))
     nodes, edges = district.graph(geojson.checked(geojson.read_features(spark, str(tmp_path / "in.geojson"))), 120.0, 3)
-    nodes = audit.cut(nodes)
-    assert [r.reachable for r in search.reachability(edges, nodes).collect()] == [True, True]  # one of them within a building
-    (best,) = search.portfolio(edges, nodes, [1], 2, 1).collect()
-    assert (best.missing, best.counts["steps"]) == (0, 2)
+    assert [r.reachable for r in planning.reachability(edges, nodes).collect()] == [True, True]  # one of them within a building
+    pipes, plans = planning.designs(edges, nodes, (0.5, 1.0))
+    assert [(r.missing, r.broken) for r in plans.collect()] == [(0, [])] * 2
+    assert pipes.filter("dn is null or length <= 0").count() == 0
 
 
 def test_arguments_of_the_command_lines():
-    args = cli.parser().parse_args(["solve", "in", "--out", "plans", "--seeds", "[1, 2]"])
-    assert (args.command, args.input, args.out, args.seeds, args.iterations) == ("solve", "in", "plans", [1, 2], 200)
+    args = cli.parser().parse_args(["solve", "in", "--out", "plans", "--factors", "[1, 2]"])
+    assert (args.command, args.input, args.out, args.factors) == ("solve", "in", "plans", [1, 2])

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators import depth, graph, linear, moves, rank, search, spatial
+from netloom.operators import depth, graph, linear, paths, planning, rank, spatial, trees
 
 
 def rows(df, *order):
@@ -90,35 +90,6 @@ def test_continuous_runs(spark, segments, sizes):
     assert {r.bottom: r.dn for r in graph.size_chains(s).collect()} == sizes
 
 
-def test_distributed_and_local_shortest_paths_agree(spark):
-    import random
-
-    rng = random.Random(2)
-    pairs = [(a, b, float(rng.randint(1, 50))) for a, b in itertools.combinations(range(12), 2) if rng.random() < 0.35]
-    near = {}
-    for a, b, w in pairs:
-        near.setdefault(a, []).append((b, w))
-        near.setdefault(b, []).append((a, w))
-    cost, _ = graph.shortest(near, {0: 0.0}, set())
-    e = spark.createDataFrame([(0, *p) for p in pairs], "plan int, a long, b long, w double")
-    got = graph.distances(e, spark.createDataFrame([(0, 0, 0.0)], "plan int, node long, cost double"))
-    assert {r.node: r.cost for r in got.collect()} == cost
-
-
-def test_spanning_and_steiner_trees():
-    tree = graph.spanning_tree([0, 1, 2, 3], [(1, 0, 1), (2, 1, 2), (5, 0, 2), (1, 2, 3)], {0, 2})
-    assert sorted(tree) == [(1, 0, 1), (2, 1, 2)]
-    near = {"c": [("j", 70)], "j": [("c", 70), ("a", 10), ("b", 10)], "a": [("j", 10)], "b": [("j", 10)]}
-    assert sum(w for w, _, _ in graph.steiner(near, ["a", "b"], {"c": 100.0})) == 90
-
-
-def test_turns_over_a_right_angle_are_not_taken():
-    pts = {"s": (0, 0), "m": (10, 0), "t": (5, 1), "n": (10, 5), "o": (5, 5)}
-    near = {a: [(b, math.dist(pts[a], pts[b])) for b in pts if b != a and (a, b) not in {("s", "t"), ("t", "s")}] for a in pts}
-    way = graph.turning_path(pts, near, {"s": 0.0}, "t", 1.0, blocked={"o"})
-    assert way is None or all(((pts[b][0] - pts[a][0]) * (pts[c][0] - pts[b][0]) + (pts[b][1] - pts[a][1]) * (pts[c][1] - pts[b][1])) >= -1e-7 for a, b, c in zip(way, way[1:], way[2:], strict=False))
-
-
 def test_prune(spark):
     e = edges(spark, [(0, 1), (1, 2), (1, 3), (3, 4)])
     keep = spark.createDataFrame([(0, 0), (0, 2)], "plan int, node long")
@@ -207,138 +178,6 @@ def test_depth_is_shared_at_junctions():
     assert max(p.end_depth for p in depth.profile([depth.Pipe("r", "t", 100.0, 50, many)], {"r", "t"})) == 3.0
 
 
-def district():
-    pts = {"r": (0.0, 0.0), "t1": (90.0, 10.0), "t2": (90.0, -10.0)} | {(i, j): (float(i), float(j)) for i in range(0, 91, 10) for j in (-10, 0, 10)}
-    near = {}
-    for a, b in itertools.combinations(pts, 2):
-        w = math.dist(pts[a], pts[b])
-        if w <= 10.01:
-            near.setdefault(a, []).append((b, w))
-            near.setdefault(b, []).append((a, w))
-    return search.District(pts, near, {"t1": 1.0, "t2": 1.0}, {"r": search.Tie(True, 500, 1)})
-
-
-def test_search_shares_a_trunk():
-    d = district()
-    found, history = search.search(d, 1, 20)
-    assert found[0].missing == 0
-    assert sum(d.length(a, b) for a, b in found[0].plan.edges) < 180
-    assert all(x[1] > y[1] or x[2] > y[2] for x, y in itertools.pairwise(history))  # the best only gets better
-    assert len({p.family for p in found}) == len(found)
-    assert d.counts["steps"] == 20 == sum(v for k, v in d.counts.items() if k.startswith("destroyed"))
-    # the junction stands where the three pipes balance: 10 / tan 60 before the consumers
-    assert found[0].length == pytest.approx(90 + 10 * math.sqrt(3), abs=0.01)
-
-
-def open_district(terminals, ties, step=10.0, size=100.0):
-    """Nodes on a grid; terminals and ties see the nodes within one and a half steps."""
-    pts = dict(ties) | dict(terminals) | {f"g{i}_{j}": (i * step, j * step) for i in range(int(size / step) + 1) for j in range(int(size / step) + 1)}
-    near = {}
-    for a, b in itertools.combinations(pts, 2):
-        w = math.dist(pts[a], pts[b])
-        if 0 < w <= 1.5 * step:
-            near.setdefault(a, []).append((b, w))
-            near.setdefault(b, []).append((a, w))
-    return search.District(pts, near, dict.fromkeys(terminals, 1.0), {t: search.Tie(True, 500, 1) for t in ties})
-
-
-def plan(d, *ways):
-    edges = {moves.pair(*e) for way in ways for e in itertools.pairwise(way)}
-    return d.price(search.Plan(frozenset(edges), frozenset(way[0] for way in ways if way[0] in d.ties), frozenset(n for way in ways for n in way if n in d.flows)))
-
-
-def test_direct_joins_split_a_pipe():
-    d = open_district({"t": (95.0, 5.0), "u": (45.0, 8.0)}, {"r": (0.0, 5.0)}, size=100.0)
-    now = plan(d, ["r", d.place(50.0, 5.0), "t"])
-    best = moves.joined(d, now, "u")[0]
-    assert best.length == pytest.approx(95 + 3)
-    assert d.points[next(n for n in best.near["u"])] == (45.0, 5.0)
-    assert best.plan.connected == {"t", "u"}
-    assert moves.proposals(d, now, "u")[0].key <= best.key
-
-
-def test_larger_pipes_upstream_are_priced():
-    d = open_district({"t": (95.0, 5.0), "u": (45.0, 8.0)}, {"r": (0.0, 5.0)})
-    now = plan(d, ["r", "t"])
-    small, large = d.sources(now, 1.0, 50), d.sources(now, 3.0, 50)
-    assert small["r"] == large["r"] == 5_000_000  # a second pipe of the chamber
-    middle = d.place(50.0, 5.0)
-    now = plan(d, ["r", middle, "t"])
-    assert d.sources(now, 1.0, 50)[middle] == 3_000_000
-    assert d.sources(now, 3.0, 50)[middle] == pytest.approx(3_000_000 + 50 * (78631 - 74023))
-
-
-def test_branches_move_as_a_whole():
-    d = open_district({"t": (90.0, 95.0), "u": (90.0, 85.0)}, {"r": (0.0, 0.0), "s": (100.0, 90.0)})
-    way = ["r", *(f"g{i}_{i}" for i in range(1, 9)), "g9_9"]
-    now = plan(d, [*way, "t"], [*way, "u"])
-    better = moves.exchanged(d, now)
-    assert better.plan.roots == {"s"}
-    assert better.key < now.key
-    assert {e for e in better.plan.edges if "t" in e or "u" in e} == {e for e in now.plan.edges if "t" in e or "u" in e}
-
-
-def test_relocations_and_beams():
-    d = open_district({"t": (90.0, 95.0), "u": (90.0, 85.0)}, {"r": (0.0, 0.0), "s": (100.0, 90.0)})
-    bad = plan(d, ["r", *(f"g{i}_{i}" for i in range(1, 9)), "u"])
-    states = moves.relocations(d, [bad], 2)
-    assert states[0].missing == 0
-    assert states[0].plan.roots == {"s"}
-    best = moves.beam(d, ["u", "t"], 3)
-    assert best[0].missing == 0
-    assert len({p.family for p in best}) > 1
-
-
-def test_runs_are_tidied():
-    d = open_district({"t": (55.0, 40.0)}, {"r": (0.0, 0.0)})
-    stairs = ["r", "g1_0", "g1_1", "g2_1", "g2_2", "g3_2", "g3_3", "g4_3", "g4_4", "g5_4", "t"]
-    now = plan(d, stairs)
-    better = moves.refined(d, now)
-    assert better.length == pytest.approx(math.dist((0, 0), (55, 40)), rel=0.01)
-    walled = open_district({"t": (55.0, 40.0)}, {"r": (0.0, 0.0)})
-    walled.clear = lambda p, q: abs(p[0] - q[0]) < 1e-9 or abs(p[1] - q[1]) < 1e-9  # along the axes only
-    square = moves.refined(walled, plan(walled, stairs))
-    assert square.bends < now.bends
-    assert all(walled.clear(walled.points[a], walled.points[b]) for a, b in square.plan.edges)
-
-
-@pytest.mark.parametrize("how", search.DESTROYERS)
-def test_destroyers(how):
-    d = open_district({f"t{i}": (5.0 + 15 * i, 5.0 + 10 * (i % 3)) for i in range(6)} | {"far": (95.0, 95.0)}, {"r": (0.0, 0.0)})
-    now = d.greedy(sorted(d.flows)[1:])
-    gone = search._victims(d, now, how, random.Random(3))
-    assert gone
-    assert gone <= now.plan.connected
-    assert d.price(d.without(now.plan, gone)).missing == now.missing + len(gone)
-    assert search._victims(d, d.price(d.empty), how, random.Random(3)) == set()
-
-
-def test_search_against_all_plans():
-    """Two consumers and two ties on a line: the best of all pairs of ways."""
-    d = open_district({"t": (30.0, 15.0), "u": (70.0, 15.0)}, {"r": (0.0, 10.0), "s": (100.0, 10.0)}, size=100.0)
-    found, _ = search.search(d, 1, 10)
-    alone = min(search.District(d.points, d.adjacent, {"t": 1.0, "u": 1.0}, {k: d.ties[k]}).greedy(["t", "u"]).key for k in d.ties)
-    split = d.price(d.greedy(["t"]).plan)
-    assert found[0].missing == 0
-    assert found[0].key <= alone
-    assert split.missing == 1
-
-
-def test_reachability(spark):
-    nodes = spark.createDataFrame([(1, 10, 0.0, 0.0, None, True), (1, 11, 30.0, 0.0, 2.0, False), (1, 12, 60.0, 0.0, 2.0, False), (2, 20, 0.0, 0.0, 1.0, False)], "territory int, id int, x double, y double, flow double, is_tie boolean").withColumns({"is_chamber": F.lit(True), "existing_dn": F.lit(300), "existing_degree": F.lit(1)})
-    edges = spark.createDataFrame([(1, 10, 11, 30.0)], "territory int, a int, b int, w double")
-    got = {(r.territory, r.id): (r.reachable, r.length) for r in search.reachability(edges, nodes).collect()}
-    assert got[1, 11] == (True, 30.0)
-    assert not got[1, 12][0]
-    assert not got[2, 20][0]
-
-
-def test_unreachable_consumer_is_missing():
-    d = search.District({"r": (0.0, 0.0), "t": (9.0, 0.0)}, {}, {"t": 1.0}, {"r": search.Tie()})
-    found, _ = search.search(d, 1, 2)
-    assert (found[0].missing, found[0].plan.edges) == (1, frozenset())
-
-
 def test_ranking(spark):
     plans = spark.createDataFrame([(1, "a", 0, 2.0, 1, 5.0), (2, "a", 0, 1.0, 1, 5.0), (3, "b", 0, 3.0, 1, 5.0), (4, "b", 1, 0.5, 1, 5.0)], "plan int, family string, missing int, score double, bends int, cost double")
     p = plans.withColumn("g", F.lit(0))
@@ -346,13 +185,8 @@ def test_ranking(spark):
     assert rows(rank.best_of(p, ["family"], rank.search_key()).select("family", "plan"), "family") == [("a", 2), ("b", 3)]
 
 
-def test_warm_starts(spark):
-    d = district()
-    best = search.search(d, 1, 0)[0][0]
-    again, history = search.search(d, 2, 0, warm=(best.plan,))
-    assert history[0][1] == best.score
-    assert again[0].key <= best.key
+def test_warm_edges(spark):
     pts = lambda *xy: [(float(x), float(y)) for x, y in xy]
     export = spark.createDataFrame([("v", "p1", "heat_network", pts((0, 0), (5, 0.5), (10, 0)))], "plan string, id_key string, object_type string, points array<struct<x:double,y:double>>")
     nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.01, 0.0), (3, 50.0, 0.0)], "id int, x double, y double")
-    assert [(r.plan, r.a, r.b) for r in search.warm_edges(export, nodes).collect()] == [("v", 1, 2)]
+    assert [(r.plan, r.a, r.b) for r in planning.warm_edges(export, nodes).collect()] == [("v", 1, 2)]
