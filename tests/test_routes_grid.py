@@ -104,23 +104,6 @@ def test_crossing_weights_sweep_overlaps(spark):
     assert got[3][1] is False
 
 
-def test_edits():
-    assert routes.simplified([(0, 0), (5, 0.1), (10, 0), (10, 10)]) == [(0, 0), (10, 0), (10, 10)]
-    assert routes.shortcut([(0, 0), (5, 5), (10, 0)], lambda a, b: True) == [(0, 0), (10, 0)]
-    assert routes.shortcut([(0, 0), (5, 5), (10, 0)], lambda a, b: False) == [(0, 0), (5, 5), (10, 0)]
-    assert routes.squared([(0, 0), (5, 0), (5, 5), (10, 5), (10, 10)], lambda a, b: True) == [(0, 0), (0, 10), (10, 10)]
-    assert routes.squared([(0, 0), (5, 0), (5, 5), (10, 5)], lambda a, b: False) == [(0, 0), (5, 0), (5, 5), (10, 5)]
-    ways = {frozenset(): [1, 2, 4], frozenset([(1, 2), (2, 1)]): [1, 3, 4]}
-    assert routes.alternatives(lambda banned: ways.get(banned), 2) == [[1, 2, 4], [1, 3, 4]]
-
-
-def test_straight_routes():
-    assert routes.straight([(0, 0), (0, 0), (5, 0), (10, 0), (10, 10)]) == [(0, 0), (10, 0), (10, 10)]
-    assert routes.straight([(0, 0), (10, 0), (5, 0)]) == [(0, 0), (10, 0), (5, 0)]
-    assert routes.straight([(i, 0) for i in range(20)]) == [(0, 0), (19, 0)]
-    assert routes.smoothed([(0, 0), (5, 5), (10, 0), (15, 5), (20, 0)], lambda a, b: True) == [(0, 0), (20, 0)]
-
-
 def test_grid(spark):
     ext = grid.extent(spark.createDataFrame([("t", 0.0, 0.0), ("t", 20.0, 20.0)], "territory string, x double, y double"), 5.0, 0.0)
     every = grid.cells(ext, 5.0)
@@ -171,13 +154,20 @@ def test_leads_end_at_the_first_corridor(spark):
     assert (r.edge, r.station, r.at, r.x, r.y) == (1, 12.0, 7.0, 5.0, 7.0)
 
 
-def found_passages(spark, points, objects, dn=50, ties=()):
-    xy = lambda ps: [(float(x), float(y)) for x, y in ps]
-    r = spark.createDataFrame([(1, dn, xy(points), xy(ties))], f"route int, dn int, points {XY}, ties {XY}")
-    rows = [(i, kind, CROSSINGS[kind][0], 0.4 if kind == "heat_network" else CROSSINGS[kind][1], CROSSINGS[kind][5], [xy(x) for x in lines], area) for i, kind, lines, area in objects]
-    o = spark.createDataFrame(rows, f"object string, kind string, factor double, width double, gap double, lines array<{XY}>, area array<array<{XY}>>")
+def found_passages(spark, cases):
+    """(windows, rules) of each case (points, objects, dn, ties), in one call: cases lie a kilometre apart."""
+    rows, things = [], []
+    for i, (points, objects, dn, ties) in enumerate(cases):
+        at = lambda ps: [(float(x) + 1000 * i, float(y)) for x, y in ps]  # noqa: B023, E731
+        rows.append((i, dn, at(points), at(ties)))
+        for name, kind, lines, area in objects:
+            width = 0.4 if kind == "heat_network" else CROSSINGS[kind][1]
+            things.append((f"{i}:{name}", kind, CROSSINGS[kind][0], width, CROSSINGS[kind][5], [at(x) for x in lines], [[at(ring) for ring in polygon] for polygon in area]))
+    r = spark.createDataFrame(rows, f"route int, dn int, points {XY}, ties {XY}")
+    o = spark.createDataFrame(things, f"object string, kind string, factor double, width double, gap double, lines array<{XY}>, area array<array<{XY}>>")
     out = crossings.passages(r, o).collect()
-    return sorted((x.lo, x.hi) for x in out if x.rule is None), {x.rule for x in out if x.rule}
+    assert all(x.object.startswith(f"{x.route}:") for x in out)
+    return [(sorted((x.lo, x.hi) for x in out if x.route == i and x.rule is None), {x.rule for x in out if x.route == i and x.rule}) for i in range(len(cases))]
 
 
 GAS = ("g", "gas_pipeline", [[(20, -30), (20, 30)]], [])
@@ -187,7 +177,7 @@ OLD = ("p", "heat_network", [[(0, -30), (0, 30)]], [])
 ROOM, ALONG, CLEAR, ANGLE, BENT = "no room for the window before the route's end", "runs alongside within the clearance", "clearance outside the passage", "crossing angle under 45 degrees", "passage isn't straight"
 
 
-@pytest.mark.parametrize(("points", "objects", "windows", "rules"), [
+PASSAGES = [
     ([(0, 0), (40, 0)], [GAS], [(18, 22)], set()),
     ([(0, 0), (40, 0)], [ROAD], [(17, 23)], set()),
     ([(0, 0), (40, 0)], [STRIP], [(12, 28)], set()),
@@ -202,18 +192,22 @@ ROOM, ALONG, CLEAR, ANGLE, BENT = "no room for the window before the route's end
     ([(26, -20), (26, 20)], [STRIP], [], {CLEAR}),
     ([(0, 0), (20, 0), (40, 10)], [GAS], [(18, 22)], {BENT}),
     ([(0, 0), (30, 0), (30, 5), (21.5, 5)], [GAS], [(18, 22)], {CLEAR}),
-])
-def test_passages(spark, points, objects, windows, rules):
-    got, broken_rules = found_passages(spark, points, objects)
-    assert got == [(pytest.approx(a), pytest.approx(b)) for a, b in windows]
-    assert broken_rules == rules
+]
+
+
+def test_passages(spark):
+    got = found_passages(spark, [(points, objects, 50, ()) for points, objects, _, _ in PASSAGES])
+    for (windows, rules), (*_, want, broken_rules) in zip(got, PASSAGES, strict=True):
+        assert windows == [(pytest.approx(a), pytest.approx(b)) for a, b in want]
+        assert rules == broken_rules
 
 
 def test_ties_are_no_crossings(spark):
-    assert found_passages(spark, [(0, 0), (40, 0)], [OLD], ties=[(0, 0)]) == ([], set())
-    assert found_passages(spark, [(0.0005, 0), (40, 0)], [OLD], ties=[(0, 0)]) == ([], set())
-    assert found_passages(spark, [(0, 0), (40, 0)], [OLD])[1] == {ROOM}
-    assert "tie approach bends within the pipe's envelope" in found_passages(spark, [(0, 0), (1, 0), (1, 20)], [OLD], ties=[(0, 0)])[1]
+    tie = [(0, 0)]
+    got = found_passages(spark, [([(0, 0), (40, 0)], [OLD], 50, tie), ([(0.0005, 0), (40, 0)], [OLD], 50, tie), ([(0, 0), (40, 0)], [OLD], 50, ()), ([(0, 0), (1, 0), (1, 20)], [OLD], 50, tie), ([(40, 0), (0, 0)], [OLD], 50, tie)])
+    assert got[0] == got[1] == got[4] == ([], set())
+    assert got[2][1] == {ROOM}
+    assert "tie approach bends within the pipe's envelope" in got[3][1]
 
 
 def test_split_edges(spark):
