@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 #: Characters of text that a Python worker handles at once; bounds its memory and keeps arrays in the CPU's caches.
 SLICE_CHARS = 400_000
@@ -191,13 +192,14 @@ def ordered_parts(df: DataFrame, key: str, rows_per_part: int = 1000, most_parts
     ``key`` must not be null and should be unique: rows with one key stay in one part.
     """
     keys = df.select(F.col(key).alias("k"))
+    kind = df.schema[key].dataType
     n = keys.count()
     parts = min(most_parts, max(2, -(-n // rows_per_part))) if n else 1
     share = max(1, n // (64 * parts))
     sample = sorted(r.k for r in keys.filter(F.pmod(F.xxhash64("k"), F.lit(share)) == 0).collect()) if parts > 1 else []
     bounds = sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
     if bounds:
-        tree = F.array(*(F.lit(b) for b in bounds))
+        tree = F.array(*(F.lit(b).cast(kind) for b in bounds))
         part = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), lambda s, _: F.when(s.lo >= s.hi, s).otherwise(F.when(F.get(tree, _mid(s)) <= F.col(key), F.struct((_mid(s) + 1).cast("int").alias("lo"), s.hi.alias("hi"))).otherwise(F.struct(s.lo.alias("lo"), _mid(s).alias("hi")))), lambda s: s.lo)
     else:
         part = F.lit(0)
@@ -207,10 +209,10 @@ def ordered_parts(df: DataFrame, key: str, rows_per_part: int = 1000, most_parts
     ring = edges[1:] + (edges[:1] if circular else [])
     if ghosts_after and edges:
         for chunk in _chunks([(nxt[1], at[0]) for at, nxt in zip(edges, ring, strict=False)]):
-            also = F.when(F.col(key).isin([k for k, _ in chunk]), F.array_union(also, _looked_up(key, chunk))).otherwise(also)
+            also = F.when(F.col(key).isin([k for k, _ in chunk]), F.array_union(also, _looked_up(key, kind, chunk))).otherwise(also)
     if ghosts_before and edges:
         for chunk in _chunks([(at[2], nxt[0]) for at, nxt in zip(edges, ring, strict=False)]):
-            also = F.when(F.col(key).isin([k for k, _ in chunk]), F.array_union(also, _looked_up(key, chunk))).otherwise(also)
+            also = F.when(F.col(key).isin([k for k, _ in chunk]), F.array_union(also, _looked_up(key, kind, chunk))).otherwise(also)
     target = F.concat(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost"))), F.transform(also, lambda p: F.struct(p.alias("part"), F.lit(True).alias("ghost"))))
     out = df.withColumn("_to", F.explode(target)).drop("part").select("*", "_to.part", "_to.ghost").drop("_to")
     return out.repartition(max(1, len(bounds) + 1), "part")
@@ -225,12 +227,12 @@ def _chunks(pairs: list, size: int = 4096):
         yield pairs[i : i + size]
 
 
-def _looked_up(key: str, pairs: list) -> Column:
+def _looked_up(key: str, kind: DataType, pairs: list) -> Column:
     """The parts for a key that is known to be among the pairs."""
     wanted: dict = {}
     for k, p in pairs:
         wanted.setdefault(k, []).append(p)
-    return F.coalesce(F.map_from_entries(F.array(*(F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, ps)).alias("p")) for k, ps in wanted.items())))[F.col(key)], F.array().cast("array<int>"))
+    return F.coalesce(F.map_from_entries(F.array(*(F.struct(F.lit(k).cast(kind).alias("k"), F.array(*map(F.lit, ps)).alias("p")) for k, ps in wanted.items())))[F.col(key)], F.array().cast("array<int>"))
 
 
 # ---------------------------------------------------------------- components

@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import columns, mixed, modest_batches, ordered_parts, over_text, schema_of
 
@@ -106,11 +108,18 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The next document is the one of the next smaller key, for the smallest the one of the largest; null keys come last;
-    rows with one key follow by a hash of their texts. Null texts count as empty. A lone row is its own next.
+    rows with one key follow by a hash of their texts. Null texts count as empty. A lone row is its own next. Keys are whole numbers of
+    at most 64 bits; others are a TypeError.
     """
     modest_batches(docs.sparkSession)
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must be a whole number, not {docs.schema[key].dataType.simpleString()}")
     kind = docs.schema[key].dataType.simpleString()
-    rows = columns(docs, key, text).toDF("key", "text").select("key", "text", F.coalesce(-F.col("key").cast("long"), F.lit((1 << 63) - 1)).alias("order"), F.xxhash64("text").alias("tie"))
+    # key and hash as one number, so that rows of one key, and those without, are spread too; ~k falls as k rises, for the least k as well
+    rows = columns(docs, key, text).toDF("key", "text").withColumn("tie", F.xxhash64("text"))
+    place = F.coalesce(F.bitwise_not(F.col("key").cast("long")).cast("decimal(20,0)"), F.lit(Decimal(1 << 63)).cast("decimal(20,0)")).cast("decimal(38,0)")
+    order = place * F.lit(1 << 61).cast("decimal(19,0)") + (F.shiftright("tie", 3) + (1 << 60)).cast("decimal(19,0)")
+    rows = rows.select("key", "text", order.cast("decimal(38,0)").alias("order"), "tie")
     dealt = ordered_parts(rows, "order", ghosts_after=True, circular=True).sortWithinPartitions("part", "ghost", "order", "tie").select("key", "text", "part", "ghost")
     schema = f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     arrow = schema_of(schema)

@@ -188,6 +188,12 @@ def test_fingerprints_of_odd_tables(spark):
     assert op3_fingerprints.against_next(empty(spark)).count() == 0
     alone = op3_fingerprints.against_next(table(spark, [(1, "some words alone")])).collect()
     assert [(r.near_next, r.edited_sha256) for r in alone] == [(1.0, hashlib.sha256(b"some worsome wor").hexdigest())]
+    rows = [(-(1 << 63), "least key"), ((1 << 63) - 1, "largest key"), (0, "middle key"), (None, "no key")]
+    ends = {r.doc_id: r.edited_sha256 for r in op3_fingerprints.against_next(table(spark, rows)).collect()}
+    for (i, t), (_, nxt) in zip((rows[1], rows[2], rows[0], rows[3]), (rows[2], rows[0], rows[3], rows[1]), strict=True):
+        assert ends[i] == hashlib.sha256(op3_fingerprints.edited(t, nxt).encode()).hexdigest()
+    with pytest.raises(TypeError, match="whole number"):
+        op3_fingerprints.against_next(table(spark, rows).withColumn("doc_id", F.col("doc_id").cast("string")))
     same = {r.fingerprint for r in op3_fingerprints.fingerprint(table(spark, [(1, "x y"), (2, "x y")])).collect()}
     assert len(same) == 1
 
