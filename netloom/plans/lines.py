@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import polyline as L
 from ..functions.constants import CROSSINGS
-from ..operators import linear
+from ..operators import linear, simplify
 from ..operators.base import table
 from . import bindings as B
 from .sql import dist, point_segment, segment_segment, turn
@@ -126,6 +126,15 @@ _ENDS = f"ends AS (SELECT line, {dist('arg_min(x, pos)', 'arg_min(y, pos)', 'arg
 _QUAL = f"qual AS (SELECT e.line, coalesce(length, 0.0) AS length, direct, CASE WHEN direct > 1e-9 THEN length / direct END AS detour, count_if(turn >= 8)::BIGINT AS bends, count_if(abs(turn - 90) <= 2)::BIGINT AS right_angles, count_if(turn >= 8 AND (lb <= 75 OR la <= 75))::BIGINT AS micro_bends, count_if(turn > 90)::BIGINT AS backtracks FROM ends e LEFT JOIN lens l ON e.line = l.line LEFT JOIN corners c ON e.line = c.line GROUP BY ALL)"
 _RING = " UNION ALL ".join(f"SELECT p_partkey, {i} AS i, {a[0]}.0 * p_size AS ax, {a[1]}.0 * p_size AS ay, {b[0]}.0 * p_size AS bx, {b[1]}.0 * p_size AS by FROM part" for i, (a, b) in enumerate(zip(((0, 0), (2, 0), (2, 2), (1, 1), (0, 2)), ((2, 0), (2, 2), (1, 1), (0, 2), (0, 0)), strict=True)))
 
+def simplified_lines(spark, d):
+    """Vertices of users' lines that are off by more than 20 from what the others show."""
+    return simplify.simplified(B.vertices(spark, d), 20.0).select("line", F.col("n").cast("long").alias("n"), "x", "y")
+
+
+_SPLIT = f"""v AS (SELECT line, row_number() OVER (PARTITION BY line ORDER BY pos) - 1 AS n, count(*) OVER (PARTITION BY line) - 1 AS z, x, y FROM vertices),
+s(line, i, j) AS (SELECT line, 0::BIGINT, z FROM v WHERE n = 0 AND z > 0 UNION ALL (
+  SELECT line, unnest([i, m.n]), unnest([m.n, j]) FROM (SELECT s.line, i, j, max({{'d': {point_segment('v.x', 'v.y', 'a.x', 'a.y', 'b.x', 'b.y')}, 'n': v.n}}) AS m FROM s JOIN v ON v.line = s.line AND v.n > i AND v.n < j JOIN v a ON a.line = s.line AND a.n = i JOIN v b ON b.line = s.line AND b.n = j GROUP BY ALL) WHERE m.d > 20))"""
+
 QUERIES = {
     "path_length": (path_length, _q(f"WITH {_V}, {_L}, {_LEN} SELECT line, round(length, 4) AS length FROM lens")),
     "stations": (stations, "WITH " + _V + f", s AS (SELECT line, pos, coalesce({dist('x', 'y', 'lag(x) OVER w', 'lag(y) OVER w')}, 0.0) AS step FROM vertices WINDOW w AS (PARTITION BY line ORDER BY pos)) SELECT line, pos, round(sum(step) OVER (PARTITION BY line ORDER BY pos ROWS UNBOUNDED PRECEDING), 4) AS station FROM s"),
@@ -141,4 +150,5 @@ QUERIES = {
     "interval_merge": (interval_merge, "WITH i AS (SELECT l_orderkey, floor(l_extendedprice / 10)::BIGINT AS lo, (floor(l_extendedprice / 10) + l_quantity * 20)::BIGINT AS hi FROM lineitem), f AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY l_orderkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM i), g AS (SELECT *, sum(n) OVER (PARTITION BY l_orderkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT l_orderkey, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY l_orderkey, island"),
     "special_pieces": (special_pieces, f"WITH r AS (SELECT o_orderkey AS seg, (floor(o_totalprice / 100) + 1)::DOUBLE AS length FROM orders), w AS (SELECT l_orderkey AS seg, greatest(floor(l_extendedprice / 100), 0.0) AS lo, least(floor(l_extendedprice / 100) + l_quantity, r.length) AS hi, CASE l_returnflag WHEN 'R' THEN {_FLAG['R'][1]}::DOUBLE WHEN 'A' THEN {_FLAG['A'][1]}::DOUBLE ELSE {_FLAG['N'][1]}::DOUBLE END AS factor, l_returnflag || l_suppkey AS id FROM lineitem JOIN r ON r.seg = l_orderkey), v AS (SELECT * FROM w WHERE lo < hi), c AS (SELECT seg, 0.0::DOUBLE AS cut FROM r UNION SELECT seg, length FROM r UNION SELECT seg, lo FROM v UNION SELECT seg, hi FROM v), s AS (SELECT seg, cut AS lo, lead(cut) OVER (PARTITION BY seg ORDER BY cut) AS hi FROM c), m AS (SELECT s.seg, s.lo, s.hi, v.factor, v.id FROM s LEFT JOIN v ON v.seg = s.seg AND v.lo <= (s.lo + s.hi) / 2 AND (s.lo + s.hi) / 2 <= v.hi WHERE s.hi - s.lo >= 1e-7) SELECT seg, lo, hi, coalesce(max(factor), 1.0::DOUBLE) AS factor, count(DISTINCT id) AS n_ids, coalesce(string_agg(DISTINCT id, ',' ORDER BY id), '') AS ids FROM m GROUP BY seg, lo, hi"),
     "city_axis": (city_axis, _q(f"WITH {_V}, {_L}, o AS (SELECT degrees((((atan2(by - ay, bx - ax) + pi() / 4) % (pi() / 2)) + pi() / 2) % (pi() / 2) - pi() / 4) AS deg, {dist('ax', 'ay', 'bx', 'by')} AS len FROM legs WHERE bx IS NOT NULL), s AS (SELECT * FROM o WHERE len >= 8), bins AS (SELECT range::INTEGER AS bin FROM range(-90, 90)), v AS (SELECT bin, round(sum(len), 3) AS w FROM bins, s WHERE abs(((bin / 2.0::DOUBLE - deg + 45) % 90 + 90) % 90 - 45) <= 2 GROUP BY bin), c AS (SELECT arg_max(bin, (w, -bin)) AS bin FROM v) SELECT bin, round(degrees(atan2(sum(len * sin(radians(deg * 4))), sum(len * cos(radians(deg * 4))))) / 4, 4) AS axis, count(*) AS legs FROM s, c WHERE abs(((deg - bin / 2.0::DOUBLE + 45) % 90 + 90) % 90 - 45) <= 3 GROUP BY bin")),
+    "simplified_lines": (simplified_lines, f"WITH RECURSIVE {B.VERTICES_SQL}, {_SPLIT} SELECT line, n, x, y FROM v WHERE n = 0 OR (line, n) IN (SELECT line, j FROM s)"),
 }

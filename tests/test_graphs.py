@@ -249,3 +249,38 @@ def test_designs_of_a_small_territory(spark):
     assert p.score == pytest.approx(0.7 * cost / 25e6 + 0.3 * 200 / 100)
     got = {r.id: (r.reachable, r.length, r.dn) for r in planning.reachability(edges, nodes).collect()}
     assert got == {3: (True, 150.0, 50), 4: (True, 150.0, 50), 5: (False, None, None)}
+
+
+def test_simplified_lines(spark):
+    from netloom.operators import simplify
+
+    rng = random.Random(6)
+    lines = {i: [(float(k), rng.choice([0.0, 0.5, 2.0, rng.random() * 4])) for k in range(rng.choice([1, 2, 3, 40]))] for i in range(12)}
+
+    def kept(p, i, j):
+        if j - i < 2:
+            return []
+        ux, uy = p[j][0] - p[i][0], p[j][1] - p[i][1]
+        off = []
+        for k in range(i + 1, j):
+            t = max(0.0, min(1.0, ((p[k][0] - p[i][0]) * ux + (p[k][1] - p[i][1]) * uy) / (ux * ux + uy * uy)))
+            off.append((math.dist(p[k], (p[i][0] + t * ux, p[i][1] + t * uy)), k))
+        d, k = max(off)
+        return [*kept(p, i, k), k, *kept(p, k, j)] if d > 0.8 else []
+
+    df = spark.createDataFrame([(i, k, x, y) for i, p in lines.items() for k, (x, y) in enumerate(p)], "line int, pos int, x double, y double")
+    got = {}
+    for r in simplify.simplified(df, 0.8).collect():
+        got.setdefault(r.line, []).append(r.n)
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted({0, len(p) - 1, *kept(p, 0, len(p) - 1)}) for i, p in lines.items()}
+
+
+def test_smoothed_lines(spark):
+    from netloom.operators import simplify
+
+    df = spark.createDataFrame([(i, k, 5.0 * k, 5.0 * (k % 2) + 100 * i) for i in range(2) for k in range(5)], "line int, pos int, x double, y double")
+    wall = spark.createDataFrame([(10.0, 99.0, 10.0, 99.5)], "cx double, cy double, dx double, dy double")
+    got = {}
+    for r in simplify.smoothed(df, wall, 2.0, F.lit(1.0)).collect():
+        got.setdefault(r.line, []).append(r.n)
+    assert {i: sorted(v) for i, v in got.items()} == {0: [0, 4], 1: [0, 1, 4]}  # of two ways of one length that by the lesser vertex
