@@ -4,15 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, polyline, pricing
 from ..functions.geometry import distance, intersection_at, point_segment
-from . import routes
-from .areas import Area
+from . import routes, stretches
 from .base import cut
 from .spatial import boxed, bucket_join, clear, within
 
@@ -108,25 +105,20 @@ def first_contacts(leads: DataFrame, corridors: DataFrame) -> DataFrame:
     return met.groupBy("lead").agg(F.min(F.struct(F.round("station", 9).alias("station"), F.col("edge"), "at", "x", "y")).alias("m")).select("lead", "m.edge", "m.station", "m.at", "m.x", "m.y")
 
 
+def _housed(points: DataFrame, obstacles: DataFrame, dn: int) -> DataFrame:
+    """(point, obstacle, x, y, need): points inside buildings, with the clearance of these."""
+    return routes.owned(points.select("point", "x", "y"), obstacles.withColumn("need", pricing.clearance(F.col("kind"), F.lit(dn))), "need").select("point", "obstacle", "x", "y", "need")
+
+
 def ports(points: DataFrame, obstacles: DataFrame, dn: int, beyond: float = 0.05) -> DataFrame:
     """(point, obstacle, x, y, d): for points (point, x, y) inside buildings, the places just outside the envelope behind each
     of the closest outer facades, where a lead straight through the facade ends."""
-
-    def kernel(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                area, p = Area.of(r.area), np.array([r.x, r.y])
-                feet = area.feet(p[None], outer=True)[0]
-                far = np.hypot(*(feet - p).T)
-                for f in np.unique(feet[far <= far.min() + 1e-6], axis=0) if far.min() > 1e-8 else []:
-                    q = f + (f - p) * (r.need + beyond) / far.min()
-                    out.append((r.point, r.obstacle, float(q[0]), float(q[1]), float(np.hypot(*(q - p)))))
-            yield pd.DataFrame(out, columns=["point", "obstacle", "x", "y", "d"])
-
-    kinds = points.schema["point"].dataType.simpleString(), obstacles.schema["obstacle"].dataType.simpleString()
-    rows = routes.owned(points.select("point", "x", "y"), obstacles.withColumn("need", pricing.clearance(F.col("kind"), F.lit(dn))), "need")
-    return rows.mapInPandas(kernel, f"point {kinds[0]}, obstacle {kinds[1]}, x double, y double, d double")
+    key = ["point", "obstacle"]
+    held = cut(_housed(points, obstacles, dn))
+    feet = routes.nearest_feet(held.select(*key, "x", "y"), obstacles, *key).filter("d > 1e-8").join(held, key)
+    way = (F.col("need") + beyond) / F.col("d")
+    out = feet.select(*key, "d", "need", (F.col("fx") + (F.col("fx") - F.col("x")) * way).alias("x"), (F.col("fy") + (F.col("fy") - F.col("y")) * way).alias("y"))
+    return out.select(*key, "x", "y", (F.col("d") + F.col("need") + beyond).alias("d"))
 
 
 def access(points: DataFrame, free: DataFrame, obstacles: DataFrame, step: float, dn: int) -> DataFrame:
@@ -161,23 +153,64 @@ def moved(points: DataFrame, reachable: DataFrame, obstacles: DataFrame, step: f
     envelope behind or before a facade, the nearest that leads to a reachable cell (i, j, x, y). The audit of exports
     doesn't know of such moves; they are proposals for the input."""
 
-    def kernel(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                area, p = Area.of(r.area), np.array([r.x, r.y])
-                way = area.b - area.a
-                normal = np.column_stack([-way[:, 1], way[:, 0]]) / np.hypot(*way.T)[:, None]
-                feet = area.feet(p[None])[0]
-                places = np.concatenate([feet + normal * (r.need + beyond), feet - normal * (r.need + beyond)])
-                for q in places[~area.holds(places) & (area.distance(places) >= r.need)]:
-                    out.append((r.point, r.obstacle, float(q[0]), float(q[1]), float(np.hypot(*(q - p)))))
-            yield pd.DataFrame(out, columns=["of", "obstacle", "x", "y", "displacement"])
-
-    kinds = points.schema["point"].dataType.simpleString(), obstacles.schema["obstacle"].dataType.simpleString()
-    rows = routes.owned(points.select("point", "x", "y"), obstacles.withColumn("need", pricing.clearance(F.col("kind"), F.lit(dn))), "need")
-    options = rows.mapInPandas(kernel, f"of {kinds[0]}, obstacle {kinds[1]}, x double, y double, displacement double").withColumn("point", F.xxhash64("of", "x", "y"))
+    sides = routes.obstacle_sides(obstacles)
+    held = cut(_housed(points, obstacles, dn).withColumnRenamed("point", "of"))
+    met = held.join(sides, "obstacle").filter("cx != dx or cy != dy")
+    t = geometry.projection(*(F.col(c) for c in ("x", "y", "cx", "cy", "dx", "dy")))
+    ux, uy = F.col("dx") - F.col("cx"), F.col("dy") - F.col("cy")
+    met = met.withColumns({"fx": F.col("cx") + t * ux, "fy": F.col("cy") + t * uy, "k": F.explode(F.array(F.lit(1.0), F.lit(-1.0)))})
+    off = (F.col("need") + beyond) * F.col("k") / F.hypot(ux, uy)
+    places = cut(met.select("of", "obstacle", "need", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("fx") - off * uy).alias("x"), (F.col("fy") + off * ux).alias("y")).distinct())
+    # outside of the building and of its envelope
+    near = places.join(sides, "obstacle").groupBy("of", "obstacle", "x", "y").agg(F.min(point_segment(*(F.col(c) for c in ("x", "y", "cx", "cy", "dx", "dy")))).alias("d"))
+    out = places.join(near, ["of", "obstacle", "x", "y"]).filter("d >= need").join(obstacles.select("obstacle", "area"), "obstacle").filter(~stretches.in_polygons(F.col("x"), F.col("y"), F.col("area")))
+    options = out.select("of", "obstacle", "x", "y", distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")).alias("displacement")).withColumn("point", F.xxhash64("of", "x", "y"))
     options = cut(options)
     leads = access(options.select("point", "x", "y"), reachable, obstacles, step, dn).select("point").distinct()
     best = options.join(leads, "point", "left_semi").groupBy("of").agg(F.min(F.struct("displacement", "x", "y", "obstacle")).alias("m"))
     return best.select(F.col("of").alias("point"), "m.x", "m.y", "m.obstacle", "m.displacement")
+
+
+# ---------------------------------------------------------------- nodes on rays and along crossings
+
+RAYS, RAY_REACH, RAY_OFFSETS, PORT_STEP, PORT_MORE = 24, 30.0, (0.03, 5.0, 20.0), 50.0, 1.0
+
+
+def free_rays(points: DataFrame, obstacles: DataFrame, gap: Column, rays: int = RAYS, reach: float = RAY_REACH) -> DataFrame:
+    """(point, ray, ux, uy, lo, hi): free stretches of rays of ``reach`` metres from points (point, x, y) in ``rays`` directions, the
+    first to the east: neither in obstacles (obstacle, kind, area) nor nearer to them than ``gap``, at most ``routes.WIDEST``."""
+    ray = points.select("point", F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(F.sequence(F.lit(0), F.lit(rays - 1))).alias("ray"))
+    angle = F.col("ray") * (2 * math.pi / rays)
+    ray = ray.withColumns({"ux": F.round(F.cos(angle), 15), "uy": F.round(F.sin(angle), 15)})
+    ray = ray.withColumns({"bx": F.col("ax") + F.col("ux") * reach, "by": F.col("ay") + F.col("uy") * reach, "len": F.lit(float(reach))})
+    ray = cut(ray)
+    box = ("_s0", "_s1", "_s2", "_s3"), ("_t0", "_t1", "_t2", "_t3")
+    near = bucket_join(boxed(ray, "a", "b", "_s"), boxed(routes.obstacle_sides(obstacles, "kind"), "c", "d", "_t"), routes.WIDEST, *box, cell=50.0)
+    near = cut(near.select("point", "ray", "obstacle", "kind", *(f"{p}{c}" for p in "abcd" for c in "xy"), "len"))
+    t = geometry.intersection_at(*(F.col(f"{p}{c}") for p in "abcd" for c in "xy"))
+    hits = near.select("point", "ray", "obstacle", (t * F.col("len")).alias("at")).filter("at is not null")
+    bounds = geometry.bounds(F.flatten(F.flatten("area")))
+    shapes = obstacles.select("obstacle", bounds.alias("_b")).select("obstacle", *(F.col(f"_b.{c}").alias(n) for c, n in zip(("x0", "y0", "x1", "y1"), box[1], strict=True)))
+    pairs = bucket_join(boxed(ray, "a", "b", "_s"), shapes, 0.0, *box, cell=50.0).select("point", "ray", "obstacle", "ax", "ay", "bx", "by", "len")
+    inner = stretches.inside(pairs, hits, obstacles, "point", "ray")
+    taken = stretches.near_parts(near, gap).select("point", "ray", "lo", "hi").unionByName(inner.select("point", "ray", "lo", "hi"))
+    free = stretches.sweep(ray.select("point", "ray", F.lit(0.0).alias("lo"), F.col("len").alias("hi")), taken, ["point", "ray"])
+    return free.join(ray.select("point", "ray", "ux", "uy"), ["point", "ray"])
+
+
+def ray_ports(points: DataFrame, obstacles: DataFrame, gap: Column, offsets: tuple[float, ...] = RAY_OFFSETS, **how) -> DataFrame:
+    """(point, ray, x, y): places on each free stretch of a point's rays, ``offsets`` metres behind its beginning."""
+    free = free_rays(points, obstacles, gap, **how).join(points.select("point", F.col("x").alias("px"), F.col("y").alias("py")), "point")
+    at = free.withColumn("at", F.explode(F.array(*map(F.lit, offsets)))).withColumn("at", F.col("lo") + F.col("at")).filter("at <= hi")
+    return at.select("point", "ray", (F.col("px") + F.col("ux") * F.col("at")).alias("x"), (F.col("py") + F.col("uy") * F.col("at")).alias("y"))
+
+
+def crossing_ports(lines: DataFrame, dn: Column, step: float = PORT_STEP, more: float = PORT_MORE) -> DataFrame:
+    """(id, side, x, y): places on both sides of lines that may be crossed (id, width, gap, cx, cy, dx, dy), at both ends of each leg
+    and at most ``step`` metres apart: beyond the gap and half the widths by ``more`` metres."""
+    legs = lines.withColumn("_len", geometry.distance(*(F.col(c) for c in ("cx", "cy", "dx", "dy")))).filter("_len > 1e-9")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_len") / step)).cast("int")
+    each = legs.withColumn("_t", F.explode(F.transform(F.sequence(F.lit(0), parts), lambda k: k / parts))).withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
+    off = (F.col("gap") + (pricing.envelope_width(dn) + F.coalesce("width", F.lit(0.0))) / 2 + more) * F.col("side") / F.col("_len")
+    vx, vy = F.col("dx") - F.col("cx"), F.col("dy") - F.col("cy")
+    return each.select("id", "side", (F.col("cx") + F.col("_t") * vx - off * vy).alias("x"), (F.col("cy") + F.col("_t") * vy + off * vx).alias("y")).distinct()

@@ -23,7 +23,8 @@ def near_parts(pairs: DataFrame, r: Column) -> DataFrame:
     c = {k: F.col(k) for k in ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy", "_r", "_size", "_side", "_ux", "_uy", "_vx", "_vy", "_s", "_ds", "_q", "_dq", "_tc", "_hc", "_td", "_hd", "_a0", "_a1", "_b0", "_b1", "_lo", "_hi")}
     names = pairs.columns
     out = pairs.withColumns({"_r": r, "_size": G.distance(c["ax"], c["ay"], c["bx"], c["by"]), "_side": G.distance(c["cx"], c["cy"], c["dx"], c["dy"])}).filter("_size > 0 and _side > 0")
-    out = out.withColumns({"_ux": (c["bx"] - c["ax"]) / c["_size"], "_uy": (c["by"] - c["ay"]) / c["_size"], "_vx": (c["dx"] - c["cx"]) / c["_side"], "_vy": (c["dy"] - c["cy"]) / c["_side"]})
+    size, side = F.when(c["_size"] > 0, c["_size"]), F.when(c["_side"] > 0, c["_side"])
+    out = out.withColumns({"_ux": (c["bx"] - c["ax"]) / size, "_uy": (c["by"] - c["ay"]) / size, "_vx": (c["dx"] - c["cx"]) / side, "_vy": (c["dy"] - c["cy"]) / side})
     # along and across the side, at the leg's start and for each metre of it; and the two circles around the side's ends
     out = out.withColumns({"_s": (c["ax"] - c["cx"]) * c["_vx"] + (c["ay"] - c["cy"]) * c["_vy"], "_ds": c["_ux"] * c["_vx"] + c["_uy"] * c["_vy"], "_q": (c["ax"] - c["cx"]) * c["_vy"] - (c["ay"] - c["cy"]) * c["_vx"], "_dq": c["_ux"] * c["_vy"] - c["_uy"] * c["_vx"]})
     for end in "cd":
@@ -34,7 +35,8 @@ def near_parts(pairs: DataFrame, r: Column) -> DataFrame:
     def between(value: str, rate: str, low: Column, high: Column) -> tuple[Column, Column]:
         """Where low <= value + t * rate <= high; null where it never is."""
         slant, level = F.abs(rate) > LEVEL, F.col(value).between(low, high)
-        p, q = (low - F.col(value)) / F.col(rate), (high - F.col(value)) / F.col(rate)
+        safe = F.when(slant, F.col(rate))
+        p, q = (low - F.col(value)) / safe, (high - F.col(value)) / safe
         return F.when(slant, F.least(p, q)).when(level, -float("inf")), F.when(slant, F.greatest(p, q)).when(level, float("inf"))
 
     a, b = between("_s", "_ds", F.lit(0.0), c["_side"]), between("_q", "_dq", -c["_r"], c["_r"])

@@ -1,14 +1,13 @@
 """Known answers of route rules and grids."""
 
 import math
+import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from netloom.functions.constants import CROSSINGS
-from netloom.operators import crossings, grid, routes
-from netloom.operators.areas import Area
+from netloom.operators import crossings, grid, routes, stretches
 
 
 XY = "array<struct<x:double,y:double>>"
@@ -63,21 +62,59 @@ def test_route_shape(spark):
     assert broken(spark, cases, HOUSE[:0] + [("far", "water", box(900, 900, 901, 901))]) == [{"turn exceeds 90 degrees"}, {real}, {real}, {"route meets itself"}, set()]
 
 
-def test_near_is_exact_around_corners():
-    area = Area(box(10, 0, 30, 10))
-    assert area.runs((-20, 15), (60, 15), 13.0) == [(pytest.approx(20 + 10 - 12), pytest.approx(20 + 30 + 12))]
-    assert area.runs((0, 15), (40, 15), 13.0) == [(0.0, 40.0)]
-    assert area.runs((0, 5), (40, 5)) == [(10.0, 30.0)]
-    assert area.leg_distance(np.array([0.0, 15.0]), np.array([40.0, 15.0])) == 5.0
-    court = Area([[*box(0, 0, 30, 30)[0], *box(10, 10, 20, 20)[0]], *box(40, 0, 50, 30)])
-    assert court.runs((-10, 15), (60, 15)) == [(10.0, 20.0), (30.0, 40.0), (50.0, 60.0)]
-    rng = np.random.default_rng(1)
-    for _ in range(50):  # against many points of the leg
-        p, q, reach = rng.uniform(-20, 70, 2), rng.uniform(-20, 50, 2), rng.uniform(0.5, 12)
-        at = np.linspace(0, 1, 4001)
-        points = p + at[:, None] * (q - p)
-        near = (court.holds(points) | (court.distance(points) <= reach)).mean() * math.dist(p, q)
-        assert sum(hi - lo for lo, hi in court.runs(p, q, reach)) == pytest.approx(near, abs=0.1)
+def test_stretches_near_a_side(spark):
+    rng = random.Random(1)
+    rows = [tuple(rng.uniform(-20, 20) for _ in range(8)) + (rng.uniform(0.5, 12),) for _ in range(120)]
+    rows += [(0.0, 5.0, 40.0, 5.0, 10.0, 0.0, 30.0, 0.0, 6.0), (0.0, 5.0, 40.0, 5.0, 10.0, 0.0, 30.0, 0.0, 5.0), (0.0, 7.0, 40.0, 7.0, 10.0, 0.0, 30.0, 0.0, 6.0), (10.0, -9.0, 10.0, 9.0, 10.0, 0.0, 30.0, 0.0, 2.0), (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 2.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, ax double, ay double, bx double, by double, cx double, cy double, dx double, dy double, r double")
+    got = {x.n: (x.lo, x.hi) for x in stretches.near_parts(df, F.col("r")).collect()}
+
+    def apart(x, y, cx, cy, dx, dy):
+        t = max(0.0, min(1.0, ((x - cx) * (dx - cx) + (y - cy) * (dy - cy)) / ((dx - cx) ** 2 + (dy - cy) ** 2)))
+        return math.dist((x, y), (cx + t * (dx - cx), cy + t * (dy - cy)))
+
+    for i, (ax, ay, bx, by, *side, r) in enumerate(rows):
+        size = math.dist((ax, ay), (bx, by))
+        on = [k * size / 4000 for k in range(4001) if size and apart(ax + (bx - ax) * k / 4000, ay + (by - ay) * k / 4000, *side) <= r]
+        if len(on) > 1:
+            assert got[i] == pytest.approx((on[0], on[-1]), abs=0.03)
+        else:
+            assert i not in got or got[i][1] - got[i][0] < 0.03
+
+
+def test_sweeps(spark):
+    frame = lambda rows: spark.createDataFrame([(1, float(a), float(b)) for a, b in rows], "k int, lo double, hi double")
+    held = lambda df: sorted((r.lo, r.hi) for r in df.collect())
+    a, b = frame([(0, 10), (5, 20), (30, 30)]), frame([(2, 4), (3, 6), (18, 40)])
+    assert held(stretches.sweep(a, b, ["k"])) == [(0, 2), (6, 18)]
+    assert held(stretches.sweep(a, b, ["k"], both=True)) == [(2, 6), (18, 20)]
+    got = stretches.differing(frame([(0, 10), (20, 30)]), frame([(0.001, 10), (20, 27), (50, 51)]), ["k"], 0.002).collect()
+    assert sorted((r.missing, round(r.lo, 3), round(r.hi, 3)) for r in got) == [(False, 50, 51), (True, 27.002, 30)]
+
+
+def test_stretches_inside_areas(spark):
+    court = [[*box(0, 0, 30, 30)[0], *box(10, 10, 20, 20)[0]], *box(40, 0, 50, 30)]
+    areas = spark.createDataFrame([("c", 2.0, court)], f"obstacle string, factor double, area array<array<{XY}>>")
+    legs = spark.createDataFrame([(1, -10.0, 15.0, 60.0, 15.0), (2, 12.0, 15.0, 18.0, 15.0), (3, 1.0, 5.0, 9.0, 5.0)], "leg int, ax double, ay double, bx double, by double")
+    got = sorted((r.leg, r.lo, r.hi, r.factor) for r in routes.area_runs(legs, areas, "factor").collect())
+    assert got == [(1, 10.0, 20.0, 2.0), (1, 30.0, 40.0, 2.0), (1, 50.0, 60.0, 2.0), (3, 0.0, 8.0, 2.0)]
+
+
+def test_rays_and_their_ports(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 500.0, 0.0)], "point int, x double, y double")
+    walls = spark.createDataFrame([("w", "water", box(10, -5, 20, 5)), ("c", "water", box(-3, 24, 3, 27))], f"obstacle string, kind string, area array<array<{XY}>>")
+    free = {}
+    for r in grid.free_rays(points, walls, F.lit(2.0), rays=4).collect():
+        free.setdefault((r.point, r.ray), []).append((round(r.lo, 6), round(r.hi, 6)))
+    assert {k: sorted(v) for k, v in free.items()} == {(1, 0): [(0, 8), (22, 30)], (1, 1): [(0, 22), (29, 30)], (1, 2): [(0, 30)], (1, 3): [(0, 30)], **{(2, k): [(0, 30)] for k in range(4)}}
+    at = sorted((round(r.x, 6), round(r.y, 6)) for r in grid.ray_ports(points.filter("point = 1"), walls, F.lit(2.0), rays=4).collect() if r.ray == 0)
+    assert at == [(0.03, 0), (5, 0), (22.03, 0), (27, 0)]
+
+
+def test_ports_along_crossings(spark):
+    line = spark.createDataFrame([("g", 0.4, 2.0, 0.0, 0.0, 120.0, 0.0)], "id string, width double, gap double, cx double, cy double, dx double, dy double")
+    got = sorted((r.side, round(r.x, 6), round(r.y, 6)) for r in grid.crossing_ports(line, F.lit(50)).collect())
+    assert got == [(s, x, s * 3.4) for s in (-1, 1) for x in (0, 40, 80, 120)]
 
 
 def test_dead_ends(spark):
