@@ -191,7 +191,7 @@ def free_rays(points: DataFrame, obstacles: DataFrame, gap: Column, rays: int =
     hits = near.select("point", "ray", "obstacle", (t * F.col("len")).alias("at")).filter("at is not null")
     bounds = geometry.bounds(F.flatten(F.flatten("area")))
     shapes = obstacles.select("obstacle", bounds.alias("_b")).select("obstacle", *(F.col(f"_b.{c}").alias(n) for c, n in zip(("x0", "y0", "x1", "y1"), box[1], strict=True)))
-    pairs = bucket_join(boxed(ray, "a", "b", "_s"), shapes, 0.0, *box, cell=50.0).select("point", "ray", "obstacle", "ax", "ay", "bx", "by", "len")
+    pairs = bucket_join(boxed(ray, "a", "b", "_s"), shapes, 1e-6, *box, cell=50.0).select("point", "ray", "obstacle", "ax", "ay", "bx", "by", "len")
     inner = stretches.inside(pairs, hits, obstacles, "point", "ray")
     taken = stretches.near_parts(near, gap).select("point", "ray", "lo", "hi").unionByName(inner.select("point", "ray", "lo", "hi"))
     free = stretches.sweep(ray.select("point", "ray", F.lit(0.0).alias("lo"), F.col("len").alias("hi")), taken, ["point", "ray"])

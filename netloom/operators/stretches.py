@@ -44,7 +44,9 @@ def near_parts(pairs: DataFrame, r: Column) -> DataFrame:
     met = c["_a0"].isNotNull() & c["_b0"].isNotNull() & (F.greatest("_a0", "_b0") <= F.least("_a1", "_b1"))
     out = out.withColumns({"_lo": F.when(met, F.greatest("_a0", "_b0")), "_hi": F.when(met, F.least("_a1", "_b1"))})
     out = out.withColumns({"lo": F.greatest(F.lit(0.0), F.least(c["_lo"], c["_tc"] - c["_hc"], c["_td"] - c["_hd"])), "hi": F.least(c["_size"], F.greatest(c["_hi"], c["_tc"] + c["_hc"], c["_td"] + c["_hd"]))})
-    return out.filter(F.coalesce("_lo", "_hc", "_hd").isNotNull() & (F.col("lo") <= F.col("hi"))).select(*names, "lo", "hi")
+    # a filter of these columns would be pushed below them and repeat all of the above; one of a generator's output stays
+    found = F.when(F.coalesce("_lo", "_hc", "_hd").isNotNull() & (F.col("lo") <= F.col("hi")), F.struct("lo", "hi"))
+    return out.select(*names, F.explode_outer(F.array(found)).alias("_p")).filter("_p is not null").select(*names, "_p.lo", "_p.hi")
 
 
 def inside(pairs: DataFrame, hits: DataFrame, areas: DataFrame, *keys: str) -> DataFrame:

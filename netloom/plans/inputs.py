@@ -144,6 +144,13 @@ def free_cells(spark, d):
     return grid.free_cells(every, grid.blocked(sides, shells, 10.0)).select("i", "j", "x", "y")
 
 
+def free_rays(spark, d):
+    """Stretches of four rays of 30 m from every terminal that no block holds."""
+    points = B.terminals(spark, d).select(F.col("id").alias("point"), F.col("px").alias("x"), F.col("py").alias("y"))
+    free = grid.free_rays(points, _walls(spark, d), F.lit(0.0), rays=4).filter("hi - lo > 1e-6")
+    return free.select(F.col("point").alias("id"), "ray", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
 def boxes_near(spark, d):
     """Pairs of neighbouring blocks: whether their boxes lie within 50 m, and whether one holds the other's corner when grown."""
     b = B.blocks(spark, d)
@@ -195,6 +202,7 @@ QUERIES = {
     "passage_windows": (passage_windows, f"WITH {_BASE}, {_GAS} SELECT id AS route, object, round(pos - 2, 6) AS lo, round(pos + 2, 6) AS hi, 1.25::DOUBLE AS factor FROM hits"),
     "leg_weights": (leg_weights, f"WITH {_BASE}, {_GAS}, w AS (SELECT DISTINCT id, greatest(round(pos, 7) - 2, 0.0) AS lo, least(round(pos, 7) + 2, 30.0) AS hi FROM hits), c AS (SELECT *, max(hi) OVER (PARTITION BY id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w), s AS (SELECT id, sum(greatest(0.0, hi - greatest(lo, coalesce(before, lo)))) AS size FROM c GROUP BY id), f AS (SELECT DISTINCT id FROM hits WHERE pos < 2 - 1e-6 OR pos > 28 + 1e-6) SELECT l.id AS leg, round(coalesce(size, 0.0) * 25, 6) AS extra, f.id IS NULL AS fits FROM leads l LEFT JOIN s ON s.id = l.id LEFT JOIN f ON f.id = l.id"),
     "free_cells": (free_cells, f"WITH {_BASE}, e AS (SELECT floor((min(px) - 120) / 10)::BIGINT AS i0, ceil((max(px) + 120) / 10)::BIGINT AS i1, floor((min(py) - 120) / 10)::BIGINT AS j0, ceil((max(py) + 120) / 10)::BIGINT AS j1 FROM terminals), g AS (SELECT i, j, i * 10.0::DOUBLE AS x, j * 10.0::DOUBLE AS y FROM (SELECT unnest(generate_series(i0, i1)) AS i FROM e), (SELECT unnest(generate_series(j0, j1)) AS j FROM e)), c AS (SELECT x0, y0, x1, y1, i, unnest(range(ceil((y0 - 5) / 10)::BIGINT, floor((y1 + 5) / 10)::BIGINT + 1)) AS j FROM (SELECT *, unnest(range(ceil((x0 - 5) / 10)::BIGINT, floor((x1 + 5) / 10)::BIGINT + 1)) AS i FROM blocks)), t AS (SELECT DISTINCT i, j FROM c WHERE sqrt(greatest(x0 - i * 10.0::DOUBLE, 0.0, i * 10.0::DOUBLE - x1) ** 2 + greatest(y0 - j * 10.0::DOUBLE, 0.0, j * 10.0::DOUBLE - y1) ** 2) < 5) SELECT i, j, x, y FROM g ANTI JOIN t USING (i, j)"),
+    "free_rays": (free_rays, f"WITH {B.TERMINALS_SQL}, {B.BLOCKS_SQL}, rays AS (SELECT id, px, py, ray FROM terminals, range(4) AS v(ray)), t AS (SELECT id, ray, greatest(lo, 0.0::DOUBLE) AS lo, least(hi, 30.0::DOUBLE) AS hi FROM (SELECT id, ray, CASE ray WHEN 0 THEN x0 - px WHEN 1 THEN y0 - py WHEN 2 THEN px - x1 ELSE py - y1 END AS lo, CASE ray WHEN 0 THEN x1 - px WHEN 1 THEN y1 - py WHEN 2 THEN px - x0 ELSE py - y0 END AS hi FROM rays JOIN blocks ON px BETWEEN x0 - 30 AND x1 + 30 AND py BETWEEN y0 - 30 AND y1 + 30 AND CASE WHEN ray % 2 = 0 THEN py BETWEEN y0 - 1e-7 AND y1 + 1e-7 ELSE px BETWEEN x0 - 1e-7 AND x1 + 1e-7 END) WHERE hi > 0 AND lo < 30), m AS (SELECT id, ray, lo, coalesce(max(hi) OVER (PARTITION BY id, ray ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before FROM t), f AS (SELECT id, ray, before AS lo, lo AS hi FROM m UNION ALL SELECT id, ray, coalesce(max(hi), 0.0), 30.0 FROM rays LEFT JOIN t USING (id, ray) GROUP BY id, ray) SELECT id, ray::INT AS ray, round(lo, 6) AS lo, round(hi, 6) AS hi FROM f WHERE hi - lo > 1e-6"),
     "boxes_near": (boxes_near, f"WITH {B.BLOCKS_SQL} SELECT a.block, a.x0 <= b.x1 + 50 AND b.x0 <= a.x1 + 50 AND a.y0 <= b.y1 + 50 AND b.y0 <= a.y1 + 50 AS near, b.x0 BETWEEN a.x0 - 200 AND a.x1 + 200 AND b.y0 BETWEEN a.y0 - 200 AND a.y1 + 200 AS holds FROM blocks a JOIN blocks b ON b.block = a.block + 1"),
     "audit_pipes": (audit_pipes, f"WITH {SIZES_CTE}, {B.TERMINALS_SQL}, r AS (SELECT 'pipe length' AS rule, 1.0 AS gap FROM terminals WHERE id % 7 = 0 UNION ALL SELECT 'pipe cost', 500.0 FROM terminals WHERE id % 11 = 0 UNION ALL SELECT 'undersized pipe', 0.1 FROM terminals WHERE id % 13 = 0 UNION ALL SELECT 'depth profile', NULL FROM terminals WHERE id % 17 = 0 UNION ALL SELECT 'laying method', NULL FROM terminals WHERE id % 19 = 0) SELECT rule, count(*) AS n, round(sum(gap), 2) AS gap FROM r GROUP BY rule"),
     "simplified_length": (simplified_length, f"WITH {B.VERTICES_SQL}, s AS (SELECT line, {_STEP} AS d FROM vertices WINDOW w AS (PARTITION BY line ORDER BY pos)) SELECT line, round(sum(d), 3) AS before, round(sum(d), 3) AS after FROM s GROUP BY line HAVING count(*) > 2"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ BEYOND = 0.05
 def graph(features: DataFrame, radius: float, per_sector: int, dn: int = SIZES[0][0]) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) as ``planning.designs`` takes them.
 
-    Nodes are consumers, ties, the ports of consumers in buildings, and the corners of obstacles moved out of their envelopes; of
+    Nodes are consumers, ties, the ports of consumers in buildings, places on free stretches of rays from the other consumers, places on
+    both sides of what may be crossed, and the corners of obstacles moved out of their envelopes; of
     each node's neighbours the nearest in each of 16 sectors that it sees count, and a consumer in a building sees its ports.
     Ids are numbers, unique among all territories; ``name`` is a consumer's or tie's identifier.
     """
@@ -37,9 +40,10 @@ def graph(features: DataFrame, radius: float, per_sector: int, dn: int = SIZES[0
     out = sides.select("block", F.col("dx").alias("mx"), F.col("dy").alias("my"), "gap").distinct()
     corners = corners.join(out, "block").filter(G.distance(F.col("x"), F.col("y"), F.col("mx"), F.col("my")) < 1.5)
     bends = corners.select(part("block", 0).alias("territory"), F.concat(F.lit("corner "), F.col("block"), F.lit(" "), F.col("side").cast("string"), F.lit(" "), F.round("x", 3).cast("string")).alias("name"), (F.col("mx") + (F.col("x") - F.col("mx")) * F.col("gap")).alias("x"), (F.col("my") + (F.col("y") - F.col("my")) * F.col("gap")).alias("y"))
+    rays, beside = outside(homes, walls, geojson.crossings(features), dn)
     none = {"flow": "double", "is_chamber": "boolean", "existing_dn": "int", "existing_degree": "int", "obstacle": "string", "of": "string"}
-    every = [df.select("territory", "name", "x", "y", *(F.col(c).cast(k).alias(c) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in none.items()), F.lit(kind).alias("role")) for kind, df in (("home", homes), ("tie", ties), ("port", outer), ("corner", bends.dropDuplicates(["territory", "name"])))]
-    nodes = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+    every = [df.select("territory", "name", "x", "y", *(F.col(c).cast(k).alias(c) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in none.items()), F.lit(kind).alias("role")) for kind, df in (("home", homes), ("tie", ties), ("port", outer), ("corner", bends.dropDuplicates(["territory", "name"])), ("ray", rays), ("crossing", beside))]
+    nodes = reduce(DataFrame.unionByName, every)
     nodes = cut(nodes.withColumn("id", F.xxhash64("territory", "name")))
     seen = spatial.sector_neighbours(nodes.select("id", "x", "y"), radius, per_sector)
     a = nodes.select(F.col("id").alias("a"), "territory", F.col("x").alias("ax"), F.col("y").alias("ay"))
@@ -53,6 +57,19 @@ def graph(features: DataFrame, radius: float, per_sector: int, dn: int = SIZES[0
     return nodes.select("territory", "id", "name", "x", "y", "flow", (F.col("role") == "tie").alias("is_tie"), F.coalesce("is_chamber", F.lit(False)).alias("is_chamber"), F.coalesce("existing_dn", F.lit(500)).alias("existing_dn"), F.coalesce("existing_degree", F.lit(2)).alias("existing_degree")), cut(edges)
 
 
+def outside(homes: DataFrame, walls: DataFrame, crossings: DataFrame, dn: int) -> tuple[DataFrame, DataFrame]:
+    """(territory, name, x, y) of places on rays from consumers outside of buildings, and beside objects that may be crossed."""
+    keyed = homes.select(F.concat_ws("\u0001", "territory", "name").alias("point"), "x", "y")
+    housed = routes.owned(keyed, walls).select("point")
+    at = grid.ray_ports(keyed.join(housed, "point", "left_anti"), walls, P.clearance(F.col("kind"), F.lit(dn)) + BEYOND)
+    place = lambda kind, *of: F.concat_ws(" ", F.lit(kind), *of, F.round("x", 3).cast("string"), F.round("y", 3).cast("string")).alias("name")
+    rays = at.select(F.split("point", "\u0001")[0].alias("territory"), place("ray", F.split("point", "\u0001")[1]), "x", "y")
+    lines = geojson.legs(crossings, "kind", "width").join(F.broadcast(P.crossing_table(homes.sparkSession).select("kind", F.col("h_gap").alias("gap"))), "kind")
+    beside = grid.crossing_ports(lines.withColumn("id", F.concat_ws("\u0001", "territory", "id_key")), F.lit(dn))
+    beside = beside.select(F.split("id", "\u0001")[0].alias("territory"), place("beside", F.split("id", "\u0001")[1]), "x", "y")
+    return rays.dropDuplicates(["territory", "name"]), beside.dropDuplicates(["territory", "name"])
+
+
 def _by(key: str):
     from pyspark.sql import Window
 
