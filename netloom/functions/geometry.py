@@ -51,13 +51,15 @@ def segment_segment(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
 
 
 def intersection_at(ax, ay, bx, by, cx, cy, dx, dy, tolerance: float = 1e-8) -> Column:
-    """Position along ab at which cd crosses it; null if they are parallel or don't meet."""
+    """Position along ab at which cd crosses it; null if they are parallel or don't meet. What ends beside the other by no more than
+    the tolerance (a share of its length) meets it; with the tolerance 0 they must meet by their coordinates, however positions round."""
     rx, ry, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
     det = rx * sy - ry * sx
     safe = F.when(F.abs(det) > 1e-12, det)
     t = ((cx - ax) * sy - (cy - ay) * sx) / safe
     u = ((cx - ax) * ry - (cy - ay) * rx) / safe
-    return F.when(t.between(-tolerance, 1 + tolerance) & u.between(-tolerance, 1 + tolerance), F.least(F.lit(1.0), F.greatest(F.lit(0.0), t)))
+    met = t.between(-tolerance, 1 + tolerance) & u.between(-tolerance, 1 + tolerance) if tolerance else t.isNotNull() & segments_meet(ax, ay, bx, by, cx, cy, dx, dy)
+    return F.when(met, F.least(F.lit(1.0), F.greatest(F.lit(0.0), t)))
 
 
 # ---------------------------------------------------------------- arrays of points

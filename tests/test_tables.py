@@ -44,3 +44,9 @@ def test_a_point_on_a_building_s_boundary_lies_in_it(spark):
     home = spark.createDataFrame([(1, 10 + 5e-8, 5.0), (2, 10 + 2e-7, 5.0)], "home int, x double, y double")
     house = spark.createDataFrame([(7, "oks_existing", [[[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]]])], "obstacle int, kind string, area array<array<array<struct<x:double,y:double>>>>")
     assert [r.home for r in routes.owned(home, house).collect()] == [1]
+
+
+def test_leads_that_end_beside_a_line_don_t_cross_it(spark, tmp_path):
+    """By one binary digit."""
+    found = against_sql(spark, tmp_path, "passage_windows", customer="SELECT unnest([13800, 337, 10973, 10021, 944])::BIGINT AS c_custkey", supplier="SELECT 1::BIGINT AS s_suppkey", part=f"SELECT p_partkey::BIGINT AS p_partkey, p_size FROM ({values('p_partkey, p_size', *PARTS)})")
+    assert len(found) == 1
