@@ -50,3 +50,9 @@ def test_leads_that_end_beside_a_line_don_t_cross_it(spark, tmp_path):
     """By one binary digit."""
     found = against_sql(spark, tmp_path, "passage_windows", customer="SELECT unnest([13800, 337, 10973, 10021, 944])::BIGINT AS c_custkey", supplier="SELECT 1::BIGINT AS s_suppkey", part=f"SELECT p_partkey::BIGINT AS p_partkey, p_size FROM ({values('p_partkey, p_size', *PARTS)})")
     assert len(found) == 1
+
+
+def test_members_are_customers_with_orders_be_these_without_lines(spark, tmp_path):
+    tables = forest([(0, 5.0), (2, 5.0)])
+    for name in ("subtree_members", "family_structure"):
+        against_sql(spark, tmp_path, name, **tables)
