@@ -56,3 +56,9 @@ def test_members_are_customers_with_orders_be_these_without_lines(spark, tmp_pat
     tables = forest([(0, 5.0), (2, 5.0)])
     for name in ("subtree_members", "family_structure"):
         against_sql(spark, tmp_path, name, **tables)
+
+
+def test_trunks_that_no_size_fits_have_no_row(spark, tmp_path):
+    tables = forest([(0, 2e7), (1, 2e7), (2, 1e3), (3, 1e3)])
+    assert len(against_sql(spark, tmp_path, "sized_forest", **tables)) == 5
+    against_sql(spark, tmp_path, "forest_plan", **tables)
