@@ -102,3 +102,14 @@ def test_the_distance_in_steps_is_that_in_one(spark):
     pairs = spark.createDataFrame([sum((point() for _ in range(4)), ()) for _ in range(400)], ", ".join(f"{n} double" for n in names))
     out = spatial.with_gap(pairs).withColumn("whole", geometry.segment_segment(*map(F.col, names))).collect()
     assert len(out) == 400 and all(r.d == r.whole for r in out)
+
+
+def test_routes_of_the_same_points_are_measured_once(spark, monkeypatch):
+    joined, join = [], routes.bucket_join
+    monkeypatch.setattr(routes, "bucket_join", lambda left, *others, **more: joined.append(left.count()) or join(left, *others, **more))
+    line = "array<struct<x:double,y:double>>"
+    ways = spark.createDataFrame([(k, 50, [(0.0, 0.0), (9.0, 0.0)]) for k in range(20)], f"route int, dn int, points {line}")
+    wall = spark.createDataFrame([(k, "oks", [[[(4.0, 1.0), (5.0, 1.0), (5.0, 2.0)]]]) for k in (7, 8)], f"obstacle int, kind string, area array<array<{line}>>")
+    found = routes.too_close(ways, wall).collect()
+    assert sorted((r.route, r.obstacle, r.d) for r in found) == [(k, o, 1.0) for k in range(20) for o in (7, 8)]
+    assert joined == [1, 1]
