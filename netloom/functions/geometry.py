@@ -66,11 +66,12 @@ def intersection_at(ax, ay, bx, by, cx, cy, dx, dy, tolerance: float = 1e-8) ->
 
 
 def legs(points: Column, closed: bool = False) -> Column:
-    """Consecutive pairs (a, b) of a line, or of a ring with its closing leg."""
+    """Consecutive pairs (a, b) of a line, or of a ring with its closing leg. Two parts of the array are zipped: a lambda that looked
+    points up by number would compute a derived array anew for each."""
     n = F.size(points)
-    last = n if closed else n - 1
-    pair = lambda i: F.struct(F.get(points, i).alias("a"), F.get(points, F.pmod(i + 1, n)).alias("b"))
-    return F.when(last > 0, F.transform(F.sequence(F.lit(0), last - 1), pair)).otherwise(F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>"))
+    rest = F.greatest(n - 1, F.lit(0))
+    here, then = (points, F.concat(F.slice(points, 2, rest), F.slice(points, 1, 1))) if closed else (F.slice(points, 1, rest), F.slice(points, 2, rest))
+    return F.when(n > (0 if closed else 1), F.zip_with(here, then, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>"))
 
 
 def ring_distance(px: Column, py: Column, ring: Column) -> Column:

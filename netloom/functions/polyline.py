@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .constants import BEND_PRICED, BEND_REPORTED
 from .geometry import distance, legs
@@ -50,12 +52,13 @@ def corners(points: Column) -> Column:
     """(turn in degrees, leg before, leg after) at each inner vertex with two real legs."""
     n = F.size(points)
 
-    def at(i):
-        a, b, c = F.get(points, i - 1), F.get(points, i), F.get(points, i + 1)
+    def at(k):
+        a, b, c = k.leg.a, k.leg.b, k.c
         return F.struct(turn(a.x, a.y, b.x, b.y, c.x, c.y).alias("turn"), distance(a.x, a.y, b.x, b.y).alias("before"), distance(b.x, b.y, c.x, c.y).alias("after"))
 
-    inner = F.when(n > 2, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(inner, at), lambda c: c.turn.isNotNull())
+    inner = F.greatest(n - 2, F.lit(0))
+    three = F.zip_with(F.slice(legs(points), 1, inner), F.slice(points, 3, inner), lambda leg, c: F.struct(leg.alias("leg"), c.alias("c")))
+    return F.filter(F.transform(F.when(n > 2, three).otherwise(F.slice(three, 1, 0)), at), lambda c: c.turn.isNotNull())
 
 
 def bends(points: Column, least: float = BEND_PRICED) -> Column:
@@ -87,24 +90,51 @@ def quality(points: Column, micro_leg: float = 5.0) -> Column:
     )
 
 
+_SLIM = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+
+
+def _ahead(ax, ay, bx, by, px, py) -> bool:
+    """Whether b lies on the way from a straight ahead to p; compared as Spark does, which takes NaN as the largest number."""
+    cross = (bx - ax) * (py - by) - (by - ay) * (px - bx)
+    dot = (bx - ax) * (px - bx) + (by - ay) * (py - by)
+    far = math.sqrt((ax - px) * (ax - px) + (ay - py) * (ay - py))
+    return (far != far or abs(cross) <= 1e-6 * max(1.0, far)) and not dot < 0
+
+
+def _kept(xs: list, ys: list, begin: int, end: int, kept: list[int]) -> None:
+    """Append the numbers of the vertices that stay of begin to end."""
+    first = len(kept)
+    for p in range(begin, end):
+        px, py = xs[p], ys[p]
+        try:
+            if len(kept) > first:
+                dx, dy = xs[kept[-1]] - px, ys[kept[-1]] - py
+                if math.sqrt(dx * dx + dy * dy) < 1e-8:
+                    continue
+            # a vertex that was kept bends from the one before it, so after one pop the next is looked at once more and stays
+            for _ in range(2):
+                if len(kept) - first < 2 or not _ahead(xs[kept[-2]], ys[kept[-2]], xs[kept[-1]], ys[kept[-1]], px, py):
+                    break
+                kept.pop()
+        except TypeError:  # a null coordinate is like no other
+            pass
+        kept.append(p)
+
+
+def _straightened(lines: pa.Array) -> pa.Array:
+    xs, ys = (c.to_pylist() for c in lines.values.flatten())
+    at, kept, offsets = lines.offsets.to_pylist(), [], [0]
+    for k, valid in enumerate(lines.is_valid().to_pylist()):
+        if valid:
+            _kept(xs, ys, at[k], at[k + 1], kept)
+        offsets.append(len(kept))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lines.values.take(pa.array(kept, pa.int64())), mask=lines.is_null() if lines.null_count else None)
+
+
 def straightened(points: Column) -> Column:
-    """Without repeated vertices and vertices on the way straight ahead; a turn back stays. One pass with a stack."""
-    slim = "array<struct<x:double,y:double>>"
-
-    def push(acc, p):
-        def popped(stack):
-            a, b = F.element_at(stack, -2), F.element_at(stack, -1)
-            cross = (b.x - a.x) * (p.y - b.y) - (b.y - a.y) * (p.x - b.x)
-            dot = (b.x - a.x) * (p.x - b.x) + (b.y - a.y) * (p.y - b.y)
-            ahead = (F.abs(cross) <= 1e-6 * F.greatest(F.lit(1.0), distance(a.x, a.y, p.x, p.y))) & (dot >= 0)
-            return F.when((F.size(stack) >= 2) & ahead, F.slice(stack, 1, F.size(stack) - 1)).otherwise(stack)
-
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (distance(last.x, last.y, p.x, p.y) < 1e-8)
-        # a vertex that was kept bends from the one before it, so after one pop the next is looked at once more and stays
-        return F.when(same, acc).otherwise(F.concat(popped(popped(acc)), F.array(p)))
-
-    return F.aggregate(points, F.array().cast(slim), push)
+    """Without repeated vertices and vertices on the way straight ahead; a turn back stays. One pass with a stack, over Arrow batches
+    of lines: a stack that a lambda builds is copied for each vertex."""
+    return F.arrow_udf(_straightened, _SLIM)(points.cast(_SLIM))
 
 
 def headings_apart(a: Column, b: Column) -> Column:

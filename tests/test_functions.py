@@ -88,3 +88,20 @@ def test_lines(spark):
 def test_straightened_keeps_turns_back(spark):
     kept = value(spark, polyline.straightened(points((0, 0), (5, 0), (5, 0), (10, 0), (4, 0), (4, 5))))
     assert [(p.x, p.y) for p in kept] == [(0, 0), (10, 0), (4, 0), (4, 5)]
+
+
+def test_points_of_long_lines_are_read_once(spark):
+    """Legs and corners zip a derived array; lambdas that look it up by number compute it anew for every vertex."""
+    line = spark.range(20_000).groupBy(F.lit(1).alias("line")).agg(F.array_sort(F.collect_list("id")).alias("v"))
+    line = line.select("line", F.transform("v", lambda i: geometry.point(i, F.when(i % 20 == 7, 1).otherwise(0))).alias("points"))
+    assert line.filter(F.exists(polyline.corners(F.col("points")), lambda c: c.turn > 44)).count() == 1
+    out = line.select(polyline.length(F.col("points")).alias("n"), F.size(polyline.straightened(F.col("points"))).alias("left")).first()
+    assert out.n == pytest.approx(17_999 + 2_000 * math.sqrt(2))
+    assert out.left == 2 + 3 * 1000
+
+
+def test_straightened_takes_odd_coordinates(spark):
+    lines = [None, [], [(0.0, 0.0)], [(0.0, 0.0), (None, 1.0), (2.0, 0.0), (3.0, 0.0), (4.0, 0.0)], [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)]]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, points array<struct<x:double,y:double>>").coalesce(1)
+    got = [r.s and [tuple(p) for p in r.s] for r in df.select("i", polyline.straightened(F.col("points")).alias("s")).orderBy("i").collect()]
+    assert got == [None, [], [(0.0, 0.0)], [(0.0, 0.0), (None, 1.0), (2.0, 0.0), (4.0, 0.0)], [(0.0, 0.0), (2.0, 0.0)]]
