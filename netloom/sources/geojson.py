@@ -53,12 +53,8 @@ def _parts(geometry: Column) -> Column:
     )
 
 
-def projected(parts: Column, forward: Callable[[Column, Column], tuple[Column, Column]] = crs.to_utm) -> Column:
-    def move(p):
-        x, y = forward(p.x, p.y)
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    return F.transform(parts, lambda r: F.struct(r.poly.alias("poly"), r.ring.alias("ring"), F.transform(r.points, move).alias("points")))
+def projected(parts: Column, forward: Callable[[Column], Column] = crs.points_to_utm) -> Column:
+    return F.transform(parts, lambda r: F.struct(r.poly.alias("poly"), r.ring.alias("ring"), forward(r.points).alias("points")))
 
 
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -69,7 +65,8 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     """
     raw = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("territory"), F.parse_json("value").alias("doc"))
     if lines:
-        each = raw.select("territory", F.col("doc").alias("f"))
+        # a filter of a generator's output stays above it; pushed into the scan it would parse each line again for every part of its test
+        each = raw.select("territory", F.explode_outer(F.array("doc")).alias("f"))
     else:
         features = F.try_variant_get("doc", "$.features", "array<variant>")
         bad = (_text(F.col("doc"), "$.type") != "FeatureCollection") | features.isNull()
@@ -118,15 +115,21 @@ def checked(features: DataFrame) -> DataFrame:
     return features
 
 
+def _rings(features: DataFrame, *more: str) -> DataFrame:
+    """(territory, id_key, …, r): a row a part. Of ``explode`` the optimizer would infer a test of the parts' number, which projects all
+    positions once more, in the scan."""
+    return features.select("territory", "id_key", *more, F.explode_outer("parts").alias("r")).filter("r is not null")
+
+
 def vertices(features: DataFrame) -> DataFrame:
     """(territory, id_key, object_type, poly, ring, pos, x, y): a row a position."""
-    rings = features.select("territory", "id_key", "object_type", F.explode("parts").alias("r"))
+    rings = _rings(features, "object_type")
     return rings.select("territory", "id_key", "object_type", "r.poly", "r.ring", F.posexplode("r.points").alias("pos", "p")).select("territory", "id_key", "object_type", "poly", "ring", "pos", "p.x", "p.y")
 
 
 def legs(features: DataFrame, *more: str) -> DataFrame:
     """(territory, id_key, …, poly, ring, leg, cx, cy, dx, dy): a row a side of each line or ring."""
-    rings = features.select("territory", "id_key", *more, F.explode("parts").alias("r"))
+    rings = _rings(features, *more)
     sides = rings.select("territory", "id_key", *more, "r.poly", "r.ring", F.posexplode(G.legs(F.col("r.points"))).alias("leg", "s"))
     return sides.select("territory", "id_key", *more, "poly", "ring", "leg", F.col("s.a.x").alias("cx"), F.col("s.a.y").alias("cy"), F.col("s.b.x").alias("dx"), F.col("s.b.y").alias("dy"))
 
@@ -206,14 +209,9 @@ def input_audit(spark: SparkSession, path: str, lines: bool = False) -> DataFram
 # ---------------------------------------------------------------- sinks
 
 
-def lonlat_json(points: Column, back: Callable[[Column, Column], tuple[Column, Column]] = crs.from_utm, digits: int = 12) -> Column:
+def lonlat_json(points: Column, back: Callable[[Column], Column] = crs.points_from_utm, digits: int = 12) -> Column:
     """[[lon, lat], …] of an array of points in UTM metres."""
-
-    def pair(p):
-        lon, lat = back(p.x, p.y)
-        return F.array(F.bround(lon, digits), F.bround(lat, digits))
-
-    return F.transform(points, pair)
+    return F.transform(back(points), lambda p: F.array(F.bround(p.x, digits), F.bround(p.y, digits)))
 
 
 def geometry_json(points: Column, line: Column) -> Column:

@@ -105,3 +105,12 @@ def test_straightened_takes_odd_coordinates(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "i int, points array<struct<x:double,y:double>>").coalesce(1)
     got = [r.s and [tuple(p) for p in r.s] for r in df.select("i", polyline.straightened(F.col("points")).alias("s")).orderBy("i").collect()]
     assert got == [None, [], [(0.0, 0.0)], [(0.0, 0.0), (None, 1.0), (2.0, 0.0), (4.0, 0.0)], [(0.0, 0.0), (2.0, 0.0)]]
+
+
+def test_points_project_like_columns(spark):
+    df = spark.range(200).select((37 + F.col("id") * 0.01).alias("lon"), (55 + F.col("id") % 7 * 0.1).alias("lat"))
+    x, y = crs.to_utm(F.col("lon"), F.col("lat"))
+    lon, lat = crs.from_utm(F.col("x"), F.col("y"))
+    df = df.withColumns({"x": x, "y": y}).withColumns({"lon2": lon, "lat2": lat})
+    there, back = (F.get(f(F.array(geometry.point(F.col(a), F.col(b)))), F.lit(0)) for f, a, b in ((crs.points_to_utm, "lon", "lat"), (crs.points_from_utm, "x", "y")))
+    assert df.withColumns({"p": there, "q": back}).filter("p.x != x or p.y != y or q.x != lon2 or q.y != lat2").isEmpty()

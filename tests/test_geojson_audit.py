@@ -150,3 +150,12 @@ def test_graph_of_an_input(spark, tmp_path, files):
 def test_arguments_of_the_command_lines():
     args = cli.parser().parse_args(["solve", "in", "--out", "plans", "--factors", "[1, 2]"])
     assert (args.command, args.input, args.out, args.factors) == ("solve", "in", "plans", [1, 2])
+
+
+def test_a_line_is_parsed_and_projected_once(spark, tmp_path):
+    (tmp_path / "f.txt").write_text(json.dumps({"type": "Feature", "geometry": {"type": "Point", "coordinates": [37.6, 55.7]}, "properties": {"id": 1, "object_type": "heat_chamber"}}))
+    f = geojson.read_features(spark, str(tmp_path / "f.txt"), lines=True)
+    for df in (geojson.vertices(f), geojson.legs(geojson.obstacles(f)), geojson.terminals(f).select("id"), geojson.input_violations(f)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == plan.count("Relation [value")
+    assert geojson.vertices(f).count() == 1
