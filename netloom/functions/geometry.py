@@ -84,7 +84,7 @@ def in_ring(px: Column, py: Column, ring: Column) -> Column:
     sides = legs(ring, closed=True)
     crosses = lambda s: ((s.a.y > py) != (s.b.y > py)) & (px < (s.b.x - s.a.x) * (py - s.a.y) / F.when(s.b.y == s.a.y, 1e-30).otherwise(s.b.y - s.a.y) + s.a.x)
     odd = F.size(F.filter(sides, crosses)) % 2 == 1
-    return (F.size(ring) >= 3) & ((ring_distance(px, py, ring) < CONFLICT) | odd)
+    return (F.size(ring) >= 3) & (odd | (ring_distance(px, py, ring) < CONFLICT))
 
 
 def in_area(px: Column, py: Column, shells: Column, holes: Column) -> Column:

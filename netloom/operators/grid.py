@@ -176,16 +176,19 @@ def moved(points: DataFrame, reachable: DataFrame, obstacles: DataFrame, step: f
 RAYS, RAY_REACH, RAY_OFFSETS, PORT_STEP, PORT_MORE = 24, 30.0, (0.03, 5.0, 20.0), 50.0, 1.0
 
 
-def free_rays(points: DataFrame, obstacles: DataFrame, gap: Column, rays: int = RAYS, reach: float = RAY_REACH) -> DataFrame:
+def free_rays(points: DataFrame, obstacles: DataFrame, gap: Column, rays: int = RAYS, reach: float = RAY_REACH, widest: float = routes.WIDEST) -> DataFrame:
     """(point, ray, ux, uy, lo, hi): free stretches of rays of ``reach`` metres from points (point, x, y) in ``rays`` directions, the
-    first to the east: neither in obstacles (obstacle, kind, area) nor nearer to them than ``gap``, at most ``routes.WIDEST``."""
+    first to the east: neither in obstacles (obstacle, kind, area) nor nearer to them than ``gap``, which is at most ``widest``. Points
+    at one place are asked once."""
+    copies = points.select("point", F.struct("x", "y").alias("_at"))
+    points = cut(copies.groupBy("_at").agg(F.min("point").alias("point")).select("point", "_at", "_at.x", "_at.y"))
     ray = points.select("point", F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(F.sequence(F.lit(0), F.lit(rays - 1))).alias("ray"))
     angle = F.col("ray") * (2 * math.pi / rays)
     ray = ray.withColumns({"ux": F.round(F.cos(angle), 15), "uy": F.round(F.sin(angle), 15)})
     ray = ray.withColumns({"bx": F.col("ax") + F.col("ux") * reach, "by": F.col("ay") + F.col("uy") * reach, "len": F.lit(float(reach))})
     ray = cut(ray)
     box = ("_s0", "_s1", "_s2", "_s3"), ("_t0", "_t1", "_t2", "_t3")
-    near = bucket_join(boxed(ray, "a", "b", "_s"), boxed(routes.obstacle_sides(obstacles, "kind"), "c", "d", "_t"), routes.WIDEST, *box, cell=50.0)
+    near = bucket_join(boxed(ray, "a", "b", "_s"), boxed(routes.obstacle_sides(obstacles, "kind"), "c", "d", "_t"), max(widest, 1e-6), *box, cell=50.0)
     near = cut(near.select("point", "ray", "obstacle", "kind", *(f"{p}{c}" for p in "abcd" for c in "xy"), "len"))
     t = geometry.intersection_at(*(F.col(f"{p}{c}") for p in "abcd" for c in "xy"))
     hits = near.select("point", "ray", "obstacle", (t * F.col("len")).alias("at")).filter("at is not null")
@@ -195,7 +198,8 @@ def free_rays(points: DataFrame, obstacles: DataFrame, gap: Column, rays: int =
     inner = stretches.inside(pairs, hits, obstacles, "point", "ray")
     taken = stretches.near_parts(near, gap).select("point", "ray", "lo", "hi").unionByName(inner.select("point", "ray", "lo", "hi"))
     free = stretches.sweep(ray.select("point", "ray", F.lit(0.0).alias("lo"), F.col("len").alias("hi")), taken, ["point", "ray"])
-    return free.join(ray.select("point", "ray", "ux", "uy"), ["point", "ray"])
+    free = free.join(ray.select("point", "ray", "ux", "uy"), ["point", "ray"]).join(points.select("point", "_at"), "point").drop("point")
+    return copies.join(free, "_at").select("point", "ray", "ux", "uy", "lo", "hi")
 
 
 def ray_ports(points: DataFrame, obstacles: DataFrame, gap: Column, offsets: tuple[float, ...] = RAY_OFFSETS, **how) -> DataFrame:

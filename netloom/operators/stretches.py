@@ -61,7 +61,9 @@ def inside(pairs: DataFrame, hits: DataFrame, areas: DataFrame, *keys: str) -> D
     spans = cuts.select(*names, F.col("at").alias("lo"), F.lead("at").over(w).alias("hi")).filter("hi > lo").join(pairs, names).join(areas.select("obstacle", "area"), "obstacle")
     t = (F.col("lo") + F.col("hi")) / 2 / F.col("len")
     x, y = F.col("ax") + t * (F.col("bx") - F.col("ax")), F.col("ay") + t * (F.col("by") - F.col("ay"))
-    return linear.merged(spans.filter(in_polygons(x, y, F.col("area"))).select(*names, "lo", "hi"), names)
+    # lambdas would compute the middle anew for each of their mentions; a generator's output is computed once
+    spans = spans.select(*names, "lo", "hi", "area", F.explode_outer(F.array(F.struct(x.alias("x"), y.alias("y")))).alias("_m"))
+    return linear.merged(spans.filter(in_polygons(F.col("_m.x"), F.col("_m.y"), F.col("area"))).select(*names, "lo", "hi"), names)
 
 
 def in_polygons(x: Column, y: Column, area: Column) -> Column:

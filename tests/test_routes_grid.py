@@ -251,3 +251,20 @@ def test_split_edges(spark):
     e = spark.createDataFrame([(1, "a", "b", 10.0)], "edge int, a string, b string, w double")
     c = spark.createDataFrame([(1, "m", 4.0)], "edge int, node string, at double")
     assert sorted((x.a, x.b, x.w) for x in grid.split_edges(e, c).collect()) == [("a", "m", 4.0), ("m", "b", 6.0)]
+
+
+def test_rays_of_one_place_are_asked_once(spark, monkeypatch):
+    asked = []
+    join = grid.bucket_join
+
+    def counted(left, right, radius, *more, **how):
+        asked.append((left.count(), radius))
+        return join(left, right, radius, *more, **how)
+
+    monkeypatch.setattr(grid, "bucket_join", counted)
+    points = spark.createDataFrame([(i, 0.0, float(i // 50)) for i in range(100)], "point int, x double, y double")
+    ring = [(10.0, -5.0), (20.0, -5.0), (20.0, 5.0), (10.0, 5.0)]
+    obstacles = spark.createDataFrame([(7, "oks", [[ring]])], "obstacle int, kind string, area array<array<array<struct<x:double,y:double>>>>")
+    got = grid.free_rays(points, obstacles, F.lit(0.0), rays=4, widest=0.0).filter("ray = 0").select("point", "lo", "hi").collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, *part) for i in range(100) for part in ((0.0, 10.0), (20.0, 30.0)))
+    assert {n for n, _ in asked} == {8} and max(r for _, r in asked) <= 1e-6
