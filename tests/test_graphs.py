@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators import graph, paths, planning, trees
+from netloom.operators import base, graph, paths, planning, trees
 
 EDGES, WEIGHTED = "plan int, a long, b long", "plan int, a long, b long, w double"
 
@@ -111,6 +111,25 @@ def test_shortest_paths(spark):
     assert set(way) == set(best)
 
 
+def test_blocks_of_nodes_settle_in_few_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(i, i + 1, float(rng.randint(1, 3))) for i in range(300)] + [(i, i + rng.randint(2, 9), 4.0) for i in range(290)] + [(150, i, 500.0) for i in range(0, 300, 7) if i != 150]
+    best, queue, links = {}, [(0.0, 0, -1, 0)], near(pairs)
+    while queue:
+        c, h, p, n = heapq.heappop(queue)
+        if n not in best:
+            best[n] = (c, h, None if p < 0 else p)
+            for m, w in links.get(n, ()):
+                heapq.heappush(queue, (c + w, h + 1, n, m))
+    written = []
+    monkeypatch.setattr(paths, "cut", lambda df, *old: written.append(1) or base.cut(df, *old))
+    monkeypatch.setattr(paths, "BLOCK", 160)  # about eight blocks; node 150 has so many edges that joins take them
+    found = paths.shortest(spark.createDataFrame([(0, *p) for p in pairs], WEIGHTED), priced(spark, {0: 0}))
+    assert {r.node: (r.cost, r.hops, r.prev) for r in found.collect()} == best
+    assert len(written) < 60  # one a round, and more at the start, before blocks
+    assert max(h for _, h, _ in best.values()) >= 60
+
+
 def test_blocked_nodes_and_bad_weights(spark):
     edges = spark.createDataFrame([(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 1, 3, 9.0)], WEIGHTED)
     got = paths.shortest(edges, priced(spark, {1: 0}), at(spark, 2))
