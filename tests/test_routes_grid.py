@@ -141,6 +141,17 @@ def test_crossing_weights_sweep_overlaps(spark):
     assert got[3][1] is False
 
 
+def test_crossing_weights_meet_once_at_a_place(spark, monkeypatch):
+    legs = spark.createDataFrame([(i, float(i), 0.0, 0.0, 50.0, 0.0) for i in range(20)], "leg int, price double, ax double, ay double, bx double, by double")
+    gas = spark.createDataFrame([(f"g{i}", "gas_pipeline", 1.25, 20.0, -5.0, 20.0, 60.0 + i % 2) for i in range(30)], "id string, kind string, factor double, cx double, cy double, dx double, dy double")
+    none = spark.createDataFrame([], f"obstacle string, kind string, factor double, area array<array<{XY}>>")
+    met, hits = [], routes.linear.line_hits
+    monkeypatch.setattr(routes.linear, "line_hits", lambda *a: met.append(hits(*a)) or met[-1])
+    got = {r.leg: (r.extra, r.fits) for r in routes.crossing_weights(legs, gas, none).collect()}
+    assert got == {i: (pytest.approx(4 * 0.25 * i), True) for i in range(20)}
+    assert met[0].count() == 1  # there were 600
+
+
 def test_grid(spark):
     ext = grid.extent(spark.createDataFrame([("t", 0.0, 0.0), ("t", 20.0, 20.0)], "territory string, x double, y double"), 5.0, 0.0)
     every = grid.cells(ext, 5.0)
