@@ -54,12 +54,20 @@ def sharp_turns(vertices: DataFrame, line: str, order: str, tolerance: float = 1
 
 
 def merged(intervals: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", tolerance: float = 0.0) -> DataFrame:
-    """Unions of overlapping intervals of each key (gaps and islands)."""
+    """Unions of overlapping intervals of each key (gaps and islands).
+
+    One sort, and no table of islands in memory, which are nearly as many as the intervals: the greatest end of an island is that
+    of the greatest (island, end) so far, and the row before the next island's first has it.
+    """
     w = Window.partitionBy(*keys).orderBy(lo, hi)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(before.isNull() | (F.col(lo) > before + tolerance), 1).otherwise(0)
-    out = intervals.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.groupBy(*keys, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
+    out = intervals.select(*keys, lo, hi).withColumn("_new", new).withColumn("_island", F.sum("_new").over(so_far))
+    least = F.min(F.when(F.col(lo).isNotNull(), F.struct((-F.col("_island")).alias("i"), F.col(lo).alias("v")))).over(so_far)
+    most = F.max(F.struct(F.col("_island").alias("i"), F.col(hi).alias("v"))).over(so_far)
+    out = out.withColumns({"_least": least, "_most": most, "_then": F.lead("_new").over(w)})
+    return out.filter("_then is null or _then = 1").select(*keys, F.col("_least.v").alias(lo), F.col("_most.v").alias(hi))
 
 
 def pieces(lines: DataFrame, windows: DataFrame, key: str, length: str = "length", shortest: float = 1e-7) -> DataFrame:

@@ -49,6 +49,25 @@ def test_overlap_sweep(spark):
     assert got == [(0, 12, 1.0, 0), (12, 18, 1.6, 1), (18, 22, 1.6, 2), (22, 28, 1.6, 1), (28, 50, 1.0, 0)]
 
 
+def test_merged_intervals_are_not_held_in_a_hash_table(spark):
+    rng = random.Random(4)
+    data = [(rng.randrange(9), lo, lo + rng.randint(0, 6)) for lo in (rng.randint(0, 60) for _ in range(200))]
+    df = linear.merged(spark.createDataFrame(data, "k int, lo int, hi int"), ["k"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+    assert plan.count("Sort [") == 1
+    want = []
+    for k in range(9):
+        for _, lo, hi in sorted(r for r in data if r[0] == k):
+            if want and want[-1][0] == k and lo <= want[-1][2]:
+                want[-1] = (k, want[-1][1], max(hi, want[-1][2]))
+            else:
+                want.append((k, lo, hi))
+    assert rows(df, "k", "lo") == want
+    odd = spark.createDataFrame([(1, None, 3), (1, 2, 4), (1, 9, None), (2, None, None)], "k int, lo int, hi int")
+    assert rows(linear.merged(odd, ["k"]), "k", "lo") == [(1, 2, 4), (1, 9, None), (2, None, None)]
+
+
 def test_linear_road_window(spark):
     legs = spark.createDataFrame([(1, 0.0, 0.0, 20.0, 0.0, 0.0, 20.0)], "seg int, ax double, ay double, bx double, by double, station double, len double")
     road = spark.createDataFrame([("r", "road", 1.6, 10.0, -5.0, 10.0, 5.0)], "id string, kind string, factor double, cx double, cy double, dx double, dy double")
