@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,20 +76,90 @@ def merged(intervals: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi"
 def pieces(lines: DataFrame, windows: DataFrame, key: str, length: str = "length", shortest: float = 1e-7) -> DataFrame:
     """(key, lo, hi, factor, ids): lines cut at each window's ends; the factor is the largest of the active windows.
 
-    ``windows`` has (key, lo, hi, factor, id); parts outside the line are cut off. The cuts of a line are numbered once; a window
-    finds the numbers of its two ends by equality and opens into the pieces between them. So there are as many rows as pieces
-    and active windows together, never all pairs of a line.
+    ``windows`` has (key, lo, hi, factor, id); parts outside the line are cut off. Lines and windows are dealt and sorted by the key in one
+    shuffle. The cuts of the lines of a batch are numbered at once, and a window opens into the pieces between the numbers of its ends.
+    So there are as many rows as pieces and active windows together, never all pairs of a line, and a task holds a batch and one line.
     """
-    inside = windows.join(lines.select(key, length), key).select(key, F.greatest("lo", F.lit(0.0)).alias("lo"), F.least("hi", length).cast("double").alias("hi"), "factor", "id").filter("lo < hi")
-    ends = inside.select(key, F.explode(F.array("lo", "hi")).alias("at"))
-    cuts = ends.unionByName(lines.select(key, F.explode(F.array(F.lit(0.0), F.col(length).cast("double"))).alias("at"))).distinct()
-    w = Window.partitionBy(key).orderBy("at")
-    spans = cuts.select(key, F.col("at").alias("a"), F.lead("at").over(w).alias("b"), F.row_number().over(w).alias("n"))
-    number = spans.select(key, "a", "n")
-    held = inside.join(number.withColumnsRenamed({"a": "lo", "n": "first"}), [key, "lo"]).join(number.withColumnsRenamed({"a": "hi", "n": "last"}), [key, "hi"])
-    on = held.select(key, "factor", "id", F.explode(F.sequence("first", F.col("last") - 1)).alias("n")).groupBy(key, "n").agg(F.max("factor").alias("factor"), F.array_sort(F.collect_set("id")).alias("ids"))
-    whole = spans.filter(F.col("b") - F.col("a") >= shortest).join(on, [key, "n"], "left")
-    return whole.select(key, F.col("a").alias("lo"), F.col("b").alias("hi"), F.coalesce("factor", F.lit(1.0)).alias("factor"), F.coalesce("ids", F.array().cast(on.schema["ids"].dataType)).alias("ids"))
+    kind, id_kind = windows.schema[key].dataType, windows.schema["id"].dataType
+    none = lambda *names: [F.lit(None).cast(id_kind if c == "id" else "double").alias(c) for c in names]
+    # a line is a window of its own, without an id
+    own = lines.select(F.col(key).cast(kind).alias("key"), F.lit(True).alias("line"), F.lit(0.0).alias("lo"), F.col(length).cast("double").alias("hi"), *none("factor", "id"))
+    given = windows.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lit(False).alias("line"), *(F.col(c).cast("double").alias(c) for c in ("lo", "hi", "factor")), "id")
+    rows = own.unionByName(given).repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(_cut_up(shortest), f"key {kind.simpleString()}, lo double, hi double, factor double, ids array<{id_kind.simpleString()}>").withColumnRenamed("key", key)
+
+
+def _cut_up(shortest: float):
+    """A function that cuts batches of rows (key, line, lo, hi, factor, id), sorted by key, into pieces."""
+
+    def numbers(keys: pa.Array) -> np.ndarray:
+        """Numbers of the keys, as they follow one another."""
+        keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+        if pa.types.is_struct(keys.type):
+            changes = [np.diff(numbers(f), prepend=0) != 0 for f in keys.flatten()]
+            return np.cumsum(np.logical_or.reduce(changes))
+        return keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+    def cut_up(t: pa.Table) -> pa.RecordBatch:
+        g, line = numbers(t.column("key")), t.column("line").to_numpy()
+        lo, hi, factor = (pa.compute.fill_null(t.column(c), np.nan).to_numpy() for c in ("lo", "hi", "factor"))
+        n = int(g[-1]) + 1
+        at, length, known, most = np.full(n, -1), np.full(n, np.nan), np.zeros(n, bool), np.full(n, np.nan)
+        at[g[line]], length[g[line]], known[g[line]] = np.flatnonzero(line), hi[line], True
+        np.fmax.at(most, g, hi)
+        end = np.where(np.isnan(length), most, length)[g]
+        lo, hi = np.where(line, np.minimum(0.0, end), np.fmax(lo, 0.0)) + 0.0, np.where(line, np.maximum(0.0, end), np.fmin(hi, length[g])) + 0.0
+        held = np.flatnonzero((lo < hi) & known[g])
+        g, lo, hi, factor = g[held], lo[held], hi[held], factor[held]
+        of, cut = np.concatenate([g, g]), np.concatenate([lo, hi])
+        order = np.lexsort((cut, of))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(of[order]) != 0) | (np.diff(cut[order]) != 0)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        of, cut = of[order][new], cut[order][new]
+        first, size = number[: len(g)], number[len(g) :] - number[: len(g)]
+        row = np.repeat(np.arange(len(g)), size)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + first[row]
+        top = np.full(len(cut), -np.inf)
+        priced = ~np.isnan(factor[row])
+        np.maximum.at(top, piece[priced], factor[row][priced])
+        ids = t.column("id").combine_chunks().take(pa.array(held)).dictionary_encode()
+        code = pa.compute.fill_null(ids.indices, -1).to_numpy(zero_copy_only=False)
+        in_order = pa.compute.array_sort_indices(ids.dictionary)
+        rank = np.empty(len(in_order) + 1, np.int64)
+        rank[-1], rank[in_order.to_numpy()] = -1, np.arange(len(in_order))
+        code = rank[code][row]
+        many = max(1, len(in_order))
+        met = np.unique(piece[code >= 0] * many + code[code >= 0])
+        kept = np.flatnonzero((of[1:] == of[:-1]) & (np.diff(cut) >= shortest))
+        stays = np.zeros(len(cut), bool)
+        stays[kept] = True
+        met = met[stays[met // many]]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(met // many, minlength=len(cut))[kept])])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids.dictionary.take(in_order.take(pa.array(met % many))))
+        keys = t.column("key").combine_chunks().take(pa.array(at[of[kept]]))
+        return pa.RecordBatch.from_arrays([keys, pa.array(cut[kept]), pa.array(cut[kept + 1]), pa.array(np.where(np.isinf(top[kept]), 1.0, top[kept])), lists], names=["key", "lo", "hi", "factor", "ids"])
+
+    def run(batches):
+        rest: list[pa.RecordBatch] = []  # rows of the keys that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = numbers(batch.column("key"))
+            begin = int(np.searchsorted(g, g[-1]))  # where the last key begins
+            same = rest and rest[-1].column("key")[-1:].equals(batch.column("key")[-1:])
+            if begin or not same:
+                if begin:
+                    rest.append(batch.slice(0, begin))
+                if rest:
+                    yield cut_up(pa.Table.from_batches(rest))
+                rest = []
+            rest.append(batch.slice(begin))
+        if rest:
+            yield cut_up(pa.Table.from_batches(rest))
+
+    return run
 
 
 def line_hits(legs_with_station: DataFrame, objects: DataFrame, key: str) -> DataFrame:

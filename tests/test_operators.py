@@ -49,6 +49,37 @@ def test_overlap_sweep(spark):
     assert got == [(0, 12, 1.0, 0), (12, 18, 1.6, 1), (18, 22, 1.6, 2), (22, 28, 1.6, 1), (28, 50, 1.0, 0)]
 
 
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_pieces_take_one_shuffle_and_equal_a_naive_version(spark):
+    rng = random.Random(3)
+    lines = [(k, rng.choice([0.0, 7.0, 30.0, 55.5])) for k in range(60)]
+    windows = [(rng.randrange(65), float(lo), lo + rng.choice([-1.0, 0.0, 1.0, 9.0, 40.0]), rng.choice([1.25, 1.6, 2.0]), rng.choice("abcé")) for lo in (rng.randint(-10, 60) for _ in range(300))]
+    windows += [(1, float(i), i + 1.5, 1.1, f"w{i}") for i in range(25_000)]  # a line of several batches
+    lines[1] = (1, 20_000.0)
+    df = linear.pieces(spark.createDataFrame(lines, "seg int, length double"), spark.createDataFrame(windows, "seg int, lo double, hi double, factor double, id string"), "seg")
+    assert _exchanges(df) == 1
+    got = rows(df, "seg", "lo")
+    want = []
+    for k, length in lines:
+        mine = [(max(0.0, lo), min(length, hi), f, i) for s, lo, hi, f, i in windows if s == k]
+        mine = [w for w in mine if w[0] < w[1]]
+        cuts = sorted({0.0, length, *(w[0] for w in mine), *(w[1] for w in mine)})
+        for a, b in itertools.pairwise(cuts):
+            on = [w for w in (mine if k != 1 else mine[max(0, int(a) - 3) : int(a) + 3] + [w for w in mine if not w[3].startswith("w")]) if w[0] <= a and b <= w[1]]
+            want.append((k, a, b, max((w[2] for w in on), default=1.0), sorted({w[3] for w in on})))
+    mine = {g[:3]: g for g in got}
+    assert len(got) == len(mine) == len(want)
+    assert [w for w in want if w[0] != 1 and mine[w[:3]] != w] == []
+    late = [w for w in want if w[0] == 1 and w[1] > 200]  # far from the other windows
+    assert len(late) > 19_000
+    assert [w for w in late if set(mine[w[:3]][4]) != {f"w{i}" for i in range(int(w[1]) - 2, int(w[1]) + 1) if i <= w[1] and w[2] <= i + 1.5}] == []
+    keyed = linear.pieces(spark.createDataFrame([((1, 2.0), 5.0), ((1, 3.0), 5.0)], "leg struct<a:int,b:double>, length double"), spark.createDataFrame([((1, 3.0), 1.0, 2.0, 1.5, "x")], "leg struct<a:int,b:double>, lo double, hi double, factor double, id string"), "leg")
+    assert [(tuple(r[0]), *r[1:]) for r in keyed.orderBy("leg", "lo").collect()] == [((1, 2.0), 0.0, 5.0, 1.0, []), ((1, 3.0), 0.0, 1.0, 1.0, []), ((1, 3.0), 1.0, 2.0, 1.5, ["x"]), ((1, 3.0), 2.0, 5.0, 1.0, [])]
+
+
 def test_merged_intervals_are_not_held_in_a_hash_table(spark):
     rng = random.Random(4)
     data = [(rng.randrange(9), lo, lo + rng.randint(0, 6)) for lo in (rng.randint(0, 60) for _ in range(200))]
