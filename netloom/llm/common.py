@@ -295,10 +295,13 @@ def bit_filter(keys: DataFrame, column: str, log2_bits: int = BLOOM_LOG2) -> np.
 
 
 def in_filter(bits: np.ndarray, v: np.ndarray) -> np.ndarray:
-    m = len(bits) * 8
-    hit = np.ones(len(v), dtype=bool)
-    for p in (v % m, (v >> 29) % m):
-        hit &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+    """Which of the hashes the filter, of 2**n bits, may hold. The second bit is asked where the first one is set."""
+    last = len(bits) * 8 - 1
+    p = v & last
+    hit = (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+    at = np.flatnonzero(hit)
+    p = (v[at] >> 29) & last
+    hit[at] = (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
     return hit
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, MIX2, bit_filter, columns, filtered, in_filter, mixed, over_text, row_key, staged
+from .common import MIX, MIX2, bit_filter, columns, filtered, in_filter, over_text, row_key, staged
 
 WINDOW, ENOUGH, SHORTEST = 8, 6, 4
 #: Words that count as units after a number.
@@ -45,19 +45,31 @@ class Tokens(dict):
         if len(self) >= KNOWN_WORDS:
             self.clear()
         low = w.lower()
-        kind = STOP if w in ".!?:;\n" else NUMBER if w[0].isdigit() else NAME if w[0].isupper() and w[1:] == low[1:] else UNIT if low in UNITS else LITERAL
+        if w.islower():
+            kind = UNIT if low in UNITS else LITERAL
+        else:
+            kind = STOP if w in ".!?:;\n" else NUMBER if w[0].isdigit() else NAME if w[0].isupper() and w[1:] == low[1:] else UNIT if low in UNITS else LITERAL
         v = self[w] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & ~7 | kind
         return v
 
 
+def tokens(text: str) -> list[str]:
+    return (_token if text.isascii() or not _spaceless.search(text) else _character).findall(text)
+
+
 def template(text: str, known: Tokens) -> tuple[list[str], np.ndarray, list[tuple], np.ndarray]:
-    """Tokens; which of them aren't stops; readings (template hashes, kinds, tokens that the first reading takes otherwise);
-    hashes without placeholders.
+    """Tokens of a text, and what ``read`` tells of them."""
+    raw = tokens(text)
+    return raw, *read(raw, known)
+
+
+def read(raw: list[str], known: Tokens) -> tuple[np.ndarray, list[tuple], np.ndarray]:
+    """Which of the tokens aren't stops; readings (template hashes, kinds, tokens that the first reading takes otherwise); hashes
+    without placeholders. Tokens of several texts have a stop between two texts.
     Kinds are LITERAL, NAME, NUMBER or UNIT. A title-case word that begins a sentence may be a name or not: the first reading
     takes it as literal, a second one as a name."""
-    raw = (_token if text.isascii() or not _spaceless.search(text) else _character).findall(text)
     if not raw:
-        return [], np.zeros(0, np.int64), [(np.zeros(0, np.uint64), np.zeros(0, np.int8), None)], np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), [(np.zeros(0, np.uint64), np.zeros(0, np.int8), None)], np.zeros(0, np.uint64)
     h = np.fromiter(map(known.__getitem__, raw), np.uint64, len(raw))
     kind = (h & np.uint64(7)).astype(np.int8)
     h ^= kind.astype(np.uint64)
@@ -73,31 +85,49 @@ def template(text: str, known: Tokens) -> tuple[list[str], np.ndarray, list[tupl
     readings = [(h, kind, None)]
     if first.any():
         readings.append((np.where(first, _PLACE[NAME], h), np.where(first, np.int8(NAME), kind), first))
-    return raw, keep, readings, plain[keep]
+    return keep, readings, plain[keep]
 
 
-def windows(h: np.ndarray, kind: np.ndarray, size: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows of which at least half the tokens are literal; only those with a token of ``among``."""
-    n = len(h) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+def likely(kind: np.ndarray, size: int, among: np.ndarray | None = None) -> np.ndarray:
+    """Which windows have at least half of their tokens literal, and, if it is given, a token of ``among``."""
+    if len(kind) < size:
+        return np.zeros(0, bool)
+    literal = np.zeros(len(kind) + 1, np.int32)
+    np.cumsum(kind == LITERAL, out=literal[1:])
     ok = 2 * (literal[size:] - literal[:-size]) >= size
     if among is not None:
-        seen = np.concatenate([[0], np.cumsum(among)])
+        seen = np.zeros(len(kind) + 1, np.int32)
+        np.cumsum(among, out=seen[1:])
         ok &= seen[size:] > seen[:-size]
-    at = np.flatnonzero(ok)
-    return at, hashes(h, size, at)
+    return ok
+
 
+def windows(h: np.ndarray, kind: np.ndarray, size: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the windows of which at least half the tokens are literal; only those with a token of ``among``."""
+    at = np.flatnonzero(likely(kind, size, among))
+    return at, hashes(h, size)[at]
 
-def hashes(h: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
-    """Hashes of the windows at the positions."""
+
+def hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows: polynomials of mixed token hashes, from those of windows of 1, 2, 4, … tokens."""
     n = len(h) - size + 1
-    few = 2 * len(at) < n
-    out = (h[at] if few else h[:n]) * MIX + np.uint64(size)
-    for i in range(1, size):
-        out = (out ^ (out >> np.uint64(31))) * MIX2 + (h[at + i] if few else h[i : n + i])
-    return mixed(out if few else out[at]).view(np.int64)
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    part, width, out, done = (h ^ (h >> np.uint64(31))) * MIX, 1, None, 0
+    while True:
+        power = np.uint64(pow(int(MIX2), width, 1 << 64))
+        if size & width:
+            out = part[:n] if out is None else out * power + part[done : done + n]
+            done += width
+        if done == size:
+            break
+        part = part[:-width] * power + part[width:]
+        width *= 2
+    out = out + np.uint64(size)
+    out ^= out >> np.uint64(32)
+    out *= MIX2
+    out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
 
 def _alone(raw: list[str], at: int) -> bool:
@@ -105,52 +135,87 @@ def _alone(raw: list[str], at: int) -> bool:
     return all(x in ".!?:;\n" for x in (*raw[max(at - 1, 0) : at], *raw[at + 1 : at + 2]))
 
 
-def _rows(window: int, wanted=None, bits=None):
-    """Windows of items, or with ``wanted`` (size, exact) and the filter those of documents that may meet them. An item's
-    windows that no reading takes, and items under ``SHORTEST`` tokens, are exact: of the tokens without placeholders."""
+_FIELDS = ("own", "pos", "hash", "tokens", "exact", "told", "slots")
+
+
+def _held(rows: dict, piece: pa.RecordBatch) -> dict:
+    own = pa.array(rows.pop("own"), pa.int64())
+    return {"key": piece.column("key").take(own), "row_key": piece.column("row_key").take(own), **rows}
+
+
+def _slots(raw: list[str], place: np.ndarray, kind: np.ndarray, size: int, p: int) -> list[str]:
+    return [raw[place[q]].lower() for q in range(p, p + size) if kind[q] != LITERAL]
+
+
+def _of_items(window: int):
+    """Windows of items. An item's windows that no reading takes, and items under ``SHORTEST`` tokens, are exact: of the tokens
+    without placeholders."""
 
     def kernel(known, piece, texts):
-        rows = {c: [] for c in ("own", "pos", "hash", "tokens", "exact", "told", "slots")}
+        rows = {c: [] for c in _FIELDS}
 
         def add(i, n, at, v, exact, slot, told=()):
-            if bits is not None:
-                hit = in_filter(bits.value, v)
-                at, v = at[hit], v[hit]
             for p, x in zip(at.tolist(), v.tolist(), strict=True):
-                for c, y in zip(rows, (i, p, x, n, exact, not exact or p in told, slot(p)), strict=True):
+                for c, y in zip(_FIELDS, (i, p, x, n, exact, not exact or p in told, slot(p)), strict=True):
                     rows[c].append(y)
 
         for i, t in enumerate(texts):
             raw, place, readings, plain = template(t, known)
             n = len(place)
-            if wanted is None:
-                jobs = [(min(n, window), False), (min(n, window), True)] if n >= SHORTEST else [(n, True)] if n else []
-                if n and readings[0][1][0] == LITERAL and raw[place[0]].lower() in UNITS:  # what stands before it isn't known
+            if not n:
+                continue
+            size, told = min(n, window), ()
+            if n >= SHORTEST:
+                if readings[0][1][0] == LITERAL and raw[place[0]].lower() in UNITS:  # what stands before it isn't known
                     (h, kind, _), begin = readings[0], np.arange(n) == 0
                     readings.append((np.where(begin, _PLACE[UNIT], h), np.where(begin, np.int8(UNIT), kind), begin))
-            else:
-                jobs = wanted
-            for size, exact in jobs:
-                if size > n:
-                    continue
-                if not exact:
-                    for h, kind, among in readings:
-                        add(i, n, *windows(h, kind, size, among), False, lambda p, kind=kind, size=size: [raw[place[q]].lower() for q in range(p, p + size) if kind[q] != LITERAL])
-                    continue
-                at, told = np.arange(n - size + 1), ()
-                if wanted is None and n >= SHORTEST:
-                    told = windows(*readings[0][:2], size)[0]
-                    at = np.setdiff1d(at, told)
-                    if any(among is not None and among[0] and 0 not in windows(h, kind, size, among)[0] for h, kind, among in readings):
-                        at = np.union1d([0], at)  # a copy within a sentence may read the first token so
-                elif wanted is not None and size == 1:  # a lone word must be a sentence of its own
-                    v = hashes(plain, 1, at)
-                    at = np.array([p for p in np.flatnonzero(in_filter(bits.value, v)).tolist() if _alone(raw, place[p])], dtype=np.int64)
-                add(i, n, at, hashes(plain ^ MIX, size, at) if size > 1 else hashes(plain, 1, at), True, lambda p: [], told)
-        if not rows["own"] and bits is not None:
-            return None
-        own = pa.array(rows.pop("own"), pa.int64())
-        return {"key": piece.column("key").take(own), "row_key": piece.column("row_key").take(own), **rows}
+                for h, kind, among in readings:
+                    add(i, n, *windows(h, kind, size, among), False, lambda p, kind=kind, size=size: _slots(raw, place, kind, size, p))
+            at = np.arange(n - size + 1)
+            if n >= SHORTEST:
+                told = windows(*readings[0][:2], size)[0]
+                at = np.setdiff1d(at, told)
+                if any(among is not None and among[0] and 0 not in windows(h, kind, size, among)[0] for h, kind, among in readings):
+                    at = np.union1d([0], at)  # a copy within a sentence may read the first token so
+            add(i, n, at, _exact(plain, size)[at], True, lambda p: [], told)
+        return _held(rows, piece)
+
+    return kernel
+
+
+def _exact(plain: np.ndarray, size: int) -> np.ndarray:
+    return hashes(plain ^ MIX if size > 1 else plain, size)
+
+
+def _of_documents(wanted, bits):
+    """Windows of documents that may meet the items', which are of the (size, exact) ``wanted`` and in the filter. All texts of a
+    slice are read at once; no window reaches from one into the next."""
+
+    def kernel(known, piece, texts):
+        raw, ends = [], []
+        for t in texts:
+            raw += tokens(t)
+            raw.append("\n")
+            ends.append(len(raw))
+        place, readings, plain = read(raw, known)
+        of = np.searchsorted(ends, place, side="right")
+        begin = np.searchsorted(place, [0, *ends])
+        rows = {c: [] for c in _FIELDS}
+        for size, exact in wanted:
+            if len(place) < size:
+                continue
+            whole = of[size - 1 :] == of[: len(of) - size + 1]
+            for h, kind, among in [(plain, None, None)] if exact else readings:
+                v = _exact(h, size) if exact else hashes(h, size)
+                at = np.flatnonzero(in_filter(bits.value, v))
+                at = at[whole[at]] if exact else at[(whole & likely(kind, size, among))[at]] if len(at) else at
+                for p in at.tolist():
+                    if exact and size == 1 and not _alone(raw, place[p]):  # a lone word must be a sentence of its own
+                        continue
+                    i = int(of[p])
+                    for c, y in zip(_FIELDS, (i, p - int(begin[i]), int(v[p]), int(begin[i + 1] - begin[i]), exact, not exact, [] if exact else _slots(raw, place, kind, size, p)), strict=True):
+                        rows[c].append(y)
+        return _held(rows, piece) if rows["own"] else None
 
     return kernel
 
@@ -201,11 +266,11 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     schema = "key {}, row_key long, pos int, hash long, tokens int, exact boolean, told boolean, slots array<string>"
     named = columns(items, item, item_text).toDF("key", "text").filter("key is not null").dropDuplicates().withColumn("row_key", row_key("key", "text"))
     kind = items.schema[item].dataType.simpleString()
-    bench = staged(over_text(named, "text", _rows(window), schema.format(kind), make=Tokens), "template-windows")
+    bench = staged(over_text(named, "text", _of_items(window), schema.format(kind), make=Tokens), "template-windows")
     wanted = sorted((r.size, r.exact) for r in bench.select(F.least("tokens", F.lit(window)).alias("size"), "exact").distinct().collect())
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(bench, "hash"))
     rows = columns(docs, key, text).toDF("key", "text").withColumn("row_key", row_key("key", "text"))
-    found = over_text(rows, "text", _rows(window, wanted, bits), schema.format(docs.schema[key].dataType.simpleString()), make=Tokens).select("row_key", "pos", "hash", F.col("slots").alias("mine")).distinct()
+    found = over_text(rows, "text", _of_documents(wanted, bits), schema.format(docs.schema[key].dataType.simpleString()), make=Tokens).select("row_key", "pos", "hash", F.col("slots").alias("mine")).distinct()
     asked = bench.select(F.col("key").alias("item"), F.col("row_key").alias("item_row"), F.col("pos").alias("at"), "told", "hash", F.col("slots").alias("theirs"))
     pairs = F.transform(F.arrays_zip("theirs", "mine"), lambda z: F.struct(z.theirs.alias("a"), z.mine.alias("b")))
     met = found.join(asked, "hash").select("row_key", "item", "item_row", (F.col("pos") - F.col("at")).alias("diagonal"), "at", "told", pairs.alias("pairs"))

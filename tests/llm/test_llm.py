@@ -6,11 +6,13 @@ import itertools
 import os
 import random
 import re
+import types
 import zlib
 from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -509,6 +511,27 @@ def naive_contaminated(doc, item):
     return len(held) >= min(len(every), op6_decontaminate.ENOUGH) or bool(told) and len(held & told) >= min(len(told), op6_decontaminate.ENOUGH)
 
 
+def test_windows_of_a_slice_are_hashed_at_once(monkeypatch):
+    rng = random.Random(62)
+    items = ["Tom has 3 red apples and 5 km to go home today", "What is 17 + 25 * 3 - 48 / 6?", "Photosynthesis"]
+    known, batch = op6_decontaminate.Tokens(), lambda n: pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64())] * 2, names=["key", "row_key"])
+    bench = op6_decontaminate._of_items(8)(known, batch(3), items)
+    v = np.array(bench["hash"], dtype=np.int64)
+    bits = types.SimpleNamespace(value=np.zeros(1 << 22, np.uint8))
+    for p in (v & (1 << 25) - 1, v >> 29 & (1 << 25) - 1):
+        np.bitwise_or.at(bits.value, p >> 3, (1 << (p & 7)).astype(np.uint8))
+    wanted = sorted({(min(n, 8), e) for n, e in zip(bench["tokens"], bench["exact"], strict=True)})
+    texts = [rng.choice(["", "7", "Anna", "Tom has 3 red", "apples and 5 km to go home today. Photosynthesis", prose(rng, 20), *items]) for _ in range(300)]
+    calls, real = [], op6_decontaminate.hashes
+    monkeypatch.setattr(op6_decontaminate, "hashes", lambda *a: calls.append(1) or real(*a))
+    kernel = op6_decontaminate._of_documents(wanted, bits)
+    listed = lambda rows, i: [] if rows is None else sorted((i + k, *map(str, x)) for k, *x in zip(rows["key"].to_pylist(), *(rows[c] for c in ("pos", "hash", "tokens", "exact", "slots")), strict=True))
+    got = listed(kernel(known, batch(300), texts), 0)
+    assert len(calls) <= 2 * len(wanted) < 20
+    assert got == sorted(x for i, t in enumerate(texts) for x in listed(kernel(known, batch(1), [t]), i))
+    assert len(got) > 100
+
+
 def test_decontamination_against_naive_windows(spark):
     rng = random.Random(61)
     names, units = ["Tom", "Anna", "Max", "Lisa"], ["km", "m", "kg", "hours"]
