@@ -1,13 +1,14 @@
 """HTML main text by nearest-URL page differencing.
 
 Pages of one host are sorted by URL path; a page is paired with the neighbour whose path shares the longer prefix. Each page
-is read into lines: the text of its blocks, with the element that each stands in. The lines of the pair are aligned by a
-longest common subsequence, and lines that both hold are deleted as the site's frame.
+is read into lines: the text of its blocks, with the element that each stands in. The units of the pair, which are whole marked
+articles or, on pages without any, open lines, are aligned by a longest common subsequence, and those that both hold are
+deleted as the site's frame.
 
-The difference alone can't give the article: neighbours may carry the same article or paragraph (which must stay), and a
-site's menus may differ from page to page (which must go). So markup comes first where it is plain: lines within ``article``
-or ``main`` are not deleted, and lines within menus, headers, footers, asides, forms, adverts, notices and comments go
-without a match. The difference decides on all other lines.
+The difference of lines alone can't give the article: neighbours may share a paragraph (which must stay), and a
+site's menus may differ from page to page (which must go). So what is compared follows plain markup: an ``article``
+or ``main`` is one unit, and lines within menus, headers, footers, asides, forms, adverts, notices and comments are none. An exact
+check follows: neighbours may carry the same article, so articles that both hold go only if each page has another of its own.
 
 Pages are dealt by ranges of (host, path, id), with the edge rows of the neighbouring ranges as ghosts, so a host with a
 third of all pages is shared between tasks and every page meets the same neighbour however rows are dealt.
@@ -59,17 +60,18 @@ def _role(tag: str, attributes: str, above: int) -> int:
     return _ARTICLE.get(now, now) if tag in ("article", "main") else now
 
 
-def lines(html: str) -> list[tuple[int, str]]:
-    """(role, text) of the blocks in page order: character references decoded, white space single, empty blocks left out."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
+def lines(html: str) -> list[tuple[int, str, int]]:
+    """(role, text, article) of the blocks in page order: character references decoded, white space single, empty blocks left out.
+    Marked articles have numbers from 1; one within another has the outer one's."""
+    out: list[tuple[int, str, int]] = []
+    stack: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    role, at, end = NEUTRAL, 0, len(html)
+    role, article, articles, at, end = NEUTRAL, 0, 0, 0, len(html)
 
     def close() -> None:
         text = _space.sub(" ", unescape("".join(parts))).strip() if parts else ""
         if text:
-            out.append((role, text))
+            out.append((role, text, article))
         parts.clear()
 
     while at < end:
@@ -92,13 +94,13 @@ def lines(html: str) -> list[tuple[int, str]]:
         if slash:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if any(_role(t, "", NEUTRAL) != NEUTRAL for t, _ in stack[i + 1 :]) and tag not in BLOCK:
+                    if any(_role(t, "", NEUTRAL) != NEUTRAL for t, *_ in stack[i + 1 :]) and tag not in BLOCK:
                         break  # an inline end tag doesn't close the parts of a page
                     if tag not in BLOCK and stack[-1][1] != (stack[i - 1][1] if i else NEUTRAL):
                         close()
                     del stack[i:]
                     break
-            role = stack[-1][1] if stack else NEUTRAL
+            role, article = stack[-1][1:] if stack else (NEUTRAL, 0)
         elif tag in VOID:
             continue
         elif tag in RAW:
@@ -119,12 +121,14 @@ def lines(html: str) -> list[tuple[int, str]]:
                             break
                         if stack[i][0] in ("ul", "ol", "dl", "table", "select", "menu"):
                             break
-            above = stack[-1][1] if stack else NEUTRAL
+            above, within = stack[-1][1:] if stack else (NEUTRAL, 0)
             now = _role(tag, attributes, above)
             if now != above and tag not in BLOCK:
                 close()
-            stack.append((tag, now))
-            role = now
+            if not within and now in _ARTICLE.values():
+                within = articles = articles + 1
+            stack.append((tag, now, within))
+            role, article = now, within
     close()
     return out
 
@@ -160,15 +164,24 @@ def common(a: list, b: list) -> list[bool]:
     return mark
 
 
-def main_text(page: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
-    """The page's lines without its frame, given the lines of its neighbour (None: it has no neighbour)."""
-    for role in (KEEP, WRAPPED):
-        kept = [t for r, t in page if r == role]
-        if kept:  # the article is marked; all else is the frame
-            return "\n".join(kept)
-    mine = [t for r, t in page if r == NEUTRAL]
-    shared = common(mine, [t for r, t in other if r == NEUTRAL]) if other else [False] * len(mine)
-    return "\n".join([t for t, s in zip(mine, shared, strict=True) if not s] or [t for r, t in page if r == ASIDE_KEPT])
+def units(page: list[tuple[int, str, int]], role: int) -> list[tuple[str, ...]]:
+    """The page's open lines, each alone, or the lines of each of its articles of a role."""
+    out: dict[int, list[str]] = {}
+    for i, (r, t, article) in enumerate(page):
+        if r == role:
+            out.setdefault(-i if role == NEUTRAL else article, []).append(t)
+    return [tuple(u) for u in out.values()]
+
+
+def main_text(page: list[tuple[int, str, int]], other: list[tuple[int, str, int]] | None) -> str:
+    """The page's units without those of its frame, given the lines of its neighbour (None: it has no neighbour)."""
+    role = next((r for r in (KEEP, WRAPPED) if any(x[0] == r for x in page)), NEUTRAL)
+    mine, theirs = units(page, role), units(other or [], role)
+    shared = common(mine, theirs)
+    own = [u for u, s in zip(mine, shared, strict=True) if not s]
+    if role != NEUTRAL and not (own and sum(shared) < len(theirs)):  # the pair carries the same article
+        own = mine
+    return "\n".join([t for u in own for t in u] or [t for r, t, _ in page if r == ASIDE_KEPT])
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -781,6 +781,20 @@ def test_article_text(html, text):
     assert op10_html.main_text(op10_html.lines(html), None) == text
 
 
+def test_the_difference_decides_on_marked_articles_too(spark):
+    page = lambda *parts: "<body><nav>n</nav>" + "".join(f"<article><p>{p}</p></article>" for p in parts) + "</body>"
+    text = lambda a, b: op10_html.main_text(op10_html.lines(page(*a)), op10_html.lines(page(*b)))
+    assert text(["about us", "first", "more"], ["about us", "second"]) == "first\nmore"  # a box of the site that is marked as an article
+    assert text(["second"], ["second"]) == "second"  # the same article on both pages stays
+    assert text(["first", "second"], ["second"]) == "first\nsecond"  # so it does beside others
+    assert text(["second"], ["first", "second"]) == "second"
+    nested = "<main><article>about us</article><article>first</article></main>"
+    assert op10_html.main_text(op10_html.lines(nested), op10_html.lines(nested.replace("first", "second"))) == "about us\nfirst"
+    rows = [(i, f"http://h.org/{i}", page("about us", f"story {i}")) for i in range(3)]
+    got = {r.page_id: r.text for r in op10_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "story 0", 1: "story 1", 2: "story 2"}
+
+
 def test_common_lines_are_a_longest_common_subsequence():
     def length(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
