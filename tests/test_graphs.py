@@ -337,3 +337,14 @@ def test_smoothed_lines(spark):
     for r in simplify.smoothed(df, wall, 2.0, F.lit(1.0)).collect():
         got.setdefault(r.line, []).append(r.n)
     assert {i: sorted(v) for i, v in got.items()} == {0: [0, 4], 1: [0, 1, 4]}  # of two ways of one length that by the lesser vertex
+
+
+def test_ancestors_join_a_row_a_chain(spark, monkeypatch):
+    n = 300
+    tree = spark.createDataFrame([(0, i, i - 1 if i else None, i, i * 0.5) for i in range(n)] + [(1, 7, None, 0, 2.0)], "plan int, node long, parent long, depth int, cost double")
+    sizes, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, *old: sizes.append(df.count()) or real(df, *old))
+    starts = tree.select("plan", "node", F.col("node").alias("id")).unionByName(spark.createDataFrame([(2, 9, 1)], "plan int, node long, id long"))
+    got = sorted(tuple(r) for r in graph.ancestors(tree, starts, "id", values=("cost",)).select("plan", "start", "id", "node", "hops", "cost").collect() if r.plan != 2)
+    assert got == sorted([(0, i, i, j, i - j, j * 0.5) for i in range(n) for j in range(i + 1)] + [(1, 7, 7, 7, 0, 2.0)])
+    assert max(sizes) < 3_000 < len(got) / 10  # what is written and joined again
