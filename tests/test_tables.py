@@ -119,3 +119,16 @@ def test_routes_of_the_same_points_are_measured_once(spark, monkeypatch):
     found = routes.too_close(ways, wall).collect()
     assert sorted((r.route, r.obstacle, r.d) for r in found) == [(k, o, 1.0) for k in range(20) for o in (7, 8)]
     assert joined == [1, 1]
+
+
+def test_rules_of_routes_broadcast_neither_routes_nor_obstacles(spark, monkeypatch):
+    """Whose sizes nobody knows before points and areas are built; pairs of routes that serve nobody aren't kept."""
+    kept, cut = [], routes.cut
+    monkeypatch.setattr(routes, "cut", lambda df: kept.append(df) or cut(df))
+    line = "array<struct<x:double,y:double>>"
+    ways = spark.createDataFrame([(k, 50, [(0.0, 0.0), (9.0, 0.0)], []) for k in range(20)], f"route int, dn int, points {line}, homes {line}")
+    wall = spark.createDataFrame([(k, "oks", [[[(4.0, 1.0), (5.0, 1.0), (5.0, 2.0)]]]) for k in (7, 8)], f"obstacle int, kind string, area array<array<{line}>>")
+    out = routes.violations(ways, wall)
+    assert sorted(map(tuple, out.collect())) == sorted((k, "forbidden envelope", o) for k in range(20) for o in "78")
+    assert all("BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString() for df in (kept[0], routes.too_close(ways, wall)))
+    assert all(df.count() < 40 for df in kept)
